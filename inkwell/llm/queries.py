@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import bpe_documents
 from .common import load
+from .fingerprints import fingerprints
 from .media import media_columns
 from .urls import url_filter, url_sql
 
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op1_bpe": lambda spark, sf_dir: bpe_documents(load(spark, sf_dir, "documents")),
         "op3_url_filters": lambda spark, sf_dir: url_filter(load(spark, sf_dir, "pages")),
+        "op4_fingerprints": lambda spark, sf_dir: fingerprints(load(spark, sf_dir, "documents")),
         "op7_media_columns": lambda spark, sf_dir: media_columns(load(spark, sf_dir, "documents")),
     }
 
