@@ -6,6 +6,7 @@ from .bpe import bpe_documents
 from .common import load
 from .fingerprints import fingerprints
 from .media import media_columns
+from .simhash import near_duplicates
 from .urls import url_filter, url_sql
 
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op3_url_filters": lambda spark, sf_dir: url_filter(load(spark, sf_dir, "pages")),
         "op4_fingerprints": lambda spark, sf_dir: fingerprints(load(spark, sf_dir, "documents")),
         "op7_media_columns": lambda spark, sf_dir: media_columns(load(spark, sf_dir, "documents")),
+        "op10_simhash_dedup": lambda spark, sf_dir: near_duplicates(load(spark, sf_dir, "documents")),
     }
 
 
