@@ -7,12 +7,14 @@ from .common import load
 from .fingerprints import fingerprints
 from .media import media_columns
 from .simhash import near_duplicates
+from .substrings import substring_dedup
 from .urls import url_filter, url_sql
 
 
 def queries() -> dict:
     return {
         "op1_bpe": lambda spark, sf_dir: bpe_documents(load(spark, sf_dir, "documents")),
+        "op2_substring_dedup": lambda spark, sf_dir: substring_dedup(load(spark, sf_dir, "documents")).drop("kept"),
         "op3_url_filters": lambda spark, sf_dir: url_filter(load(spark, sf_dir, "pages")),
         "op4_fingerprints": lambda spark, sf_dir: fingerprints(load(spark, sf_dir, "documents")),
         "op7_media_columns": lambda spark, sf_dir: media_columns(load(spark, sf_dir, "documents")),
