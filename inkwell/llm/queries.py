@@ -6,11 +6,17 @@ from .bpe import bpe_documents
 from .common import load
 from .fingerprints import fingerprints
 from .media import media_columns
+from .quality import quality, train
 from .simhash import near_duplicates
 from .substrings import substring_dedup
 from .urls import url_filter, url_sql
 
 
+def _quality(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return quality(docs, train(docs, load(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": lambda spark, sf_dir: bpe_documents(load(spark, sf_dir, "documents")),
@@ -18,6 +24,7 @@ def queries() -> dict:
         "op3_url_filters": lambda spark, sf_dir: url_filter(load(spark, sf_dir, "pages")),
         "op4_fingerprints": lambda spark, sf_dir: fingerprints(load(spark, sf_dir, "documents")),
         "op7_media_columns": lambda spark, sf_dir: media_columns(load(spark, sf_dir, "documents")),
+        "op8_quality_classifier": _quality,
         "op10_simhash_dedup": lambda spark, sf_dir: near_duplicates(load(spark, sf_dir, "documents")),
     }
 
