@@ -6,6 +6,7 @@ from .bpe import bpe_documents
 from .common import load
 from .fingerprints import fingerprints
 from .media import media_columns
+from .mixing import mixing_rates
 from .quality import quality, train
 from .simhash import near_duplicates
 from .substrings import substring_dedup
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op4_fingerprints": lambda spark, sf_dir: fingerprints(load(spark, sf_dir, "documents")),
         "op7_media_columns": lambda spark, sf_dir: media_columns(load(spark, sf_dir, "documents")),
         "op8_quality_classifier": _quality,
+        "op9_mixing": lambda spark, sf_dir: mixing_rates(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
         "op10_simhash_dedup": lambda spark, sf_dir: near_duplicates(load(spark, sf_dir, "documents")),
     }
 
