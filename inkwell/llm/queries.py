@@ -8,6 +8,7 @@ from .fingerprints import fingerprints
 from .media import media_columns
 from .mixing import mixing_rates
 from .quality import quality, train
+from .rollups import token_counts
 from .secrets import secret_spans
 from .simhash import near_duplicates
 from .substrings import substring_dedup
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op2_substring_dedup": lambda spark, sf_dir: substring_dedup(load(spark, sf_dir, "documents")).drop("kept"),
         "op3_url_filters": lambda spark, sf_dir: url_filter(load(spark, sf_dir, "pages")),
         "op4_fingerprints": lambda spark, sf_dir: fingerprints(load(spark, sf_dir, "documents")),
+        "op5_token_counts": lambda spark, sf_dir: token_counts(load(spark, sf_dir, "documents")),
         "op6_secret_scan": lambda spark, sf_dir: secret_spans(load(spark, sf_dir, "documents")),
         "op7_media_columns": lambda spark, sf_dir: media_columns(load(spark, sf_dir, "documents")),
         "op8_quality_classifier": _quality,
