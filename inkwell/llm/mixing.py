@@ -1,15 +1,15 @@
 """Operator 9 [native]: mixing to target weights by soft membership.
 
 1. A naive Bayes classifier learned from the labelled table gives each document a posterior over the domains: low
-   quality, toxic, clean.  Its features are presences: of at most ``vocabulary`` words that tell the domains apart, and of
-   tenths of the shares of symbols, of capitals and of distinct words.  It is fitted on at most ``sample`` labelled
-   documents; word counts come from a grouped aggregate, and only the chosen words' counts reach the driver.
+   quality, toxic, clean.  Its features are how many of each domain's words a text has (at most ``vocabulary`` words that
+   tell the domain from the others), and tenths of the shares of symbols, of capitals and of distinct words.  It is fitted
+   on at most ``sample`` labelled documents; counts come from grouped aggregates, and only those words reach the driver.
 2. Rates r >= 0, one for each document, are fitted by distributed projected gradient: minimise the squared distance of the
    expected domain token totals, sum of r * tokens * posterior, from the targets.  In a pass over the (small) table of
    tokens and posteriors every rate is recomputed from the steps so far, r <- max(0, r - p . step), and one aggregate of a
    few numbers gives the residuals and so the next step.  Steps are scaled by the inverse of the domains' moment matrix
-   over the documents whose rate isn't zero, which needs one step where no rate reaches zero; a step that doesn't lower
-   the error is halved.
+   over the documents whose rate isn't zero, plus a small ridge that keeps rates near 1 where domains hardly differ; few
+   are needed where no rate reaches zero.  A step that doesn't lower the error is halved.
 
 DataFrame operations only; the driver sees numbers by domain and the vocabulary, whatever the size of the input.  The only
 shuffles are of partial aggregates and of the sample.
@@ -66,68 +66,66 @@ def featured(docs: DataFrame, *more: str) -> DataFrame:
     return out.select("doc_id", tokens.cast("long").alias("tokens"), "seen", marks.alias("marks"), *more)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int, vocabulary: int) -> tuple[list[float], dict[str, list[float]], list[str]]:
-    """Log priors, log likelihoods of each feature's presence, and the words among the features.
+def hit_marks(vocabulary: list[list[str]]) -> Column:
+    """For each domain a feature that tells how many of its words a document has: none, one, two, or more."""
 
-    Absences count for nothing: a short text lacks most words of its domain too.  A word counts only in the domains that
-    it tells from the rest; else the many that are a little more frequent in a domain of long texts would add up.
-    """
+    def mark(d: int, words: list[str]) -> Column:
+        hits = F.size(F.array_intersect("seen", F.array(*map(F.lit, words)))) if words else F.lit(0)
+        return F.concat(F.lit(f"{MARK}hits{d}:"), F.least(hits, F.lit(3)).cast("string"))
+
+    return F.array(*(mark(d, words) for d, words in enumerate(vocabulary)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int, vocabulary: int) -> tuple[list[float], dict[str, list[float]], list[list[str]]]:
+    """Log priors, log likelihoods of each feature by domain, and each domain's words."""
+    k = len(DOMAINS)
     chosen = domains(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     told = written(featured(docs.join(F.broadcast(chosen), "doc_id"), "domain"), "mix-labelled")
     sizes = {r["domain"]: r["n"] for r in told.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    n = [sizes.get(d, 0) for d in range(len(DOMAINS))]
-    if not sum(n):
-        return [0.0] * len(DOMAINS), {}, []
-    counts = told.select("domain", F.explode(F.concat("seen", "marks")).alias("f")).groupBy("f").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"c{d}") for d in range(len(DOMAINS))))
-    # A word tells a domain from the rest if its shares of documents differ twofold and by z standard errors.
-    scores, total = [], sum(n)
-    all_docs = sum((F.col(f"c{d}") for d in range(1, len(DOMAINS))), F.col("c0"))
-    for d in range(len(DOMAINS)):
-        inside, outside = (F.col(f"c{d}") + 1) / (n[d] + 2), (all_docs - F.col(f"c{d}") + 1) / (total - n[d] + 2)
-        share = (all_docs + 1) / (total + 2)
-        z = F.abs(inside - outside) / F.sqrt(share * (1 - share) * (1 / max(1, n[d]) + 1 / max(1, total - n[d])))
-        scores.append(F.when((F.greatest(inside, outside) >= 2 * F.least(inside, outside)) & (z >= 4.5), z).otherwise(0.0))
-    counts = written(counts.where(all_docs >= 5).select("*", *(x.alias(f"z{d}") for d, x in enumerate(scores))).withColumn("score", F.greatest(*(F.col(f"z{d}") for d in range(len(DOMAINS))))), "mix-counts")
-    words = counts.where(~F.col("f").startswith(MARK) & (F.col("score") > 0)).orderBy(F.desc("score"), "f").limit(vocabulary).collect()
-    marks = counts.where(F.col("f").startswith(MARK)).collect()
-    base = [math.log((k + 1) / (total + len(DOMAINS))) for k in n]
-    weights = {}
-    for r in words:
-        c = [r[f"c{d}"] for d in range(len(DOMAINS))]
-        weights[r["f"]] = [math.log((x + 0.5) / (k + 1)) - math.log((sum(c) - x + 0.5) / (total - k + 1)) if r[f"z{d}"] else 0.0 for d, (x, k) in enumerate(zip(c, n, strict=True))]
-    for r in marks:
-        weights[r["f"]] = [math.log((r[f"c{d}"] + 0.5) / (n[d] + 1)) for d in range(len(DOMAINS))]
-    return base, weights, [r["f"] for r in words]
-
-
-def posteriors(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: int = 256) -> DataFrame:
-    """doc_id, tokens, and p_<domain> for each domain."""
-    base, weights, words = learn(docs, labels, sample, vocabulary)
-    found = featured(docs)
-    if words:
-        found = found.withColumn("hits", F.concat(F.array_intersect("seen", F.array(*map(F.lit, words))), "marks"))
-    else:
-        found = found.withColumn("hits", F.col("marks"))
-    found = found.select("doc_id", "tokens", "hits")
+    n = [sizes.get(d, 0) for d in range(k)]
+    total = sum(n)
+    if not total:
+        return [0.0] * k, {}, [[] for _ in DOMAINS]
+    by_domain = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{d}") for d in range(k)]
+    everywhere = sum((F.col(f"c{d}") for d in range(1, k)), F.col("c0"))
+    counts = told.select("domain", F.explode("seen").alias("f")).groupBy("f").agg(*by_domain).where(everywhere >= 5)
+    # A word is a domain's if its share of the domain's documents is twice that of the others', and z standard errors above it.
+    scores = []
+    for d in range(k):
+        inside, outside = (F.col(f"c{d}") + 1) / (n[d] + 2), (everywhere - F.col(f"c{d}") + 1) / (total - n[d] + 2)
+        share = (everywhere + 1) / (total + 2)
+        z = (inside - outside) / F.sqrt(share * (1 - share) * (1 / max(1, n[d]) + 1 / max(1, total - n[d])))
+        scores.append(F.when((inside >= 2 * outside) & (z >= 4.5), z).alias(f"z{d}"))
+    counts = written(counts.select("f", *scores), "mix-counts")
+    words = [[r["f"] for r in counts.where(F.col(f"z{d}").isNotNull()).orderBy(F.desc(f"z{d}"), "f").limit(vocabulary).collect()] for d in range(k)]
+    marked = told.select("domain", F.explode(F.concat("marks", hit_marks(words))).alias("f")).groupBy("f").agg(*by_domain)
+    weights = {r["f"]: [math.log((r[f"c{d}"] + 0.5) / (n[d] + 1)) for d in range(k)] for r in marked.collect()}
+    return [math.log((x + 1) / (total + k)) for x in n], weights, words
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: int = 64, corpus: DataFrame | None = None) -> DataFrame:
+    """doc_id, tokens, and p_<domain> for each domain, as learned from the labelled documents of ``corpus`` (else of ``docs``)."""
+    base, weights, words = learn(docs if corpus is None else id_text(corpus), labels, sample, vocabulary)
+    found = featured(docs).select("doc_id", "tokens", F.concat("marks", hit_marks(words)).alias("features"))
 
     def log_odds(d: int) -> Column:
         if not weights:
             return F.lit(base[d])
         table = F.create_map(*(F.lit(x) for f, w in weights.items() for x in (f, w[d])))
-        return F.aggregate("hits", F.lit(base[d]), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
+        return F.aggregate("features", F.lit(base[d]), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
 
-    logs = [log_odds(d) for d in range(len(DOMAINS))]
-    found = found.select("doc_id", "tokens", *(x.alias(f"l{d}") for d, x in enumerate(logs)))
+    found = found.select("doc_id", "tokens", *(log_odds(d).alias(f"l{d}") for d in range(len(DOMAINS))))
     top = F.greatest(*(F.col(f"l{d}") for d in range(len(DOMAINS))))
     found = found.select("doc_id", "tokens", *(F.exp(F.col(f"l{d}") - top).alias(f"e{d}") for d in range(len(DOMAINS))))
     whole = F.col("e0") + F.col("e1") + F.col("e2")
     return found.select("doc_id", "tokens", *((F.col(f"e{d}") / whole).alias(f"p_{name}") for d, name in enumerate(DOMAINS)))
 
 
-def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False, rounds: int = 30, close: float = 1e-6) -> tuple[Column, list[np.ndarray]]:
+def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False, rounds: int = 30, close: float = 1e-6, ridge: float = 1e-3) -> tuple[Column, list[np.ndarray]]:
     """The rate as a column over ``table`` (tokens, p_<domain>), and the residuals of each round as shares of all tokens.
 
-    ``targets``: shares of all tokens, or, ``relative``, multiples of each domain's own expected tokens.
+    ``targets``: shares of all tokens, or, ``relative``, multiples of each domain's own expected tokens.  The fit ends
+    where all residuals are at most ``close``, a share of all tokens.
     """
     p = [F.col(f"p_{name}") for name in DOMAINS]
     k = len(p)
@@ -152,7 +150,7 @@ def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False,
     for _ in range(rounds):
         if np.abs(history[-1]).max() <= close or size < 1 / 64:
             break
-        step = size * np.linalg.pinv(moments, rcond=1e-9, hermitian=True) @ history[-1]
+        step = size * np.linalg.solve(moments + ridge * np.eye(k), history[-1])
         tried = F.greatest(F.lit(0.0), rate - sum((x * float(v) for x, v in zip(p[1:], step[1:], strict=True)), p[0] * float(step[0])))
         _, now, active = passed(tried)
         if np.linalg.norm(now - goal) < np.linalg.norm(history[-1]):
@@ -163,21 +161,21 @@ def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False,
     return rate, history
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, relative: bool = False, sample: int = 10_000, vocabulary: int = 256) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, relative: bool = False, sample: int = 10_000, vocabulary: int = 64) -> DataFrame:
     """doc_id, tokens, p_low, p_toxic, p_clean, rate, expected_tokens."""
     table = written(posteriors(id_text(docs), labels, sample, vocabulary), "mix-posteriors")
     rate, _ = fitted(table, targets or TARGETS, relative)
     return table.select("doc_id", "tokens", *(f"p_{name}" for name in DOMAINS), rate.alias("rate")).withColumn("expected_tokens", F.col("rate") * F.col("tokens"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], relative: bool = True, sample: int = 10_000, vocabulary: int = 256) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], relative: bool = True, sample: int = 10_000, vocabulary: int = 64, corpus: DataFrame | None = None, close: float = 2e-3) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: its whole part, and once more with its fraction as probability.
 
     The chance is the hashed doc_id's, so it is the same in every run; rows of one doc_id get the same number of copies.
     """
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = written(posteriors(id_text(docs), labels, sample, vocabulary), "mix-posteriors")
-    rate, _ = fitted(table, targets, relative)
+    table = written(posteriors(id_text(docs), labels, sample, vocabulary, corpus), "mix-posteriors")
+    rate, _ = fitted(table, targets, relative, close=close)
     copies = table.select("doc_id", rate.alias("rate")).select("doc_id", F.floor(F.col("rate") + (F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30))).cast("int").alias("copies"))
     counts = copies.groupBy("doc_id").agg(F.max("copies").alias("copies"))
     out = named.select("row", "doc_id").join(counts.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
