@@ -13,8 +13,9 @@ from inkwell.llm.quality import keep_good, train
 from inkwell.llm.secrets import redact
 from inkwell.llm.simhash import keep_one
 
-#: Multiples of each domain's expected tokens.  Clean text gains a little, so that no clean document's rate falls below 1.
-RATES = {"low": 0.25, "toxic": 0.25, "clean": 1.1}
+#: Multiples of each domain's expected tokens.  What the classifier let through isn't cut, since little of it is certain;
+#: clean text gains a tenth, so that no clean document's rate falls below 1 while suspect ones' rates do.
+RATES = {"low": 1.0, "toxic": 1.0, "clean": 1.1}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says."""
-    return mixed(docs, load(spark, sf_dir, "labels"), RATES)
+    """Documents as often as their fitted rate says; domains are learned from the labelled documents of the whole corpus."""
+    return mixed(docs, load(spark, sf_dir, "labels"), RATES, corpus=load(spark, sf_dir, "documents"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
