@@ -33,10 +33,14 @@ def names_in(text: Column) -> Column:
 
 def lexical_faithfulness(text: Column, known_words: Column, known_years: Column) -> Column:
     """struct(F, unsupported): names and years, each as often as it occurs, that the record has or lacks."""
-    names, years = names_in(text), T.years(text)
-    ok = F.size(F.filter(names, lambda w: F.array_contains(known_words, w))) + F.size(F.filter(years, lambda y: F.array_contains(known_years, y)))
-    total = F.size(names) + F.size(years)
-    return F.struct(F.when(total > 0, ok / total).otherwise(1.0).alias("F"), (total - ok).alias("unsupported"))
+    held = F.struct(names_in(text).alias("names"), T.years(text).alias("years"), known_words.alias("w"), known_years.alias("y"))
+
+    def judged(x: Column) -> Column:
+        ok = F.size(F.filter(x["names"], lambda n: F.array_contains(x["w"], n))) + F.size(F.filter(x["years"], lambda y: F.array_contains(x["y"], y)))
+        total = F.size(x["names"]) + F.size(x["years"])
+        return F.struct(F.when(total > 0, ok / total).otherwise(1.0).alias("F"), (total - ok).alias("unsupported"))
+
+    return T.let(held, judged)
 
 
 def invented_specific(claim: Column, known_words: Column, known_years: Column) -> Column:

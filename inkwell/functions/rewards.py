@@ -14,8 +14,8 @@ def sensationalism(text: Column, source: Column | None = None) -> Column:
     low = T.lowered(text)
     hits = F.filter(low, lambda w: w.isin(*L.SENSATIONAL))
     if source is not None:
-        attested = F.transform(T.words(F.coalesce(source, F.lit(""))), T.stem)
-        hits = F.filter(hits, lambda w: ~F.array_contains(attested, T.stem(w)))
+        stems = F.transform(T.words(F.coalesce(source, F.lit(""))), T.stem)
+        hits = T.let(F.struct(hits.alias("hits"), stems.alias("stems")), lambda x: F.filter(x["hits"], lambda w: ~F.array_contains(x["stems"], T.stem(w))))
     return F.size(hits) / F.sqrt(F.greatest(F.size(low), F.lit(1)).cast("double"))
 
 
@@ -28,8 +28,8 @@ def composite(f: Column, unsupported: Column, detail: Column, calibration: Colum
 def coverage(text: Column, salient: Column) -> Column:
     """Share of the salient strings that the text has, in any case, as whole words."""
     quoted = lambda s: F.regexp_replace(s, r"([^\p{L}\p{N}_])", r"\\$1")
-    found = F.size(F.filter(salient, lambda s: F.rlike(text, F.concat(F.lit(f"(?iu)(?:^|{T.OTHER})"), quoted(s), F.lit(f"(?:{T.OTHER}|$)")))))
-    return found / F.greatest(F.size(salient), F.lit(1))
+    found = lambda xs: F.size(F.filter(xs, lambda s: F.rlike(text, F.concat(F.lit(f"(?iu)(?:^|{T.OTHER})"), quoted(s), F.lit(f"(?:{T.OTHER}|$)")))))
+    return T.let(salient, lambda xs: found(xs) / F.greatest(F.size(xs), F.lit(1)))
 
 
 def names_source(text: Column, references: Column | None = None) -> Column:

@@ -16,6 +16,11 @@ LETTER = r"[\p{L}\p{N}_]"
 OTHER = r"[^\p{L}\p{N}_]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: a lambda computes what it takes from outside anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words_in(xs: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, xs))
 
@@ -91,9 +96,7 @@ def stem(word: Column) -> Column:
 
 def ngrams(xs: Column, n: int) -> Column:
     """Distinct runs of n elements, joined by a cut mark."""
-    many = F.size(xs) >= n
-    starts = F.sequence(F.lit(1), F.when(many, F.size(xs) - n + 1).otherwise(1))
-    return F.when(many, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(xs, i, n), L.CUT)))).otherwise(F.array().cast("array<string>"))
+    return let(xs, lambda x: F.when(F.size(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), L.CUT)))).otherwise(F.array().cast("array<string>")))
 
 
 def normal(surface: Column) -> Column:
@@ -112,12 +115,14 @@ def first_seen(xs: Column) -> Column:
 
 def chunked(text: Column, size: int = 150, least: int = 20) -> Column:
     """(chunk number, words joined by spaces) of windows of ``size`` words; those under ``least`` words keep their number but are left out."""
-    all_words = pieces(text)
-    n = F.size(all_words)
-    numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    made = F.transform(numbers, lambda i: F.struct(i.alias("chunk"), F.slice(all_words, i * size + 1, size).alias("w")))
-    kept = F.filter(made, lambda c: F.size(c["w"]) >= least)
-    return F.transform(kept, lambda c: F.struct(c["chunk"].alias("chunk"), F.array_join(c["w"], " ").alias("text")))
+
+    def cut(xs: Column) -> Column:
+        n = F.size(xs)
+        numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+        kept = F.filter(numbers, lambda i: F.least(n - i * size, F.lit(size)) >= least)
+        return F.transform(kept, lambda i: F.struct(i.alias("chunk"), F.array_join(F.slice(xs, i * size + 1, size), " ").alias("text")))
+
+    return let(pieces(text), cut)
 
 
 def strip_hedges(claim: Column) -> Column:

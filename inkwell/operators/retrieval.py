@@ -13,10 +13,13 @@ def ranked_sentences(text: Column, query: Column) -> Column:
 
     All within the row, so nothing is shuffled; a document's sentences are the only thing held.
     """
-    sents = T.source_sentences(text)
-    asked = F.array_distinct(T.lowered(query))
-    scored = F.transform(sents, lambda s, i: F.struct((-F.size(F.array_intersect(asked, T.lowered(s)))).alias("minus"), i.alias("pos"), s.alias("sentence")))
-    return F.transform(F.array_sort(scored), lambda x: F.struct((-x["minus"]).alias("score"), x["pos"].alias("pos"), x["sentence"].alias("sentence")))
+    held = F.struct(T.source_sentences(text).alias("s"), F.array_distinct(T.lowered(query)).alias("asked"))
+
+    def ranked(x: Column) -> Column:
+        scored = F.transform(x["s"], lambda s, i: F.struct((-F.size(F.array_intersect(x["asked"], T.lowered(s)))).alias("minus"), i.alias("pos"), s.alias("sentence")))
+        return F.transform(F.array_sort(scored), lambda r: F.struct((-r["minus"]).alias("score"), r["pos"].alias("pos"), r["sentence"].alias("sentence")))
+
+    return T.let(held, ranked)
 
 
 def top_sentences(df: DataFrame, text: str, query: str, k: int) -> DataFrame:
@@ -33,7 +36,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return F.transform(vector, lambda v: F.when(norm > 0, v.cast("double") / norm).otherwise(0.0))
+    return T.let(F.struct(vector.alias("v"), norm.alias("n")), lambda x: F.transform(x["v"], lambda v: F.when(x["n"] > 0, v.cast("double") / x["n"]).otherwise(0.0)))
 
 
 def top_vectors(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:

@@ -30,8 +30,8 @@ def focal(entities: Column, relations: Column) -> Column:
     """The most frequent person; else the entity with the most relations; else the first entity.  Ties: the first seen."""
 
     def mode(xs: Column) -> Column:
-        counted = F.transform(F.array_distinct(xs), lambda x: F.struct(F.size(F.filter(xs, lambda y: y == x)).alias("n"), (-F.array_position(xs, x)).alias("at"), x.alias("x")))
-        return F.array_max(counted)["x"]
+        counted = lambda all_: F.transform(F.array_distinct(all_), lambda x: F.struct(F.size(F.filter(all_, lambda y: y == x)).alias("n"), (-F.array_position(all_, x)).alias("at"), x.alias("x")))
+        return F.array_max(T.let(xs, counted))["x"]
 
     persons = F.transform(F.filter(entities, lambda e: F.upper(e["type"]).startswith("PER")), lambda e: e["name"])
     ends = F.flatten(F.transform(relations, lambda r: F.array(r["head"], r["tail"])))

@@ -35,8 +35,10 @@ def mentions(text: Column, candidates: Column) -> Column:
         """Occurrences from left to right that don't overlap each other: where the text is cut at the surface."""
         cut = F.split(t, F.concat(F.lit("\\Q"), c["surface"], F.lit("\\E")))
         lengths = F.transform(F.slice(cut, 1, F.size(cut) - 1), F.length)
-        ends = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x) + i * F.length(c["surface"]))
-        return F.transform(ends, lambda s: F.struct(s.alias("start"), (s + F.length(c["surface"])).alias("end"), c["surface"].alias("surface"), c["type"].alias("type"))).cast(kind)
+        size = F.length(c["surface"])
+        step = lambda a, n: F.struct((a["at"] + n + size).alias("at"), F.concat(a["starts"], F.array(a["at"] + n)).alias("starts"))
+        starts = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda a: a["starts"])
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + size).alias("end"), c["surface"].alias("surface"), c["type"].alias("type"))).cast(kind)
 
     def take(taken: Column, c: Column) -> Column:
         return F.concat(taken, F.filter(found(text, c), lambda m: ~F.exists(taken, lambda o: (m["start"] < o["end"]) & (o["start"] < m["end"]))))
