@@ -1,0 +1,3 @@
+from . import catalogue, relational
+
+__all__ = ["catalogue", "relational"]
