@@ -150,7 +150,7 @@ def html_escape(text: Column) -> Column:
 
 def date_attributes(value: Column) -> Column:
     """struct(when, from, to): a number, or two with a dash between them."""
-    parts = F.transform(F.split(value, "[–-]"), F.trim)
+    parts = F.transform(F.split(value, "[–-]"), lambda s: F.trim(s))
     number = r"^\p{Nd}+$"
     two = (F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(number))
     return F.struct(F.when(F.trim(value).rlike(number), F.trim(value)).alias("when"), F.when(two, parts[0]).alias("from"), F.when(two, F.get(parts, F.lit(1))).alias("to"))
@@ -164,7 +164,7 @@ def split_claims(text: Column, subject: Column | None = None) -> Column:
     """
     meta = rf"(?iu)(?:^|{OTHER})(?:{L.META})(?:{OTHER}|$)"
     source = rf"(?iu)(?:^|{OTHER})(?:{L.PROVENANCE})(?:{OTHER}|$)"
-    whole = F.filter(F.transform(cut_after(F.trim(text), ".;!?"), F.trim), lambda s: (n_pieces(s) >= 4) & ~s.rlike(meta))
+    whole = F.filter(F.transform(cut_after(F.trim(text), ".;!?"), lambda s: F.trim(s)), lambda s: (n_pieces(s) >= 4) & ~s.rlike(meta))
     raw = F.flatten(F.transform(whole, lambda s: F.transform(F.split(F.regexp_replace(s, f"(?i){L.CLAUSE}", L.CUT), L.CUT), lambda c: F.btrim(c, F.lit(" ,.;:")))))
 
     def told(c: Column) -> Column:
@@ -185,7 +185,7 @@ def split_claims(text: Column, subject: Column | None = None) -> Column:
 def source_sentences(text: Column) -> Column:
     """Sentences of five words or more that aren't administrative lines."""
     cut = F.split(F.regexp_replace(F.regexp_replace(text, r"([.!?])\s+", "$1" + L.CUT), r"\n+", L.CUT), L.CUT)
-    return F.filter(F.transform(cut, F.trim), lambda s: (n_pieces(s) >= 5) & ~s.rlike(f"(?i){L.ADMIN}"))
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: (n_pieces(s) >= 5) & ~s.rlike(f"(?i){L.ADMIN}"))
 
 
 def fold(function: Callable[[Column, Column], Column], start: Column, xs: Column) -> Column:

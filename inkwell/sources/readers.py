@@ -64,7 +64,7 @@ def facts_jsonl(spark: SparkSession, base: str, spec: dict) -> DataFrame:
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """name, value: one row for each file."""
-    return spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value")
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value")
 
 
 def _flat(element) -> str:

@@ -24,7 +24,7 @@ def available() -> list[str]:
 
 def manifest(spark: SparkSession, folder: str) -> dict:
     """corpus.json, read through Spark, so that it may lie in any store."""
-    return json.loads(spark.read.option("wholetext", True).text(f"{folder}/corpus.json").head()[0])
+    return json.loads(spark.read.text(f"{folder}/corpus.json", wholetext=True).head()[0])
 
 
 def load_corpus(spark: SparkSession, name: str, source: str | None = None, limit: int | None = None, data: str = "data") -> DataFrame:

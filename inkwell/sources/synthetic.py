@@ -208,9 +208,9 @@ def grid(spark: SparkSession, limit: int | None = None) -> DataFrame:
 def records(spark: SparkSession, register: str = "testimony") -> DataFrame:
     """Cases in the common record shape; the source text is the good rendering."""
     focal = entity(F.col("focal"))["name"]
-    return cases(spark).select(
-        F.col("case_id").alias("id"), F.lit("SYNTHETIC").alias("corpus"), F.lit(register).alias("register"), focal.alias("unit"), focal.alias("title"),
-        F.transform("entities", lambda e: F.struct(e["name"].alias("name"), F.upper(e["type"]).alias("type"))).alias("entities"),
-        F.transform("events", lambda e: F.struct(e["type"].alias("type"), focal.alias("head"), e["summary"].alias("tail"))).alias("relations"),
-        render(register, "good").alias("source_text"), F.array().cast("array<string>").alias("subjects"), F.lit("synthetic").alias("provenance"),
+    held = cases(spark).select("case_id", "events", focal.alias("unit"), F.transform("entities", lambda e: F.struct(e["name"].alias("name"), F.upper(e["type"]).alias("type"))).alias("named"), render(register, "good").alias("source_text"))
+    return held.select(
+        F.col("case_id").alias("id"), F.lit("SYNTHETIC").alias("corpus"), F.lit(register).alias("register"), "unit", F.col("unit").alias("title"), F.col("named").alias("entities"),
+        F.transform("events", lambda e: F.struct(e["type"].alias("type"), F.col("unit").alias("head"), e["summary"].alias("tail"))).alias("relations"),
+        "source_text", F.array().cast("array<string>").alias("subjects"), F.lit("synthetic").alias("provenance"),
     )
