@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six characters; ``bytes.split()`` cuts at exactly them.
@@ -44,6 +44,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: log2 of the bits of a bitmap over hashed ids, which so is at most a megabyte.
+MAP_BITS = 23
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+
+
+def bitmap(ids: DataFrame) -> DataFrame:
+    """(bucket, bits): at most 2^MAP_BITS / 32768 rows of 4 KB, whatever the number of ids."""
+    return ids.select(F.bitmap_bucket_number(_slot()).alias("bucket"), F.bitmap_bit_position(_slot()).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def in_bitmap(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Adds ``maybe``: false only for ids that aren't in the bitmap."""
+    bit = F.bitmap_bit_position(_slot())
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))) != 0
+    out = docs.withColumn("bucket", F.bitmap_bucket_number(_slot())).join(F.broadcast(bits), "bucket", "left")
+    return out.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("bucket", "bits")
+
+
+def set_apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose doc_id surely isn't among ``ids``, and (row, doc_id) of the rest.
+
+    Only the rest, the named rows and few others, need to meet the named ids in a shuffle; where the ids outgrow the
+    bitmap that becomes all rows, and what is done to them stays the same.
+    """
+    bits = written(bitmap(ids), "ids")
+    held = in_bitmap(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")), bits)
+    return held.where("NOT maybe").select("row.*"), held.where("maybe").select("row", "doc_id")
+
+
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Applies ``work`` to each Arrow batch; one batch is held at a time."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions, per_document, written
+from .common import id_text, partitions, per_document, set_apart, written
 from .components import components
 
 #: Blocks of the fingerprint, and fingerprints of a slice of a large bucket.
@@ -266,8 +266,10 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of one document of each group of near-duplicates, the one with the smallest doc_id, with all their columns.
 
     Rows that repeat that doc_id collapse to one.  A null doc_id can't be named: its row stays where no other document is
-    in its group, that is, never next to an identified copy.
+    in its group, that is, never next to an identified copy.  Only rows that may have to go are shuffled with their texts.
     """
-    found = near_duplicates(docs, **settings)
-    best = written(found.groupBy("component_id").agg(F.lit(1).alias("x")).select(F.col("component_id").alias("doc_id")), "simhash-best")
-    return docs.join(best, docs["doc_id"].eqNullSafe(best["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    found = written(near_duplicates(docs, **settings).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "simhash-found")
+    untouched, rest = set_apart(docs, found.where("n > 1 OR NOT doc_id <=> component_id").select("doc_id"))
+    best = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("best"))
+    kept = rest.join(best, F.col("doc_id").eqNullSafe(F.col("best")), "left_semi").dropDuplicates(["doc_id"])
+    return untouched.unionByName(kept.select("row.*"))

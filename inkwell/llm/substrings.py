@@ -39,11 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import bitmap, id_text, in_bitmap, written
 
-#: Odd multipliers of the polynomials, and bits of the bitmap.
+#: Odd multipliers of the polynomials.
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-MAP_BITS = 23
 U = np.uint64
 
 
@@ -193,22 +192,6 @@ def _outcome(window: int):
     return run
 
 
-def bitmap(ids: DataFrame) -> DataFrame:
-    """(bucket, bits): at most 2^MAP_BITS / 32768 rows of 4 KB, whatever the number of ids."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    return ids.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def in_bitmap(docs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Adds ``maybe``: false only for ids that aren't in the bitmap."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    bit = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = (F.shiftright(byte, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int")))) != 0
-    out = docs.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "bucket", "left")
-    return out.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("bucket", "bits")
-
-
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and kept: the words that stay, joined by one space."""
     docs = id_text(docs)
