@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, set_apart, written
 
 DOMAINS = ("low", "toxic", "clean")
 #: Shares of all tokens.
@@ -172,11 +172,14 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], relativ
     """The rows of ``docs``, each as often as its rate says: its whole part, and once more with its fraction as probability.
 
     The chance is the hashed doc_id's, so it is the same in every run; rows of one doc_id get the same number of copies.
+    Only rows that don't stay as they are, and few others, are shuffled with their texts.
     """
-    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = written(posteriors(id_text(docs), labels, sample, vocabulary, corpus), "mix-posteriors")
     rate, _ = fitted(table, targets, relative, close=close)
-    copies = table.select("doc_id", rate.alias("rate")).select("doc_id", F.floor(F.col("rate") + (F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30))).cast("int").alias("copies"))
-    counts = copies.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    out = named.select("row", "doc_id").join(counts.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return out.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one")).select("row.*")
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    copies = table.select("doc_id", F.floor(rate + chance).cast("int").alias("copies")).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    copies = written(copies.where("copies <> 1"), "mix-copies")
+    untouched, rest = set_apart(docs, copies.select(F.col("id").alias("doc_id")))
+    again = rest.join(copies, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("row", F.coalesce("copies", F.lit(1)).alias("copies"))
+    again = again.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one"))
+    return untouched.unionByName(again.select("row.*"))
