@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     old = written(words(docs), "rollup-words")
     new = written(counted(docs), "rollup-bpe")
     first = written(old.groupBy("text_hash").agg(F.min("doc_id").alias("first")), "rollup-first")
-    copies = written(old.select("doc_id", "text_hash").join(first, "text_hash").where("doc_id > first").groupBy("doc_id", "text_hash").agg(F.lit(1).alias("x")).drop("x"), "rollup-copies")
+    copies = written(old.select("doc_id", "text_hash").join(first, "text_hash").where("doc_id > first").select("doc_id", "text_hash"), "rollup-copies")
     rollup, key = Rollup(docs.sparkSession, path), ["doc_id", "text_hash"]
     rollup.commit("1-insert", inserts(old))
     rollup.commit("2-delete-copies", deletes(old.join(copies, key, "left_semi")))
