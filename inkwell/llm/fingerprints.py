@@ -215,7 +215,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     tops = {r["part"]: r["top"] for r in ids.withColumn("part", part(F.col("doc_id"))).groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops, reverse=True)
     #: The first id of each part, and the part above that borrows its rows; the first of all goes to the last part.
-    lends = dict(zip([tops[p] for p in order], [order[-1], *order[:-1]], strict=True))
+    lends = dict(zip([tops[p] for p in order], [*order[-1:], *order[:-1]], strict=True))
     own = F.struct(part(F.col("doc_id")).alias("part"), F.lit(False).alias("borrowed"))
     if lends:
         lent = F.element_at(F.create_map(*(F.lit(x) for pair in lends.items() for x in pair)), F.col("doc_id")).cast("int")

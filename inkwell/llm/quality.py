@@ -137,7 +137,7 @@ def fit(xs: list, grades: np.ndarray, least: int = 5, z: float = 4.5, steps: int
     weights[ids] = theta[:d]
     cuts = theta[d] + np.concatenate([[0.0], np.cumsum(np.exp(theta[d + 1 :]))])
     model = Model(weights[:n_words].astype(np.float32), weights[n_words : n_words + n_shapes], weights[n_words + n_shapes :], cuts)
-    model.least = float(np.clip(np.quantile([model.tails(x)[-1] for x, g in zip(xs, best, strict=True) if g], 1 - recall), 0.05, 0.95))
+    model.least = float(np.clip(np.quantile([model.tails(x)[-1] for x, g in zip(xs, best, strict=True) if g], 1 - recall, method="lower"), 0.05, 0.95))
     return model
 
 
