@@ -27,10 +27,20 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
     return df.join(ranks, [*by, value])
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str = "rho", least: int = 2) -> DataFrame:
-    """by, n, rho: the correlation of average ranks in each group; null under ``least`` rows or where a side is constant."""
+def window_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """The same with windows, for many groups that are each small: nothing is joined back."""
+    w = Window.partitionBy(*by)
+    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+
+
+def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str = "rho", least: int = 2, small: bool = False) -> DataFrame:
+    """by, n, rho: the correlation of average ranks in each group; null under ``least`` rows or where a side is constant.
+
+    ``small``: there are many groups, each of which a task can hold.
+    """
     clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = average_ranks(average_ranks(clean, by, "_x", "_rx"), by, "_y", "_ry")
+    ranks = window_ranks if small else average_ranks
+    ranked = ranks(ranks(clean, by, "_x", "_rx"), by, "_y", "_ry")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("_rho")).select(*by, "n", F.when(F.col("n") >= least, F.col("_rho")).alias(name))
 
 
@@ -39,7 +49,7 @@ def annotator_pairs(ratings: DataFrame, item: list[str], least: int = 3) -> Data
     one = ratings.select(*item, F.col("annotator").alias("a"), F.col("rating").alias("ra"))
     two = ratings.select(*item, F.col("annotator").alias("b"), F.col("rating").alias("rb"))
     shared = one.join(two, item).where("a < b")
-    return spearman(shared, ["a", "b"], "ra", "rb", least=least).where(F.col("n") >= least)
+    return spearman(shared, ["a", "b"], "ra", "rb", least=least, small=True).where(F.col("n") >= least)
 
 
 def inter_annotator(ratings: DataFrame, item: list[str], least: int = 3) -> DataFrame:

@@ -39,6 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table of a few files out over all cores, as a file's single row group can't be split; large tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def probes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PROBES), "doc_id long, text string, source_text string")
 
@@ -48,7 +58,7 @@ TEXTS_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(probes(spark).select("doc_id", "text"))
+    return documents(spark, sf_dir, "doc_id", "text").unionByName(probes(spark).select("doc_id", "text"))
 
 
 def query(name: str, sql: str | None = None):
@@ -79,7 +89,7 @@ def ling_features(spark, sf_dir):
     FROM (SELECT lang, quality, {D.feature_columns('text')} FROM documents JOIN labels USING (doc_id)) GROUP BY ALL""",
 )
 def ling_reward_by_lang(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    docs = documents(spark, sf_dir, "doc_id", "lang", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     scored = X.with_features(docs).withColumn("reward", X.linguistic_reward())
     return scored.groupBy("lang", "quality").agg(F.count("*").alias("docs"), F.round(F.avg("reward"), 4).alias("reward"))
 
@@ -116,7 +126,7 @@ def hedge_overclaim_counts(spark, sf_dir):
     SELECT feature, round(good, 5) AS good, round(flat, 5) AS flat, round(false_, 5) AS "false", good > flat + 0.02::DOUBLE AS separates, abs(good - false_) / (abs(good) + 1e-9::DOUBLE) < 0.15::DOUBLE AS blind FROM m""",
 )
 def feature_separation_by_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = documents(spark, sf_dir, "doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
     group = F.when(F.col("toxic") == 1, "false").when(F.col("quality") == 1, "good").otherwise("flat")
     return rounded(agreement.separation(X.with_features(docs.select(group.alias("g"), "text")).drop("text"), "g", "good", "flat", "false", list(D.FEATURES)), ("good", "flat", "false"), 5)
 
@@ -141,7 +151,7 @@ def format_length_guards(spark, sf_dir):
 )
 def copy_overlap_benchmark(spark, sf_dir):
     """The benchmark's n-grams are few; a size-checked join decides whether they go to every task or both sides are dealt out."""
-    own = table(spark, sf_dir, "documents").select("doc_id", guards.grams(F.col("text")).alias("gs")).select("doc_id", F.size("gs").alias("n"), F.explode("gs").alias("g"))
+    own = documents(spark, sf_dir, "doc_id", "text").select("doc_id", guards.grams(F.col("text")).alias("gs")).select("doc_id", F.size("gs").alias("n"), F.explode("gs").alias("g"))
     bench = table(spark, sf_dir, "benchmark").select("item_id", F.explode(guards.grams(F.col("text"))).alias("g"))
     met = own.join(bench, "g").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared"))
     overlap = F.col("shared") / F.col("n")
@@ -303,7 +313,7 @@ _CAND = rf"""(SELECT record_id, i, text, unsup, 1::DOUBLE / (1 + unsup) AS F, ro
 
 
 def candidates(spark, sf_dir):
-    docs = X.with_features(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    docs = X.with_features(documents(spark, sf_dir, "doc_id", "text", "source", "lang"))
     unsup = F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]*\p{Nd}[\p{L}\p{N}_]*")).cast("long")
     return docs.select(
         F.concat("source", F.lit("/"), "lang").alias("record_id"), F.col("doc_id").alias("i"), "text", unsup.alias("unsup"), (1.0 / (1 + unsup)).alias("F"), F.round(X.linguistic_reward(), 6).alias("linguistic"),
