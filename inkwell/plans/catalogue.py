@@ -16,7 +16,7 @@ from ..functions import guards, parsing
 from ..functions import lexicons as L
 from ..functions import rewards as R
 from ..functions import text as T
-from ..operators import agreement, datasets, retrieval, scoring, selection
+from ..operators import agreement, datasets, flows, retrieval, scoring, selection
 from ..sources import readers, sinks, synthetic
 from . import fragments as D
 
@@ -690,6 +690,33 @@ def grid_win_counts(spark, sf_dir):
     return cells.groupBy("reward").agg(F.count("*").alias("cells"), F.count_if(F.col("a") > F.col("b")).alias("wins"))
 
 
+@query("grid_arm_agreement", "SELECT * FROM (VALUES ('flattened', 16::BIGINT, 16::BIGINT), ('fabricated', 16, 0)) t(other, cells, agree)")
+def grid_arm_agreement(spark, sf_dir):
+    return flows.arm_agreement(scored_grid(spark), ["case_id", "register"], "oracle_score", "linguistic")
+
+
+@query("grid_judge_counters", "SELECT 16::BIGINT AS cells, 16::BIGINT AS good_top, 16::BIGINT AS good_over_fabricated, 16::BIGINT AS fabricated_under_flattened, 0::BIGINT AS ties")
+def grid_judge_counters(spark, sf_dir):
+    """The oracle as its own judge."""
+    return flows.judge_counters(scored_grid(spark), ["case_id", "register"], "oracle_score")
+
+
+@query("best_of_n_flow")
+def best_of_n_flow(spark, sf_dir):
+    """Records of the synthetic cases, their renderings as candidates, to picks."""
+    order = F.row_number().over(Window.partitionBy("case_id").orderBy("register", "profile")) - 1  # six of each case
+    cands = synthetic.grid(spark).select(F.col("case_id").alias("record_id"), order.alias("i"), "text")
+    return flows.best_of_n(flows.scored_candidates(cands, synthetic.records(spark)))
+
+
+@query("reward_by_case")
+def reward_by_case(spark, sf_dir):
+    """Renderings as completions of their case's prompt."""
+    g = synthetic.grid(spark)
+    done = g.select(F.concat_ws("-", "case_id", "register", "profile").alias("completion_id"), "case_id", F.array(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    return flows.reward_by_case(done, g.select("case_id", "blob", "facts").dropDuplicates(["case_id"]))
+
+
 @query("grid_personas")
 def grid_personas(spark, sf_dir):
     """persona, ordering of the profiles by their mean human reward."""
