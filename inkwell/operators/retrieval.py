@@ -42,14 +42,13 @@ def unit(vector: Column) -> Column:
 def top_vectors(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
     """(query_id, vec_id, rank, similarity): the k nearest of ``vectors`` (vec_id, embedding) for each query (query_id, query).
 
-    A stated, bounded set of queries goes to every partition of the vectors; each partition keeps its own best k before
-    the shuffle, so what meets in a query's window is k rows from each of its partitions, not all vectors.
+    A stated, bounded set of queries goes to every partition of the vectors.  The limit on the rank is applied within each
+    partition before the shuffle (a window group limit), so what meets in a query's window is k rows from each partition,
+    not all vectors.
     """
     held = F.broadcast(queries.select("query_id", unit(F.col("query")).alias("q")).limit(most_queries))
-    normed = vectors.select("vec_id", unit(F.col("embedding")).alias("v"), F.spark_partition_id().alias("part"))
+    normed = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
     similarity = F.aggregate(F.zip_with("q", "v", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    scored = normed.join(held, F.col("vec_id") != F.col("query_id")).select("query_id", "part", F.struct((-similarity).alias("minus"), F.col("vec_id")).alias("x"))
-    own = scored.groupBy("query_id", "part").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("best"))
-    near = own.select("query_id", F.explode("best").alias("x")).select("query_id", "x.minus", "x.vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("minus", "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", (-F.col("minus")).alias("similarity"))
+    scored = normed.join(held, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", similarity.alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "similarity")
