@@ -23,7 +23,7 @@ def _quality(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_bpe": lambda spark, sf_dir: bpe_documents(load(spark, sf_dir, "documents")),
-        "op2_substring_dedup": lambda spark, sf_dir: substring_dedup(load(spark, sf_dir, "documents")).drop("kept"),
+        "op2_substring_dedup": lambda spark, sf_dir: substring_dedup(load(spark, sf_dir, "documents"), with_text=False).drop("kept"),
         "op3_url_filters": lambda spark, sf_dir: url_filter(load(spark, sf_dir, "pages")),
         "op4_fingerprints": lambda spark, sf_dir: fingerprints(load(spark, sf_dir, "documents")),
         "op5_token_counts": lambda spark, sf_dir: token_counts(load(spark, sf_dir, "documents")),

@@ -159,8 +159,8 @@ def _window_rows(window: int):
     return run
 
 
-def _outcome(window: int):
-    """(doc_id, n_words, n_removed, kept_sha256) for rows (doc_id, text, copy, whole, part): hulls that go whole, and (hull, offset) windows."""
+def _outcome(window: int, with_text: bool):
+    """(doc_id, n_words, n_removed, kept_sha256, kept) for rows (doc_id, text, copy, whole, part): hulls that go whole, and (hull, offset) windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words()
@@ -184,16 +184,17 @@ def _outcome(window: int):
                             covered[first[k] + offset + window] -= 1
                     keep = np.cumsum(covered[:n]) == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                out.append((n, n - len(words), b" ".join(words)))
+                left = b" ".join(words)
+                out.append((n, n - len(words), hashlib.sha256(left).hexdigest(), left.decode() if with_text else None))
             if out:
-                n, gone, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept])], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                n, gone, digest, kept = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and kept: the words that stay, joined by one space."""
+def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, and kept: the words that stay, joined by one space (null unless ``with_text``)."""
     docs = id_text(docs)
     sure = docs.where("doc_id IS NOT NULL")
     # Of equal texts the smallest doc_id; two hashes stand for the text.
@@ -236,4 +237,4 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     met = judged.where("maybe").select("doc_id", "text").join(tell, "doc_id", "left")
     copy = F.coalesce(F.exists("same", lambda s: (s["t1"] == F.xxhash64("text")) & (s["t2"] == F.xxhash64(F.lit(1), "text"))), F.lit(False))
     met = met.select("doc_id", "text", copy.alias("copy"), "whole", "part")
-    return plain.mapInArrow(_outcome(window), schema).unionByName(met.mapInArrow(_outcome(window), schema))
+    return plain.mapInArrow(_outcome(window, with_text), schema).unionByName(met.mapInArrow(_outcome(window, with_text), schema))
