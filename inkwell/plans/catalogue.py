@@ -644,7 +644,7 @@ def dedupe_content_hash(spark, sf_dir):
 ORACLES["dedupe_content_hash"] = "SELECT sha1(encode(text) || '\\x00'::BLOB) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text"
 
 
-@query("json_props_extract", """SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1""")
+@query("json_props_extract", """SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1""")
 def json_props_extract(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
