@@ -54,8 +54,8 @@ def facts_jsonl(spark: SparkSession, base: str, spec: dict) -> DataFrame:
     relations = F.transform(told, lambda r: F.struct(r["relation_type"].alias("type"), r["head_entity_text"].alias("head"), r["tail_entity_text"].alias("tail")))
     held = rows.select(F.coalesce("id", F.lit("")).alias("id"), entities.alias("entities"), relations.alias("relations"), F.col("document_text").alias("source_text"))
     return held.select(
-        "id", F.lit(spec.get("corpus", "EHRI")).alias("corpus"), F.lit(spec.get("register", "testimony")).alias("register"), focal(F.col("entities"), F.col("relations")).alias("unit"),
-        F.col("id").alias("title"), "entities", "relations", "source_text", F.array().cast("array<string>").alias("subjects"), F.lit("EHRI relation-extraction").alias("provenance"),
+        "id", F.lit(spec.get("corpus", "")).alias("corpus"), F.lit(spec.get("register", "testimony")).alias("register"), focal(F.col("entities"), F.col("relations")).alias("unit"),
+        F.col("id").alias("title"), "entities", "relations", "source_text", F.array().cast("array<string>").alias("subjects"), F.lit(f"{spec.get('corpus', '')} relation-extraction".strip()).alias("provenance"),
     )
 
 
@@ -91,7 +91,7 @@ def narrator(persons: Column, title: Column) -> Column:
     return F.coalesce(plain(told), plain(F.try_element_at(persons, F.lit(1))), F.trim(F.element_at(F.split(title, ","), 1)))
 
 
-@adapter("tei_ehri")
+@adapter("tei")
 def tei(spark: SparkSession, base: str, spec: dict) -> DataFrame:
     """Documents of a header file and numbered split files; those without either are left out."""
     files = whole_files(spark, f"{base}/{spec.get('path', 'xml')}/*.xml").withColumn("id", F.element_at(F.split("name", "_"), 1))
@@ -115,7 +115,7 @@ def tei(spark: SparkSession, base: str, spec: dict) -> DataFrame:
     body = split.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "paragraphs", "terms"))).alias("s"))
     typed = lambda c, t: F.transform(c, lambda x: F.struct(x.alias("name"), F.lit(t).alias("type")))
     return head.join(body, "id").select(
-        "id", F.lit(spec.get("corpus", "EHRI")).alias("corpus"), F.lit(spec.get("register", "testimony")).alias("register"), narrator(F.col("persons"), F.col("title")).alias("unit"), "title",
+        "id", F.lit(spec.get("corpus", "")).alias("corpus"), F.lit(spec.get("register", "testimony")).alias("register"), narrator(F.col("persons"), F.col("title")).alias("unit"), "title",
         F.concat(typed("persons", "PERSON"), typed("places", "PLACE"), typed("orgs", "ORG")).alias("entities"), F.array().cast("array<struct<type:string,head:string,tail:string>>").alias("relations"),
         F.array_join(F.flatten(F.transform("s", lambda s: s["paragraphs"])), "\n\n").alias("source_text"), F.flatten(F.transform("s", lambda s: s["terms"])).alias("subjects"),
         F.concat_ws(", ", "repository", F.when(filled(F.col("collection")), F.col("collection"))).alias("provenance"),

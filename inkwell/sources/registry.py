@@ -32,10 +32,16 @@ def load_corpus(spark: SparkSession, name: str, source: str | None = None, limit
     if name.lower() == "synthetic":
         return _limited(ADAPTERS["synthetic"](spark, "", {}), limit)
     about = manifest(spark, f"{data}/{name}")
-    spec = about["sources"][source or about["default_source"]]
-    if spec["adapter"] not in ADAPTERS:
-        raise KeyError(f"no adapter {spec['adapter']!r}; there are {available()}")
-    return _limited(ADAPTERS[spec["adapter"]](spark, f"{data}/{name}", spec), limit)
+    spec = {"corpus": about.get("name", name)} | about["sources"][source or about["default_source"]]
+    return _limited(find(spec["adapter"])(spark, f"{data}/{name}", spec), limit)
+
+
+def find(name: str) -> Callable[[SparkSession, str, dict], DataFrame]:
+    """The adapter of this name; ``tei_x``, a variant for some archive, is read as ``tei``."""
+    for known in (name, name.partition("_")[0]):
+        if known in ADAPTERS:
+            return ADAPTERS[known]
+    raise KeyError(f"no adapter {name!r}; there are {available()}")
 
 
 def _limited(records: DataFrame, limit: int | None) -> DataFrame:

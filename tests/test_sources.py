@@ -24,7 +24,7 @@ def corpus(tmp_path_factory):
         {"id": "x2", "document_text": "T", "base_entities": [{"entity_text": "Graz"}], "relationships": [{"relation_type": "r", "head_entity_text": "Aid", "tail_entity_text": "Graz"}, {"relation_type": "r", "head_entity_text": "Aid", "tail_entity_text": "Wien"}]},
     ]
     (base / "facts.jsonl").write_text("\n\n".join(json.dumps(r) for r in rows))
-    (base / "corpus.json").write_text(json.dumps({"name": "C", "default_source": "t", "sources": {"t": {"adapter": "tei_ehri", "path": "xml"}, "f": {"adapter": "iob_jsonl", "path": "facts.jsonl"}, "u": {"adapter": "none"}}}))
+    (base / "corpus.json").write_text(json.dumps({"name": "C", "default_source": "t", "sources": {"t": {"adapter": "tei_letters", "path": "xml"}, "f": {"adapter": "iob_jsonl", "path": "facts.jsonl"}, "u": {"adapter": "none"}}}))
     return str(base.parent)
 
 
@@ -47,7 +47,7 @@ def test_facts(spark, corpus):
 def test_unknown_adapter(spark, corpus):
     with pytest.raises(KeyError):
         registry.load_corpus(spark, "C", "u", data=corpus)
-    assert registry.available() == ["iob_jsonl", "synthetic", "tei_ehri"]
+    assert registry.available() == ["iob_jsonl", "synthetic", "tei"]
 
 
 def test_synthetic_records(spark):
