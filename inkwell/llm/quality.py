@@ -1,9 +1,10 @@
 """Operator 8: quality classifier, ordinal cumulative-link regression on graded ratings.
 
 P(grade > k) = sigmoid(f(x) - theta_k) with one weight vector f for all grades and ordered thresholds theta_0 < theta_1
-< ...; it gives the expected grade and every tail probability.  The grade comes from the labels: 0 is low quality, 1 is
-good but toxic, 2 is good and clean.  x is hashed text: presence of each word (lower case, outer punctuation off), the
-share of each word shape (``Of%%%`` has shape ``Aa%``), and the tenth into which the share of distinct words falls.
+< ...; it gives the expected grade and every tail probability.  The grade comes from the labels: 0 is toxic, 1 is low
+quality, 2 is good and clean.  (Toxic is the lowest, as many toxic words may add up without bound.)  x is hashed text:
+presence of each word (lower case, outer punctuation off), the share of each word shape (``Of%%%`` has shape ``Aa%``),
+and the tenth into which the share of distinct words falls.
 
 The model is fitted in numpy on the driver with at most ``sample`` labelled documents, those with the smallest hashed
 ids; their features are counted on the executors, and their distinct words are all that is sent.  Scoring is map-only.
@@ -82,12 +83,13 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thetas - f, -60, 60)))
 
 
-def fit(xs: list, grades: np.ndarray, least: int = 5, z: float = 4.5, steps: int = 2000, rate: float = 0.1, l2: float = 1e-5, recall: float = 0.998) -> Model:
+def fit(xs: list, grades: np.ndarray, least: int = 5, z: float = 4.5, phi: float = 0.15, steps: int = 2000, rate: float = 0.1, l2: float = 1e-5, recall: float = 0.998) -> Model:
     """Penalised maximum likelihood by Adam.
 
     Words are screened first: only those of ``least`` or more sampled documents whose share among the highest grade's
-    documents differs from that among the others twofold and by ``z`` standard errors get a weight; the rest would fit
-    noise, or the lengths of texts.  ``least`` is then set so that ``recall`` of the sampled good and clean are kept.
+    documents differs from that among the others twofold, by ``z`` standard errors and with a correlation of ``phi`` get a
+    weight; the rest would fit noise, the lengths of texts, or families of copies.  ``least`` is then set so that
+    ``recall`` of the sampled good and clean are kept.
     """
     n_words, n_shapes = 1 << WORD_BITS, 1 << SHAPE_BITS
     top = GRADES - 1
@@ -99,7 +101,7 @@ def fit(xs: list, grades: np.ndarray, least: int = 5, z: float = 4.5, steps: int
     (a, b), na, nb = count, max(1, best.sum()), max(1, (~best).sum())
     share = (a + b + 1) / (na + nb + 2)
     ratio = np.maximum((a + 1) / (na + 2), (b + 1) / (nb + 2)) / np.minimum((a + 1) / (na + 2), (b + 1) / (nb + 2))
-    telling = (a + b >= least) & (ratio >= 2) & (np.abs(a / na - b / nb) >= z * np.sqrt(share * (1 - share) * (1 / na + 1 / nb)))
+    telling = (a + b >= least) & (ratio >= 2) & (np.abs(a / na - b / nb) >= max(z, phi * len(xs) ** 0.5) * np.sqrt(share * (1 - share) * (1 / na + 1 / nb)))
     rows, cols, vals = [], [], []
     for k, (words, shape, share, tenth) in enumerate(xs):
         words = words[telling[words]]
@@ -144,7 +146,7 @@ def fit(xs: list, grades: np.ndarray, least: int = 5, z: float = 4.5, steps: int
 def graded(labels: DataFrame) -> DataFrame:
     """(doc_id, grade), one row for each labelled document."""
     each = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    return each.select("doc_id", F.when(F.col("q") <= 0, 0).when(F.col("t") > 0, 1).otherwise(2).cast("int").alias("grade"))
+    return each.select("doc_id", F.when(F.col("t") > 0, 0).when(F.col("q") <= 0, 1).otherwise(2).cast("int").alias("grade"))
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -291,7 +291,7 @@ def test_carving():
 
 
 def held_out(sf="/root/testdata/sf0.1"):
-    return duckdb.sql(f"SELECT text, CASE WHEN quality <= 0 THEN 0 WHEN toxic > 0 THEN 1 ELSE 2 END FROM '{sf}/labels.parquet' JOIN '{sf}/documents.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
+    return duckdb.sql(f"SELECT text, CASE WHEN toxic > 0 THEN 0 WHEN quality <= 0 THEN 1 ELSE 2 END FROM '{sf}/labels.parquet' JOIN '{sf}/documents.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
 
 
 def test_quality_on_held_out_labels():
@@ -302,7 +302,10 @@ def test_quality_on_held_out_labels():
     model = quality.fit([x for x, h in zip(xs, held) if not h], g[~held])
     assert model.thetas[0] < model.thetas[1]
     keep = np.array([model.tails(x)[-1] >= model.least for x in xs])
-    assert keep[held & (g == 2)].mean() > 0.99 and keep[held & (g == 0)].mean() < 0.05 and keep[held & (g == 1)].mean() < 0.25
+    # Some documents are labelled toxic without any word that tells them from clean ones.
+    worded = np.array([any(model.words[x[0]] < -1) for x in xs])
+    assert keep[held & (g == 2)].mean() > 0.99 and keep[held & (g == 1)].mean() < 0.05 and keep[held & (g == 0)].mean() < 0.25
+    assert (held & (g == 0) & worded).sum() > 50 and not keep[held & (g == 0) & worded].any()
 
 
 def test_gradient_is_the_likelihoods():
