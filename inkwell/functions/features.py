@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from . import lexicons as L
 from . import text as T
 
-ARRAYS = ("_later", "_lowered", "_content")
-
-
 def _root(n: Column) -> Column:
     return F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
 
 
-def is_proper(token: Column) -> Column:
-    """Title case, or one to four capitals."""
-    return token.rlike(r"^[A-ZÀ-Þ][a-zà-ÿ]|^[A-ZÀ-Þ]{1,4}$")
+#: A token after white space that no sentence mark precedes, with title case or of one to four capitals, without its outer punctuation.
+PROPER = r"""(?<=[^\s.;:?!])\s+[,.;:()\[\]'"]*+(?:[A-ZÀ-Þ][a-zà-ÿ]|[A-ZÀ-Þ]{1,4}[,.;:()\[\]'"]*+(?=\s|$|[?!]\s))"""
+
+
+def propers(text: Column) -> Column:
+    """Proper tokens after the first of a sentence; one pass of a regex, not a list of sentences of tokens."""
+    return F.regexp_count(text, F.lit(PROPER))
 
 
 def proper_noun_density(text: Column) -> Column:
-    return F.size(F.filter(T.later_tokens(text), is_proper)) / _root(T.n_pieces(text))
+    return propers(text) / _root(T.n_pieces(text))
 
 
 def number_date_density(text: Column) -> Column:
@@ -68,7 +69,7 @@ def with_features(df: DataFrame, text: str = "text", ratings: dict[str, float] |
     held = df.select(*names, T.content_words(F.col(text)).alias("_content"), F.regexp_count(F.col(text), F.lit(L.WORD)).alias("_words"), T.n_pieces(F.col(text)).alias("_n"))
     return held.select(
         *names,
-        (F.size(F.filter(T.later_tokens(F.col(text)), is_proper)) / _root(F.col("_n"))).alias("proper_noun_density"),
+        (propers(F.col(text)) / _root(F.col("_n"))).alias("proper_noun_density"),
         (F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}_]*\p{Nd}[\p{L}\p{N}_]*")) / _root(F.col("_n"))).alias("number_date_density"),
         concreteness_of(F.col("_content"), ratings).alias("concreteness"),
         F.when(F.col("_words") > 0, F.size("_content") / F.col("_words")).otherwise(0.0).alias("lexical_density"),

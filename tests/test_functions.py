@@ -111,3 +111,14 @@ def test_record_block(spark):
     e = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in (("Anna", "PERSON"), ("Graz", "PLACE"), ("Anna", "PERSON"), ("", "PLACE"))))
     got = one(spark, parsing.record_block(F.lit("Anna"), F.lit("A letter"), F.lit(""), e, None, F.array(F.lit("x"), F.lit("x"))))
     assert got == "Unit: Anna\nTitle: A letter\nPerson: Anna\nPlace: Graz\nSubjects: x"
+
+
+def test_proper_nouns_by_definition(spark):
+    """The regex against sentences, tokens and bare tokens, on random strings of what matters to either."""
+    import random
+
+    r = random.Random(4)
+    rows = [("".join(r.choice("  ..;:?!,()'\"[]AÀBcé\n1") for _ in range(r.randint(0, 40))),) for _ in range(3000)]
+    rows += [("".join(r.choice(("Anna ", "NATO ", "NATOX ", "a ", "B. ", "(Graz) ", "x.Y ", "\n", "'AB', ", "É")) for _ in range(r.randint(0, 12))),) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "t string").select("t", X.propers(F.col("t")).alias("a"), F.size(F.filter(T.later_tokens(F.col("t")), lambda x: x.rlike(r"^[A-ZÀ-Þ][a-zà-ÿ]|^[A-ZÀ-Þ]{1,4}$"))).alias("b"))
+    assert [tuple(x) for x in df.where("a <> b").take(3)] == []
