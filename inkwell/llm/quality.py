@@ -83,13 +83,57 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thetas - f, -60, 60)))
 
 
-def fit(xs: list, grades: np.ndarray, least: int = 5, z: float = 4.5, phi: float = 0.15, steps: int = 2000, rate: float = 0.1, l2: float = 1e-5, recall: float = 0.998) -> Model:
+def families(xs: list, hashes: int = 64, band: int = 4, alike: float = 0.5) -> np.ndarray:
+    """A number for each document, the same for texts whose sets of words are equal or nearly so.
+
+    Texts meet where ``band`` of their ``hashes`` smallest hashed words agree, and join where a share of ``alike`` does.
+    """
+    rng = np.random.default_rng(0)
+    by, plus = rng.integers(1, 2**31 - 1, hashes), rng.integers(0, 2**31 - 1, hashes)
+    sketches = np.full((len(xs), hashes), 2**31, dtype=np.int64)
+    for k, (words, *_) in enumerate(xs):
+        for i in range(0, len(words), 4096):
+            sketches[k] = np.minimum(sketches[k], ((words[i : i + 4096, None] * by + plus) % (2**31 - 1)).min(axis=0))
+    parent = list(range(len(xs)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for i in range(0, hashes, band):
+        first: dict[bytes, int] = {}
+        for k, key in enumerate(map(bytes, np.ascontiguousarray(sketches[:, i : i + band]))):
+            j = first.setdefault(key, k)
+            if j != k and (sketches[j] == sketches[k]).mean() >= alike:
+                parent[root(k)] = root(j)
+    return np.array([root(k) for k in range(len(xs))], dtype=np.int64)
+
+
+def telling_words(xs: list, grades: np.ndarray, least: int, z: float) -> np.ndarray:
+    """Whether each bucket's word tells any grade and those above it from those below, by families of near-copies."""
+    n_words = 1 << WORD_BITS
+    family = families(xs)
+    words, doc = np.concatenate([np.zeros(0, dtype=np.int64), *(x[0] for x in xs)]), np.repeat(np.arange(len(xs)), [len(x[0]) for x in xs])
+    telling = np.zeros(n_words, dtype=bool)
+    for k in range(GRADES - 1):
+        above = grades > k
+        a, b = (np.bincount(np.unique(family[doc[at]] * n_words + words[at]) % n_words, minlength=n_words) for at in (above[doc], ~above[doc]))
+        na, nb = max(1, len(np.unique(family[above]))), max(1, len(np.unique(family[~above])))
+        share = (a + b + 1) / (na + nb + 2)
+        ratio = np.maximum((a + 1) / (na + 2), (b + 1) / (nb + 2)) / np.minimum((a + 1) / (na + 2), (b + 1) / (nb + 2))
+        telling |= (a + b >= least) & (ratio >= 2) & (np.abs(a / na - b / nb) >= z * np.sqrt(share * (1 - share) * (1 / na + 1 / nb)))
+    return telling
+
+
+def fit(xs: list, grades: np.ndarray, least: int = 5, z: float = 4.5, steps: int = 2000, rate: float = 0.1, l2: float = 1e-4, recall: float = 0.998) -> Model:
     """Penalised maximum likelihood by Adam.
 
-    Words are screened first: only those of ``least`` or more sampled documents whose share among the highest grade's
-    documents differs from that among the others twofold, by ``z`` standard errors and with a correlation of ``phi`` get a
-    weight; the rest would fit noise, the lengths of texts, or families of copies.  ``least`` is then set so that
-    ``recall`` of the sampled good and clean are kept.
+    Words are screened first: only those get a weight that stand in ``least`` or more distinct texts, near-copies counted
+    once, and whose share among the texts above some grade differs from that among the others twofold and by ``z`` standard
+    errors; the rest would fit noise, the lengths of texts, or families of copies.  How common a word is over all doesn't
+    count, so the words of a smaller language pass too.  ``least`` is then set so that ``recall`` of the sampled good and
+    clean are kept.
     """
     n_words, n_shapes = 1 << WORD_BITS, 1 << SHAPE_BITS
     top = GRADES - 1
@@ -97,11 +141,7 @@ def fit(xs: list, grades: np.ndarray, least: int = 5, z: float = 4.5, phi: float
         at = float(grades[0]) if len(grades) else top
         return Model(np.zeros(n_words, dtype=np.float32), np.zeros(n_shapes), np.zeros(TENTHS), np.where(np.arange(top) < at, -10.0, 10.0))
     best = grades == top
-    count = [np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *(x[0] for x, g in zip(xs, best, strict=True) if g == side)]), minlength=n_words) for side in (True, False)]
-    (a, b), na, nb = count, max(1, best.sum()), max(1, (~best).sum())
-    share = (a + b + 1) / (na + nb + 2)
-    ratio = np.maximum((a + 1) / (na + 2), (b + 1) / (nb + 2)) / np.minimum((a + 1) / (na + 2), (b + 1) / (nb + 2))
-    telling = (a + b >= least) & (ratio >= 2) & (np.abs(a / na - b / nb) >= max(z, phi * len(xs) ** 0.5) * np.sqrt(share * (1 - share) * (1 / na + 1 / nb)))
+    telling = telling_words(xs, grades, least, z)
     rows, cols, vals = [], [], []
     for k, (words, shape, share, tenth) in enumerate(xs):
         words = words[telling[words]]

@@ -308,6 +308,34 @@ def test_quality_on_held_out_labels():
     assert (held & (g == 0) & worded).sum() > 50 and not keep[held & (g == 0) & worded].any()
 
 
+def test_quality_finds_toxic_texts_of_each_language():
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT text, CASE WHEN toxic > 0 THEN 0 WHEN quality <= 0 THEN 1 ELSE 2 END, lang FROM '{sf}/labels.parquet' JOIN '{sf}/documents.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
+    f = quality.Features()
+    xs, g, lang = [f(r[0]) for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    keep = np.zeros(len(rows), dtype=bool)
+    for part in range(4):
+        held = np.arange(len(rows)) % 4 == part
+        model = quality.fit([x for x, h in zip(xs, held) if not h], g[~held])
+        keep[held] = [model.tails(x)[-1] >= model.least for x, h in zip(xs, held) if h]
+    missed = {name: keep[(g == 0) & (lang == name)].mean() for name in ("en", "de", "fr", "es")}
+    assert missed["en"] < 0.02 and missed["de"] < 0.1 and missed["fr"] < 0.1 and missed["es"] < 0.35, missed
+    assert keep[g == 2].mean() > 0.99 and keep[g == 1].mean() < 0.05
+
+
+def test_near_copies_count_once():
+    r = random.Random(1)
+    text = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(40))
+    family = text().split()
+    copies = [" ".join([*family[:k], f"new{k}", *family[k + 1 :], "copied"]) for k in range(30)]
+    f = quality.Features()
+    xs = [f(t) for t in [*copies, *(f"{text()} marker" for _ in range(30)), *(text() for _ in range(300))]]
+    g = np.array([0] * 60 + [2] * 300)
+    assert len(set(quality.families(xs)[:30].tolist())) == 1 and len(set(quality.families(xs).tolist())) == 331
+    telling = quality.telling_words(xs, g, 5, 4.5)
+    assert telling[f("marker")[0]].all() and not telling[f("copied")[0]].any()
+
+
 def test_gradient_is_the_likelihoods():
     """Fitted thresholds of a model without features are those of the grades' shares."""
     f = quality.Features()
