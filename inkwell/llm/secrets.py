@@ -2,7 +2,9 @@
 
 Three base patterns (assigned values, access keys, hex runs) give spans that always stay.  Beside them a character
 convolutional network in numpy judges every other candidate, a run of 16 or more characters of the token alphabet that
-has a digit, together with the characters around it; what it takes for a secret is added as a span of kind ``net``.
+has a digit, or what base spans leave over of one, together with the characters around it; what it takes for a secret is
+added as a span of kind ``net``.  A candidate longer than the network's 48 characters is judged by windows all along it,
+the highest score counts, and the span is the whole candidate.  Shorter runs and runs without a digit aren't judged.
 
 The network is trained once on the driver on labelled findings: credentials of many formats and contexts, and the things
 that look like them (addresses, versions, paths, phone and card numbers, encoded pictures, plain long words), made from a
@@ -22,6 +24,7 @@ import base64
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -40,7 +43,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # greedy runs of 18 or more in all; a shorter run holds no longer one
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Characters of the shortest candidate.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[int, int, int]
@@ -57,17 +62,21 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs with a digit that overlap no base span."""
+    """Runs with a digit, or the parts of such runs that base spans leave over, of LEAST or more characters."""
     out, ends = [], []
     for start, _, end in taken:
         ends.append(max(end, ends[-1] if ends else 0))
     starts = [x[0] for x in taken]
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if DIGIT.search(text, a, b):
-            k = bisect.bisect_left(starts, b)  # base spans that start before b, of which one may reach beyond a
-            if not (k and ends[k - 1] > a):
-                out.append((a, b))
+        k = bisect.bisect_right(starts, a)  # base spans from here on start within the run; those before may reach into it
+        a = max(a, min(b, ends[k - 1])) if k else a
+        parts = []
+        while k < len(starts) and starts[k] < b:
+            parts.append((a, starts[k]))
+            a = max(a, min(b, ends[k]))
+            k += 1
+        out += [(i, j) for i, j in [*parts, (a, b)] if j - i >= LEAST and DIGIT.search(text, i, j)]
     return out
 
 
@@ -79,6 +88,8 @@ def written_spans(spans: list[Span]) -> str:
 
 #: Characters of context on each side, of the candidate, and in all.
 CONTEXT, BODY = 24, 48
+#: Characters from one window along a long candidate to the next.
+STRIDE = 8
 LENGTH = 2 * CONTEXT + BODY
 ALPHABET = string.ascii_letters + string.digits + " \n\t\"'=:;,.!?/+-_@#$%&*()[]{}<>|\\~^`"
 CODES = {c: k + 2 for k, c in enumerate(ALPHABET)}  # 0: padding, 1: any other character
@@ -93,6 +104,14 @@ def encoded(text: str, start: int, end: int) -> list[int]:
     return [0] * (CONTEXT - len(left)) + code(left) + code(body) + [0] * (BODY - len(body)) + code(right) + [0] * (CONTEXT - len(right))
 
 
+def views(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What is encoded of a candidate: all of it, and where it is too long also windows along it."""
+    yield start, end
+    if end - start > BODY:
+        yield from ((k, k + BODY) for k in range(start, end - BODY, STRIDE))
+        yield end - BODY, end
+
+
 @dataclass
 class Network:
     """Embedding, one convolution with rectifier, maxima over each of the three parts, logistic output."""
@@ -223,11 +242,12 @@ def all_spans(text: str, net: Network) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans."""
     base = base_spans(text)
     more = candidates(text, base)
-    added: list[Span] = []
-    for k in range(0, len(more), 1024):
-        block = more[k : k + 1024]
-        p = net.scores(np.array([encoded(text, a, b) for a, b in block]))
-        added += [(a, 3, b) for (a, b), yes in zip(block, (p >= net.threshold).tolist(), strict=True) if yes]
+    seen = ((k, i, j) for k, (a, b) in enumerate(more) for i, j in views(a, b))
+    found: set[int] = set()
+    while block := list(itertools.islice(seen, 1024)):
+        p = net.scores(np.array([encoded(text, i, j) for _, i, j in block]))
+        found.update(k for (k, _, _), yes in zip(block, (p >= net.threshold).tolist(), strict=True) if yes)
+    added = [(a, 3, b) for k, (a, b) in enumerate(more) if k in found]
     return base, sorted(base + added)
 
 
