@@ -9,7 +9,8 @@ the highest score counts, and the span is the whole candidate.  Shorter runs and
 The network is trained once on the driver on labelled findings: credentials of many formats and contexts, and the things
 that look like them (addresses, versions, paths, phone and card numbers, encoded pictures, plain long words), made from a
 seed.  Its scores are calibrated by Platt scaling on a part held out.  Of the thresholds that reach both the wanted recall
-and the wanted precision there, the one nearest to a probability of one half is used; precision comes first.
+and the wanted precision there, the one nearest to a probability of one half is used.  Where none reaches both, recall
+comes first: it is the highest that reaches the recall.  The network holds the recall and precision that it has there.
 
 Map-only: no shuffle; candidates are scored in blocks, so memory is bounded by an Arrow batch and a text.
 
@@ -123,6 +124,9 @@ class Network:
     last: float
     scale: tuple[float, float] = (1.0, 0.0)
     threshold: float = 0.5
+    #: At the threshold, on the part held out.
+    recall: float = 1.0
+    precision: float = 1.0
 
     #: Where convolution windows lie that start in each part.
     PARTS = ((0, CONTEXT), (CONTEXT, CONTEXT + BODY), (CONTEXT + BODY, LENGTH - WIDTH + 1))
@@ -183,7 +187,8 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int = 0, epochs: int = 8,
     good = [c for c in np.unique(p[t == 1]) if (p[t == 1] >= c).mean() >= recall]
     exact = [c for c in np.unique(p) if t[p >= c].mean() >= precision]
     low, high = min(exact, default=0.5), max(good, default=0.5)
-    net.threshold = float(low if low > high else min(max(0.5, low), high))
+    net.threshold = float(min(max(0.5, low), high))
+    net.recall, net.precision = float((p[t == 1] >= net.threshold).mean()) if good else 1.0, float(t[p >= net.threshold].mean()) if (p >= net.threshold).any() else 1.0
     return net
 
 

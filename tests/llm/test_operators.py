@@ -245,6 +245,19 @@ def test_network_on_findings_of_another_seed():
     assert (p & (y == 1)).sum() / (y == 1).sum() >= 0.95 and (p & (y == 1)).sum() / p.sum() >= 0.95
 
 
+def test_threshold_keeps_the_wanted_recall():
+    """Where a tenth of the labels is wrong no threshold has both; recall comes first, and precision is told."""
+    found, y = secrets.labelled_findings(1200, seed=7)
+    wrong = np.random.default_rng(1).random(len(y)) < 0.1
+    x, y = np.array([secrets.encoded(*f) for f in found]), np.where(wrong, 1 - y, y)
+    net = secrets.train_network(x, y, epochs=2, recall=0.97, precision=0.98)
+    held = np.random.default_rng(0)
+    held.normal(0, 0.3, net.embed.shape), held.normal(0, 1, net.conv.shape), held.normal(0, 0.1, net.out.shape)
+    held = held.permutation(len(x))[: len(x) // 4]
+    p, t = net.scores(x[held]), y[held]
+    assert (p[t == 1] >= net.threshold).mean() == net.recall >= 0.97 and t[p >= net.threshold].mean() == net.precision < 0.98
+
+
 def test_secrets_within_long_candidates():
     net, key = secrets.default_network(), "a8Fk2Lq9Zx7Cv5Bn3Mw1Qe4Rt6Yu8Io0PsDh5Gj2"
     path = "/usr/share/lib/python3.11/site-packages/module/"
