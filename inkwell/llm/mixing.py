@@ -168,14 +168,14 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     return table.select("doc_id", "tokens", *(f"p_{name}" for name in DOMAINS), rate.alias("rate")).withColumn("expected_tokens", F.col("rate") * F.col("tokens"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], relative: bool = True, sample: int = 10_000, vocabulary: int = 64, corpus: DataFrame | None = None, close: float = 2e-3) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], relative: bool = True, sample: int = 10_000, vocabulary: int = 64, corpus: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: its whole part, and once more with its fraction as probability.
 
     The chance is the hashed doc_id's, so it is the same in every run; rows of one doc_id get the same number of copies.
     Only rows that don't stay as they are, and few others, are shuffled with their texts.
     """
     table = written(posteriors(id_text(docs), labels, sample, vocabulary, corpus), "mix-posteriors")
-    rate, _ = fitted(table, targets, relative, close=close)
+    rate, _ = fitted(table, targets, relative)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = table.select("doc_id", F.floor(rate + chance).cast("int").alias("copies")).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
     copies = written(copies.where("copies <> 1"), "mix-copies")
