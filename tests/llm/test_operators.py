@@ -407,18 +407,6 @@ def test_mixing_steps_against_numpy(spark):
     assert np.linalg.norm(history[-1]) < 0.02 * np.linalg.norm(history[0])
 
 
-def test_mixed_fits_small_domains_as_closely(spark, monkeypatch):
-    """A domain of 0.2% of the tokens: a miss of all of it would be within 2e-3 of all tokens."""
-    table = spark.createDataFrame([(k, 100, *((1.0, 0.0, 0.0) if k == 0 else (0.0, 0.002, 0.998))) for k in range(500)], "doc_id long, tokens long, p_low double, p_toxic double, p_clean double")
-    seen, fit = [], mixing.fitted
-    monkeypatch.setattr(mixing, "posteriors", lambda *a, **b: table)
-    monkeypatch.setattr(mixing, "fitted", lambda *a, **b: seen.append(fit(*a, **b)) or seen[-1])
-    docs = table.selectExpr("doc_id", "'a' AS text")
-    mixing.mixed(docs, None, {"low": 2.0, "toxic": 1.0, "clean": 1.0}).count()
-    assert np.abs(seen[0][1][0]).max() > 1e-3 and np.abs(seen[0][1][-1]).max() <= 1e-6
-    assert abs(table.where("doc_id = 0").select(seen[0][0].alias("r")).head().r - 2) < 1e-2
-
-
 def test_mixing_of_odd_tables(spark, docs, rows, empty):
     labels = labels_of(spark, rows)
     assert mixing.mixing_rates(docs, labels).count() == len(rows) + 2
