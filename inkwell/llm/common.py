@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,56 +25,107 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.  Only where it is unset (tests, one machine) a local one is set."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset a local one serves a local master; a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/inkwell-shared"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Paths of the tables written within each open ``scratch``, the innermost last.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, and its reader knows no partitioning."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables written within, but for those given to ``keep``, which pass to the scratch around it.
+
+    What is still to be computed from a table has to keep it; a table that only went into other written ones may go.
+    """
+    mine, kept = [], set()
+    _open.append(mine)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_to)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path in mine:
+            if path not in kept:
+                delete(spark, path)
+        if _open:
+            _open[-1].extend(x for x in mine if x in kept)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: log2 of the bits of a bitmap over hashed ids, which so is at most a megabyte.
-MAP_BITS = 23
+#: log2 of the fewest and most bits of a bitmap over hashed ids, which so is at most 16 MB, and bits for each id.
+FEWEST_BITS, MOST_BITS, BITS_EACH = 16, 27, 16
+
+
+def bitmap_size(n: int) -> int:
+    """log2 of the bits of a bitmap over ``n`` ids: BITS_EACH or more for each id, as long as that is within MOST_BITS."""
+    return min(MOST_BITS, max(FEWEST_BITS, (BITS_EACH * n - 1).bit_length()))
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+def _slot(size: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << size))
 
 
-def bitmap(ids: DataFrame) -> DataFrame:
-    """(bucket, bits): at most 2^MAP_BITS / 32768 rows of 4 KB, whatever the number of ids."""
-    return ids.select(F.bitmap_bucket_number(_slot()).alias("bucket"), F.bitmap_bit_position(_slot()).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def bitmap(ids: DataFrame, size: int) -> DataFrame:
+    """(bucket, bits, size): at most 2^size / 32768 rows of 4 KB, whatever the number of ids."""
+    rows = ids.select(F.bitmap_bucket_number(_slot(size)).alias("bucket"), F.bitmap_bit_position(_slot(size)).alias("bit"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def in_bitmap(docs: DataFrame, bits: DataFrame) -> DataFrame:
+def in_bitmap(docs: DataFrame, bits: DataFrame, size: int) -> DataFrame:
     """Adds ``maybe``: false only for ids that aren't in the bitmap."""
-    bit = F.bitmap_bit_position(_slot())
+    bit = F.bitmap_bit_position(_slot(size))
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))) != 0
-    out = docs.withColumn("bucket", F.bitmap_bucket_number(_slot())).join(F.broadcast(bits), "bucket", "left")
+    out = docs.withColumn("bucket", F.bitmap_bucket_number(_slot(size))).join(F.broadcast(bits), "bucket", "left")
     return out.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("bucket", "bits")
 
 
-def set_apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` whose doc_id surely isn't among ``ids``, and (row, doc_id) of the rest.
+def marked_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``maybe``: false only where doc_id surely isn't among ``ids``; about one in BITS_EACH of the others is let through.
 
-    Only the rest, the named rows and few others, need to meet the named ids in a shuffle; where the ids outgrow the
-    bitmap that becomes all rows, and what is done to them stays the same.
+    The bitmap grows with the number of ids up to 2^MOST_BITS bits.  For n ids beyond 2^MOST_BITS / BITS_EACH, 8 million,
+    it lets through a share of 1 - exp(-n / 2^MOST_BITS) of the others; what is done to them stays the same, and at worst
+    every row goes through the one shuffle that follows.
     """
-    bits = written(bitmap(ids), "ids")
-    held = in_bitmap(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")), bits)
+    size = bitmap_size(ids.count())
+    return in_bitmap(docs, written(bitmap(ids, size), "ids"), size)
+
+
+def set_apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose doc_id surely isn't among ``ids``, and (row, doc_id) of the rest, which alone need a shuffle."""
+    held = marked_ids(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")), ids)
     return held.where("NOT maybe").select("row.*"), held.where("maybe").select("row", "doc_id")
 
 

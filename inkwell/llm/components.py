@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,13 +32,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) for every node u that isn't the smallest, v, of its component.  ``edges``: (u, v) of a sortable type."""
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"), "cc")
-    sums = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
-    before = now.agg(*sums).head()
-    while before["n"]:
-        now = written(_star(written(_star(now, True), "cc-large"), False), "cc")
-        after = now.agg(*sums).head()
-        if after == before:
-            break
-        before = after
-    return now
+    with scratch(edges.sparkSession) as keep:
+        now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("x")).select("u", "v"), "cc")
+        sums = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
+        before = now.agg(*sums).head()
+        while before["n"]:
+            now = written(_star(written(_star(now, True), "cc-large"), False), "cc")
+            after = now.agg(*sums).head()
+            if after == before:
+                break
+            before = after
+        return keep(now)

@@ -1,18 +1,29 @@
-"""Operator 10: SimHash near-duplicates by bit-sliced comparison.
+"""Operator 10: SimHash near-dedup by bit-sliced comparison.
 
 Fingerprints: XXH64 (seed 42) of every shingle, repeats included; a bit is 1 if it is set in over half of them.
 
 Comparison: equal fingerprints are merged first.  The 64 bits are cut into BLOCKS blocks; two fingerprints that differ
 in at most ``radius`` bits agree in BLOCKS - radius of them, so each fingerprint goes to a bucket for every such choice.
-A bucket that is larger than CELL is dealt out over cells, one for each pair of its slices, so that no task holds more
-than two slices at a time.  Within a cell the fingerprints are stored as vertical bit planes, 64 to a machine word: one
-fingerprint is compared with 64 at once by XOR of each plane, the set bits go through carry-save adders into bit-sliced
-counters, and a block of fingerprints is abandoned once all of its distances exceed the radius.  A cell emits only a
-spanning forest of the links it finds, never all pairs.  Components of the forest's edges are found by alternating stars.
+A bucket of more than CELL is refined: its members may differ in the remaining blocks only, and by the same argument two
+that are near agree in half of those blocks' halves, so each member goes to C(2 radius, radius) smaller buckets, however
+large the bucket is.  Distinct fingerprints that agree in the bits of both levels differ in the 19 or so others, so what
+is still larger than CELL is bounded; it is dealt out over cells, one for each pair of its slices.
+
+Every comparison is bit-sliced.  The fingerprints of a run of whole cells, sorted by cell, are stored as vertical bit
+planes, 64 to a machine word, so a word may hold many small cells.  A block is one fingerprint against one word; its
+lanes are the word's fingerprints that come after it in its own cell.  XOR of each plane, a tree of carry-save adders into
+bit-sliced counters, and a block is abandoned once all of its lanes exceed the radius.  A run emits only a spanning forest
+of the links it finds, never all pairs.  Components of the forest's edges are found by alternating stars.
 
 At 3 bits and 5 blocks a bucket is keyed by 25 or 26 bits, so for N distinct fingerprints the shuffle is 10 N rows of 24
 bytes, and a random bucket holds N / 2^25.
 
+``keep_one`` also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which 64 bits are
+too few to tell.  It compares SimHash fingerprints of 512 bits with the same planes and adders.  At a similarity of 0.8 an
+expected 78 bits differ, with a standard error of 8; WIDE_RADIUS is one such error more.  Texts of at most FEW shingles,
+whose bits vary more, are compared by their sets after a wider radius.  Texts meet in buckets where one of BANDS bands of
+ROWS minima of their hashed shingles agrees (98 % of pairs at 0.8).
+
 Defined results: a null or empty text has fingerprint zero and is linked like any other; equal texts have equal
 fingerprints; repeated rows are repeated; a null doc_id keeps its row and names no component unless the component has
 no other id; other columns are ignored; an empty table gives an empty result.
@@ -20,39 +31,52 @@ no other id; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions, per_document, set_apart, written
+from .common import id_text, partitions, per_document, scratch, set_apart, texts, written
 from .components import components
 
 #: Blocks of the fingerprint, and fingerprints of a slice of a large bucket.
 BLOCKS, CELL = 5, 2048
 STEP = 4096
+#: Blocks of the comparison that are in memory at a time.
+AT_ONCE = 1 << 14
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+def shingles(text: str, size: int) -> tuple[bytes, list[int], int]:
+    """Lower-cased (A-Z) words joined by one space, where each word starts, and the number of shingles."""
+    words = text.encode().lower().split()  # bytes: exactly the six white characters
+    ends = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    return b" ".join(words), ends, max(len(words) - size + 1, min(1, len(words)))
+
+
+def hashed(joined: bytes, ends: list[int], size: int, first: int, last: int) -> np.ndarray:
+    """XXH64 of the shingles first..last."""
     import xxhash
 
-    words = text.encode().lower().split()  # bytes: A-Z only, and exactly the six white characters
-    if not words:
+    digest, size = xxhash.xxh64_intdigest, min(size, len(ends) - 1)
+    return np.fromiter((digest(joined[i : j - 1], 42) for i, j in zip(ends[first:last], ends[first + size : last + size])), dtype="<u8", count=last - first)  # noqa: B905  two slices of one length
+
+
+def tally(h: np.ndarray) -> np.ndarray:
+    """How many rows of ``h`` (n, words of 64 bits) have each bit set; 255 rows at a time are added up in bytes."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+    return sum(bits[i : i + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for i in range(0, len(bits), 255))
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    joined, ends, n = shingles(text, shingle)
+    if not n:
         return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
-    n = len(words) - shingle + 1
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, STEP):
-        to = min(n, at + STEP)
-        h = np.fromiter((digest(joined[i : j - 1], seed) for i, j in zip(ends[at:to], ends[at + shingle : to + shingle])), dtype="<u8", count=to - at)  # noqa: B905  two slices of one length
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    counts = sum(tally(hashed(joined, ends, shingle, at, min(n, at + STEP))[:, None]) for at in range(0, n, STEP))
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
@@ -68,45 +92,47 @@ def masks(radius: int, blocks: int) -> list[int]:
     return [sum(x) for x in itertools.combinations(ones, blocks - radius)]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def refined(radius: int, blocks: int) -> list[list[int]]:
+    """For each of ``masks``, those of the buckets that one of its buckets is refined into."""
+    out = []
+    for held in itertools.combinations(range(blocks), blocks - radius):
+        whole = sum(((1 << n) - 1) << at for at, n in (cuts(blocks)[k] for k in held))
+        halves = [h for k in range(blocks) if k not in held for at, n in [cuts(blocks)[k]] for h in (((1 << n // 2) - 1) << at, ((1 << n - n // 2) - 1) << at + n // 2)]
+        out.append([whole | sum(x) for x in itertools.combinations(halves, radius)])
+    return out
 
 
 # ---- Bit-sliced comparison -------------------------------------------------------------------------------------------
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words): bit j of fingerprint i is bit i % 64 of word i // 64 of plane j; the last word is filled with zeros."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    bits = np.concatenate([bits, np.zeros((-len(fps) % 64, 64), dtype=np.uint8)])
+    """(bits, words) of ``fps`` (n, words of 64 bits): bit j of fingerprint i is bit i % 64 of word i // 64 of plane j; the last word is filled with zeros."""
+    bits = np.unpackbits(np.ascontiguousarray(fps, dtype="<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    bits = np.concatenate([bits, np.zeros((-len(fps) % 64, bits.shape[1]), dtype=np.uint8)])
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def within(queries: np.ndarray, sliced: np.ndarray, radius: int) -> np.ndarray:
-    """(queries, words): masks of the fingerprints at most ``radius`` bits from each query.
+def within(fps: np.ndarray, sliced: np.ndarray, q: np.ndarray, w: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For blocks of fingerprint ``q`` against word ``w`` of the planes: those with a lane at most ``radius`` bits away, as (q, w, lanes).
 
-    Eight planes at a time go through a tree of carry-save adders; the counters are bit-sliced too.  Blocks (a query and
-    a word) whose 64 distances all exceed the radius leave the comparison after each eight planes.
+    Eight planes at a time go through a tree of carry-save adders; the counters are bit-sliced too.  Blocks whose
+    ``lanes`` all exceed the radius leave the comparison after each eight planes.
     """
-    q, w = (x.ravel() for x in np.indices((len(queries), sliced.shape[1])))
-    flips = np.where((queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), ONES, np.uint64(0))
     counts = [np.zeros(len(q), dtype=np.uint64) for _ in range(max(2, radius.bit_length() + 1))]
-    over = np.zeros(len(q), dtype=np.uint64)  # of counters that ran over
-    for first in range(0, 64, 8):
-        x = [sliced[first + k][w] ^ flips[first + k][q] for k in range(8)]
+    over = ~lanes  # of lanes that don't count and of counters that ran over
+    for first in range(0, len(sliced), 8):
+        own = fps[q, first // 64] >> np.uint64(first % 64)
+        x = [sliced[first + k][w] ^ (np.uint64(0) - (own >> np.uint64(k) & np.uint64(1))) for k in range(8)]
         for weight, bits in _eight(x):
             for k in range(weight, len(counts)):
                 counts[k], bits = counts[k] ^ bits, counts[k] & bits
             over |= bits
-        beyond = over | _exceeds(counts, radius)
-        keep = beyond != ONES
+        keep = (over | _exceeds(counts, radius)) != ONES
         if not keep.all():
             q, w, over, counts = q[keep], w[keep], over[keep], [x[keep] for x in counts]
         if not len(q):
             break
-    out = np.zeros((len(queries), sliced.shape[1]), dtype=np.uint64)
-    out[q, w] = ~(over | _exceeds(counts, radius))
-    return out
+    return q, w, ~(over | _exceeds(counts, radius))
 
 
 def _add(a, b, c):
@@ -137,112 +163,219 @@ def _exceeds(counts: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Spanning links among ``left``, or between ``left`` and ``right``."""
-    nodes = left if right is None else np.concatenate([left, right])
-    root = list(range(len(nodes)))
+def near(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), low[i] <= j < high[i], of fingerprints at most ``radius`` bits apart, some at a time."""
+    sliced, rows = planes(fps), np.flatnonzero(high > low)
+    first = low[rows] // 64
+    words = (high[rows] - 1) // 64 - first + 1
+    ends, step = np.cumsum(words), AT_ONCE // fps.shape[1]
+    for top in range(0, int(ends[-1]) if len(ends) else 0, step):
+        at = np.arange(top, min(top + step, int(ends[-1])))
+        k = np.searchsorted(ends, at, side="right")
+        q, w = rows[k], first[k] + at - (ends[k] - words[k])
+        # The lanes low..high of the word.
+        a, b = np.clip(low[q] - 64 * w, 0, 63).astype(np.uint64), np.clip(64 * (w + 1) - high[q], 0, 63).astype(np.uint64)
+        q, w, found = within(fps, sliced, q, w, ONES << a & ONES >> b, radius)
+        block, lane = np.nonzero(np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        yield q[block], 64 * w[block] + lane
+
+
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], judge: tuple[Callable, Callable] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs among 0..n-1; with ``judge`` (a screen for arrays of pairs, a test for one) only of those that pass both."""
+    root, out = np.arange(n), []
 
     def find(i: int) -> int:
         while root[i] != i:
             root[i] = i = root[root[i]]
-        return i
-
-    out, sliced, shift = [], planes(left if right is None else right), 0 if right is None else len(left)
-    n = len(left if right is None else right)
-    for top in range(0, len(left), 64):
-        start = top // 64 if right is None else 0
-        near = within(left[top : top + 64], sliced[:, start:], radius)
-        for k, w in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            i, word = top + k, int(near[k, w])
-            while word:
-                j = (start + w) * 64 + (word & -word).bit_length() - 1
-                word &= word - 1
-                if j >= n or right is None and j <= i:
-                    continue
-                a, b = find(i), find(j + shift)
-                if a != b:
-                    root[b] = a
-                    out.append((int(nodes[i]), int(nodes[j + shift])))
+        return int(i)
+
+    for a, b in pairs:
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        if judge:
+            good = judge[0](a, b)
+            a, b = a[good], b[good]
+        else:  # one pair of each two trees will do
+            _, one = np.unique(root[a] * n + root[b], return_index=True)
+            a, b = a[one], b[one]
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = find(i), find(j)
+            if x != y and (not judge or judge[1](i, j)):
+                root[max(x, y)] = min(x, y)
+                out.append((i, j))
     return out
 
 
-def small(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """The same for a cell of a few, where planes would cost more than the popcounts."""
-    out, root = [], list(range(len(fps)))
-    xs = fps.tolist()
-    for i, x in enumerate(xs):
-        for j in range(i + 1, len(xs)):
-            if root[i] != root[j] and (x ^ xs[j]).bit_count() <= radius:
-                out.append((x, xs[j]))
-                old, new = root[j], root[i]
-                root = [new if r == old else r for r in root]
-    return out
-
+def partners(cell: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of rows that each row is compared with, rows being sorted by cell and side: side 0 with side 1, or, where a cell has side 0 alone, with what comes after it."""
+    n = len(cell)
+    new = np.concatenate([[True], cell[1:] != cell[:-1]])
+    which = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], n)
+    second = ends - np.add.reduceat(side, starts)
+    low = np.where(second[which] < ends[which], second[which], np.arange(n) + 1)
+    return low, np.where(side > 0, low, ends[which])
 
-def _cells(radius: int):
-    """Rows (cell, side, fp) sorted by cell: the spanning links of each cell."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        last = None
+def _cells(radius: int, judge: Callable | None = None):
+    """Rows (cell, side, node) and the fingerprints, if they aren't the nodes, sorted by cell and side: spanning links (u, v) of nodes.
 
-        def linked(sides: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-            if len(fps) < 2:
-                return []
-            if len(fps) <= 8 and not sides.any():
-                return small(fps, radius)
-            a, b = fps[sides == 0], fps[sides == 1]
-            return forest(a, b if len(b) else None, radius) if len(a) else []
+    ``judge`` makes what ``forest`` takes as such of the rows.
+    """
 
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            x = np.array(links, dtype=np.uint64).reshape(-1, 2).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["u", "v"])
+    def linked(held: pa.Table) -> pa.RecordBatch:
+        cell, side, node = (held.column(k).to_numpy() for k in range(3))
+        if held.num_columns > 3:
+            fps = held.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        else:
+            fps = node.view(np.uint64)[:, None]
+        links = forest(len(node), near(fps, *partners(cell, side.astype(np.int64)), radius), judge and judge(held))
+        x = node[np.array(links, dtype=np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, side, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            fp, links = fp.astype(np.int64).view(np.uint64), []
-            starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
-            if held and cell[0] != last:
-                links += linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            cell = batch.column(0).to_numpy()
+            change = np.flatnonzero(cell[1:] != cell[:-1])
+            if held and batch.num_rows and held[-1].column(0)[-1].as_py() != cell[0]:
+                yield linked(pa.Table.from_batches(held))
                 held = []
-            # Only cells of two or more, but for the first and last, which other batches may go on with.
-            sizes = np.diff(starts)
-            for k in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)).tolist():
-                a, b = starts[k], starts[k + 1]
-                held.append((side[a:b].copy(), fp[a:b].copy()))
-                if k < len(sizes) - 1:
-                    links += linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-            last = cell[-1]
-            if links:
-                yield out(links)
-        if held and (links := linked(*(np.concatenate(x) for x in zip(*held, strict=True)))):
-            yield out(links)
+            if len(change):  # whole cells up to the last one, which other batches may go on with
+                cut = int(change[-1]) + 1
+                yield linked(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            elif batch.num_rows:
+                held.append(batch)
+        if held:
+            yield linked(pa.Table.from_batches(held))
 
     return run
 
 
+def dealt(rows: DataFrame, keys: list[str], cell: int, *more: str) -> DataFrame:
+    """(cell, side, node, ``more``) sorted by cell and side within partitions, for rows (keys, n, node, more) of buckets of n.
+
+    A bucket of more than ``cell`` is cut into slices: one meets itself in cell (k, k), and every other one in the cell of
+    the pair, the smaller number as side 0.
+    """
+    slices = F.ceil(F.col("n") / cell).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), slices).cast("int")
+    out = rows.select(*keys, "node", *more, slices.alias("slices"), own.alias("own"))
+    out = out.select(*keys, "node", *more, "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    out = out.select(F.xxhash64(*keys, low, high).alias("cell"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", *more)
+    return out.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell", "side")
+
+
+def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys stand in several, with their number n; both sides of the join have plain exchanges."""
+    return rows.join(written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets"), keys)
+
+
 def near_links(fps: DataFrame, radius: int = 3, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
     """Spanning links (u, v) of all pairs of the distinct ``fp`` (long) at most ``radius`` bits apart."""
-    n = partitions(fps.sparkSession)
 
-    def key(which: int, mask: int) -> Column:
-        return F.struct(F.lit(which).alias("which"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("bits"))
+    def key(which, mask) -> Column:
+        return F.struct(which.alias("which"), F.col("node").bitwiseAND(mask).alias("bits"))
 
-    rows = fps.select("fp", F.explode(F.array(*(key(k, m) for k, m in enumerate(masks(radius, blocks))))).alias("key")).select("fp", "key.which", "key.bits")
-    full = rows.groupBy("which", "bits").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    full = written(full, "simhash-buckets")
-    rows = rows.join(full, ["which", "bits"])  # buckets of one drop out; plain exchanges on both sides
-    slices = F.ceil(F.col("n") / cell).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), slices).cast("int")
-    # A slice meets itself in cell (k, k), and every other slice in the cell of the pair, the smaller one as side 0.
-    dealt = rows.select("which", "bits", "fp", slices.alias("slices"), own.alias("own")).select("which", "bits", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = (F.col("own") > F.col("other")).cast("int")
-    cells = dealt.select(F.xxhash64("which", "bits", low, high).alias("cell"), side.alias("side"), "fp").repartition(n, "cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(_cells(radius), "u long, v long")
+    def literal(mask: int) -> Column:
+        return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)
+
+    keys = ["which", "bits"]
+    nodes = fps.select(F.col("fp").alias("node"))
+    rows = nodes.select("node", F.explode(F.array(*(key(F.lit(k), literal(m)) for k, m in enumerate(masks(radius, blocks))))).alias("key"))
+    rows = shared(rows.select("node", "key.*"), keys)
+    finer = refined(radius, blocks)
+    table = F.array(*(F.array(*map(literal, m)) for m in finer))
+    again = rows.where(F.col("n") > cell).select("node", "which", F.posexplode(F.element_at(table, F.col("which") + 1)).alias("k", "mask"))
+    again = again.select("node", key((F.col("which") + 1) * len(finer[0]) + len(finer) + F.col("k"), F.col("mask")).alias("key")).select("node", "key.*")
+    rows = rows.where(F.col("n") <= cell).unionByName(shared(again, keys))
+    return dealt(rows, keys, cell).mapInArrow(_cells(radius), "u long, v long")
+
+
+# ---- Similar sets of shingles ----------------------------------------------------------------------------------------
+
+#: Words of a shingle, and the similarity from which texts are near-duplicates.
+WIDE_SHINGLE, ALIKE = 5, 0.8
+#: Words of 64 bits of a wide fingerprint; the most bits in which two near ones differ, and where one has few shingles.
+WIDE, WIDE_RADIUS, LOOSE_RADIUS, FEW = 8, 86, 160, 64
+#: Bands of so many minima.
+BANDS, ROWS = 8, 4
+
+
+def mix(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+@functools.lru_cache(maxsize=1)
+def seeds() -> tuple[np.ndarray, np.ndarray]:
+    """Added before mixing for each word of a wide fingerprint; odd multipliers for the minima."""
+    x = mix(np.arange(1, WIDE + BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return x[:WIDE], x[WIDE:] | np.uint64(1)
+
+
+def wide(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the set of five-word shingles: the wide fingerprint, the hashes themselves if they are few, and the hashed bands.  A text without words has no band."""
+    joined, ends, n = shingles(text, WIDE_SHINGLE)
+    if not n:
+        return np.zeros(WIDE, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    h = np.unique(np.concatenate([hashed(joined, ends, WIDE_SHINGLE, at, min(n, at + STEP)) for at in range(0, n, STEP)]))
+    plus, by = seeds()
+    counts, low = np.zeros(64 * WIDE, dtype=np.int64), np.full(BANDS * ROWS, ONES)
+    for at in range(0, len(h), STEP):
+        part = h[at : at + STEP, None]
+        counts += tally(mix(part + plus))
+        low = np.minimum(low, (part * by).min(axis=0))
+    bands = mix((mix(low).reshape(BANDS, ROWS) * by[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8"), h if len(h) <= FEW else h[:0], bands
+
+
+def _alike(held: pa.Table) -> tuple[Callable, Callable]:
+    """Whether rows (cell, side, node, wide, few) are near-duplicates: a screen by distance, and a test by the sets of two that have few shingles."""
+    fps = held.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(held.num_rows, -1)
+    few = held.column(4).combine_chunks()
+    size = few.value_lengths().to_numpy()
+
+    def screen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = size[a], size[b]
+        # Sets of sizes x < y have a similarity of x / y at most.
+        return np.where((x > 0) & (y > 0), np.minimum(x, y) >= ALIKE * np.maximum(x, y), np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= WIDE_RADIUS)
+
+    def sure(i: int, j: int) -> bool:
+        if not (size[i] and size[j]):
+            return True
+        both = len(set(few[i].as_py()) & set(few[j].as_py()))
+        return both >= ALIKE * (int(size[i]) + int(size[j]) - both)
+
+    return screen, sure
+
+
+def wide_links(marks: DataFrame, cell: int = CELL) -> DataFrame:
+    """Links (u, v) of the ids ``component_id`` of rows (doc_id, component_id, wide, few, bands) that are near-duplicates.
+
+    Rows of equal fingerprints and shingles are merged first.  Only buckets of two or more meet their fingerprints.
+    """
+    each = written(marks.groupBy("wide", "few").agg(F.min("doc_id").alias("key"), F.min("component_id").alias("first"), F.min("bands").alias("bands")), "simhash-wide")
+    rows = shared(each.select(F.col("key").alias("node"), F.explode("bands").alias("band")), ["band"])
+    rows = rows.join(each.select(F.col("key").alias("node"), "wide", "few"), "node")
+    links = dealt(rows, ["band"], cell, "wide", "few").mapInArrow(_cells(LOOSE_RADIUS, _alike), "u long, v long")
+    ends = each.select(F.col("key"), F.col("first"))
+    links = links.join(ends.toDF("u", "a"), "u").join(ends.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = marks.join(each.select("wide", "few", "first"), ["wide", "few"]).select(F.col("component_id").alias("u"), F.col("first").alias("v"))
+    return links.unionByName(same.distinct()).where("u <> v")
+
+
+# ---- Documents -------------------------------------------------------------------------------------------------------
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -250,26 +383,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return per_document(id_text(docs), lambda: lambda text: (signed(fingerprint(text)),), "doc_id long, fp long")
 
 
+def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [(signed(fingerprint(t)), *(x.view(np.int64) for x in wide(t))) for t in texts(batch.column(1))]
+        if made:
+            fp, *lists = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["doc_id", "fp", "wide", "few", "bands"])
+
+
+def grouped(marked: DataFrame, radius: int, blocks: int, cell: int) -> DataFrame:
+    """(fp, component_id) of rows (doc_id, fp)."""
+    with scratch(marked.sparkSession) as keep:
+        first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
+        tree = components(near_links(first.select("fp"), radius, blocks, cell))  # by fingerprint
+        member = first.join(tree.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
+        low = member.groupBy("root").agg(F.min("first").alias("component_id"))
+        return keep(written(member.join(written(low, "simhash-low"), "root").select("fp", "component_id"), "simhash-named"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     marked = written(fingerprints(docs), "simhash-fp")
-    first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
-    links = near_links(first.select("fp"), radius, blocks, cell)
-    tree = components(links)  # by fingerprint
-    member = first.join(tree.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
-    low = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(member.join(written(low, "simhash-low"), "root").select("fp", "component_id"), "simhash-named")
+    named = grouped(marked, radius, blocks, cell)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def similar_groups(docs: DataFrame, radius: int = 3, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
+    """(doc_id, component_id) by near fingerprints or similar sets of shingles; rows without a doc_id are in no group."""
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        marked = written(id_text(docs).where("doc_id IS NOT NULL").mapInArrow(_wide_rows, "doc_id long, fp long, wide array<long>, few array<long>, bands array<long>"), "simhash-marks")
+        marked = written(marked.join(grouped(marked.select("doc_id", "fp"), radius, blocks, cell), "fp").drop("fp"), "simhash-marks")
+        tree = components(wide_links(marked.where(F.size("bands") > 0), cell))
+        found = marked.select("doc_id", "component_id").join(tree.toDF("component_id", "low"), "component_id", "left")
+        return keep(written(found.select("doc_id", F.coalesce("low", "component_id").alias("component_id")), "simhash-groups"))
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of one document of each group of near-duplicates, the one with the smallest doc_id, with all their columns.
 
-    Rows that repeat that doc_id collapse to one.  A null doc_id can't be named: its row stays where no other document is
-    in its group, that is, never next to an identified copy.  Only rows that may have to go are shuffled with their texts.
+    Rows that repeat that doc_id collapse to one.  Rows without a doc_id can't be named: of those that have equal texts one
+    stays.  Only rows that may have to go are shuffled with their texts.
     """
-    found = written(near_duplicates(docs, **settings).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "simhash-found")
-    untouched, rest = set_apart(docs, found.where("n > 1 OR NOT doc_id <=> component_id").select("doc_id"))
-    best = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("best"))
-    kept = rest.join(best, F.col("doc_id").eqNullSafe(F.col("best")), "left_semi").dropDuplicates(["doc_id"])
-    return untouched.unionByName(kept.select("row.*"))
+    found = similar_groups(docs, **settings).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    found = written(found.where("n > 1 OR doc_id <> component_id"), "simhash-found")
+    named = docs.where("doc_id IS NOT NULL")
+    untouched, rest = set_apart(named, found.select("doc_id"))
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    kept = rest.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("row.*")
+    return untouched.unionByName(kept).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))

@@ -6,22 +6,26 @@ smaller doc_id.  Windows are judged on the input.
 Exact copies go first: of equal texts only the one with the smallest doc_id needs to be compared; the others lose every
 word if they have a full window, else none.
 
-Level 1, windows of half the length: not all of them, but the ones that winnowing selects (Schleimer et al. 2003): of
-every full window exactly one half window, the one with the smallest hash, is its anchor.  The choice depends on the
-window's words alone, so equal full windows have equal anchors wherever they stand, and none is missed.  Anchors that
-occur in one document alone end here.
-
-Level 2, twice the length: the surviving anchors are extended.  All full windows of one anchor are consecutive; the
-stretch of words that they cover is their hull.  Of each distinct hull the smallest doc_id is found.  Documents with a
-larger one lose the whole hull.  What is left to compare is one copy of each distinct hull, and only of anchors that have
-several: their full windows go out one by one, and each distinct window gets its smallest doc_id.
+The levels are the lengths 13, 25 and 50 (the window halved, rounded up, as long as that leaves LEAST words; one halving
+at least).  At each level every full window that is still a candidate is stood for by one shorter window within it: at the
+first level the one of the smallest hash (winnowing, Schleimer et al. 2003), at each further one the one of the smallest
+hash among those of twice the length that extend it and stay within the full window.  Which ones these are depends on
+the full window's words alone, so equal full windows have equal shorter ones wherever they stand, and none is missed.
+What stands in one document alone at one length ends there with the full windows it stands for; what repeats across
+documents is extended to twice the length, until the full length is reached or no candidates survive.  Consecutive full
+windows with the same shorter ones are kept as one run.
+
+At the full length the stretch of words that a run covers is its hull.  Of each distinct hull the smallest doc_id is
+found.  Documents with a larger one lose the whole hull.  What is left to compare is one copy of each distinct hull, and
+only where several hulls share their shorter windows: their full windows go out one by one, and each distinct one gets its
+smallest doc_id.
 
 So copies, however many, meet in grouped minima with map-side combination, never in a list.  Hashes are 64-bit
-polynomials of 64-bit word hashes; a hull is identified by its own and its anchor's, a window by two with different bases.
+polynomials of 64-bit word hashes; a hull is identified by its own and its shorter window's, a window by two with different
+bases.  A text is known by doc_id and a hash of 64 bits.
 
-The shuffles: a row of 24 bytes for each anchor (one in about 13 words), the surviving ones once more, and the texts of
-the documents that have hulls left.  Which texts those are is told by a bitmap of 2^23 bits over hashed ids, a fixed
-megabyte; ids that fall on a set bit by accident only cost their text's way through the shuffle.
+The shuffles: a row of 48 bytes for each run (one in about 13 words), fewer at each level, and the texts of the documents
+that have hulls left.  Which texts those are is told by a bitmap that grows with the ids it holds.
 
 Defined results: a null or empty text has no words; a document shorter than a window loses nothing; rows with one doc_id
 are one document's parts that are each judged on their own, and never removed for each other; rows without a doc_id are
@@ -39,10 +43,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, id_text, in_bitmap, written
+from .common import id_text, marked_ids, scratch, written
 
 #: Odd multipliers of the polynomials.
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Words of the shortest windows that halving leads to.
+LEAST = 8
 U = np.uint64
 
 
@@ -99,142 +105,184 @@ def spans(p: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((p[end] - p[start]) * powers(base, len(p))[1][start])
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a document's word hashes: anchor hash, hull hash, first window, number of windows of each anchor; and the prefix array."""
-    p, half, n = prefix(h, BASE_A), window // 2, len(h)
-    at = np.arange(n - half + 1)
-    grams = spans(p, BASE_A, at, at + half)
-    # The rightmost of the smallest half windows in each full window, by doubling.
-    best, width, wide = at.copy(), 1, window - half + 1
-    while width < wide:
-        step = min(width, wide - width)
-        a, b = best[:-step], best[step:]
-        best, width = np.where(grams[b] <= grams[a], b, a), width + step
-    first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    count = np.diff(np.concatenate([first, [len(best)]]))
-    return grams[best[first]], spans(p, BASE_A, first, first + count - 1 + window), first, count, p
+def lengths(window: int) -> list[int]:
+    """Of the levels, ascending; each is at most twice the one before."""
+    out = [window]
+    while len(out) == 1 or -(-out[0] // 2) >= LEAST:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def smallest(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where the rightmost smallest of x[low..high] stands, for each pair of bounds, by minima over doubled widths."""
+    at = [np.arange(len(x))]
+    depth = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+    for k in range(int(depth.max(initial=0))):
+        a, b = at[-1][: -(1 << k)], at[-1][1 << k :]
+        at.append(np.where(x[b] <= x[a], b, a))
+    out = np.empty(len(low), dtype=np.int64)
+    for k in range(len(at)):
+        here = np.flatnonzero(depth == k)
+        a, b = at[k][low[here]], at[k][high[here] - (1 << k) + 1]
+        out[here] = np.where(x[b] <= x[a], b, a)
+    return out
+
+
+def runs(h: np.ndarray, window: int) -> list[np.ndarray]:
+    """For a document's word hashes: of each run the hash of its shorter window at each level, its hull's, its first full window and their number."""
+    p, n = prefix(h, BASE_A), len(h) - window + 1
+    start, steps = np.arange(n), lengths(window)
+    chosen, grams = None, []
+    for k, length in enumerate(steps[:-1]):
+        at = np.arange(len(h) - length + 1)
+        gram = spans(p, BASE_A, at, at + length)
+        low, high = start, start + window - length
+        if k:  # those that extend the one before
+            low, high = np.maximum(low, chosen + steps[k - 1] - length), np.minimum(high, chosen)
+        chosen = smallest(gram, low, high)
+        grams.append((chosen, gram))
+    new = functools.reduce(np.logical_or, (np.diff(c, prepend=-1) != 0 for c, _ in grams))
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, n))
+    return [*(gram[c[first]] for c, gram in grams), spans(p, BASE_A, first, first + count - 1 + window), first, count]
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _anchor_rows(window: int):
+def _run_rows(window: int):
+    """The runs of rows (doc_id, key, text)."""
+    names = [*(f"g{k}" for k in range(len(lengths(window)) - 1)), "hull", "at", "n", "doc_id", "key"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words()
         for batch in batches:
             made = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = text.as_py().encode().split()
                 if len(words) >= window:
-                    a, hull, *_ = anchors(table(words), window)
-                    made.append((a, hull, np.full(len(a), doc_id, dtype=np.int64)))
+                    x = runs(table(words), window)
+                    made.append([*x, np.full(len(x[0]), doc_id, dtype=np.int64), np.full(len(x[0]), key, dtype=np.int64)])
             if made:
-                a, hull, ids = (np.concatenate(x) for x in zip(*made, strict=True))
-                yield pa.RecordBatch.from_arrays([signed(a), signed(hull), pa.array(ids)], ["anchor", "hull", "doc_id"])
+                *hashes, at, n, ids, keys = (np.concatenate(x) for x in zip(*made, strict=True))
+                yield pa.RecordBatch.from_arrays([*map(signed, hashes), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(ids), pa.array(keys)], names)
 
     return run
 
 
 def _window_rows(window: int):
-    """Full windows of the hulls that are left, for rows (doc_id, text, hulls)."""
+    """Full windows of the hulls that are left, for rows (doc_id, text, hulls of (hull, at, n))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words()
         for batch in batches:
             made = []
-            for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc_id, text, hulls in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 h = table(text.as_py().encode().split())
-                a, hull, first, count, p = anchors(h, window)
-                pick = np.isin(hull, np.array(wanted.as_py(), dtype=np.int64).view(U))
-                _, one = np.unique(hull[pick], return_index=True)
-                a, hull, first, count = (x[pick][one] for x in (a, hull, first, count))
-                offset = np.concatenate([np.arange(c) for c in count.tolist()]) if len(count) else np.zeros(0, dtype=np.int64)
-                start, q = np.repeat(first, count) + offset, prefix(h, BASE_B)
-                made.append((spans(p, BASE_A, start, start + window), spans(q, BASE_B, start, start + window), np.repeat(a, count), np.repeat(hull, count), offset.astype(np.int32), np.full(len(start), doc_id, dtype=np.int64)))
+                hull, at, n = (np.array([x[c] for x in hulls.as_py()], dtype=np.int64) for c in ("hull", "at", "n"))
+                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(at, n) + offset
+                made.append((spans(prefix(h, BASE_A), BASE_A, start, start + window), spans(prefix(h, BASE_B), BASE_B, start, start + window), np.repeat(hull, n), offset.astype(np.int32), np.full(len(start), doc_id, dtype=np.int64)))
             if made:
-                x = [np.concatenate(c) for c in zip(*made, strict=True)]
-                yield pa.RecordBatch.from_arrays([*map(signed, x[:4]), pa.array(x[4]), pa.array(x[5])], ["w1", "w2", "anchor", "hull", "at", "first"])
+                w1, w2, hull, offset, ids = (np.concatenate(c) for c in zip(*made, strict=True))
+                yield pa.RecordBatch.from_arrays([signed(w1), signed(w2), pa.array(hull), pa.array(offset), pa.array(ids)], ["w1", "w2", "hull", "offset", "first"])
 
     return run
 
 
 def _outcome(window: int, with_text: bool):
-    """(doc_id, n_words, n_removed, kept_sha256, kept) for rows (doc_id, text, copy, whole, part): hulls that go whole, and (hull, offset) windows."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept) for rows (doc_id, text, copy, gone): runs (at, n) whose windows go, all or those at ``offsets``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words()
         for batch in batches:
             out = []
-            for text, copy, whole, part in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
+            for text, copy, gone in zip(*(batch.column(k) for k in range(1, 4)), strict=True):
                 words = text.as_py().encode().split()
-                n, whole, part = len(words), whole.as_py(), part.as_py()
+                n, gone = len(words), gone.as_py()
                 if n >= window and copy.as_py():
                     words = []
-                elif n >= window and (whole or part):
-                    _, hull, first, count, _ = anchors(table(words), window)
-                    hull, covered = hull.view(np.int64), np.zeros(n + 1, dtype=np.int64)
-                    for k in np.flatnonzero(np.isin(hull, np.array(whole or [], dtype=np.int64))).tolist():
-                        covered[first[k]] += 1
-                        covered[first[k] + count[k] - 1 + window] -= 1
-                    at = {x["hull"]: x["at"] for x in part or []}
-                    for k in np.flatnonzero(np.isin(hull, np.array(list(at), dtype=np.int64))).tolist():
-                        for offset in at[int(hull[k])]:
-                            covered[first[k] + offset] += 1
-                            covered[first[k] + offset + window] -= 1
+                elif gone:
+                    covered = np.zeros(n + 1, dtype=np.int64)
+                    for x in gone:
+                        first = np.array([0] if x["offsets"] is None else x["offsets"]) + x["at"]
+                        np.add.at(covered, first, 1)
+                        np.add.at(covered, first + window + (x["n"] - 1 if x["offsets"] is None else 0), -1)
                     keep = np.cumsum(covered[:n]) == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 left = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(left).hexdigest(), left.decode() if with_text else None))
             if out:
-                n, gone, digest, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                n, removed, digest, kept = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
 
+def survivors(rows: DataFrame, levels: int) -> DataFrame:
+    """Of runs (g0, g1, .., doc_id, ..) those whose windows repeat across documents at each level, level by level."""
+    for k in range(levels):
+        repeated = rows.groupBy(f"g{k}").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(f"g{k}")
+        rows = written(rows.join(written(repeated, f"substr-level{k}"), f"g{k}"), f"substr-left{k}")
+        if rows.isEmpty():
+            break
+    return rows
+
+
+def _copies(sure: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2) of the documents whose text a smaller doc_id has too."""
+    mark = sure.select("doc_id", F.col("key").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    groups = mark.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return written(mark.join(written(groups, "substr-copies"), ["t1", "t2"]).where("doc_id > first").groupBy("doc_id", "t1", "t2").agg(F.lit(1).alias("x")).drop("x"), "substr-copy")
+
+
+def _repeats(sure: DataFrame, copies: DataFrame, window: int) -> DataFrame:
+    """(doc_id, key, gone): the runs of each text whose windows start in a document with a smaller doc_id too."""
+    levels = len(lengths(window)) - 1
+    schema = "".join(f"g{k} long, " for k in range(levels)) + "hull long, at int, n int, doc_id long, key long"
+    judged = marked_ids(sure, copies.select("doc_id"))
+    # Rows that the bitmap stops without being copies are let in by the anti-join.
+    named = F.struct("doc_id", F.col("key").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    again = judged.where("maybe").withColumn("same", named).join(copies.select(F.struct("doc_id", "t1", "t2").alias("same")), "same", "left_anti")
+    rows = [written(x.select("doc_id", "key", "text").mapInArrow(_run_rows(window), schema), "substr-runs") for x in (judged.where("NOT maybe"), again)]
+    last = f"g{levels - 1}"
+    left = survivors(rows[0].unionByName(rows[1]), levels)
+    hulls = written(left.groupBy(last, "hull").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("high")), "substr-hulls")
+
+    # One copy of each of several hulls of one shorter window, window by window.
+    several = written(hulls.groupBy(last).agg(F.count("*").alias("m")).where("m > 1").select(last), "substr-several")
+    several = written(hulls.join(several, last).select(last, "hull", "first"), "substr-several")
+    own = left.join(several, [last, "hull"]).where("doc_id = first")
+    own = written(own.select("doc_id", "key", "hull", "at", "n"), "substr-own")
+    one = own.groupBy("doc_id", "hull").agg(F.min(F.struct("key", "at", "n")).alias("x"))
+    wanted = written(one.groupBy("doc_id", "x.key").agg(F.collect_list(F.struct("hull", "x.at", "x.n")).alias("hulls")), "substr-wanted")
+    texts = marked_ids(sure, wanted.select("doc_id")).where("maybe").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text")
+    windows = texts.join(wanted, ["doc_id", "key"]).select("doc_id", "text", "hulls").mapInArrow(_window_rows(window), "w1 long, w2 long, hull long, offset int, first long")
+    windows = written(windows, "substr-windows")
+    low = written(windows.groupBy("w1", "w2").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("w1", "w2", "low"), "substr-smallest")
+    part = windows.join(low, ["w1", "w2"]).where("low < first").groupBy(F.col("first").alias("doc_id"), "hull").agg(F.collect_set("offset").alias("offsets"))
+    part = own.join(part, ["doc_id", "hull"]).select("doc_id", "key", "at", "n", "offsets")
+
+    whole = left.join(hulls.where("first < high").select(last, "hull", "first"), [last, "hull"]).where("doc_id > first")
+    whole = whole.select("doc_id", "key", "at", "n", F.lit(None).cast("array<int>").alias("offsets"))
+    return written(whole.unionByName(part).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "n", "offsets")).alias("gone")), "substr-gone")
+
+
 def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and kept: the words that stay, joined by one space (null unless ``with_text``)."""
-    docs = id_text(docs)
+    docs = id_text(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
     sure = docs.where("doc_id IS NOT NULL")
-    # Of equal texts the smallest doc_id; two hashes stand for the text.
-    mark = sure.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    groups = mark.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    groups = written(groups, "substr-copies")
-    copies = written(mark.join(groups, ["t1", "t2"]).where("doc_id > first").groupBy("doc_id", "t1", "t2").agg(F.lit(1).alias("x")).select("doc_id", F.struct("t1", "t2").alias("same")), "substr-copy")
-    copied = bitmap(copies.select("doc_id"))
-    copied = written(copied, "substr-copied")
-
-    # Level 1.  Rows of a copy that the bitmap lets through at first are dropped by the anti-join; a row is 24 bytes.
-    rows = written(in_bitmap(sure, copied).where("NOT maybe").select("doc_id", "text").mapInArrow(_anchor_rows(window), "anchor long, hull long, doc_id long"), "substr-anchors")
-    again = in_bitmap(sure, copied).where("maybe").join(copies.withColumnRenamed("doc_id", "copy_id"), (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("same.t1")) & (F.xxhash64(F.lit(1), "text") == F.col("same.t2")), "left_anti")
-    more = written(again.select("doc_id", "text").mapInArrow(_anchor_rows(window), "anchor long, hull long, doc_id long"), "substr-anchors")
-    rows = rows.unionByName(more)
-    repeated = written(rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "substr-level1")
-
-    # Level 2.
-    left = written(rows.join(repeated, "anchor"), "substr-level2")
-    hulls = written(left.groupBy("anchor", "hull").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "substr-hulls")
-    several = written(hulls.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "substr-several")
-    wanted = hulls.join(several, "anchor").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("hull").alias("hulls"))
-    wanted = written(wanted, "substr-wanted")
-    texts = in_bitmap(sure, written(bitmap(wanted.select("doc_id")), "substr-map")).where("maybe").select("doc_id", "text")
-    windows = written(texts.join(wanted, "doc_id").mapInArrow(_window_rows(window), "w1 long, w2 long, anchor long, hull long, at int, first long"), "substr-windows")
-    smallest = written(windows.groupBy("w1", "w2").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("w1", "w2", "low"), "substr-smallest")
-    part = windows.join(smallest, ["w1", "w2"]).where("low < first").groupBy("first", "hull").agg(F.collect_set("at").alias("at"))
-    part = part.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("hull", "at")).alias("part"))
-    whole = left.join(hulls.where("first < last").select("anchor", "hull", "first"), ["anchor", "hull"]).where("doc_id > first")
-    whole = whole.groupBy("doc_id").agg(F.collect_set("hull").alias("whole"))
-    gone = written(whole.join(part, "doc_id", "full"), "substr-gone")
-
-    # Texts that lose some words meet their hulls; all others are finished where they are read.
-    touched = written(bitmap(gone.select("doc_id").unionByName(copies.select("doc_id"))), "substr-map")
-    judged = in_bitmap(sure, touched)
+    with scratch(docs.sparkSession) as keep:
+        copies = keep(_copies(sure))
+        gone = keep(_repeats(sure, copies, window))
+
+    # Texts that lose some words meet what goes; all others are finished where they are read.
+    judged = marked_ids(sure, gone.select("doc_id").unionByName(copies.select("doc_id")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    nothing = [F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("whole"), F.lit(None).cast("array<struct<hull:long,at:array<int>>>").alias("part")]
+    nothing = [F.lit(False).alias("copy"), F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")]
     plain = judged.where("NOT maybe").select("doc_id", "text", *nothing).unionByName(docs.where("doc_id IS NULL").select("doc_id", "text", *nothing))
-    tell = gone.join(copies.groupBy("doc_id").agg(F.collect_list("same").alias("same")), "doc_id", "full")
-    met = judged.where("maybe").select("doc_id", "text").join(tell, "doc_id", "left")
-    copy = F.coalesce(F.exists("same", lambda s: (s["t1"] == F.xxhash64("text")) & (s["t2"] == F.xxhash64(F.lit(1), "text"))), F.lit(False))
-    met = met.select("doc_id", "text", copy.alias("copy"), "whole", "part")
+    tell = gone.join(copies.groupBy("doc_id", F.col("t1").alias("key")).agg(F.collect_set("t2").alias("t2")), ["doc_id", "key"], "full")
+    met = judged.where("maybe").select("doc_id", "key", "text").join(tell, ["doc_id", "key"], "left")
+    copy = F.coalesce(F.array_contains("t2", F.xxhash64(F.lit(1), "text")), F.lit(False))
+    met = met.select("doc_id", "text", copy.alias("copy"), "gone")
     return plain.mapInArrow(_outcome(window, with_text), schema).unionByName(met.mapInArrow(_outcome(window, with_text), schema))
