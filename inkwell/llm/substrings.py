@@ -8,9 +8,9 @@ word if they have a full window, else none.
 
 The levels are the lengths 13, 25 and 50 (the window halved, rounded up, as long as that leaves LEAST words; one halving
 at least).  At each level every full window that is still a candidate is stood for by one shorter window within it: at the
-first level the one of the smallest hash (winnowing, Schleimer et al. 2003), at each further one the one of the smallest
-hash among those of twice the length that extend it and stay within the full window.  Which ones these are depends on
-the full window's words alone, so equal full windows have equal shorter ones wherever they stand, and none is missed.
+first level the one of the smallest hash (winnowing, Schleimer et al. 2003), at each further one that one extended to twice
+the length, to its right where that stays within the full window, else to its left.  Which ones these are depends on the
+full window's words alone, so equal full windows have equal shorter ones wherever they stand, and none is missed.
 What stands in one document alone at one length ends there with the full windows it stands for; what repeats across
 documents is extended to twice the length, until the full length is reached or no candidates survive.  Consecutive full
 windows with the same shorter ones are kept as one run.
@@ -24,7 +24,7 @@ So copies, however many, meet in grouped minima with map-side combination, never
 polynomials of 64-bit word hashes; a hull is identified by its own and its shorter window's, a window by two with different
 bases.  A text is known by doc_id and a hash of 64 bits.
 
-The shuffles: a row of 48 bytes for each run (one in about 13 words), fewer at each level, and the texts of the documents
+The shuffles: a row of 48 bytes for each run (one in about 12 words), fewer at each level, and the texts of the documents
 that have hulls left.  Which texts those are is told by a bitmap that grows with the ids it holds.
 
 Defined results: a null or empty text has no words; a document shorter than a window loses nothing; rows with one doc_id
@@ -132,15 +132,14 @@ def runs(h: np.ndarray, window: int) -> list[np.ndarray]:
     """For a document's word hashes: of each run the hash of its shorter window at each level, its hull's, its first full window and their number."""
     p, n = prefix(h, BASE_A), len(h) - window + 1
     start, steps = np.arange(n), lengths(window)
-    chosen, grams = None, []
-    for k, length in enumerate(steps[:-1]):
+    at = np.arange(len(h) - steps[0] + 1)
+    gram = spans(p, BASE_A, at, at + steps[0])
+    chosen = smallest(gram, start, start + window - steps[0])
+    grams = [(chosen, gram)]
+    for shorter, length in zip(steps[:-2], steps[1:-1], strict=True):
+        chosen = np.where(chosen + length <= start + window, chosen, chosen + shorter - length)
         at = np.arange(len(h) - length + 1)
-        gram = spans(p, BASE_A, at, at + length)
-        low, high = start, start + window - length
-        if k:  # those that extend the one before
-            low, high = np.maximum(low, chosen + steps[k - 1] - length), np.minimum(high, chosen)
-        chosen = smallest(gram, low, high)
-        grams.append((chosen, gram))
+        grams.append((chosen, spans(p, BASE_A, at, at + length)))
     new = functools.reduce(np.logical_or, (np.diff(c, prepend=-1) != 0 for c, _ in grams))
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, n))
@@ -252,7 +251,7 @@ def _repeats(sure: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     # One copy of each of several hulls of one shorter window, window by window.
     several = written(hulls.groupBy(last).agg(F.count("*").alias("m")).where("m > 1").select(last), "substr-several")
     several = written(hulls.join(several, last).select(last, "hull", "first"), "substr-several")
-    own = left.join(several, [last, "hull"]).where("doc_id = first")
+    own = left.join(several.withColumnRenamed("first", "doc_id"), [last, "hull", "doc_id"])
     own = written(own.select("doc_id", "key", "hull", "at", "n"), "substr-own")
     one = own.groupBy("doc_id", "hull").agg(F.min(F.struct("key", "at", "n")).alias("x"))
     wanted = written(one.groupBy("doc_id", "x.key").agg(F.collect_list(F.struct("hull", "x.at", "x.n")).alias("hulls")), "substr-wanted")

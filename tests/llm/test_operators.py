@@ -106,7 +106,7 @@ def test_substrings(docs, rows, window):
 
 
 def brute_levels(rows, window):
-    """Documents and runs that are left after each level, from the definition: the smallest window within, then the smallest that extends it."""
+    """Documents and runs that are left after each level, from the definition: the smallest window within, then that one extended to the right or else to the left."""
     steps = substrings.lengths(window)
     assert steps[-1] == window and all(b <= 2 * a for a, b in zip(steps, steps[1:]))
     left, first, table = {}, {}, substrings.Words()
@@ -118,10 +118,10 @@ def brute_levels(rows, window):
             p = substrings.prefix(h, substrings.BASE_A)
             gram = lambda a, n, p=p: int(substrings.spans(p, substrings.BASE_A, np.array([a]), np.array([a + n]))[0])
             for at in range(len(words) - window + 1):
-                low, high, grams = at, at, []
+                low, grams = min(range(at, at + window - steps[0] + 1), key=lambda a, gram=gram: (gram(a, steps[0]), -a)), []
                 for k, n in enumerate(steps[:-1]):
-                    low, high = (at, at + window - n) if not k else (max(at, low + steps[k - 1] - n), min(at + window - n, low))
-                    low = min(range(low, high + 1), key=lambda a, n=n, gram=gram: (gram(a, n), -a))
+                    low = low if low + n <= at + window else low + steps[k - 1] - n
+                    assert at <= low <= at + window - n
                     grams.append(tuple(words[low : low + n]))
                 left[i, at] = grams
     out = []
