@@ -295,21 +295,55 @@ def test_secrets(spark, docs, rows, empty):
 def test_network_on_findings_of_another_seed():
     found, y = secrets.labelled_findings(1500, seed=99)
     net = secrets.default_network()
-    p = net.scores(np.array([secrets.encoded(*f) for f in found])) >= net.threshold
+    p = np.concatenate([net.judged(found[i : i + 100]) for i in range(0, len(found), 100)]) >= net.threshold
     assert (p & (y == 1)).sum() / (y == 1).sum() >= 0.95 and (p & (y == 1)).sum() / p.sum() >= 0.95
 
 
 def test_threshold_keeps_the_wanted_recall():
-    """Where a tenth of the labels is wrong no threshold has both; recall comes first, and precision is told."""
+    """The highest threshold that reaches the recall, also where a tenth of the labels is wrong; precision is told."""
     found, y = secrets.labelled_findings(1200, seed=7)
+    found, y = [f for f in found if f[2] - f[1] <= secrets.BODY], np.array([v for f, v in zip(found, y) if f[2] - f[1] <= secrets.BODY])
     wrong = np.random.default_rng(1).random(len(y)) < 0.1
     x, y = np.array([secrets.encoded(*f) for f in found]), np.where(wrong, 1 - y, y)
-    net = secrets.train_network(x, y, epochs=2, recall=0.97, precision=0.98)
+    net = secrets.train_network(x, y, epochs=2, recall=0.97)
     held = np.random.default_rng(0)
     held.normal(0, 0.3, net.embed.shape), held.normal(0, 1, net.conv.shape), held.normal(0, 0.1, net.out.shape)
     held = held.permutation(len(x))[: len(x) // 4]
     p, t = net.scores(x[held]), y[held]
-    assert (p[t == 1] >= net.threshold).mean() == net.recall >= 0.97 and t[p >= net.threshold].mean() == net.precision < 0.98
+    assert (p[t == 1] >= net.threshold).mean() == net.recall >= 0.97 > (p[t == 1] > net.threshold).mean()
+    assert t[p >= net.threshold].mean() == net.precision < 0.98
+
+
+def test_long_candidates_are_pooled_whole():
+    """Scored at once, or with the maxima in one piece by hand."""
+    net, text = secrets.default_network(), "before " + "aB3/" * 3000 + " after"
+    a, b = 7, 7 + 12000
+    x = np.array([0] * (secrets.CONTEXT - 7) + secrets.codes(text[:b] + text[b : b + secrets.CONTEXT]) + [0] * (secrets.CONTEXT - 6))
+    e = net.embed[x]
+    conv = np.array([e[k : k + secrets.WIDTH].T.reshape(-1) for k in range(len(x) - secrets.WIDTH + 1)]) @ net.conv + net.bias
+    parts = conv[: secrets.CONTEXT], conv[secrets.CONTEXT : secrets.CONTEXT + 12000], conv[secrets.CONTEXT + 12000 :]
+    assert abs(np.concatenate([np.maximum(c.max(axis=0), 0) for c in parts]) @ net.out + net.last - net.long_logit(text, a, b)) < 1e-9
+    short = "x " + "k9" * 24 + " y and more of it to the end"
+    assert abs(net.long_logit(short, 2, 50) - net.logits(np.array([secrets.encoded(short, 2, 50)]))[0]) < 1e-9
+
+
+def test_planted_secrets_in_texts_of_the_corpus(spark):
+    """Trained in contexts of some documents; secrets that no base pattern finds are planted into others."""
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY hash(doc_id)").fetchall()
+    net = secrets.corpus_network(spark.createDataFrame(rows[:500], "doc_id long, text string"))
+    assert net.recall >= 0.97
+    r = random.Random(17)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    alpha, alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = [lambda: "ghp_" + pick(alpha, 36), lambda: pick(alpha, 26), lambda: pick(alnum, 20), lambda: "/srv/app/lib/module" * 4 + "/" + pick(alnum, 40)]
+    found = spans = candidates = 0
+    for k, (_, t) in enumerate(rows[500:]):
+        secret, at = kinds[k % 4](), r.randrange(len(t) + 1)
+        planted = f"{t[:at]} {secret} {t[at:]}"
+        found += any(kind == 3 and a <= at + 1 and b >= at + 1 + len(secret) for a, kind, b in secrets.all_spans(planted, net)[1])
+        base, every = secrets.all_spans(t, net)
+        spans, candidates = spans + len(every) - len(base), candidates + len(secrets.candidates(t, base))
+    assert found >= 0.95 * len(rows[500:]) and candidates > 1000 and spans <= 0.01 * candidates, (found, len(rows[500:]), spans, candidates)
 
 
 def test_secrets_within_long_candidates():
