@@ -193,28 +193,69 @@ def test_urls(spark):
 # ---- 4 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("parts", [1, 2, 5, None])
-def test_fingerprints(spark, rows, parts):
-    df = fingerprints.fingerprints(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, part int"), parts)
-    got = by_id(df)
+def brute_print(t):
+    """Fingerprint of a text, straight from the definition, and its set of spans."""
+    def poly(x, k):
+        return sum((ord(c) + 1) * pow(fingerprints.BASES[k], i, fingerprints.PRIMES[k]) for i, c in enumerate(x)) % fingerprints.PRIMES[k]
+
+    def mixed(x):
+        z = (poly(x, 0) << 31 ^ poly(x, 1)) & (2**64 - 1)
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & (2**64 - 1)
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & (2**64 - 1)
+        return z >> 32
+
+    spans = {t[max(0, i) : i + 16] for i in range(-15, len(t))} - {""}
+    low = sorted({mixed(x) for x in spans})[:64]
+    return f"{len(t):x}-{poly(t, 0):08x}{poly(t, 1):08x}-" + "".join(f"{x:08x}" for x in low), spans
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 30, 3000, 100])
+def test_fingerprints(spark, rows, part_bytes):
+    rows = [(i, t) for i, t in rows if len(t or "") < 20_000]
+    got = by_id(fingerprints.fingerprints(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, part int"), part_bytes))
     assert len(got) == len(rows)
     order = sorted(rows, reverse=True, key=lambda r: r[0])
-    whole = lambda t: (lambda p: fingerprints.fingerprint(p.n, p.whole(), fingerprints.sketch(p.spans)))(fingerprints.Prefix(t))
     for (i, t), (_, after) in zip(order, [*order[1:], order[0]]):
         t, after, r = t or "", after or "", got[i]
         half = len(t) // 2
         changed = t[: len(t) - half] + after[:half]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (whole(t), whole(changed))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_next == 1) >= (t == after) and (r.near_edited == 1) >= (t == changed)
+        (own, spans), (other, other_spans), (following, next_spans) = map(brute_print, (t, changed, after))
+        assert (r.fingerprint, r.edited_fingerprint) == (own, other)
+        for near, x, y, same in ((r.near_edited, spans, other_spans, t == changed), (r.near_next, spans, next_spans, t == after)):
+            true = len(x & y) / len(x | y) if x | y else 1.0
+            assert (near == 1) >= same and abs(near - true) <= (1e-9 if len(x | y) <= 64 else 0.25)
         common = next((k for k, (a, b) in enumerate(zip(t, after)) if a != b), min(len(t), len(after)))
         assert r.prefix_next == common
+        assert r.suffix_next == next((k for k, (a, b) in enumerate(zip(t[::-1], after[::-1])) if a != b), min(len(t), len(after)))
 
 
-def test_fingerprints_of_odd_tables(docs, rows, empty):
+def test_fingerprints_of_long_texts(spark, rows):
+    """Whole and edited hashes of texts of 100,000 characters and more, against texts made and hashed anew."""
+    long = [t for _, t in rows if len(t or "") >= 20_000]
+    for t, after in zip(long, long[1:]):
+        a, b = fingerprints.Prefix(t), fingerprints.Prefix(after)
+        new = fingerprints.Prefix(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        n, whole, low = fingerprints.edited(a, b)
+        assert (n, whole) == (new.n, new.whole()) and low.tolist() == fingerprints.sketch(new.spans).tolist() and len(low) <= 64
+
+
+def test_short_texts_are_alike(spark):
+    r = by_id(fingerprints.fingerprints(spark.createDataFrame([(2, "hello world one"), (1, "hello world two"), (0, "quite different")], "doc_id long, text string")))
+    assert r[2].near_next > 0.2 and r[1].near_next < 0.05 and r[2].near_edited > 0.1
+
+
+def test_fingerprints_of_odd_tables(docs, rows, empty, spark):
     assert fingerprints.fingerprints(docs).count() == len(rows) + 2 and fingerprints.fingerprints(empty).collect() == []
     one = fingerprints.fingerprints(docs.where("doc_id = 9")).head()
     assert one.near_next == 1.0
+    # Hot ids: half of the rows have no id, a quarter one id; each is followed by one that differs by one number at most.
+    hot = spark.createDataFrame([(None if k % 2 else 5 if k % 4 else k, f"text number {k} " * 9) for k in range(400)], "doc_id long, text string")
+    for size in (1 << 30, 2000):
+        got = fingerprints.fingerprints(hot, size).collect()
+        order = sorted(hot.withColumn("h", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id if r.doc_id is not None else -(2**63), r.h), reverse=True)
+        want = sorted((str(r.doc_id), hashlib.sha256((r.text[: len(r.text) - len(r.text) // 2] + n.text[: len(r.text) // 2]).encode()).hexdigest()) for r, n in zip(order, [*order[1:], order[0]]))
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == want
 
 
 def test_span_equality():
