@@ -1,7 +1,8 @@
 """Operator 1: byte-level BPE encoding and decoding.
 
 The tiktoken library with a local rank file.  Each match of the pre-splitting pattern is encoded separately, without
-special tokens.  Long texts are first cut at safe boundaries, so that no regex run or merge list is larger than a piece.
+special tokens.  Long texts are first cut at safe boundaries, between an ASCII letter and a space or line feed, so that no
+regex run or merge list is larger than a piece.  A pattern that is passed in must not match across such a boundary.
 
 Map-only: no shuffle, and memory is bounded by one Arrow batch and one text.
 
@@ -23,8 +24,8 @@ from .common import id_text, per_document
 
 #: Texts are encoded in pieces of about so many characters.
 PIECE = 1 << 16
-#: No match of a pattern of this family holds an ASCII letter followed by an ASCII space or line end.
-SAFE = re.compile(r"(?<=[A-Za-z.,])(?=[ \n])")
+#: No match of a pattern of this family, where white space comes first in a match or alone, holds an ASCII letter followed by a space or line feed.
+SAFE = re.compile(r"(?<=[A-Za-z])(?=[ \n])")
 
 
 def default_ranks() -> tuple[str, str]:

@@ -14,6 +14,7 @@ repeated results; a null doc_id is kept; other columns are ignored.  Magic numbe
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
@@ -52,7 +53,30 @@ def samples(media: bytes) -> bytes:
     return next(media[start : start + size] for name, start, size in chunks(media, 12, len(media)) if name == b"data")
 
 
-# Validators: (data, offset of the magic number) to the medium's length, or 0 where its structure is not sound.
+class Payload(bytes):
+    """Bytes that remember where marks stand, so that many false magic numbers cost one search for each mark in all."""
+
+    def places(self, mark: bytes) -> list[int]:
+        known = self.__dict__.setdefault("known", {})
+        if mark not in known:
+            known[mark], at = [], self.find(mark)
+            while at >= 0:
+                known[mark].append(at)
+                at = self.find(mark, at + 1)
+        return known[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, or -1."""
+        places = self.places(mark)
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def before(self, mark: bytes, at: int, end: int) -> bool:
+        """Whether ``mark`` stands whole within at..end."""
+        return 0 <= self.after(mark, at) <= end - len(mark)
+
+
+# Validators: (payload, offset of the magic number) to the medium's length, or 0 where its structure is not sound.
 
 
 def wav_length(data: bytes, at: int) -> int:
@@ -107,7 +131,7 @@ def gif_length(data: bytes, at: int) -> int:
     return 0
 
 
-def jpeg_length(data: bytes, at: int) -> int:
+def jpeg_length(data: Payload, at: int) -> int:
     """Segments by their lengths up to the scan, then to the end marker."""
     here = at + 2
     while here + 4 <= len(data) and data[here] == 0xFF:
@@ -116,19 +140,19 @@ def jpeg_length(data: bytes, at: int) -> int:
             return 0
         here += 2 + size
         if kind == 0xDA:
-            return end + 2 - at if (end := data.find(b"\xff\xd9", here)) >= 0 else 0
+            return end + 2 - at if (end := data.after(b"\xff\xd9", here)) >= 0 else 0
     return 0
 
 
-def pdf_length(data: bytes, at: int) -> int:
+def pdf_length(data: Payload, at: int) -> int:
     """A version digit, a cross-reference pointer and the end mark."""
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data[at + 5 : at + 6].isdigit() and data.rfind(b"startxref", at, end) >= 0 else 0
+    end = data.after(b"%%EOF", at)
+    return end + 5 - at if end >= 0 and data[at + 5 : at + 6].isdigit() and data.before(b"startxref", at, end) else 0
 
 
-def zip_length(data: bytes, at: int) -> int:
+def zip_length(data: Payload, at: int) -> int:
     """A central directory whose end record points back at this first entry."""
-    end = data.find(b"PK\x05\x06", at)
+    end = data.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return 0
     size, offset, note = struct.unpack("<IIH", data[end + 12 : end + 22])
@@ -167,7 +191,7 @@ def automaton():
 
 def sniff(data: bytes) -> tuple[str | None, list[tuple[str, int, int]], int]:
     """Type at offset 0 (None: unknown), the (type, offset, length) of valid media carved further in, false signatures."""
-    whole, carved, false = None, [], 0
+    data, whole, carved, false = Payload(data), None, [], 0
     for end, k in automaton().iter(data.decode("latin-1")):
         magic, kind, length = FORMATS[k]
         at = end + 1 - len(magic)

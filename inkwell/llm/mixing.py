@@ -1,13 +1,16 @@
 """Operator 9 [native]: mixing to target weights by soft membership.
 
 1. A naive Bayes classifier learned from the labelled table gives each document a posterior over the domains: low
-   quality, toxic, clean.  Its features are how many of each domain's words a text has (at most ``vocabulary`` words that
-   tell the domain from the others), and tenths of the shares of symbols, of capitals and of distinct words.  It is fitted
-   on at most ``sample`` labelled documents; counts come from grouped aggregates, and only those words reach the driver.
+   quality, toxic, clean.  Its features are, for each domain, the binary order of magnitude of the share of a text's
+   distinct words that tell the domain from the others (of all words whose share of the domain's documents is twice that
+   of the others' and Z standard errors above it), so that words that come together don't count as if each came by itself,
+   and tenths of the shares of symbols, of capitals and of distinct words.  It is fitted on at most ``sample`` labelled
+   documents, which bounds the telling words too; counts come from grouped aggregates, and only those words reach the
+   driver.
 2. Rates r >= 0, one for each document, are fitted by distributed projected gradient: minimise the squared distance of the
    expected domain token totals, sum of r * tokens * posterior, from the targets.  In a pass over the (small) table of
    tokens and posteriors every rate is recomputed from the steps so far, r <- max(0, r - p . step), and one aggregate of a
-   few numbers gives the residuals and so the next step.  Steps are scaled by the inverse of the domains' moment matrix
+   few numbers gives the residuals and so the next step.  Steps are Newton's, then projected: they are scaled by the inverse of the domains' moment matrix
    over the documents whose rate isn't zero, plus a small ridge that keeps rates near 1 where domains hardly differ; few
    are needed where no rate reaches zero.  A step that doesn't lower the error is halved.
 
@@ -24,7 +27,9 @@ rates; repeated rows are repeated; other columns are ignored; an empty table giv
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,8 +42,8 @@ DOMAINS = ("low", "toxic", "clean")
 TARGETS = {"low": 0.04, "toxic": 0.03, "clean": 0.93}
 SYMBOLS = "#$%&*|!"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Marks a feature that isn't a word.
-MARK = "\x01"
+#: Marks a feature that isn't a word; standard errors by which a telling word's share differs.
+MARK, Z = "\x01", 4.5
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -66,18 +71,28 @@ def featured(docs: DataFrame, *more: str) -> DataFrame:
     return out.select("doc_id", tokens.cast("long").alias("tokens"), "seen", marks.alias("marks"), *more)
 
 
-def hit_marks(vocabulary: list[list[str]]) -> Column:
-    """For each domain a feature that tells how many of its words a document has: none, one, two, or more."""
+def hit_marks(words: dict[str, int]) -> Column:
+    """For each domain a mark that tells what share of the distinct words tells it: none, or the power of two of the thousandths.
 
-    def mark(d: int, words: list[str]) -> Column:
-        hits = F.size(F.array_intersect("seen", F.array(*map(F.lit, words)))) if words else F.lit(0)
-        return F.concat(F.lit(f"{MARK}hits{d}:"), F.least(hits, F.lit(3)).cast("string"))
+    A word is looked up in one of many small maps; their literal table is made once, by constant folding.
+    """
+    size = 1 << max(0, len(words).bit_length())
+    table: list[dict] = [{} for _ in range(size)]
+    for w, d in sorted(words.items()):
+        table[zlib.crc32(w.encode()) % size][w] = d
+    found = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "array<map<string,int>>")
+    told = F.transform("seen", lambda w: F.try_element_at(F.element_at(found, (F.pmod(F.crc32(w.cast("binary")), F.lit(size)) + 1).cast("int")), w))
+    hits = F.filter(told, lambda d: d.isNotNull())
+
+    def mark(found: Column, d: int) -> Column:
+        n = F.size(F.filter(found, lambda x: x == d))
+        return F.concat(F.lit(f"{MARK}hits{d}:"), F.when(n == 0, -1).otherwise(F.floor(F.log2(1 + 1000.0 * n / F.size("seen")))).cast("string"))
 
-    return F.array(*(mark(d, words) for d, words in enumerate(vocabulary)))
+    return F.element_at(F.transform(F.array(hits), lambda x: F.array(*(mark(x, d) for d in range(len(DOMAINS))))), 1)  # hits are found once
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int, vocabulary: int) -> tuple[list[float], dict[str, list[float]], list[list[str]]]:
-    """Log priors, log likelihoods of each feature by domain, and each domain's words."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[float], dict[str, list[float]], dict[str, int]]:
+    """Log priors, log likelihoods of each feature by domain, and the domain that each telling word tells."""
     k = len(DOMAINS)
     chosen = domains(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     told = written(featured(docs.join(F.broadcast(chosen), "doc_id"), "domain"), "mix-labelled")
@@ -85,27 +100,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int, vocabulary: int) -> t
     n = [sizes.get(d, 0) for d in range(k)]
     total = sum(n)
     if not total:
-        return [0.0] * k, {}, [[] for _ in DOMAINS]
+        return [0.0] * k, {}, {}
     by_domain = [F.count(F.when(F.col("domain") == d, 1)).alias(f"c{d}") for d in range(k)]
     everywhere = sum((F.col(f"c{d}") for d in range(1, k)), F.col("c0"))
-    counts = told.select("domain", F.explode("seen").alias("f")).groupBy("f").agg(*by_domain).where(everywhere >= 5)
-    # A word is a domain's if its share of the domain's documents is twice that of the others', and z standard errors above it.
-    scores = []
+    counts = told.select("domain", F.explode("seen").alias("f")).groupBy("f").agg(*by_domain)
+    tells = []
     for d in range(k):
         inside, outside = (F.col(f"c{d}") + 1) / (n[d] + 2), (everywhere - F.col(f"c{d}") + 1) / (total - n[d] + 2)
         share = (everywhere + 1) / (total + 2)
         z = (inside - outside) / F.sqrt(share * (1 - share) * (1 / max(1, n[d]) + 1 / max(1, total - n[d])))
-        scores.append(F.when((inside >= 2 * outside) & (z >= 4.5), z).alias(f"z{d}"))
-    counts = written(counts.select("f", *scores), "mix-counts")
-    words = [[r["f"] for r in counts.where(F.col(f"z{d}").isNotNull()).orderBy(F.desc(f"z{d}"), "f").limit(vocabulary).collect()] for d in range(k)]
+        tells.append(F.when((inside >= 2 * outside) & (z >= Z), d))
+    words = {r["f"]: r["d"] for r in counts.select("f", F.coalesce(*tells).alias("d")).where("d IS NOT NULL").collect()}
     marked = told.select("domain", F.explode(F.concat("marks", hit_marks(words))).alias("f")).groupBy("f").agg(*by_domain)
     weights = {r["f"]: [math.log((r[f"c{d}"] + 0.5) / (n[d] + 1)) for d in range(k)] for r in marked.collect()}
     return [math.log((x + 1) / (total + k)) for x in n], weights, words
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: int = 64, corpus: DataFrame | None = None) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, sample: int = 10_000, corpus: DataFrame | None = None) -> DataFrame:
     """doc_id, tokens, and p_<domain> for each domain, as learned from the labelled documents of ``corpus`` (else of ``docs``)."""
-    base, weights, words = learn(docs if corpus is None else id_text(corpus), labels, sample, vocabulary)
+    base, weights, words = learn(docs if corpus is None else id_text(corpus), labels, sample)
     found = featured(docs).select("doc_id", "tokens", F.concat("marks", hit_marks(words)).alias("features"))
 
     def log_odds(d: int) -> Column:
@@ -121,11 +134,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabul
     return found.select("doc_id", "tokens", *((F.col(f"e{d}") / whole).alias(f"p_{name}") for d, name in enumerate(DOMAINS)))
 
 
-def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False, rounds: int = 30, close: float = 1e-6, ridge: float = 1e-3) -> tuple[Column, list[np.ndarray]]:
+def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False, least: Column | None = None, rounds: int = 30, close: float = 1e-3, ridge: float = 1e-3) -> tuple[Column, list[np.ndarray]]:
     """The rate as a column over ``table`` (tokens, p_<domain>), and the residuals of each round as shares of all tokens.
 
-    ``targets``: shares of all tokens, or, ``relative``, multiples of each domain's own expected tokens.  The fit ends
-    where all residuals are at most ``close``, a share of all tokens.
+    ``targets``: shares of all tokens, or, ``relative``, multiples of each domain's own expected tokens.  ``least`` is the
+    bound that each rate is projected to, else zero; targets that it puts out of reach are met as nearly as it allows.  The fit ends
+    where each domain's residual is at most ``close`` of its own target.
     """
     p = [F.col(f"p_{name}") for name in DOMAINS]
     k = len(p)
@@ -148,10 +162,10 @@ def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False,
     goal = wanted * now if relative else wanted / wanted.sum()
     history, size = [now - goal], 1.0
     for _ in range(rounds):
-        if np.abs(history[-1]).max() <= close or size < 1 / 64:
+        if (np.abs(history[-1]) <= close * goal).all() or size < 1 / 64:
             break
         step = size * np.linalg.solve(moments + ridge * np.eye(k), history[-1])
-        tried = F.greatest(F.lit(0.0), rate - sum((x * float(v) for x, v in zip(p[1:], step[1:], strict=True)), p[0] * float(step[0])))
+        tried = F.greatest(F.lit(0.0) if least is None else least, rate - sum((x * float(v) for x, v in zip(p[1:], step[1:], strict=True)), p[0] * float(step[0])))
         _, now, active = passed(tried)
         if np.linalg.norm(now - goal) < np.linalg.norm(history[-1]):
             rate, moments, size = tried, active, min(1.0, 2 * size)
@@ -161,21 +175,22 @@ def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False,
     return rate, history
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, relative: bool = False, sample: int = 10_000, vocabulary: int = 64) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, relative: bool = False, sample: int = 10_000) -> DataFrame:
     """doc_id, tokens, p_low, p_toxic, p_clean, rate, expected_tokens."""
-    table = written(posteriors(id_text(docs), labels, sample, vocabulary), "mix-posteriors")
+    table = written(posteriors(id_text(docs), labels, sample), "mix-posteriors")
     rate, _ = fitted(table, targets or TARGETS, relative)
     return table.select("doc_id", "tokens", *(f"p_{name}" for name in DOMAINS), rate.alias("rate")).withColumn("expected_tokens", F.col("rate") * F.col("tokens"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], relative: bool = True, sample: int = 10_000, vocabulary: int = 64, corpus: DataFrame | None = None, close: float = 2e-3) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], relative: bool = True, sample: int = 10_000, corpus: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: its whole part, and once more with its fraction as probability.
 
+    Documents that are clean more likely than not are bound to rates of 1 or more, so none of them goes.
     The chance is the hashed doc_id's, so it is the same in every run; rows of one doc_id get the same number of copies.
     Only rows that don't stay as they are, and few others, are shuffled with their texts.
     """
-    table = written(posteriors(id_text(docs), labels, sample, vocabulary, corpus), "mix-posteriors")
-    rate, _ = fitted(table, targets, relative, close=close)
+    table = written(posteriors(id_text(docs), labels, sample, corpus), "mix-posteriors")
+    rate, _ = fitted(table, targets, relative, F.when(F.col("p_clean") >= 0.5, 1.0).otherwise(0.0))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = table.select("doc_id", F.floor(rate + chance).cast("int").alias("copies")).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
     copies = written(copies.where("copies <> 1"), "mix-copies")

@@ -44,7 +44,7 @@ class Features:
 
     def code(self, word: bytes) -> int:
         """Bucket of the word and bucket of its shape in one number."""
-        shape = RUN.sub(rb"\1", DIGIT.sub(b"0", LOWER.sub(b"a", UPPER.sub(b"A", word))))[:12]
+        shape = RUN.sub(rb"\1", DIGIT.sub(b"0", LOWER.sub(b"a", UPPER.sub(b"A", word))))
         bare = word.strip(EDGE).lower()
         return (zlib.crc32(bare) & ((1 << WORD_BITS) - 1)) << SHAPE_BITS | zlib.crc32(shape) & ((1 << SHAPE_BITS) - 1)
 
@@ -198,10 +198,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> Model:
-    """The model fitted on at most ``sample`` labelled documents; a broadcast of as many ids picks them."""
+    """The model fitted on at most ``sample`` labelled rows, those with the smallest hashed ids; a broadcast of as many ids picks them."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     got = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").mapInArrow(_sampled, "doc_id long, grade int, words array<int>, shapes array<int>, shares array<float>, tenth int")
-    got = got.orderBy("doc_id", F.size("words"), "tenth").limit(2 * sample).toArrow()  # repeated rows can make it more than the sample
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", F.size("words"), "tenth").limit(sample).toArrow()  # repeated rows can make it more than the sample
     arrays = [got.column(k).combine_chunks() for k in range(got.num_columns)]
     xs = [(arrays[2][k].values.to_numpy().astype(np.int64), arrays[3][k].values.to_numpy().astype(np.int64), arrays[4][k].values.to_numpy().astype(np.float64), arrays[5][k].as_py()) for k in range(got.num_rows)]
     return fit(xs, np.array(arrays[1].to_pylist(), dtype=np.int64))

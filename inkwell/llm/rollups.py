@@ -13,6 +13,8 @@ batch commits and changes nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 
 import pyarrow as pa
@@ -20,24 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_ranks, encode, encoding
-from .common import shared_dir, texts, written
+from .common import scratch, shared_dir, texts, written
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
-def inserts(rows: DataFrame) -> DataFrame:
-    """Changes that add rows (source, lang, tokenizer, tokens)."""
-    return rows.select(*KEYS, F.lit(1).cast("long").alias("docs"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
+def inserts(rows: DataFrame, times: str | None = None) -> DataFrame:
+    """Changes that add rows (source, lang, tokenizer, tokens); with ``times`` a row stands for as many documents as that column says."""
+    n = F.col(times).cast("long") if times else F.lit(1).cast("long")
+    return rows.select(*KEYS, n.alias("docs"), (n * F.coalesce(F.col("tokens").cast("long"), F.lit(0))).alias("tokens"))
 
 
-def deletes(rows: DataFrame) -> DataFrame:
+def deletes(rows: DataFrame, times: str | None = None) -> DataFrame:
     """Changes that take the same rows off."""
-    return inserts(rows).select(*KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
+    return inserts(rows, times).select(*KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
 
 
-def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
-    return deletes(old).unionByName(inserts(new))
+def revisions(old: DataFrame, new: DataFrame, times: str | None = None) -> DataFrame:
+    return deletes(old, times).unionByName(inserts(new, times))
 
 
 class Rollup:
@@ -62,14 +65,20 @@ class Rollup:
         stream.write(bytearray("\n".join(folded).encode()))
         stream.close()
         fs.mkdirs(self._file("committed")[1])
-        fs.rename(aside, self._file(f"committed/{name}")[1])
+        marker = self._file(f"committed/{name}")[1]
+        if not fs.rename(aside, marker):
+            fs.delete(aside, False)
+            if not fs.exists(marker):  # else another committer of the same batch was first
+                raise OSError(f"the marker of {name} can't be written; the batch isn't committed")
 
     def committed(self) -> list[str]:
         """Names of the batches that were applied, and of the folds of them."""
         return self._names("committed")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Applies a batch once; False if it was already."""
+        """Applies a batch once; False if it was already.  A name is one path segment, and ``fold-`` begins those of compaction."""
+        if not re.fullmatch(r"[A-Za-z0-9._=-]+", batch) or batch.startswith(("fold-", ".", "_")):
+            raise ValueError(f"not a batch name: {batch!r}")
         fs, marker = self._file(f"committed/{batch}")
         if fs.exists(marker):
             return False
@@ -104,27 +113,31 @@ class Rollup:
         return name
 
 
-def counted(docs: DataFrame, tokenizer: str = "byte_bpe_50k", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens, and text_hash, of every whole text; map-only."""
+def counted(docs: DataFrame, tokenizer: str = "byte_bpe_50k", rank_file: str | None = None, pattern: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang, tokenizer, tokens, text_hash (32 bytes), and ``more`` long columns, of every whole text; map-only."""
     default = default_ranks() if rank_file is None or pattern is None else ("", "")
     rank_file, pattern = rank_file or default[0], pattern or default[1]
+    names = ["doc_id", "source", "lang", "tokenizer", "tokens", "text_hash", *more]
 
     def run(batches):
         encoding(rank_file, pattern)
         for batch in batches:
-            n = [len(encode(t, rank_file, pattern)) for t in texts(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64()), batch.column(4)], ["doc_id", "source", "lang", "tokenizer", "tokens", "text_hash"])
+            n, digest = [], []
+            for t in texts(batch.column(3)):
+                n.append(len(encode(t, rank_file, pattern)))
+                digest.append(hashlib.sha256(t.encode()).digest())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *batch.columns[4:]], names)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"), F.sha2(text, 256).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long, text_hash string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"), *more)
+    types = {"doc_id": "long", "tokens": "long", "text_hash": "binary"} | dict.fromkeys(more, "long")
+    return rows.mapInArrow(run, ", ".join(f"{x} {types.get(x, 'string')}" for x in names))
 
 
-def words(docs: DataFrame, tokenizer: str = "words-1") -> DataFrame:
-    """The same by a plain word count, the version before the byte-level one."""
+def both_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k") -> DataFrame:
+    """doc_id, source, lang, tokenizer, tokens, text_hash, and words, the count of the version before the byte-level one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), n.cast("long").alias("tokens"), F.sha2(text, 256).alias("text_hash"))
+    return counted(docs.withColumn("words", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")), tokenizer, more=("words",))
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -134,13 +147,20 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     what is left is revised from word counts to byte-level BPE counts; and the first batch is sent again, which changes
     nothing.
     """
-    old = written(words(docs), "rollup-words")
-    new = written(counted(docs), "rollup-bpe")
-    first = written(old.groupBy("text_hash").agg(F.min("doc_id").alias("first")), "rollup-first")
-    copies = written(old.select("doc_id", "text_hash").join(first, "text_hash").where("doc_id > first").select("doc_id", "text_hash"), "rollup-copies")
-    rollup, key = Rollup(docs.sparkSession, path), ["doc_id", "text_hash"]
-    rollup.commit("1-insert", inserts(old))
-    rollup.commit("2-delete-copies", deletes(old.join(copies, key, "left_semi")))
-    rollup.commit("3-revise", revisions(old.join(copies, key, "left_anti"), new.join(copies, key, "left_anti")))
-    rollup.commit("1-insert", inserts(old))
+    with scratch(docs.sparkSession):
+        # Both counts of a text in one row, and whether it is a copy: one join of hashes marks them, and batches only filter.
+        both = written(both_counts(docs), "rollup-counts")
+        first = written(both.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "rollup-first")
+        marked = both.join(first, "text_hash", "left").select("source", "lang", "words", "tokens", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy"))
+        marked = written(marked.groupBy("source", "lang", "copy", "words", "tokens").agg(F.count("*").alias("n")), "rollup-marked")
+
+        def rows(tokenizer: str, count: str) -> DataFrame:
+            return marked.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(count).alias("tokens"), "n", "copy")
+
+        old, new = rows("words-1", "words"), rows("byte_bpe_50k", "tokens")
+        rollup = Rollup(docs.sparkSession, path)
+        rollup.commit("1-insert", inserts(old, "n"))
+        rollup.commit("2-delete-copies", deletes(old.where("copy"), "n"))
+        rollup.commit("3-revise", revisions(old.where("NOT copy"), new.where("NOT copy"), "n"))
+        rollup.commit("1-insert", inserts(old, "n"))
     return rollup.totals()

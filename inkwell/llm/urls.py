@@ -20,8 +20,17 @@ from pyspark.sql import functions as F
 from .common import by_batch
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-STRICT = ("adult", "casino", "escort", "malware", "phishing", "porn", "warez", "xxx")
-SOFT = ("ads", "bets", "cheap", "click", "crack", "farm", "free", "loan", "pills", "poker", "promo", "spam", "torrent", "track", "win")
+#: One of these is enough.
+STRICT = (
+    "adult", "bestiality", "camgirl", "camgirls", "casino", "casinos", "escort", "escorts", "hentai", "malware", "milf", "nude", "nudes", "phishing", "porn", "porno", "pornography",
+    "ransomware", "sexcam", "spyware", "swingers", "viagra", "warez", "xxx",
+)
+#: Of these it takes several distinct ones.
+SOFT = (
+    "ads", "affiliate", "banner", "bet", "bets", "betting", "bonus", "cheap", "clearance", "click", "clickbait", "coupon", "coupons", "crack", "cracked", "dating", "deals", "diet", "discount",
+    "doubleclick", "farm", "free", "gambling", "giveaway", "hack", "hot", "jackpot", "keygen", "loan", "loans", "lottery", "nulled", "payday", "pills", "poker", "popup", "prize", "promo", "replica",
+    "serial", "sex", "sexy", "slots", "spam", "sponsored", "sweepstakes", "torrent", "torrents", "track", "tracker", "tracking", "weightloss", "win", "winner",
+)
 #: One strict term reaches LIMIT, and so do two distinct soft ones.
 LIMIT = 2
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

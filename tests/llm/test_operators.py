@@ -168,7 +168,7 @@ def test_substrings_count_and_empty(docs, rows, empty):
 
 URLS = [
     None, "", "no scheme", "http://", "http://com", "http://com/", "http://A.Example.COM/en/x?y#z", "http://www.example.com/en/", "http://xexample.com/en/", "https://a.net/es/1", "https://net/fr/", "https://a.net/fr",
-    "ftp://spam-farm.org/x", "http://b.org/spamfarm", "http://free-bets.org", "http://one.org/free", "http://casino.org", "http://mycasinos.org", "http://É.com/ÉN/", "http://a.com:80/", "http://a.com?x=/en/", "http://a.net/es?casino",
+    "ftp://spam-farm.org/x", "http://b.org/spamfarm", "http://free-bets.org", "http://one.org/free", "http://casino.org", "http://mycasinos.org", "http://É.com/ÉN/", "http://a.com:80/", "http://a.com?x=/en/", "http://a.net/es?casino", "http://long.org/" + "free-spa/" * 20_000 + "?casinos", "http://long.org/" + "freespam/" * 20_000,
 ]
 
 
@@ -281,7 +281,7 @@ def test_token_counts(docs, rows):
             d, n = want.get(key, (0, 0))
             want[key] = d + 1, n + len(enc.encode_ordinary(t or ""))
     got = {r.source: (r.docs, r.tokens) for r in rollups.token_counts(docs).collect()}
-    assert got == want
+    assert got == want and rollups.token_counts(docs.where("false")).collect() == []
 
 
 def test_batches_count_once(spark):
@@ -303,6 +303,32 @@ def test_batches_count_once(spark):
     assert totals() == want and r.live() == [name] and not r.commit("a", rollups.inserts(a)) and r.compact() is None
     r.commit("d", rollups.inserts(a.limit(0)))
     assert totals() == want
+    for bad in ("fold-1", "a/b", "", "..", ".hidden", "_x"):
+        with pytest.raises(ValueError):
+            r.commit(bad, rollups.inserts(a))
+
+
+def test_a_marker_that_cannot_be_written_is_an_error(spark, monkeypatch):
+    """A rename that fails without an exception must not look like a commit."""
+    r = rollups.Rollup(spark)
+    a = spark.createDataFrame([("s", "en", "v1", 5)], "source string, lang string, tokenizer string, tokens long")
+    real = rollups.Rollup._file
+
+    class Fs:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, *_):
+            return False
+
+    monkeypatch.setattr(rollups.Rollup, "_file", lambda self, name: (lambda f: (Fs(f[0]), f[1]))(real(self, name)))
+    with pytest.raises(OSError):
+        r.commit("a", rollups.inserts(a))
+    monkeypatch.setattr(rollups.Rollup, "_file", real)
+    assert r.totals().collect() == [] and r.commit("a", rollups.inserts(a)) and r.totals().head().tokens == 5
 
 
 # ---- 6 ---------------------------------------------------------------------------------------------------------------
@@ -414,10 +440,26 @@ def test_media(docs, rows, empty):
         data, r = (t or "").encode(), got[i]
         payload = data + b"\0" * ((-len(data)) % 64 if data else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_bytes == len(payload) + 44 and r.feature.startswith("type=audio/wav;corrected=1")
+        x = np.array(list(payload), dtype=float)
+        share = np.array([n / len(payload) for n in np.bincount(x.astype(int)) if n])
+        magic = sum(len(re.findall(b"(?=" + re.escape(m) + b")", payload)) for m, _, _ in media.FORMATS)
+        assert r.media_bytes == len(payload) + 44 and r.media_sha256 == hashlib.sha256(b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + bytes([16, 0, 0, 0, 1, 0, 1, 0, 64, 31, 0, 0, 64, 31, 0, 0, 1, 0, 8, 0]) + b"data" + len(payload).to_bytes(4, "little") + payload).hexdigest()
+        assert r.feature == f"type=audio/wav;corrected=1;rate=8000;mean={x.mean():.4f};entropy={abs(-(share * np.log2(share)).sum()):.4f};carved=-;false={magic}"
     assert media.media_columns(docs).count() == len(rows) + 2 and media.media_columns(empty).collect() == []
 
 
+def test_many_false_signatures_take_linear_time():
+    import time
+
+    for magic in (b"%PDF-1 ", b"PK\x03\x04 ", b"\xff\xd8\xff\xda\x00\x02 "):
+        took = []
+        for n in (20_000, 80_000):
+            start = time.perf_counter()
+            assert media.sniff(magic * n) == (None, [], n)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 10 * took[0], (magic, took)
+
+
 def test_carving():
     import gzip
     import io
@@ -525,15 +567,65 @@ def test_mixing_reaches_its_targets(spark):
     assert (best == told.doc_id.map(names)).mean() > 0.9
 
 
+def numpy_fit(p, t, goal, rounds=30, ridge=1e-3):
+    """The same projected steps on arrays."""
+    r, size, total = np.ones(len(t)), 1.0, t.sum()
+    miss = (r * t) @ p / total - goal
+    moments = (p * t[:, None]).T @ p / total
+    for _ in range(rounds):
+        if (np.abs(miss) <= 1e-3 * goal).all() or size < 1 / 64:
+            break
+        tried = np.maximum(0, r - p @ (size * np.linalg.solve(moments + ridge * np.eye(3), miss)))
+        now = (tried * t) @ p / total - goal
+        if np.linalg.norm(now) < np.linalg.norm(miss):
+            r, miss, size = tried, now, min(1.0, 2 * size)
+            moments = (p * (t * (r > 0))[:, None]).T @ p / total
+        else:
+            size /= 2
+    return r
+
+
 def test_mixing_steps_against_numpy(spark):
-    """The fit on a table of posteriors equals projected steps in numpy, also where rates reach zero."""
+    """The fit on a table of posteriors equals projected steps in numpy, also where rates reach zero, and no nonnegative rates near by are closer."""
     rng = np.random.default_rng(5)
     p, t = rng.dirichlet([0.3, 0.3, 0.6], 400), rng.integers(0, 500, 400)
     table = spark.createDataFrame([(k, int(t[k]), *map(float, p[k])) for k in range(400)], "doc_id long, tokens long, p_low double, p_toxic double, p_clean double")
-    rate, history = mixing.fitted(table, {"low": 0.02, "toxic": 0.01, "clean": 0.97})
-    r = np.array([x[0] for x in table.orderBy("doc_id").select(rate).collect()])
-    assert (r >= 0).all() and np.allclose((r * t) @ p / t.sum() - [0.02, 0.01, 0.97], history[-1], atol=1e-9)
-    assert np.linalg.norm(history[-1]) < 0.02 * np.linalg.norm(history[0])
+    for goal in ([0.02, 0.01, 0.97], [0.2, 0.3, 0.5]):
+        rate, history = mixing.fitted(table, dict(zip(mixing.DOMAINS, goal)))
+        r = np.array([x[0] for x in table.orderBy("doc_id").select(rate).collect()])
+        assert np.allclose(r, numpy_fit(p, t.astype(float), np.array(goal)), atol=1e-6) and (r >= 0).all()
+        assert np.allclose((r * t) @ p / t.sum() - goal, history[-1], atol=1e-9) and np.linalg.norm(history[-1]) < 0.02 * np.linalg.norm(history[0])
+    assert (r > 0).all()
+
+
+def test_posteriors_against_brute_force(spark):
+    """Naive Bayes by hand over more telling words than the 64 of a domain there once were, and more hits than three."""
+    r = random.Random(6)
+    own = [[f"d{d}w{k}" for k in range(150)] for d in range(3)]
+    rows = [(i, " ".join(r.choice(own[i % 3]) if r.random() < r.choice([0.1, 0.5, 0.8]) else f"common{r.randrange(40)}" for _ in range(60)), i % 3) for i in range(300)]
+    docs = common.id_text(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, int(d != 0), int(d == 1)) for i, _, d in rows], "doc_id long, quality int, toxic int")
+    _, weights, words = mixing.learn(docs, labels, 10_000)
+    telling = {}
+    for w in {w for _, t, _ in rows for w in t.split()}:
+        has = [sum(w in t.split() for _, t, e in rows if e == d) for d in range(3)]
+        for d in range(3):
+            a, b, s = (has[d] + 1) / 102, (sum(has) - has[d] + 1) / 202, (sum(has) + 1) / 302
+            if a >= 2 * b and (a - b) / (s * (1 - s) * (1 / 100 + 1 / 200)) ** 0.5 >= 4.5:
+                telling.setdefault(w, d)
+    assert words == telling and len(words) > 200
+
+    def hits(t):
+        seen = set(t.split())
+        n = [sum(telling.get(w) == d for w in seen) for d in range(3)]
+        return [f"\x01hits{d}:{int(np.floor(np.log2(1 + 1000 * n[d] / len(seen)))) if n[d] else -1}" for d in range(3)]
+
+    features = {x.doc_id: [*x.marks, *hits(t)] for x, (_, t, _) in zip(mixing.featured(docs).orderBy("doc_id").collect(), rows)}
+    got = {x.doc_id: (x.p_low, x.p_toxic, x.p_clean) for x in mixing.posteriors(docs, labels).collect()}
+    for i, _, _ in rows:
+        logs = [np.log(101 / 303) + sum(np.log((sum(f in features[j] for j, _, e in rows if e == d) + 0.5) / 101) for f in features[i]) for d in range(3)]
+        e = np.exp(np.array(logs) - max(logs))
+        assert np.allclose(got[i], e / e.sum(), atol=1e-9)
 
 
 def test_mixing_of_odd_tables(spark, docs, rows, empty):
