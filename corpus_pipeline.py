@@ -1,4 +1,11 @@
-"""A training-data pipeline of five stages over ``documents``; each stage works on all that the one before it kept."""
+"""A training-data pipeline of five stages over ``documents``; each stage works on all that the one before it kept.
+
+Defined results, of every stage: a null text counts as empty (and stays null until it is encoded), whole texts are read
+however long, columns beside those of ``documents`` are carried along whatever their names, and an empty table gives an
+empty one.  Ties and repeated rows: the classifier and the secrets network judge every row on its own; of rows with one
+doc_id, and of rows without any that have equal texts, near-duplicate removal keeps one, and of a group the smallest doc_id;
+rows of one doc_id get the same rate.  A corpus without labels keeps every document at rate 1.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +14,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.bpe import bpe_documents
-from inkwell.llm.common import load, shared_dir
+from inkwell.llm.common import delete, load, scratch, shared_dir
 from inkwell.llm.mixing import mixed
 from inkwell.llm.quality import keep_good, train
 from inkwell.llm.secrets import redact
 from inkwell.llm.simhash import keep_one
 
-#: Multiples of each domain's expected tokens.  What the classifier let through isn't cut, since little of it is certain;
-#: clean text gains a tenth, so that no clean document's rate falls below 1 while suspect ones' rates do.
-RATES = {"low": 1.0, "toxic": 1.0, "clean": 1.1}
+#: Multiples of each domain's expected tokens: of what the classifier let through, text that looks low or toxic is thinned
+#: out, and clean text stays as it is, so no document comes twice after near-duplicates have gone.
+RATES = {"low": 0.5, "toxic": 0.25, "clean": 1.0}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled documents of the corpus, takes for good and clean."""
+    """Documents that the classifier, fitted on the labelled documents of the corpus, takes for good and clean; the rest goes."""
     return keep_good(docs, train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group that near fingerprints (3 bits) or similar sets of five-word shingles (0.8 or more) link."""
     return keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced."""
+    """All documents, their secrets replaced and n_chars counted anew."""
     return redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says; domains are learned from the labelled documents of the whole corpus."""
+    """Documents as often as their fitted rate says, most of them once; domains are learned from the labelled documents of the whole corpus."""
     return mixed(docs, load(spark, sf_dir, "labels"), RATES, corpus=load(spark, sf_dir, "documents"))
 
 
@@ -50,10 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written as Parquet in the shared folder and read again."""
+    """The stages one after the other, each written as Parquet in the shared folder and read again.
+
+    What a stage has written goes once the next one has been written, and its intermediate tables once it has.
+    """
     where = f"{shared_dir(spark)}/inkwell/pipeline-{uuid.uuid4().hex}"
     docs = load(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}-{name}")
         docs = spark.read.parquet(f"{where}/{k}-{name}")
+        if k:
+            delete(spark, f"{where}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
