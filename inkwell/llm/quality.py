@@ -38,7 +38,7 @@ RUN = re.compile(rb"(.)\1+", re.S)
 
 
 class Features:
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         self.known: dict[bytes, int] = {}
         self.most = most
 
