@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.bpe import bpe_documents
-from inkwell.llm.common import delete, load, scratch, shared_dir
+from inkwell.llm.common import delete, load, scratch, shared_dir, small_batches
 from inkwell.llm.mixing import mixed
 from inkwell.llm.quality import keep_good, train
 from inkwell.llm.secrets import redact
@@ -64,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = f"{shared_dir(spark)}/inkwell/pipeline-{uuid.uuid4().hex}"
     docs = load(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        with scratch(spark):
+        with scratch(spark), small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}-{name}")
         docs = spark.read.parquet(f"{where}/{k}-{name}")
         if k:
