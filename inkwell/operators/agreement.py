@@ -1,11 +1,12 @@
 """Correlation and agreement statistics, set precision and recall, separation of features.
 
-Ranks come from counts of equal values (a cumulative sum over distinct values of a group), so what a window sees is a
-group's distinct values, not its rows.
+Ranks come from counts of equal values within ranges of a group's values, so no window sees a whole group.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,37 +20,87 @@ def pearson(x: str, y: str) -> Column:
     return F.when(varied, F.try_divide(F.covar_pop(a, b), spread))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Adds the average rank of ``value`` within each group."""
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds the average rank of the number ``value`` within each group.
+
+    A group's distinct values are cut into ranges at ``parts`` quantiles; a window ranks within a range, and the sizes of the
+    ranges below it, a few numbers for each group, give where it starts.  So a large group is sorted by many tasks.
+    """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("_k").over(w), F.lit(0)) + (F.col("_k") + 1) / 2).alias(name))
+    edges = counts.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 20 * parts).alias("_e"))
+    placed = counts.join(edges, by).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    sizes = placed.groupBy(*by, "_b").agg(F.sum("_k").alias("_s"))
+    below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "_b", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_o"))
+    w = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = placed.join(starts, [*by, "_b"]).select(*by, value, (F.col("_o") + F.coalesce(F.sum("_k").over(w), F.lit(0)) + (F.col("_k") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value])
 
 
-def window_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """The same with windows, for many groups that are each small: nothing is joined back."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
-
-
-def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str = "rho", least: int = 2, small: bool = False) -> DataFrame:
-    """by, n, rho: the correlation of average ranks in each group; null under ``least`` rows or where a side is constant.
-
-    ``small``: there are many groups, each of which a task can hold.
-    """
+def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str = "rho", least: int = 2) -> DataFrame:
+    """by, n, rho: the correlation of average ranks in each group; null under ``least`` rows or where a side is constant."""
     clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranks = window_ranks if small else average_ranks
-    ranked = ranks(ranks(clean, by, "_x", "_rx"), by, "_y", "_ry")
+    ranked = average_ranks(average_ranks(clean, by, "_x", "_rx"), by, "_y", "_ry")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("_rho")).select(*by, "n", F.when(F.col("n") >= least, F.col("_rho")).alias(name))
 
 
-def annotator_pairs(ratings: DataFrame, item: list[str], least: int = 3) -> DataFrame:
-    """a, b, n, rho for each two annotators (annotator, item, rating) with ``least`` items in common."""
-    one = ratings.select(*item, F.col("annotator").alias("a"), F.col("rating").alias("ra"))
-    two = ratings.select(*item, F.col("annotator").alias("b"), F.col("rating").alias("rb"))
-    shared = one.join(two, item).where("a < b")
-    return spearman(shared, ["a", "b"], "ra", "rb", least=least, small=True).where(F.col("n") >= least)
+def annotator_pairs(ratings: DataFrame, item: list[str], least: int = 3, block: int = 128) -> DataFrame:
+    """a, b, n, rho for each two annotators (annotator, item, rating) with ``least`` items in common, a < b.
+
+    There are as many pairs as annotators squared, so that is what it costs; but ratings don't meet item by item: the
+    annotators are dealt into blocks of about ``block``, and each two blocks meet in a task as a matrix of annotators and
+    items.  Of repeated ratings of an item by one annotator the mean counts.
+    """
+    clean = ratings.where(F.col("rating").isNotNull() & ~F.isnan(F.col("rating").cast("double")) & F.col("annotator").isNotNull())
+    once = clean.groupBy("annotator", F.xxhash64(*item).alias("item")).agg(F.avg(F.col("rating").cast("double")).alias("rating"))
+    each = once.groupBy("annotator").agg(F.collect_list("item").alias("items"), F.collect_list("rating").alias("ratings"))
+    blocks = max(1, -(-once.select("annotator").distinct().count() // block))
+    own = F.pmod(F.xxhash64("annotator"), F.lit(blocks)).cast("int")
+    dealt = each.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("annotator", "items", "ratings", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"))
+    kind = dict(ratings.dtypes)["annotator"]
+    # Small rows, much work: a partition for each two blocks, which adaptive execution would put together.
+    dealt = dealt.repartition(min(4096, blocks * (blocks + 1) // 2), "low", "high")
+    return dealt.groupBy("low", "high").applyInPandas(_matched(least), f"a {kind}, b {kind}, n long, rho double")
+
+
+def _ranked(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Average ranks from 1 of the held entries of each row; 0 for the others."""
+    v, k = np.where(held, x, np.inf), np.arange(x.shape[1])
+    order = np.argsort(v, axis=1)
+    s = np.take_along_axis(v, order, axis=1)
+    new = np.concatenate([np.ones((len(s), 1), dtype=bool), s[:, 1:] != s[:, :-1]], axis=1)
+    ends = np.concatenate([new[:, 1:], np.ones((len(s), 1), dtype=bool)], axis=1)
+    first = np.maximum.accumulate(np.where(new, k, 0), axis=1)
+    last = np.minimum.accumulate(np.where(ends, k, len(k))[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=1)
+    return np.where(held, out, 0.0)
+
+
+def _matched(least: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, second = rows["annotator"].tolist(), rows["second"].to_numpy()
+        items, at = np.unique(np.concatenate([*rows["items"]]), return_inverse=True)
+        m = np.full((len(rows), len(items)), np.nan)
+        m[np.repeat(np.arange(len(rows)), [len(x) for x in rows["items"]]), at] = np.concatenate([*rows["ratings"]])
+        held, out = ~np.isnan(m), []
+        left, right = np.flatnonzero(~second), np.flatnonzero(second)
+        for k, i in enumerate(left.tolist()):
+            others = left[k + 1 :] if rows["low"].iloc[0] == rows["high"].iloc[0] else right
+            both = held[others] & held[i]
+            n = both.sum(axis=1)
+            others, both, n = others[n >= least], both[n >= least], n[n >= least]
+            if not len(others):
+                continue
+            mean = (n[:, None] + 1) / 2
+            x, y = (np.where(both, _ranked(z, both) - mean, 0.0) for z in (np.broadcast_to(m[i], both.shape), m[others]))
+            spread = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+            rho = np.divide((x * y).sum(axis=1), spread, out=np.full(len(n), np.nan), where=spread > 0)
+            out += [(*sorted((names[i], names[j])), int(c), None if np.isnan(r) else float(r)) for j, c, r in zip(others.tolist(), n.tolist(), rho.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["a", "b", "n", "rho"]).astype({"rho": "float64"})
+
+    return run
 
 
 def inter_annotator(ratings: DataFrame, item: list[str], least: int = 3) -> DataFrame:

@@ -97,22 +97,84 @@ def training_rows(candidates: DataFrame, prompts: DataFrame, label: str = "rewar
     return rows.select("prompt", F.concat(F.lit(" "), "chosen").alias("completion"), "record_id", "kind"), rows.where("rejected IS NOT NULL").select("prompt", "chosen", "rejected", "record_id", "kind")
 
 
-def reward_by_case(completions: DataFrame, cases: DataFrame, reward: str = "composite") -> DataFrame:
+REWARDS = ("linguistic", "composite", "human", "judge")
+
+
+def reward_by_case(completions: DataFrame, cases: DataFrame, reward: str = "composite", persona: str = "balanced", judge: Callable | None = None, **settings) -> DataFrame:
     """completion_id, reward, guards, total for rows (completion_id, case_id, messages or text); 0 where the case is unknown.
 
-    ``cases``: case_id, blob, facts.  The guards are added to the reward as rewards of their own.
+    ``cases``: case_id, blob, facts, and for ``human`` salient and references, for ``judge`` record.  A case may be a record
+    of a corpus: then blob is all that it says, and its facts are the sentences of its source.  ``human`` weighs six
+    dimensions as a persona does; ``judge`` asks a chat model (a factory of a function from prompt to answer), a failed
+    answer scores 0.  The guards are added to the reward as rewards of their own.
     """
+    if reward not in REWARDS:
+        raise ValueError(f"no reward {reward!r}; there are {', '.join(REWARDS)}")
     text = parsing.completion_text(F.col("messages")) if "messages" in completions.columns else F.col("text")
-    held = completions.select("completion_id", "case_id", F.coalesce(text, F.lit("")).alias("text")).join(cases.select("case_id", "blob", "facts"), "case_id", "left")
+    more = {"human": ["salient", "references"], "judge": ["record"]}.get(reward, [])
+    held = completions.select("completion_id", "case_id", F.coalesce(text, F.lit("")).alias("text")).join(cases.select("case_id", "blob", "facts", *more), "case_id", "left")
     held = held.withColumn("known", F.col("blob").isNotNull()).withColumn("blob", F.coalesce("blob", F.lit("")))
     rich = X.with_features(held).withColumn("_w", G.index_words(F.col("blob"))).withColumn("_y", G.index_years(F.col("blob")))
     rich = rich.withColumn("_f", G.lexical_faithfulness(F.col("text"), F.col("_w"), F.col("_y"))).withColumn("_s", R.sensationalism(F.col("text"), G.premise_text(F.coalesce("facts", F.array().cast("array<string>")))))
-    score = {"linguistic": X.linguistic_reward(digits=4), "composite": R.composite(F.col("_f.F"), F.col("_f.unsupported"), X.quality(), F.col("calibration"), F.col("_s"), 4)}[reward]
+    if reward == "human":
+        weights = dict(zip((*L.DIMENSIONS, "fab"), L.PERSONAS[persona], strict=True))
+        told = {
+            "coverage": R.coverage(F.col("text"), F.coalesce("salient", F.array().cast("array<string>"))), "specificity": F.col("concreteness"), "grounding": F.col("_f.F"), "source": F.when(R.names_source(F.col("text"), F.col("references")), 1.0).otherwise(0.0),
+            "calibration": R.human_calibration(F.col("calibration")), "restraint": F.greatest(F.lit(0.0), 1 - F.col("_s")),
+        }
+        score = sum((w * told[d] for d, w in weights.items() if d in told), F.lit(0.0)) - weights["fab"] * F.col("_f.unsupported")
+    elif reward == "judge":
+        if judge is None:
+            raise ValueError("the judge reward needs a judge")
+        rich = judged(rich.withColumn("record", F.coalesce("record", F.lit(""))), "record", "text", judge, **settings)
+        score = F.col("judge")
+    else:
+        score = X.linguistic_reward(digits=4) if reward == "linguistic" else R.composite(F.col("_f.F"), F.col("_f.unsupported"), X.quality(), F.col("calibration"), F.col("_s"), 4)
     guard = guards.length_penalty(F.col("text")) + guards.format_penalty(guards.format_hits(F.col("text"))) + guards.copy_penalty(guards.copy_overlap(F.col("text"), F.col("blob")))
     out = rich.select("completion_id", F.when(F.col("known"), score).otherwise(0.0).alias("reward"), F.when(F.col("known"), guard).otherwise(0.0).alias("guards"))
     return out.withColumn("total", F.col("reward") + F.col("guards"))
 
 
+def judged(df: DataFrame, record: str, text: str, call: Callable, **settings) -> DataFrame:
+    """Adds ``judge``: messages for a judge, its answer, and the score parsed from it, 0 where there is none."""
+    ask = F.array_join(F.transform(parsing.judge_messages(F.col(record), F.col(text)), lambda m: m["content"]), "\n\n")
+    told = scoring.chat_column(df.withColumn("_ask", ask), "_ask", "_answer", call, **settings)
+    return told.withColumn("judge", parsing.judge_score(F.col("_answer"))).drop("_ask", "_answer", "_answer_status")
+
+
+def extracted(df: DataFrame, text: str, call: Callable, **settings) -> DataFrame:
+    """Adds ``extraction`` (entities, relationships) as an extractor (a factory of a function from text to JSON) answers."""
+    told = scoring.chat_column(df, text, "_answer", call, **settings)
+    return told.withColumn("extraction", parsing.extraction(F.col("_answer"))).drop("_answer", "_answer_status")
+
+
+def name_extractor():
+    """An extractor without a model: capitalised words that don't begin a sentence, each once, as persons."""
+    import json
+    import re
+
+    first, name = re.compile(r"[.!?]\s+\S+"), re.compile(r" ([A-ZÀ-Þ][a-zà-ÿ]+)")
+    return lambda text: json.dumps({"entities": [{"entity_text": x, "entity_type": "PERSON"} for x in dict.fromkeys(name.findall(first.sub("", text)))], "relationships": []}, ensure_ascii=False)
+
+
+#: A statement that no record has.
+OFF_RECORD = "Then in 1871 old Captain Ferrow of Quillmarsh sold the lighthouse to Doctor Ibsen."
+
+
+def downstream(df: DataFrame, key: list[str], text: str, false: str = OFF_RECORD) -> DataFrame:
+    """key, downstream: by how much a clause of the text itself is better grounded in the text than a false statement, 0 to 1."""
+    held = attested(df.select(*key, F.col(text).alias("_t")), F.col("_t"))
+    first = F.substring(F.element_at(F.split("_t", r"\."), 1), 1, 200)
+    score = lambda x: G.lexical_faithfulness(x, F.col("attested_words"), F.col("attested_years"))["F"]
+    return held.select(*key, F.greatest(F.lit(0.0), score(first) - score(F.lit(false))).alias("downstream"))
+
+
+def case_prompts(cases: DataFrame, unit: Column, block: Column, registers: tuple[str, ...] = ("testimony", "finding_aid")) -> DataFrame:
+    """case_id, register, prompt: each case once for each register."""
+    each = cases.select("case_id", unit.alias("_unit"), block.alias("_block"), F.explode(F.array(*map(F.lit, registers))).alias("register"))
+    return each.select("case_id", "register", parsing.prompt(F.col("_unit"), F.col("register"), F.col("_block")).alias("prompt"))
+
+
 # ---- Reports ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 
@@ -42,13 +47,73 @@ def unit(vector: Column) -> Column:
 def top_vectors(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
     """(query_id, vec_id, rank, similarity): the k nearest of ``vectors`` (vec_id, embedding) for each query (query_id, query).
 
-    A stated, bounded set of queries goes to every partition of the vectors.  The limit on the rank is applied within each
-    partition before the shuffle (a window group limit), so what meets in a query's window is k rows from each partition,
-    not all vectors.
+    Queries go to every partition of the vectors as a matrix, about ``most_queries`` at a time (dealt by hashed id, so that
+    more of them mean more passes and no larger matrix).  An Arrow batch of vectors is multiplied with it at once, and only
+    each query's k best of the batch, and what ties with them, go on to the query's window.
     """
-    held = F.broadcast(queries.select("query_id", unit(F.col("query")).alias("q")).limit(most_queries))
-    normed = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    similarity = F.aggregate(F.zip_with("q", "v", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    scored = normed.join(held, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", similarity.alias("similarity"))
+    passes = max(1, -(-queries.count() // most_queries))
+    out = None
+    for n in range(passes):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)
+        got = part.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query")).toArrow()
+        near = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_nearest(got, k), "query_id long, vec_id long, similarity double")
+        out = near if out is None else out.unionByName(near)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "similarity")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "similarity")
+
+
+def _matrix(vectors: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of unit length, zero where a vector is null or zero."""
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        if v.is_valid:
+            out[k, : len(v.values)] = v.values.to_numpy(zero_copy_only=False)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _nearest(queries: pa.Table, k: int):
+    width = max((len(v.values) for v in queries.column(1) if v.is_valid), default=0)
+    ids, asked = queries.column(0).to_numpy(), _matrix(queries.column(1), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not (batch.num_rows and len(ids)):
+                continue
+            own = batch.column(0).to_numpy()
+            held = _matrix(batch.column(1), width)
+            for top in range(0, len(ids), 256):
+                near = np.where(own[None, :] == ids[top : top + 256, None], -np.inf, asked[top : top + 256] @ held.T)
+                least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+                q, v = np.nonzero((near >= least[:, None] - 1e-9) & (near > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[top + q]), pa.array(own[v]), pa.array(near[q, v])], ["query_id", "vec_id", "similarity"])
+
+    return run
+
+
+def top_encoded(df: DataFrame, text: str, query: str, k: int, encode: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> DataFrame:
+    """Adds ``retrieved``, the k sentences (score, pos, sentence) nearest to the query: by ``encode``, a factory of a function from texts to vectors, or, without one or where it fails, by shared words."""
+    lexical = top_sentences(df, text, query, k)
+    if encode is None:
+        return lexical
+    kind = pa.list_(pa.struct([("score", pa.int32()), ("pos", pa.int32()), ("sentence", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            out = []
+            for asked, fallback, sentences in zip(batch.column("_asked").to_pylist(), batch.column("retrieved").to_pylist(), batch.column("_sentences").to_pylist(), strict=True):
+                try:
+                    model = model or encode()
+                    v = np.asarray(model([asked or "", *sentences]), dtype=float)
+                    v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+                    near = v[1:] @ v[0]
+                    out.append([{"score": round(1000 * float(near[i])), "pos": int(i), "sentence": sentences[i]} for i in np.argsort(-near, kind="stable")[:k]])
+                except Exception:  # noqa: BLE001  a model's failure means the fallback
+                    out.append(fallback)
+            columns = {n: batch.column(n) for n in names} | {"retrieved": pa.array(out, kind)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    names = df.columns
+    held = lexical.withColumn("_asked", F.col(query)).withColumn("_sentences", T.source_sentences(F.col(text)))
+    return held.mapInArrow(run, StructType([*df.schema.fields, StructField("retrieved", lexical.schema["retrieved"].dataType)]))

@@ -1,3 +1,3 @@
-from . import catalogue, relational
+from . import catalogue, library, relational
 
-__all__ = ["catalogue", "relational"]
+__all__ = ["catalogue", "library", "relational"]

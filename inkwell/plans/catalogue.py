@@ -266,7 +266,17 @@ def strip_hedges(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", F.md5(T.strip_hedges(F.col("text"))).alias("stripped"))
 
 
-@query("verdict_fold")
+@query(
+    "verdict_fold",
+    rf"""WITH t AS (SELECT conv_id, turn, {D.claims('text')} AS c, list_filter({D.cut('source_text')}, lambda p: p <> '') AS p, {D.lowered('source_text')} AS w, {D.years('source_text')} AS yr FROM {TURNS_SQL}),
+    e AS (SELECT conv_id, turn, p, w, yr, unnest(c) AS claim FROM t WHERE len(c) > 0), h AS (SELECT *, list_distinct(regexp_extract_all(lower({D.strip_hedges('claim')}), '[a-zà-ÿ]+')) AS want FROM e),
+    s AS (SELECT conv_id, turn, CASE WHEN len(want) = 0 THEN 0 ELSE list_max(list_transform(p, lambda x: len(list_intersect(want, list_distinct(regexp_extract_all(lower(x), '[a-zà-ÿ]+')))))) / len(want) END AS entail,
+      {D.n_pieces('claim')} >= 5 AND (len(list_filter({_LATER_CLAIM}, lambda x: regexp_full_match(x, '[A-Za-zÀ-ÿ]+') AND regexp_matches(x, '^\p{{Lu}}') AND NOT list_contains({D.listed(L.STOPWORDS)}, lower(x)) AND NOT list_contains(w, lower(x)))) > 0 OR len(list_filter({D.years('claim')}, lambda y: NOT list_contains(yr, y))) > 0) AS invented FROM h WHERE len(p) > 0),
+    n AS (SELECT conv_id, turn, count(*) FILTER (entail >= {L.ENTAIL}) AS ok, count(*) FILTER (entail < {L.ENTAIL} AND invented) AS bad FROM s GROUP BY ALL),
+    v AS (SELECT conv_id, turn, len(c) AS c, len(p) AS p, coalesce(ok, 0) AS ok, coalesce(bad, 0) AS bad FROM t LEFT JOIN n USING (conv_id, turn))
+    SELECT conv_id, turn, CASE WHEN c > 0 AND p > 0 AND ok + bad > 0 THEN round(ok / (ok + bad), 6) ELSE 1::DOUBLE END AS F, CASE WHEN c > 0 AND p > 0 THEN bad ELSE 0 END AS unsupported,
+    CASE WHEN c = 0 AND p = 0 THEN '{G.NEITHER}' WHEN c = 0 THEN '{G.NO_CLAIMS}' WHEN p = 0 THEN '{G.NO_PREMISES}' WHEN ok + bad > 0 THEN '{G.SCORED}' ELSE '{G.VAGUE}' END AS status FROM v""",
+)
 def verdict_fold(spark, sf_dir):
     """Claims of a turn against the sentences of its record, by the scorer that needs no model."""
     held = turns(spark, sf_dir).select("conv_id", "turn", "text", T.cut_after(F.col("source_text"), ".!?").alias("premises"), G.index_words(F.col("source_text")).alias("w"), G.attested_years(F.col("source_text")).alias("y"))
@@ -298,15 +308,10 @@ def sentence_retrieval_topk(spark, sf_dir):
     FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) WHERE rank <= 5""",
 )
 def vector_topk(spark, sf_dir):
-    """Queries: the vectors whose id is divisible by 20, in blocks of ids, against all vectors."""
+    """Queries: the vectors whose id is divisible by 20, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    out, block = None, 10_000
-    bounds = asked.agg(F.min("query_id").alias("a"), F.max("query_id").alias("b")).head()
-    for start in range(bounds["a"] or 0, (bounds["b"] or 0) + 1, 20 * block):
-        part = retrieval.top_vectors(vectors, asked.where(F.col("query_id").between(start, start + 20 * block - 1)), 5, block)
-        out = part if out is None else out.unionByName(part)
-    return rounded(out.withColumn("rank", F.col("rank").cast("long")), ["similarity"], 4)
+    return rounded(retrieval.top_vectors(vectors, asked, 5).withColumn("rank", F.col("rank").cast("long")), ["similarity"], 4)
 
 
 # ---- Candidates: documents, grouped by source; a number is an unsupported claim --------------------------------------
@@ -526,12 +531,12 @@ def chunk_words_150(spark, sf_dir):
 
 @query(
     "focal_mode_entity",
-    f"""WITH e AS (SELECT conv_id, turn * 100000 + generate_subscripts(n, 1) AS place, unnest(n) AS name FROM (SELECT conv_id, turn, {D.names_in("coalesce(text, '')")} AS n FROM conversations) WHERE len(n) > 0), c AS (SELECT conv_id, name, count(*) AS k, min(place) AS place FROM e GROUP BY ALL)
-    SELECT conv_id, first(name ORDER BY k DESC, place) AS name, max(k) AS times FROM c GROUP BY conv_id""",
+    f"""WITH e AS (SELECT doc_id, generate_subscripts(n, 1) AS place, unnest(n) AS name FROM (SELECT doc_id, {D.names_in("text")} AS n FROM {TEXTS_SQL}) WHERE len(n) > 0), c AS (SELECT doc_id, name, count(*) AS k, min(place) AS place FROM e GROUP BY ALL)
+    SELECT doc_id, first(name ORDER BY k DESC, place) AS name, max(k) AS times FROM c GROUP BY doc_id""",
 )
 def focal_mode_entity(spark, sf_dir):
-    named = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(G.names_in(F.coalesce("text", F.lit("")))).alias("p", "name"))
-    return agreement.most_frequent(named.withColumn("at", F.col("turn") * 100000 + F.col("p")), ["conv_id"], "name", "at")
+    named = texts(spark, sf_dir).select("doc_id", F.posexplode(G.names_in(F.col("text"))).alias("at", "name"))
+    return agreement.most_frequent(named, ["doc_id"], "name", "at")
 
 
 @query(
@@ -609,7 +614,16 @@ def iob_sets(spark, sf_dir):
     return readers.iob_entities(_tags(spark, sf_dir), "set")
 
 
-@query("mention_longest_match")
+#: No shorter surface ends as a longer one begins, so the leftmost match of the alternation, longest first, is the longest that wins.
+_SURFACES = "Apache License|MIT License|License|the and|the|and|2\\.0"
+
+
+@query(
+    "mention_longest_match",
+    f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_SURFACES}') AS m, list_transform(string_split_regex(text, '{_SURFACES}'), lambda g: len(g)) AS g FROM {TEXTS_SQL}),
+    e AS (SELECT doc_id, unnest(m) AS surface, unnest(g[:len(m)]) AS gap, generate_subscripts(m, 1) AS k FROM m WHERE len(m) > 0), p AS (SELECT *, (sum(gap + len(surface)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING))::INT AS "end" FROM e)
+    SELECT doc_id, ("end" - len(surface))::INT AS start, "end", surface, CASE surface WHEN 'the and' THEN 'place' WHEN 'and' THEN 'person' WHEN '2.0' THEN 'date' ELSE 'org' END AS type FROM p""",
+)
 def mention_longest_match(spark, sf_dir):
     """Mentions of fixed surfaces in every document; of those that overlap the longest surface wins."""
     surfaces = [("the", "org"), ("the and", "place"), ("and", "person"), ("Apache License", "org"), ("License", "org"), ("2.0", "date"), ("MIT License", "org")]

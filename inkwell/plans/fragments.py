@@ -124,3 +124,8 @@ def average_rank(by: str, value: str) -> str:
 
 def corr(x: str, y: str) -> str:
     return f"CASE WHEN count(*) >= 2 AND min({x}) < max({x}) AND min({y}) < max({y}) THEN corr({x}, {y}) END"
+
+
+def cut(t: str) -> str:
+    """Sentences, cut after their mark, trimmed."""
+    return rf"list_transform(string_split(regexp_replace({t}, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda s: trim(s))"

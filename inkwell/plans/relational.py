@@ -45,11 +45,11 @@ def supplier_volume_by_region(spark, sf_dir):
 
 
 @query(
-    "customers_without_orders",
-    "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1",
+    "customers_without_open_orders",
+    "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') GROUP BY 1",
 )
-def customers_without_orders(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+def customers_without_open_orders(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return c.groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
 
 

@@ -248,7 +248,7 @@ def word_ratings(spark: SparkSession, path: str) -> DataFrame:
     """word, rating of a table of norms; ratings that aren't numbers are left out.  Join it broadcast only if it is small."""
     rows = spark.read.option("header", True).csv(path)
     word, rating = rows.columns[:2]
-    return rows.select(F.lower(F.trim(word)).alias("word"), F.col(rating).try_cast("double").alias("rating")).where("rating IS NOT NULL AND word <> ''")
+    return rows.select(F.lower(F.trim(F.col(f"`{word}`"))).alias("word"), F.col(f"`{rating}`").try_cast("double").alias("rating")).where("rating IS NOT NULL AND word <> ''")
 
 
 def record_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -66,3 +66,80 @@ def test_reports(spark):
     rows = spark.createDataFrame([("good", 1.0, 0), ("good", 0.5, 2), ("fabricated", 0.5, 1), ("flattened", 1.0, 0)], "style string, F double, unsup int")
     assert {r.style: r.accepted for r in flows.acceptance(rows).collect()} == {"good": 1, "fabricated": 1, "flattened": 1}
     assert flows.label_balance(spark.createDataFrame([(True,), (False,), (False,)], "label boolean")).where("NOT label").head().rows == 2
+
+
+def _six():
+    return lambda prompt: '{"score": 6}' if "RECORD" in prompt else ""
+
+
+def test_rewards_by_case_of_every_kind(spark):
+    g = synthetic.grid(spark).withColumn("record", F.col("blob"))
+    done = g.select(F.concat_ws("-", "case_id", "register", "profile").alias("completion_id"), "case_id", "text")
+    cases = g.select("case_id", "blob", "facts", "salient", "references", "record").dropDuplicates(["case_id"])
+    human = {r.completion_id: r.reward for r in flows.reward_by_case(done, cases, "human").collect()}
+    wins = [human[f"{k}-good"] > human[f"{k}-fabricated"] for k in {x.rpartition("-")[0] for x in human}]
+    assert len(wins) == 16 and all(wins)
+    assert {r.reward for r in flows.reward_by_case(done, cases, "judge", judge=_six, tries=1, wait=0.0).collect()} == {6.0}
+    with pytest.raises(ValueError):
+        flows.reward_by_case(done, cases, "other")
+    with pytest.raises(ValueError):
+        flows.reward_by_case(done, cases, "judge")
+
+
+def test_prompts_of_cases(spark):
+    rows = flows.case_prompts(synthetic.cases(spark), synthetic.entity(F.col("focal"))["name"], synthetic.case_block()).collect()
+    assert len(rows) == 16 and {r.register for r in rows} == {"testimony", "finding_aid"} and all("Focal: " in r.prompt for r in rows)
+
+
+def test_downstream_and_extractor(spark):
+    df = spark.createDataFrame([(1, "Then Anna met Josef in Vienna in 1938. Later Anna left."), (2, "")], "id long, text string")
+    got = {r.id: r.downstream for r in flows.downstream(df, ["id"], "text").collect()}
+    assert got[1] == 1.0 and got[2] == 1.0  # nothing in the off-record statement is attested
+    names = flows.extracted(df, "text", flows.name_extractor, tries=1, wait=0.0).orderBy("id").head().extraction.entities
+    assert [e.entity_text for e in names] == ["Anna", "Josef", "Vienna"]
+
+
+def _broken():
+    raise OSError("no model")
+
+
+def test_encoder_and_its_fallback(spark):
+    from inkwell.operators import retrieval
+    from inkwell.plans import library
+
+    text = "The red house stood by the old mill. A miller lived there with two sons. The red house burned in that winter."
+    df = spark.createDataFrame([(1, text, "red house winter")], "id long, text string, q string")
+    lexical = retrieval.top_sentences(df, "text", "q", 2).head().retrieved
+    assert retrieval.top_encoded(df, "text", "q", 2, _broken).head().retrieved == lexical == retrieval.top_encoded(df, "text", "q", 2).head().retrieved
+    near = retrieval.top_encoded(df, "text", "q", 3, library._letters).head().retrieved
+    assert len(near) == 3 and [r.score for r in near] == sorted((r.score for r in near), reverse=True)
+
+
+def test_vectors_in_several_passes(spark):
+    from inkwell.operators import retrieval
+
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 3), 1.0]) for k in range(90)] + [(5, [5.0, 2.0, 1.0]), (99, [0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    rows = lambda most: sorted(map(tuple, retrieval.top_vectors(v, q, 4, most).drop("similarity").collect()))
+    assert rows(1000) == rows(3) and len(rows(1000)) == 80
+
+
+def test_ranks_in_ranges(spark):
+    from inkwell.operators import agreement
+
+    rows = [("a" if k % 4 else "b", float(k * 37 % 101 // 2)) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for parts in (2, 64):
+        got = {(r.g, r.x): r.rank for r in agreement.average_ranks(df, ["g"], "x", "rank", parts).collect()}
+        for g in "ab":
+            xs = sorted(x for h, x in rows if h == g)
+            assert all(got[g, x] == xs.index(x) + (xs.count(x) + 1) / 2 for x in set(xs))
+
+
+def test_annotators_in_blocks(spark):
+    from inkwell.operators import agreement
+
+    rows = [(f"n{a}", i, float((a * 7 + i * i * (1 + a % 3)) % 5)) for a in range(12) for i in range(8) if (a + i) % 4]
+    df = spark.createDataFrame(rows, "annotator string, item int, rating double")
+    one, many = ({(r.a, r.b): (r.n, None if r.rho is None else round(r.rho, 9)) for r in agreement.annotator_pairs(df, ["item"], 3, block).collect()} for block in (100, 3))
+    assert one == many and len(one) > 40 and all(a < b for a, b in one)
