@@ -196,10 +196,11 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int = 0, epochs: int = 8,
             d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - yb) / len(xb)
             dtop = (d[:, None] * net.out[None, :] * (flat > 0)).reshape(len(xb), 3, FILTERS)
             picked = windows[np.arange(len(xb))[:, None, None], at]  # (n, 3, FILTERS, EMBED * WIDTH)
-            g = {"out": flat.T @ d, "last": d.sum(), "bias": dtop.sum(axis=(0, 1)), "conv": np.einsum("npf,npfe->ef", dtop, picked), "embed": np.zeros_like(net.embed)}
+            g = {"out": flat.T @ d, "last": d.sum(), "bias": dtop.sum(axis=(0, 1)), "conv": (picked.reshape(-1, FILTERS, EMBED * WIDTH).transpose(1, 2, 0) @ dtop.reshape(-1, FILTERS).T[:, :, None])[:, :, 0].T}
             back = (dtop[..., None] * net.conv.T[None, None]).reshape(-1, WIDTH, EMBED)
             where = xb[np.arange(len(xb))[:, None, None, None], at[..., None] + np.arange(WIDTH)].reshape(-1, WIDTH)
-            np.add.at(g["embed"], where, back)
+            back = back.reshape(-1, EMBED)
+            g["embed"] = np.stack([np.bincount(where.ravel(), back[:, k], minlength=len(net.embed)) for k in range(EMBED)], axis=1)
             step += 1
             for k in names:
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
