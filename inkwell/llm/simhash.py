@@ -20,9 +20,10 @@ bytes, and a random bucket holds N / 2^25.
 
 ``keep_one`` also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which 64 bits are
 too few to tell.  It compares SimHash fingerprints of 512 bits with the same planes and adders.  At a similarity of 0.8 an
-expected 78 bits differ, with a standard error of 8; WIDE_RADIUS is one such error more.  Texts of at most FEW shingles,
-whose bits vary more, are compared by their sets after a wider radius.  Texts meet in buckets where one of BANDS bands of
-ROWS minima of their hashed shingles agrees (98 % of pairs at 0.8).
+expected 78 bits differ, with a standard error of 8; WIDE_RADIUS is four such errors more, and wider for texts of at most FEW
+shingles, whose bits vary more.  What is within it is then held against the sets themselves, so no two texts below 0.8 are
+linked.  Texts meet in buckets where one of BANDS bands of ROWS minima of their hashed shingles agrees (98 % of pairs at
+0.8).  Only texts that share a bucket have their sets made and shuffled.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; equal texts have equal
 fingerprints; repeated rows are repeated; a null doc_id keeps its row and names no component unless the component has
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions, per_document, scratch, set_apart, texts, written
+from .common import id_text, marked_ids, partitions, per_document, scratch, set_apart, texts, written
 from .components import components
 
 #: Blocks of the fingerprint, and fingerprints of a slice of a large bucket.
@@ -271,9 +272,11 @@ def dealt(rows: DataFrame, keys: list[str], cell: int, *more: str) -> DataFrame:
     return out.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell", "side")
 
 
-def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys stand in several, with their number n; both sides of the join have plain exchanges."""
-    return rows.join(written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets"), keys)
+def shared(rows: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """The rows whose keys stand in several, with n, their number or, if that is more, ``weight``; both sides of the join have plain exchanges."""
+    count = F.count("*")
+    sizes = rows.groupBy(*keys).agg(count.alias("several"), (count if weight is None else F.greatest(count, weight)).alias("n"))
+    return rows.join(written(sizes.where("several > 1").drop("several"), "simhash-buckets"), keys)
 
 
 def near_links(fps: DataFrame, radius: int = 3, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
@@ -302,7 +305,9 @@ def near_links(fps: DataFrame, radius: int = 3, blocks: int = BLOCKS, cell: int
 #: Words of a shingle, and the similarity from which texts are near-duplicates.
 WIDE_SHINGLE, ALIKE = 5, 0.8
 #: Words of 64 bits of a wide fingerprint; the most bits in which two near ones differ, and where one has few shingles.
-WIDE, WIDE_RADIUS, LOOSE_RADIUS, FEW = 8, 86, 160, 64
+WIDE, WIDE_RADIUS, LOOSE_RADIUS, FEW = 8, 110, 160, 64
+#: Shingles that count as one row when a bucket is cut into slices.
+ROW_SHINGLES = 512
 #: Bands of so many minima.
 BANDS, ROWS = 8, 4
 
@@ -320,12 +325,16 @@ def seeds() -> tuple[np.ndarray, np.ndarray]:
     return x[:WIDE], x[WIDE:] | np.uint64(1)
 
 
-def wide(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the set of five-word shingles: the wide fingerprint, the hashes themselves if they are few, and the hashed bands.  A text without words has no band."""
+def hashes(text: str) -> np.ndarray:
+    """The set of hashed five-word shingles, in order."""
     joined, ends, n = shingles(text, WIDE_SHINGLE)
-    if not n:
-        return np.zeros(WIDE, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    h = np.unique(np.concatenate([hashed(joined, ends, WIDE_SHINGLE, at, min(n, at + STEP)) for at in range(0, n, STEP)]))
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *(hashed(joined, ends, WIDE_SHINGLE, at, min(n, at + STEP)) for at in range(0, n, STEP))]))
+
+
+def wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of hashed shingles: the wide fingerprint and the hashed bands.  An empty one has no band."""
+    if not len(h):
+        return np.zeros(WIDE, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     plus, by = seeds()
     counts, low = np.zeros(64 * WIDE, dtype=np.int64), np.full(BANDS * ROWS, ONES)
     for at in range(0, len(h), STEP):
@@ -333,41 +342,58 @@ def wide(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts += tally(mix(part + plus))
         low = np.minimum(low, (part * by).min(axis=0))
     bands = mix((mix(low).reshape(BANDS, ROWS) * by[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
-    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8"), h if len(h) <= FEW else h[:0], bands
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8"), bands
+
+
+def digest(h: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(h.tobytes(), 42)
 
 
 def _alike(held: pa.Table) -> tuple[Callable, Callable]:
-    """Whether rows (cell, side, node, wide, few) are near-duplicates: a screen by distance, and a test by the sets of two that have few shingles."""
+    """Whether rows (cell, side, node, wide, set) are near-duplicates: a screen by sizes and distance, and a test by the sets."""
     fps = held.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(held.num_rows, -1)
-    few = held.column(4).combine_chunks()
-    size = few.value_lengths().to_numpy()
+    sets = held.column(4).combine_chunks()
+    size, at, values = sets.value_lengths().to_numpy(), sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
 
     def screen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = size[a], size[b]
-        # Sets of sizes x < y have a similarity of x / y at most.
-        return np.where((x > 0) & (y > 0), np.minimum(x, y) >= ALIKE * np.maximum(x, y), np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= WIDE_RADIUS)
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        # Sets of sizes low < high have a similarity of low / high at most.
+        return (low >= ALIKE * high) & (np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= np.where(low <= FEW, LOOSE_RADIUS, WIDE_RADIUS))
 
     def sure(i: int, j: int) -> bool:
-        if not (size[i] and size[j]):
-            return True
-        both = len(set(few[i].as_py()) & set(few[j].as_py()))
-        return both >= ALIKE * (int(size[i]) + int(size[j]) - both)
+        x, y = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
+        both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+        return both >= ALIKE * (len(x) + len(y) - both)
 
     return screen, sure
 
 
-def wide_links(marks: DataFrame, cell: int = CELL) -> DataFrame:
-    """Links (u, v) of the ids ``component_id`` of rows (doc_id, component_id, wide, few, bands) that are near-duplicates.
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [hashes(t) for t in texts(batch.column(1))]
+        if sets:
+            columns = [pa.array([signed(digest(h)) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "digest", "set"])
+
+
+def wide_links(marks: DataFrame, docs: DataFrame, cell: int = CELL) -> DataFrame:
+    """Links (u, v) of the ids ``component_id`` of rows (doc_id, component_id, wide, size, digest, bands) that are near-duplicates.
 
-    Rows of equal fingerprints and shingles are merged first.  Only buckets of two or more meet their fingerprints.
+    Rows of equal sets are merged first.  Only of those that share a bucket are sets made anew from ``docs`` (doc_id, text).
     """
-    each = written(marks.groupBy("wide", "few").agg(F.min("doc_id").alias("key"), F.min("component_id").alias("first"), F.min("bands").alias("bands")), "simhash-wide")
-    rows = shared(each.select(F.col("key").alias("node"), F.explode("bands").alias("band")), ["band"])
-    rows = rows.join(each.select(F.col("key").alias("node"), "wide", "few"), "node")
-    links = dealt(rows, ["band"], cell, "wide", "few").mapInArrow(_cells(LOOSE_RADIUS, _alike), "u long, v long")
-    ends = each.select(F.col("key"), F.col("first"))
+    lows = [F.min(c).alias(name) for c, name in (("doc_id", "node"), ("component_id", "first"), ("size", "size"), ("bands", "bands"))]
+    each = written(marks.groupBy("wide", "digest").agg(*lows), "simhash-wide")
+    rows = written(shared(each.select("node", "size", F.explode("bands").alias("band")), ["band"], F.ceil(F.sum("size") / ROW_SHINGLES)), "simhash-bands")
+    nodes = written(each.join(rows.select("node").distinct(), "node", "left_semi").select("node", "digest", "wide"), "simhash-nodes")
+    again = marked_ids(docs, nodes.select(F.col("node").alias("doc_id"))).where("maybe").select("doc_id", "text")
+    sets = again.mapInArrow(_set_rows, "node long, digest long, set array<long>").join(nodes, ["node", "digest"])
+    rows = rows.select("node", "band", "n").join(written(sets.dropDuplicates(["node", "digest"]), "simhash-sets"), "node")
+    links = dealt(rows, ["band"], cell, "wide", "set").mapInArrow(_cells(LOOSE_RADIUS, _alike), "u long, v long")
+    ends = each.select("node", "first")
     links = links.join(ends.toDF("u", "a"), "u").join(ends.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    same = marks.join(each.select("wide", "few", "first"), ["wide", "few"]).select(F.col("component_id").alias("u"), F.col("first").alias("v"))
+    same = marks.join(each.select("wide", "digest", "first"), ["wide", "digest"]).select(F.col("component_id").alias("u"), F.col("first").alias("v"))
     return links.unionByName(same.distinct()).where("u <> v")
 
 
@@ -385,10 +411,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [(signed(fingerprint(t)), *(x.view(np.int64) for x in wide(t))) for t in texts(batch.column(1))]
+        made = []
+        for text in texts(batch.column(1)):
+            h = hashes(text)
+            made.append((signed(fingerprint(text)), len(h), signed(digest(h)), *(x.view(np.int64) for x in wide(h))))
         if made:
-            fp, *lists = zip(*made, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["doc_id", "fp", "wide", "few", "bands"])
+            columns = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "size", "digest", "wide", "bands"])
 
 
 def grouped(marked: DataFrame, radius: int, blocks: int, cell: int) -> DataFrame:
@@ -412,9 +441,10 @@ def similar_groups(docs: DataFrame, radius: int = 3, blocks: int = BLOCKS, cell:
     """(doc_id, component_id) by near fingerprints or similar sets of shingles; rows without a doc_id are in no group."""
     spark = docs.sparkSession
     with scratch(spark) as keep:
-        marked = written(id_text(docs).where("doc_id IS NOT NULL").mapInArrow(_wide_rows, "doc_id long, fp long, wide array<long>, few array<long>, bands array<long>"), "simhash-marks")
+        docs = id_text(docs).where("doc_id IS NOT NULL")
+        marked = written(docs.mapInArrow(_wide_rows, "doc_id long, fp long, size long, digest long, wide array<long>, bands array<long>"), "simhash-marks")
         marked = written(marked.join(grouped(marked.select("doc_id", "fp"), radius, blocks, cell), "fp").drop("fp"), "simhash-marks")
-        tree = components(wide_links(marked.where(F.size("bands") > 0), cell))
+        tree = components(wide_links(marked.where(F.size("bands") > 0), docs, cell))
         found = marked.select("doc_id", "component_id").join(tree.toDF("component_id", "low"), "component_id", "left")
         return keep(written(found.select("doc_id", F.coalesce("low", "component_id").alias("component_id")), "simhash-groups"))
 
