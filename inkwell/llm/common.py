@@ -80,16 +80,28 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _open[-1].extend(x for x in mine if x in kept)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def fewer_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session's queries send at most ``rows`` texts at a time to Python and back, so that few of them are in memory.
+
+    A lazy result is computed with the setting of that later time, so whoever returns one can't put the old value back.
+    """
+    now = int(spark.conf.get(BATCH_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(BATCH_ROWS, rows)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Queries run within send texts to Python and back ``rows`` at a time, so that few of them are in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """``fewer_rows`` for the queries run within."""
+    before = spark.conf.get(BATCH_ROWS)
+    fewer_rows(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -849,3 +849,20 @@ def test_pipeline_of_odd_documents(spark, docs, rows, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels_of(spark, rows).write.parquet(str(tmp_path / "labels.parquet"))
     assert p.run(spark, str(tmp_path)).columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_stages_keep_batches_small(spark, docs):
+    import corpus_pipeline as p
+
+    before = spark.conf.get(common.BATCH_ROWS)
+    try:
+        for name, stage in (p.STAGES[1], p.STAGES[4]):  # these two need no labels
+            spark.conf.set(common.BATCH_ROWS, 10_000)
+            stage(spark, docs.select("doc_id", "text"), "")
+            assert spark.conf.get(common.BATCH_ROWS) == "1000", name
+        spark.conf.set(common.BATCH_ROWS, 10)
+        with common.small_batches(spark):
+            assert spark.conf.get(common.BATCH_ROWS) == "10"
+        assert spark.conf.get(common.BATCH_ROWS) == "10"
+    finally:
+        spark.conf.set(common.BATCH_ROWS, before)
