@@ -5,6 +5,8 @@ however long, columns beside those of ``documents`` are carried along whatever t
 empty one.  Ties and repeated rows: the classifier and the secrets network judge every row on its own; of rows with one
 doc_id, and of rows without any that have equal texts, near-duplicate removal keeps one, and of a group the smallest doc_id;
 rows of one doc_id get the same rate.  A corpus without labels keeps every document at rate 1.
+
+A stage leaves the session with at most 1000 rows to an Arrow batch, also where it is called without ``run``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.bpe import bpe_documents
-from inkwell.llm.common import delete, load, scratch, shared_dir, small_batches
+from inkwell.llm.common import delete, fewer_rows, load, scratch, shared_dir, small_batches
 from inkwell.llm.mixing import mixed
 from inkwell.llm.quality import keep_good, train
 from inkwell.llm.secrets import redact
@@ -27,26 +29,31 @@ RATES = {"low": 0.5, "toxic": 0.25, "clean": 1.0}
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled documents of the corpus, takes for good and clean; the rest goes."""
+    fewer_rows(spark)
     return keep_good(docs, train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that near fingerprints (3 bits) or similar sets of five-word shingles (0.8 or more) link."""
+    fewer_rows(spark)
     return keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced and n_chars counted anew."""
+    fewer_rows(spark)
     return redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rate says, most of them once; domains are learned from the labelled documents of the whole corpus."""
+    fewer_rows(spark)
     return mixed(docs, load(spark, sf_dir, "labels"), RATES, corpus=load(spark, sf_dir, "documents"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids as little-endian unsigned 32-bit integers."""
+    fewer_rows(spark)
     return bpe_documents(docs, with_ids=True)
 
 
