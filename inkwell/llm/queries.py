@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .alignment import token_alignment
 from .bpe import bpe_documents
 from .common import load
+from .divergence import divergence_sql, source_divergence
 from .fingerprints import fingerprints
 from .media import media_columns
 from .mixing import mixing_rates
+from .pivots import top_scores, top_scores_sql
 from .quality import quality, train
 from .rollups import token_counts
 from .secrets import secret_spans
@@ -32,8 +35,11 @@ def queries() -> dict:
         "op8_quality_classifier": _quality,
         "op9_mixing": lambda spark, sf_dir: mixing_rates(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
         "op10_simhash_dedup": lambda spark, sf_dir: near_duplicates(load(spark, sf_dir, "documents")),
+        "op11_pivot_search": lambda spark, sf_dir: top_scores(load(spark, sf_dir, "embeddings")),
+        "op12_token_alignment": lambda spark, sf_dir: token_alignment(load(spark, sf_dir, "documents")),
+        "op13_source_divergence": lambda spark, sf_dir: source_divergence(load(spark, sf_dir, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_sql()}
+    return {"op3_url_filters": url_sql(), "op11_pivot_search": top_scores_sql(), "op13_source_divergence": divergence_sql()}
