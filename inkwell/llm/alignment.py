@@ -27,10 +27,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import json
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import id_text, scratch, texts, written
 
 #: Pieces whose outcome a worker keeps, the characters of the longest of those, and new ones aligned at a time; characters of the texts cut at a time.
-MOST_KEPT, KEPT_CHARS, NEW, AT_ONCE = 100_000, 64, 5000, 1 << 20
+MOST_KEPT, KEPT_CHARS, NEW, AT_ONCE = 300_000, 64, 5000, 1 << 20
 #: A pair with at least one in HOT of all links goes to every task: there are at most HOT such pairs.
 HOT = 1 << 16
 LINKS = ("ends", "overlaps", "groups")
@@ -84,7 +83,7 @@ class Tokenizers:
         b = self.b.encode([p[1:] for p in pieces], num_threads=1)
         return a, [ids if len(p) > 1 else [self.space] for ids, p in zip(b, pieces, strict=True)]
 
-    def spells(self, piece: str, a: list[int], b: list[int]) -> bool:
+    def spells(self, piece: str, a: Iterable[int], b: Iterable[int]) -> bool:
         raw = piece.encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
 
@@ -123,71 +122,85 @@ class Intervals:
         return first_a[group] + k // n_b[group], first_b[group] + k % n_b[group]
 
 
-class Outcome:
-    """A piece's numbers of tokens and groups, its groups as text, and the keys of its linked id pairs."""
+class Table:
+    """What has been found for pieces, by row: numbers of tokens and groups, the groups as text, and the keys of the linked id pairs."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "shown", "keys")
+    def __init__(self) -> None:
+        self.row: dict[str, int] = {}
+        self.shown: list[str] = []
+        self.sizes = np.zeros((4, 0), dtype=np.int64)  # A tokens, B tokens, groups, links; -1 where the tokens don't spell the piece
+        self.first = np.zeros(1, dtype=np.int64)  # where each row's keys begin
+        self.keys = np.zeros(0, dtype=np.int64)
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, shown: str, keys: np.ndarray) -> None:
-        self.n_a, self.n_b, self.n_groups, self.shown, self.keys = n_a, n_b, n_groups, shown, keys
+    def add(self, pieces: list[str], sizes: np.ndarray, shown: list[str], keys: np.ndarray) -> None:
+        self.row.update(zip(pieces, range(len(self.shown), len(self.shown) + len(pieces)), strict=True))
+        self.shown += shown
+        self.sizes, self.keys = np.concatenate([self.sizes, sizes], axis=1), np.concatenate([self.keys, keys])
+        self.first = np.concatenate([[0], np.cumsum(np.maximum(self.sizes[3], 0))])
 
+    def without(self, long: int) -> None:
+        """Forgets pieces of more than ``long`` characters, whose rows stay until the table is emptied."""
+        for p in [p for p in self.row if len(p) > long]:
+            del self.row[p]
 
-def align(t: Tokenizers, pieces: list[str], links: str) -> list[Outcome | None]:
-    """The outcome of each piece, aligned all at once as one stretch of bytes; None where the tokens don't spell the piece."""
+
+def align(t: Tokenizers, pieces: list[str], links: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Sizes, groups as text and keys of the pieces, aligned all at once as one stretch of bytes."""
     a, b = t.encode(pieces)
-    good = [k for k, p in enumerate(pieces) if t.spells(p, a[k], b[k])]
-    out: list[Outcome | None] = [None] * len(pieces)
-    if not good:
-        return out
-    n_a, n_b = (np.fromiter((len(x[k]) for k in good), dtype=np.int64, count=len(good)) for x in (a, b))
-    ids_a, ids_b = (np.concatenate([np.array(x[k], dtype=np.int64) for k in good]) for x in (a, b))
+    sizes, shown = np.full((4, len(pieces)), -1, dtype=np.int64), [""] * len(pieces)
+    good = range(len(pieces))
+    if not t.spells("".join(pieces), itertools.chain.from_iterable(a), itertools.chain.from_iterable(b)):
+        good = [k for k, p in enumerate(pieces) if t.spells(p, a[k], b[k])]
+        a, b = [a[k] for k in good], [b[k] for k in good]
+    if not len(good):
+        return sizes, shown, np.zeros(0, dtype=np.int64)
+    n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b))
+    ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(x), dtype=np.int64, count=int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
     cut = Intervals(np.cumsum(t.size_a[ids_a]), np.cumsum(t.size_b[ids_b]))
     # Tokens in the order of the groups, A's first: with the mark of a list, or of the end of a group's part.
     last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (cut.group_a, cut.group_b))
-    shown = np.concatenate([t.text_a[ids_a + last_a * len(t.bytes_a)], t.text_b[ids_b + last_b * len(t.bytes_b)]])
-    shown = shown[np.argsort(np.concatenate([2 * cut.group_a, 2 * cut.group_b + 1]), kind="stable")].tolist()
+    written_out = np.concatenate([t.text_a[ids_a + last_a * len(t.bytes_a)], t.text_b[ids_b + last_b * len(t.bytes_b)]])
+    written_out = written_out[np.argsort(np.concatenate([2 * cut.group_a, 2 * cut.group_b + 1]), kind="stable")].tolist()
     x, y = cut.links(links)
-    keys = ids_a[x] << 32 | ids_b[y]
     stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
-    stop_links = np.searchsorted(x, stop_a).tolist()
-    groups = np.diff(cut.group_a[stop_a - 1], prepend=-1).tolist()
+    sizes[:, good] = n_a, n_b, np.diff(cut.group_a[stop_a - 1], prepend=-1), np.diff(np.searchsorted(x, stop_a), prepend=0)
     stops = (stop_a + stop_b).tolist()
-    for k, i in enumerate(good):
-        tokens, own = slice(stops[k - 1] if k else 0, stops[k]), slice(stop_links[k - 1] if k else 0, stop_links[k])
-        out[i] = Outcome(int(n_a[k]), int(n_b[k]), groups[k], "".join(shown[tokens]), keys[own].copy())
-    return out
+    for k, low, high in zip(good, [0, *stops], stops, strict=False):
+        shown[k] = "".join(written_out[low:high])
+    return sizes, shown, ids_a[x] << 32 | ids_b[y]
 
 
 class Aligner:
-    """Aligns texts; keeps the outcomes of short pieces and empties the table when it is full."""
+    """Aligns texts; keeps what was found for short pieces and empties the table when it is full."""
 
     def __init__(self, t: Tokenizers, links: str) -> None:
         if links not in LINKS:
             raise ValueError(f"no such links {links!r}; there are {LINKS}")
         self.t, self.links = t, links
-        self.kept: dict[str, Outcome | None] = {}
+        self.kept = Table()
 
     def __call__(self, some: list[str]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, n_links, groups as text, keys of the distinct pairs, their numbers) of each text."""
         cut = [PIECE.findall(" " + x) if x else [] for x in some]
-        if len(self.kept) > MOST_KEPT:
-            self.kept.clear()
-        new = list({p for pieces in cut for p in pieces if p not in self.kept})
-        of = {p: x for at in range(0, len(new), NEW) for p, x in zip(new[at : at + NEW], align(self.t, new[at : at + NEW], self.links), strict=True)}
-        for p, x in of.items():
-            if len(p) <= KEPT_CHARS:
-                self.kept[p] = x
+        if len(self.kept.shown) > MOST_KEPT:
+            self.kept = Table()
+        table = self.kept
+        new = list(set(itertools.chain.from_iterable(cut)).difference(table.row))
+        if new:
+            parts = [align(self.t, new[at : at + NEW], self.links) for at in range(0, len(new), NEW)]
+            table.add(new, np.concatenate([x[0] for x in parts], axis=1), list(itertools.chain.from_iterable(x[1] for x in parts)), np.concatenate([x[2] for x in parts]))
         for pieces in cut:
-            found = [self.kept[p] if p in self.kept else of[p] for p in pieces]
-            if not found or None in found:
-                yield 0, 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            rows = np.fromiter(map(table.row.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            sizes = table.sizes[:, rows]
+            if not len(rows) or sizes.min() < 0:
+                yield 0, 0, 0, 0, "", rows[:0], rows[:0]
                 continue
-            times = Counter(found)
-            each = np.fromiter(times.values(), dtype=np.int64, count=len(times))
-            keys, where = np.unique(np.concatenate([x.keys for x in times]), return_inverse=True)
-            numbers = np.bincount(where, weights=np.repeat(each, [len(x.keys) for x in times]), minlength=len(keys)).astype(np.int64)
-            shown = "".join([x.shown for x in found])[:-1]
-            yield sum(x.n_a for x in found), sum(x.n_b for x in found), sum(x.n_groups for x in found), int(numbers.sum()), shown, keys, numbers
+            links, first = sizes[3], table.first[rows]
+            each = np.repeat(first - np.cumsum(links) + links, links) + np.arange(links.sum())
+            keys, numbers = np.unique(table.keys[each], return_counts=True)
+            yield *sizes.sum(axis=1).tolist(), "".join(map(table.shown.__getitem__, rows.tolist()))[:-1], keys, numbers
+        if any(len(p) > KEPT_CHARS for p in new):
+            table.without(KEPT_CHARS)
 
 
 def _stretches(column: pa.Array) -> Iterator[list[str]]:
