@@ -45,11 +45,11 @@ def overlap_scorer():
     return score
 
 
-def scored_pairs(pairs: DataFrame, name: str = "overlap", batch: int = 32) -> DataFrame:
-    """Adds entail, contradict and error to rows (premise, claim, ...)."""
+def fresh_scores(once: DataFrame, name: str, batch: int = 32, keep: str | None = None) -> DataFrame:
+    """(premise, claim, entail, contradict, error) of each row, or (``keep``, entail, contradict, error); every row goes through the model."""
     if name not in SCORERS:
         raise ValueError(f"no scorer {name!r}; there are {sorted(SCORERS)}")
-    factory = SCORERS[name]
+    factory, own = SCORERS[name], [keep] if keep else ["premise", "claim"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
@@ -61,21 +61,29 @@ def scored_pairs(pairs: DataFrame, name: str = "overlap", batch: int = 32) -> Da
                 except Exception as e:  # noqa: BLE001  a model's failure is a result
                     out += [(None, None, repr(e)[:200])] * len(xs[k : k + batch])
             e, c, err = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e, pa.float64()), pa.array(c, pa.float64()), pa.array(err, pa.string())], ["premise", "claim", "entail", "contradict", "error"])
+            mine = [b.column(2)] if keep else [b.column(0), b.column(1)]
+            yield pa.RecordBatch.from_arrays([*mine, pa.array(e, pa.float64()), pa.array(c, pa.float64()), pa.array(err, pa.string())], [*own, "entail", "contradict", "error"])
+
+    schema = ", ".join(f"{x} string" for x in own) + ", entail double, contradict double, error string"
+    return once.select("premise", "claim", *([keep] if keep else [])).mapInArrow(run, schema)
 
-    once = pairs.select("premise", "claim").distinct().mapInArrow(run, "premise string, claim string, entail double, contradict double, error string")
-    return pairs.join(once, ["premise", "claim"], "left")
+
+def scored_pairs(pairs: DataFrame, name: str = "overlap", batch: int = 32) -> DataFrame:
+    """Adds entail, contradict and error to rows (premise, claim, ...)."""
+    return pairs.join(fresh_scores(pairs.select("premise", "claim").distinct(), name, batch), ["premise", "claim"], "left")
 
 
-def entailment_faithfulness(df: DataFrame, key: list[str], text: str, premises: str, subject: str | None, words: str, years: str, name: str = "overlap", veto: bool = False) -> DataFrame:
+def entailment_faithfulness(df: DataFrame, key: list[str], text: str, premises: str, subject: str | None, words: str, years: str, name: str = "overlap", veto: bool = False, cache=None) -> DataFrame:
     """key, F, unsupported, status: each claim against each premise of its own row; claims without their hedges are scored.
 
+    With a ``cache.ScoreCache`` only pairs that it doesn't know are scored, when this is called, and kept for later runs.
     Claims and premises are exploded within a row only, and reduced to a claim's maximum before anything else.
     """
     held = df.select(*key, T.split_claims(F.col(text), F.col(subject) if subject else None).alias("claims"), F.col(premises).alias("premises"), F.col(words).alias("words"), F.col(years).alias("years"))
     each = held.select(*key, "words", "years", "premises", F.posexplode("claims").alias("c", "claim"))
     pairs = each.select(*key, "c", T.strip_hedges(F.col("claim")).alias("claim"), F.explode("premises").alias("premise"))
-    top = scored_pairs(pairs, name).groupBy(*key, "c").agg(F.max("entail").alias("entail"), F.max("contradict").alias("contradict"))
+    scored = cache.scores(pairs) if cache else scored_pairs(pairs, name)
+    top = scored.groupBy(*key, "c").agg(F.max("entail").alias("entail"), F.max("contradict").alias("contradict"))
     tagged = each.join(top, [*key, "c"]).withColumn("tag", G.claim_tag(F.coalesce("entail", F.lit(0.0)), F.coalesce("contradict", F.lit(0.0)), G.invented_specific(F.col("claim"), F.col("words"), F.col("years")), veto))
     counts = tagged.groupBy(*key).agg(F.count_if(F.col("tag") == "supported").alias("ok"), F.count_if(F.col("tag").isin("contradicted", "invented")).alias("bad"))
     out = held.join(counts, key, "left").withColumn("v", G.verdict(F.size("claims"), F.size("premises"), F.coalesce("ok", F.lit(0)), F.coalesce("bad", F.lit(0))))

@@ -16,8 +16,8 @@ from ..functions import guards, parsing
 from ..functions import lexicons as L
 from ..functions import rewards as R
 from ..functions import text as T
-from ..operators import agreement, datasets, flows, retrieval, scoring, selection
-from ..sources import readers, sinks, synthetic
+from ..operators import agreement, cache, datasets, flows, retrieval, scoring, selection, spans
+from ..sources import files, readers, sinks, synthetic
 from . import fragments as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,6 +284,39 @@ def verdict_fold(spark, sf_dir):
     return rounded(scoring.entailment_faithfulness(held, ["conv_id", "turn"], "text", "premises", None, "w", "y"), ["F"])
 
 
+def claim_rows(spark, sf_dir):
+    held = turns(spark, sf_dir).select("conv_id", "turn", "text", T.cut_after(F.col("source_text"), ".!?").alias("premises"), G.index_words(F.col("source_text")).alias("w"), G.attested_years(F.col("source_text")).alias("y"))
+    return held.withColumn("premises", F.filter("premises", lambda p: p != ""))
+
+
+@query("verdicts_from_cache", ORACLES["verdict_fold"])
+def verdicts_from_cache(spark, sf_dir):
+    """The verdicts of all turns, after a run over the even conversations has filled the cache."""
+    held, scores = claim_rows(spark, sf_dir), cache.ScoreCache(spark, files.folder(spark, "scores"))
+    judged = lambda rows: scoring.entailment_faithfulness(rows, ["conv_id", "turn"], "text", "premises", None, "w", "y", cache=scores)
+    judged(held.where("conv_id % 2 = 0"))
+    return rounded(judged(held), ["F"])
+
+
+@query(
+    "score_cache_runs",
+    f"""WITH t AS (SELECT conv_id, {D.claims('text')} AS c, list_filter({D.cut('source_text')}, lambda p: p <> '') AS p FROM {TURNS_SQL}), e AS (SELECT conv_id, p, unnest(c) AS claim FROM t WHERE len(c) > 0),
+    x AS (SELECT conv_id % 2 = 0 AS even, {D.strip_hedges('claim')} AS claim, unnest(p) AS premise FROM e), n AS (SELECT count(DISTINCT (claim, premise)) AS every, count(DISTINCT (claim, premise)) FILTER (even) AS half FROM x)
+    SELECT 'even conversations' AS run, half AS asked, half AS scored FROM n UNION ALL SELECT 'all', every, every - half FROM n UNION ALL SELECT 'all again', every, 0 FROM n UNION ALL SELECT 'next version', every, every FROM n""",
+)
+def score_cache_runs(spark, sf_dir):
+    """How many distinct pairs of a premise and a claim each of four runs asks for, and how many of them it has to score."""
+    held = claim_rows(spark, sf_dir)
+    each = held.select("conv_id", "premises", F.explode(T.split_claims(F.col("text"))).alias("claim"))
+    pairs = each.select("conv_id", T.strip_hedges(F.col("claim")).alias("claim"), F.explode("premises").alias("premise"))
+    root, out = files.folder(spark, "scores"), []
+    for run, version, rows in (("even conversations", "1", pairs.where("conv_id % 2 = 0")), ("all", "1", pairs), ("all again", "1", pairs), ("next version", "2", pairs)):
+        scores = cache.ScoreCache(spark, root, version=version)
+        scores.fill(rows)
+        out.append((run, scores.asked, scores.scored))
+    return spark.createDataFrame(out, "run string, asked long, scored long")
+
+
 # ---- Retrieval -------------------------------------------------------------------------------------------------------
 
 
@@ -582,12 +615,18 @@ def html_records(spark, sf_dir):
 
 
 def _tags(spark, sf_dir):
-    """Tags for the tokens of a document: runs of capitalised words are persons, numbers are dates; an I that fits nothing now and then."""
-    tokens = texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
-    kind = F.when(F.col("token").rlike(r"^\p{Lu}"), "PERS").when(F.col("token").rlike(r"^\p{Nd}"), "DATE")
-    before = F.lag(kind).over(Window.partitionBy("doc_id").orderBy("pos"))
-    tag = F.when(kind.isNull(), "O").when(before.eqNullSafe(kind) | (F.col("pos") % 7 == 3), F.concat(F.lit("I-"), kind)).otherwise(F.concat(F.lit("B-"), kind))
-    return tokens.select("doc_id", "pos", "token", tag.alias("tag"))
+    """Tags for the tokens of a document, as arrays: runs of capitalised words are persons, numbers are dates; an I that fits nothing now and then."""
+    kind = lambda x: F.when(x.rlike(r"^\p{Lu}"), "PERS").when(x.rlike(r"^\p{Nd}"), "DATE")
+
+    def tagged(h):
+        def tag(k, i):
+            goes_on = F.get(h["kinds"], i - 1).eqNullSafe(k) | (i % 7 == 3)
+            return F.when(k.isNull(), "O").when(goes_on, F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k))
+
+        return F.struct(h["tokens"].alias("tokens"), F.transform(h["kinds"], tag).alias("tags"))
+
+    found = T.let(T.tokens(F.col("text")), lambda t: T.let(F.struct(t.alias("tokens"), F.transform(t, kind).alias("kinds")), tagged))
+    return texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), found.alias("x")).select("doc_id", "x.tokens", "x.tags")
 
 
 _TOKENS = f"(SELECT doc_id::VARCHAR AS doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '{L.TOKEN}') AS t FROM {TEXTS_SQL}) WHERE len(t) > 0)"
@@ -616,6 +655,15 @@ def iob_sets(spark, sf_dir):
 
 #: No shorter surface ends as a longer one begins, so the leftmost match of the alternation, longest first, is the longest that wins.
 _SURFACES = "Apache License|MIT License|License|the and|the|and|2\\.0"
+_FIXED = [("the", "org"), ("the and", "place"), ("and", "person"), ("Apache License", "org"), ("License", "org"), ("2.0", "date"), ("MIT License", "org")]
+
+
+def marked(spark, sf_dir, surfaces):
+    return texts(spark, sf_dir).select("doc_id", "text", spans.mentions_of(F.col("text"), surfaces).alias("m"))
+
+
+def mention_rows(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.start", "m.end", "m.surface", "m.type")
 
 
 @query(
@@ -626,10 +674,55 @@ _SURFACES = "Apache License|MIT License|License|the and|the|and|2\\.0"
 )
 def mention_longest_match(spark, sf_dir):
     """Mentions of fixed surfaces in every document; of those that overlap the longest surface wins."""
-    surfaces = [("the", "org"), ("the and", "place"), ("and", "person"), ("Apache License", "org"), ("License", "org"), ("2.0", "date"), ("MIT License", "org")]
-    wanted = F.array(*(F.struct(F.lit(s).alias("surface"), F.lit(t).alias("type")) for s, t in surfaces))
-    each = texts(spark, sf_dir).select("doc_id", sinks.mentions(F.col("text"), wanted).alias("m"))
-    return each.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.start", "m.end", "m.surface", "m.type")
+    return mention_rows(marked(spark, sf_dir, _FIXED))
+
+
+#: Surfaces that overlap each other in many ways: the longest takes its places first, among equally long ones the first named.
+_CLASHING = [("he", "person"), ("the", "org"), ("ther", "place"), ("hern", "person"), ("ern", "date"), ("er", "org"), ("and", "person"), ("nd th", "place"), ("d the", "org"), ("n", "date"), ("in", "place"), ("ing", "org"), ("nin", "person"), ("anan", "date"), ("sts", "org"), (". ", "date")]
+
+
+def _takes(surface: str, taken: list[str]) -> str:
+    """Where ``surface`` stands, from left to right, each place unless it overlaps a taken one of equally long or longer surfaces."""
+    own = f"list_transform((string_split(text, {D.q(surface)}))[:-2], lambda g: len(g))"  # -2: all but the last
+    places = f"list_transform(range(len({own})), lambda k: list_sum(({own})[:k + 1])::BIGINT + k * {len(surface)})"
+    clash = " OR ".join(f"len(list_filter({c}, lambda o: s < o + {n} AND o < s + {len(surface)})) > 0" for c, n in taken)
+    return f"list_filter({places}, lambda s: NOT ({clash}))" if clash else places
+
+
+def _clash_sql() -> str:
+    """A step for each surface, longest first."""
+    order = sorted(range(len(_CLASHING)), key=lambda k: (-len(_CLASHING[k][0]), k))
+    at, taken = f"(SELECT doc_id, text FROM {TEXTS_SQL})", []
+    for k in order:
+        at = f"(SELECT *, {_takes(_CLASHING[k][0], taken)} AS c{k} FROM {at})"
+        taken.append((f"c{k}", len(_CLASHING[k][0])))
+    return "(" + " UNION ALL ".join(f"SELECT doc_id, unnest(c{k})::INT AS start, {D.q(s)} AS surface, {D.q(t)} AS type FROM x" for k, (s, t) in enumerate(_CLASHING)) + ")", at
+
+
+_CLASHES, _STEPS = _clash_sql()
+
+
+@query("mention_conflicts", f"WITH x AS MATERIALIZED {_STEPS} SELECT doc_id, start, start + len(surface)::INT AS \"end\", surface, type FROM {_CLASHES}")
+def mention_conflicts(spark, sf_dir):
+    """Mentions of surfaces that overlap each other at many places."""
+    return mention_rows(marked(spark, sf_dir, _CLASHING))
+
+
+_SHORT_SQL = "CASE type " + " ".join(f"WHEN '{kind}' THEN '{short}'" for kind, short in spans.SHORT.items()) + " END"
+
+
+@query(
+    "tagged_mentions",
+    rf"""WITH x AS MATERIALIZED {_STEPS}, m AS (SELECT doc_id, start, start + len(surface) AS stop, type FROM {_CLASHES}),
+    p AS (SELECT doc_id, regexp_extract_all(text, '{L.TOKEN}|\s+') AS p FROM {TEXTS_SQL}), t AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS token FROM p WHERE len(p) > 0),
+    e AS (SELECT *, (sum(len(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM t)
+    SELECT e.doc_id, coalesce(CASE WHEN m.stop < e.stop THEN NULL WHEN e.stop - len(token) = m.start THEN 'B-' ELSE 'I-' END || {_SHORT_SQL}, 'O') AS tag, count(*) AS tokens
+    FROM e ASOF LEFT JOIN m ON e.doc_id = m.doc_id AND e.stop - len(token) >= m.start WHERE NOT regexp_full_match(token, '\s+') GROUP BY ALL""",
+)
+def tagged_mentions(spark, sf_dir):
+    """How many tokens of each document get each tag from its mentions."""
+    tags = sinks.tagged_tokens(marked(spark, sf_dir, _CLASHING), "doc_id", "text", "m")
+    return tags.groupBy("doc_id", "tag").agg(F.count("*").alias("tokens"))
 
 
 @query(
@@ -750,11 +843,12 @@ def grid_personas(spark, sf_dir):
 @query("grid_round_trip", "SELECT 16::BIGINT AS texts, 16::BIGINT AS iob_equal, 16::BIGINT AS tei_equal")
 def grid_round_trip(spark, sf_dir):
     """Good texts to token tags and TEI and back: how many give the entity sets they came from."""
-    good = synthetic.grid(spark).where("profile = 'good'").select(F.concat_ws("-", "case_id", "register").alias("doc_id"), F.col("focal_name").alias("title"), F.lit("").alias("references"), "text", sinks.mentions(F.col("text"), F.col("gold")).alias("mentions"))
+    good = synthetic.grid(spark).where("profile = 'good'").select(F.concat_ws("-", "case_id", "register").alias("doc_id"), F.col("focal_name").alias("title"), F.lit("").alias("references"), "text", "gold")
+    good = spans.with_mentions(good, "text", "gold").drop("gold")
     table_ = F.create_map(*(F.lit(x) for kind, _, _, common in L.TYPES for x in (kind, common)))
     gold = good.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", T.normal(F.col("m.surface")).alias("entity"), F.element_at(table_, F.col("m.type")).alias("type")).distinct()
     tags = sinks.iob_text(sinks.tagged_tokens(good, "doc_id", "text", "mentions"), "doc_id")
-    iob = readers.iob_entities(readers.tag_rows(tags.select(F.col("doc_id").alias("name"), "value")), "set")
+    iob = readers.iob_entities(readers.tag_arrays(tags.select(F.col("doc_id").alias("name"), "value")), "set")
     files = sinks.tei_texts(good, "doc_id")
     tei = files.mapInArrow(_tei_sets, "doc_id string, entity string, type string")
     sets = lambda df, n: df.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("entity", "type"))).alias(n))

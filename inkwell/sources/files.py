@@ -24,3 +24,29 @@ def put(spark: SparkSession, path: str, text: str) -> None:
     stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
     stream.write(bytearray(text.encode()))
     stream.close()
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def get(spark: SparkSession, path: str) -> str:
+    """The text of one small file."""
+    at, fs = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none where there is no such folder."""
+    at, fs = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _at(spark, path)
+    fs.delete(at, True)

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import spans
 from .registry import adapter
 from .synthetic import records as synthetic_records
 
@@ -168,36 +169,30 @@ def tag_rows(files: DataFrame) -> DataFrame:
     return lines.select("doc_id", "pos", *(F.when(F.trim("line") != "", p).alias(n) for p, n in zip(parts, ("token", "tag"), strict=True)))
 
 
-def common_type(tag: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for _, _, short, common in L.TYPES for x in (short, common)))
-    return F.try_element_at(table, tag)
+def tag_arrays(files: DataFrame) -> DataFrame:
+    """doc_id, tokens, tags from rows (name, value): the lines of a file within its row; a blank line has neither token nor tag."""
+    lines = F.split("value", r"\r?\n")
+    part = lambda k: F.transform(lines, lambda x: F.when(F.trim(x) != "", F.regexp_extract(x, r"^(.*) (\S+)\s*$", k)))
+    return files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("doc_id"), part(1).alias("tokens"), part(2).alias("tags"))
 
 
 def iob_entities(tags: DataFrame, mode: str = "offsets") -> DataFrame:
-    """Entities of tagged tokens (doc_id, pos, token, tag).
+    """Entities of tagged tokens: rows (doc_id, tokens, tags) of arrays, or a row for each token (doc_id, pos, token, tag).
 
     ``offsets``: doc_id, surface, type, start, end in the text of all tokens joined by spaces; B opens an entity, the I of
     its type that follow go on with it, also over a blank line, and other I are ignored.
-    ``set``: doc_id, entity, type; a blank line ends an entity, and an I that fits none opens one.
+    ``set``: doc_id, entity, type, each once for a document; a blank line ends an entity, and an I that fits none opens one.
+
+    Arrays are folded where they are read; only rows of single tokens are gathered by document first.
     """
-    kind = F.when(F.col("tag").rlike("^[BI]-"), F.substring("tag", 3, 99))
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    if mode == "set":
-        before = F.lag(kind).over(by)
-        opens = F.col("tag").startswith("B-") | (F.col("tag").startswith("I-") & ~before.eqNullSafe(kind))
-        marked = tags.withColumn("kind", kind).withColumn("opens", F.coalesce(opens, F.lit(False)).cast("int"))
-        grouped = marked.withColumn("span", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("kind IS NOT NULL")
-        each = grouped.groupBy("doc_id", "span").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"), F.first("kind").alias("kind"))
-        return each.select("doc_id", T.normal(F.array_join(F.transform("t", lambda x: x["token"]), " ")).alias("entity"), common_type(F.col("kind")).alias("type")).distinct()
-    words = tags.where("token IS NOT NULL")
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    placed = words.withColumn("kind", kind).withColumn("end", (F.sum(F.length("token") + 1).over(so_far) - 1).cast("int")).withColumn("span", F.sum(F.coalesce(F.col("tag").startswith("B-"), F.lit(False)).cast("int")).over(so_far))
-    within = Window.partitionBy("doc_id", "span").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    goes_on = F.col("tag").startswith("B-") | (F.col("tag").startswith("I-") & (F.col("kind") == F.first("kind").over(within)))
-    kept = placed.where("span > 0").withColumn("broken", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(within)).where("broken = 0")
-    each = kept.groupBy("doc_id", "span").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "end"))).alias("t"), F.first("kind").alias("kind"))
-    start = F.col("t")[0]["end"] - F.length(F.col("t")[0]["token"])
-    return each.select("doc_id", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("surface"), common_type(F.col("kind")).alias("type"), start.alias("start"), F.element_at("t", -1)["end"].alias("end"))
+    if "tokens" not in tags.columns:
+        each = tags.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "tag"))).alias("x"))
+        tags = each.select("doc_id", F.transform("x", lambda r: r["token"]).alias("tokens"), F.transform("x", lambda r: r["tag"]).alias("tags"))
+    found = spans.entities(tags, mode)
+    if mode == "offsets":
+        return found
+    each = F.array_distinct(F.transform("found", lambda x: F.struct(T.normal(x["entity"]).alias("entity"), x["type"].alias("type"))))
+    return found.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.entity", "x.type")
 
 
 # ---- Annotations, candidates, pairs ----------------------------------------------------------------------------------

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators.spans import mentions, tagged
+
+__all__ = ["authoring_sheet", "iob_text", "jsonl", "mentions", "rating_sheet", "report", "tagged_tokens", "tei_document", "tei_texts"]
 
 ELEMENTS = {kind: element for kind, element, _, _ in L.TYPES}
-SHORT = {kind: short for kind, _, short, _ in L.TYPES}
 
 
 def jsonl(df: DataFrame, path: str, nulls: bool = True) -> None:
@@ -21,41 +23,10 @@ def jsonl(df: DataFrame, path: str, nulls: bool = True) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", not nulls).json(path)
 
 
-def mentions(text: Column, candidates: Column) -> Column:
-    """array of (start, end, surface, type) of the candidates' occurrences; of those that overlap the longest candidate's stays.
-
-    A fold over the candidates, longest first: what the earlier ones took decides what the next ones may take.
-    """
-    longest = F.transform(
-        F.array_sort(F.transform(candidates, lambda c, i: F.struct((-F.length(c["surface"])).alias("n"), i.alias("i"), c["surface"].alias("surface"), c["type"].alias("type")))), lambda x: F.struct(x["surface"].alias("surface"), x["type"].alias("type"))
-    )
-    kind = "array<struct<start:int,end:int,surface:string,type:string>>"
-
-    def found(t: Column, c: Column) -> Column:
-        """Occurrences from left to right that don't overlap each other: where the text is cut at the surface."""
-        cut = F.split(t, F.concat(F.lit("\\Q"), c["surface"], F.lit("\\E")))
-        lengths = F.transform(F.slice(cut, 1, F.size(cut) - 1), F.length)
-        size = F.length(c["surface"])
-        step = lambda a, n: F.struct((a["at"] + n + size).alias("at"), F.concat(a["starts"], F.array(a["at"] + n)).alias("starts"))
-        starts = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda a: a["starts"])
-        return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + size).alias("end"), c["surface"].alias("surface"), c["type"].alias("type"))).cast(kind)
-
-    def take(taken: Column, c: Column) -> Column:
-        return F.concat(taken, F.filter(found(text, c), lambda m: ~F.exists(taken, lambda o: (m["start"] < o["end"]) & (o["start"] < m["end"]))))
-
-    return F.array_sort(F.aggregate(F.filter(longest, lambda c: c["surface"] != ""), F.array().cast(kind), take))
-
-
 def tagged_tokens(df: DataFrame, key: str, text: str, marks: str) -> DataFrame:
-    """key, pos, token, tag: tokens inside a mention are tagged, B where a mention starts."""
-    tokens = F.filter(F.regexp_extract_all(F.col(text), F.lit(rf"{L.TOKEN}|\s+"), F.lit(0)), lambda x: x != "")
-    each = df.select(key, marks, F.posexplode(tokens).alias("at", "token"))
-    by = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("end", F.sum(F.length("token")).over(by)).withColumn("start", F.col("end") - F.length("token")).where(F.trim("token") != "").where(~F.col("token").rlike(r"^\s+$"))
-    inside = F.try_element_at(F.filter(marks, lambda m: (F.col("start") >= m["start"]) & (F.col("end") <= m["end"])), F.lit(1))
-    short = F.try_element_at(F.create_map(*(F.lit(x) for k, s in SHORT.items() for x in (k, s))), inside["type"])
-    tag = F.when(inside.isNull(), "O").otherwise(F.concat(F.when(F.col("start") == inside["start"], "B-").otherwise("I-"), short))
-    return placed.select(key, F.col("at").alias("pos"), "token", tag.alias("tag"))
+    """key, pos, token, tag: tokens inside a mention are tagged, B where a mention starts.  Within the row, without a shuffle."""
+    parts = F.filter(F.regexp_extract_all(F.col(text), F.lit(rf"{L.TOKEN}|\s+"), F.lit(0)), lambda x: x != "")
+    return tagged(df.select(key, parts.alias("parts"), marks))
 
 
 def iob_text(tags: DataFrame, key: str) -> DataFrame:
