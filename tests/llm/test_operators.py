@@ -812,7 +812,7 @@ def test_components(spark):
 
 def test_every_operator_has_a_query(spark, sf):
     q = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in q) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q) == list(range(1, 14))
     for name, f in q.items():
         assert f(spark, sf).count() > 0, name
 
