@@ -5,10 +5,15 @@ bytes.  The sniffer trusts no declared type: an Aho-Corasick automaton locates e
 validator of its format confirms structure and lengths, the type found at offset 0 corrects the declared one, and valid
 media further in are carved out by their own lengths.
 
-Map-only: no shuffle, and memory is bounded by one Arrow batch and one payload.
+Map-only: no shuffle, and memory is bounded by one Arrow batch, one payload and what its validators remember, which grows
+with the payload.  What many signatures share is walked once: marks, chains of blocks and of chunks, checksums.  (A gzip
+member has to be inflated from its own start, so nested false members cost a pass each.)
 
-Defined results: a null or empty text is a payload of 64 zero bytes; equal texts give equal values; repeated rows give
-repeated results; a null doc_id is kept; other columns are ignored.  Magic numbers without a valid structure behind them
+``declared`` is one type for all rows or a column with each row's own.
+
+Defined results: a null or empty text is a payload of 64 zero bytes; equal texts of equal declared type give equal values;
+a null declared type counts as application/octet-stream; repeated rows give repeated results; a null doc_id is kept; other
+columns are ignored; an empty table gives an empty result.  Magic numbers without a valid structure behind them
 (a text that says GIF89a) are counted as false signatures and carve nothing.
 """
 
@@ -21,11 +26,14 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_text, per_document
+from .common import by_batch, id_text, texts
 
 UNIT, RATE = 64, 8000
+UNKNOWN = "application/octet-stream"
 
 
 def padded(data: bytes) -> bytes:
@@ -54,7 +62,24 @@ def samples(media: bytes) -> bytes:
 
 
 class Payload(bytes):
-    """Bytes that remember where marks stand, so that many false magic numbers cost one search for each mark in all."""
+    """Bytes that remember what validators found, so that many false magic numbers cost one pass for each format in all."""
+
+    def memo(self, name: str) -> dict:
+        return self.__dict__.setdefault(name, {})
+
+    def crc(self, start: int, end: int) -> int:
+        """CRC-32 of start..end; long spans are taken from the checksums of prefixes, one for each CRC_STEP bytes."""
+        if end - start <= 2 * CRC_STEP:
+            return zlib.crc32(self[start:end])
+        return self._prefix_crc(end) ^ crc_moved(self._prefix_crc(start), end - start)
+
+    def _prefix_crc(self, end: int) -> int:
+        sums = self.__dict__.setdefault("sums", [0])
+        k, view = end // CRC_STEP, memoryview(self)
+        while len(sums) <= k:
+            at = (len(sums) - 1) * CRC_STEP
+            sums.append(zlib.crc32(view[at : at + CRC_STEP], sums[-1]))
+        return zlib.crc32(view[k * CRC_STEP : end], sums[k])
 
     def places(self, mark: bytes) -> list[int]:
         known = self.__dict__.setdefault("known", {})
@@ -76,59 +101,147 @@ class Payload(bytes):
         return 0 <= self.after(mark, at) <= end - len(mark)
 
 
+#: Bytes between two remembered checksums; the reflected polynomial of CRC-32.
+CRC_STEP, POLYNOMIAL = 4096, 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of CRC-32; bit 31 is the constant term."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+@functools.lru_cache(maxsize=64)
+def _doubled(k: int) -> int:
+    """x^(8 * 2^k)."""
+    return 1 << 23 if k == 0 else _times(_doubled(k - 1), _doubled(k - 1))
+
+
+def crc_moved(crc: int, n: int) -> int:
+    """What the checksum of some bytes contributes to that of the same bytes and ``n`` more."""
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            crc = _times(crc, _doubled(k))
+    return crc
+
+
+def chained(at: int, end: int, known: dict, step) -> int:
+    """Where the chain at, step(at), .. gets to ``end`` or to a place that step calls final, -1 - x for x; all on the way remember it."""
+    way = []
+    while 0 <= at < end and at not in known:
+        way.append(at)
+        at = step(at)
+    out = known.get(at, at)
+    known.update(dict.fromkeys(way, out))
+    return out
+
+
+class Chunks:
+    """The chain of RIFF chunks from any place of a payload, shared between chains that meet.
+
+    A chunk holds the next one, one further on (so that a chain is searched in logarithmic time), and the first format and
+    data chunks from it on.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.known = data, {}
+
+    def _size(self, at: int) -> int:
+        return int.from_bytes(self.data[at + 4 : at + 8], "little")
+
+    def chain(self, at: int) -> None:
+        way, n = [], len(self.data)
+        while at + 8 <= n and at not in self.known:
+            way.append(at)
+            size = self._size(at)
+            at += 8 + size + size % 2
+        for here in reversed(way):
+            name = self.data[here : here + 4]
+            depth, jump, form, sound = 0, at, n, n
+            if at in self.known:
+                _, d, j, form, sound = self.known[at]
+                depth = d + 1
+                if j in self.known and self.known[j][2] in self.known and d - self.known[j][1] == self.known[j][1] - self.known[self.known[j][2]][1]:
+                    jump = self.known[j][2]
+            self.known[here] = (at, depth, jump, here if name == b"fmt " else form, here if name == b"data" else sound)
+            at = here
+
+    def sound(self, at: int, end: int) -> bool:
+        """Whether the chunks from ``at`` on fill the span up to ``end`` (pad bytes may be lacking), a format and data among them."""
+        if at + 8 > end:
+            return False
+        self.chain(at)
+        _, _, _, form, sound = self.known[at]
+        if max(form, sound) + 8 > end or self._size(form) < 16:
+            return False
+        last = at
+        while True:  # the last chunk that starts before the end
+            after, _, jump, *_ = self.known[last]
+            if jump + 8 <= end and jump in self.known:
+                last = jump
+            elif after + 8 <= end and after in self.known:
+                last = after
+            else:
+                return last + 8 + self._size(last) <= end
+
+
 # Validators: (payload, offset of the magic number) to the medium's length, or 0 where its structure is not sound.
 
 
-def wav_length(data: bytes, at: int) -> int:
+def wav_length(data: Payload, at: int) -> int:
+    """Whole chunks up to the length in the head, the first format chunk of 16 bytes or more, and data."""
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
     if data[at + 8 : at + 12] != b"WAVE" or end > len(data):
         return 0
-    form = size = -1
-    for name, start, length in chunks(data, at + 12, end):
-        if start + length > end:
-            return 0
-        form, size = (length, size) if name == b"fmt " else (form, length) if name == b"data" else (form, size)
-    return end - at if form >= 16 and size >= 0 else 0
+    memo = data.memo("riff")
+    if not memo:
+        memo["chunks"] = Chunks(data)
+    return end - at if memo["chunks"].sound(at + 12, end) else 0
+
 
+def png_length(data: Payload, at: int) -> int:
+    """IHDR first and once, every checksum right, IEND last."""
 
-def png_length(data: bytes, at: int) -> int:
-    """IHDR first, every checksum right, IEND last."""
-    here, first = at + 8, True
-    while here + 12 <= len(data):
+    def chunk(here: int) -> int:
+        """The next chunk's place; final: the end of the medium, or 0 for an unsound one."""
         size, name = int.from_bytes(data[here : here + 4], "big"), data[here + 4 : here + 8]
-        if first != (name == b"IHDR") or here + 12 + size > len(data) or zlib.crc32(data[here + 4 : here + 8 + size]) != int.from_bytes(data[here + 8 + size : here + 12 + size], "big"):
-            return 0
-        here, first = here + 12 + size, False
-        if name == b"IEND":
-            return here - at
-    return 0
+        end = here + 12 + size
+        if end > len(data) or data.crc(here + 4, end - 4) != int.from_bytes(data[end - 4 : end], "big"):
+            return -1
+        return -1 - end if name == b"IEND" else -1 if name == b"IHDR" and here != at + 8 else end
+
+    if data[at + 12 : at + 16] != b"IHDR" or (second := chunk(at + 8)) < 0:
+        return 0
+    end = -1 - chained(second, len(data) - 11, data.memo("png"), chunk)
+    return end - at if end > 0 else 0
 
 
-def gif_length(data: bytes, at: int) -> int:
+def gif_length(data: Payload, at: int) -> int:
     """Walks the colour tables and blocks to the trailer."""
+    size = len(data)
+    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 128 else 0
 
     def blocks(here: int) -> int:
-        while here < len(data):
-            if not data[here]:
-                return here + 1
-            here += 1 + data[here]
-        return len(data) + 1
+        """The place after a chain of blocks, or the payload's end."""
+        end = chained(here, size, data.memo("gif blocks"), lambda k: k + 1 + data[k] if data[k] else -1 - (k + 1))
+        return -1 - end if end < 0 else size
 
-    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 128 else 0
-    if at + 13 > len(data) or not int.from_bytes(data[at + 6 : at + 8], "little"):
-        return 0
-    here = at + 13 + table(data[at + 10])
-    while here < len(data):
+    def part(here: int) -> int:
         kind = data[here]
         if kind == 0x3B:
-            return here + 1 - at
+            return -1 - (here + 1)
         if kind == 0x21:
-            here = blocks(here + 2)
-        elif kind == 0x2C and here + 10 <= len(data):
-            here = blocks(here + 11 + table(data[here + 9]))
-        else:
-            return 0
-    return 0
+            return blocks(here + 2)
+        return blocks(here + 11 + table(data[here + 9])) if kind == 0x2C and here + 10 <= size else -1
+
+    if at + 13 > size or not int.from_bytes(data[at + 6 : at + 8], "little"):
+        return 0
+    end = -1 - chained(at + 13 + table(data[at + 10]), size, data.memo("gif parts"), part)
+    return end - at if end > 0 else 0
 
 
 def jpeg_length(data: Payload, at: int) -> int:
@@ -216,13 +329,21 @@ def features(media: bytes, declared: str) -> tuple[bytes, str]:
     return payload, f"type={kind or declared};corrected={int(kind is not None and kind != declared)};rate={RATE};mean={mean:.4f};entropy={max(0.0, -float(p @ np.log2(p))):.4f};carved={found};false={false}"
 
 
-def media_columns(docs: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
+def media_columns(docs: DataFrame, declared: str | Column = UNKNOWN) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    column = F.lit(declared) if isinstance(declared, str) else declared
+    rows = id_text(docs, F.coalesce(column.cast("string"), F.lit(UNKNOWN)).alias("declared"))
+    longs, names = {"n_bytes", "payload_bytes", "tail_crc32", "media_bytes"}, ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    def work(text: str):
+    def work(text: str, declared: str) -> tuple:
         data = text.encode()
         media = to_wav(padded(data))
         payload, feature = features(media, declared)
         return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
-    return per_document(id_text(docs), lambda: work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        made = zip(*map(work, texts(rows.column(1)), texts(rows.column(2))), strict=True)
+        columns = [pa.array(x, pa.int64() if name in longs else pa.string()) for name, x in zip(names, made, strict=True)]
+        return pa.RecordBatch.from_arrays([rows.column(0), *columns], ["doc_id", *names])
+
+    return by_batch(rows, batch, "doc_id long, " + ", ".join(f"{x} {'long' if x in longs else 'string'}" for x in names))
