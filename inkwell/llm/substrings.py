@@ -4,7 +4,8 @@ A word is removed where a window of ``window`` words covers it whose word sequen
 smaller doc_id.  Windows are judged on the input.
 
 Exact copies go first: of equal texts only the one with the smallest doc_id needs to be compared; the others lose every
-word if they have a full window, else none.
+word if they have a full window, else none.  Rows that repeat a doc_id with its text are compared once, and what goes is
+met by all of them, so their number adds to the work as any other row's would.
 
 The levels are the lengths 13, 25 and 50 (the window halved, rounded up, as long as that leaves LEAST words; one halving
 at least).  At each level every full window that is still a candidate is stood for by one shorter window within it: at the
@@ -228,21 +229,25 @@ def survivors(rows: DataFrame, levels: int) -> DataFrame:
     return rows
 
 
-def _copies(sure: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2) of the documents whose text a smaller doc_id has too."""
+def _repeated(sure: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t1, t2) of the texts that a smaller doc_id has too, and of those that several rows of one doc_id hold."""
     mark = sure.select("doc_id", F.col("key").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    groups = mark.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return written(mark.join(written(groups, "substr-copies"), ["t1", "t2"]).where("doc_id > first").groupBy("doc_id", "t1", "t2").agg(F.lit(1).alias("x")).drop("x"), "substr-copy")
+    groups = mark.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    each = mark.join(written(groups, "substr-equal"), ["t1", "t2"]).groupBy("doc_id", "t1", "t2").agg(F.min("first").alias("first"), F.count("*").alias("rows"))
+    each = written(each, "substr-copy")
+    out = each.where("doc_id > first").drop("first", "rows"), each.where("doc_id = first AND rows > 1").drop("first", "rows")
+    out[0].written_to = each.written_to
+    return out
 
 
-def _repeats(sure: DataFrame, copies: DataFrame, window: int) -> DataFrame:
+def _repeats(sure: DataFrame, copies: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
     """(doc_id, key, gone): the runs of each text whose windows start in a document with a smaller doc_id too."""
     levels = len(lengths(window)) - 1
     schema = "".join(f"g{k} long, " for k in range(levels)) + "hull long, at int, n int, doc_id long, key long"
-    judged = marked_ids(sure, copies.select("doc_id"))
-    # Rows that the bitmap stops without being copies are let in by the anti-join.
+    judged = marked_ids(sure, copies.select("doc_id").unionByName(repeated.select("doc_id")))
+    # Rows that the bitmap stops without being copies are let in by the anti-join; of those that repeat each other one goes on.
     named = F.struct("doc_id", F.col("key").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    again = judged.where("maybe").withColumn("same", named).join(copies.select(F.struct("doc_id", "t1", "t2").alias("same")), "same", "left_anti")
+    again = judged.where("maybe").withColumn("same", named).join(copies.select(F.struct("doc_id", "t1", "t2").alias("same")), "same", "left_anti").dropDuplicates(["same"])
     rows = [written(x.select("doc_id", "key", "text").mapInArrow(_run_rows(window), schema), "substr-runs") for x in (judged.where("NOT maybe"), again)]
     last = f"g{levels - 1}"
     left = survivors(rows[0].unionByName(rows[1]), levels)
@@ -272,8 +277,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -
     docs = id_text(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
     sure = docs.where("doc_id IS NOT NULL")
     with scratch(docs.sparkSession) as keep:
-        copies = keep(_copies(sure))
-        gone = keep(_repeats(sure, copies, window))
+        copies, repeated = _repeated(sure)
+        keep(copies)
+        gone = keep(_repeats(sure, copies, repeated, window))
 
     # Texts that lose some words meet what goes; all others are finished where they are read.
     judged = marked_ids(sure, gone.select("doc_id").unionByName(copies.select("doc_id")))

@@ -105,6 +105,20 @@ def test_substrings(docs, rows, window):
     assert got[None].n_removed == 0
 
 
+def test_substrings_of_a_row_repeated_often(spark, rows):
+    """5000 equal rows cost about what 5000 other rows do: they are compared once."""
+    import time
+
+    passage = " ".join(f"w{k}" for k in range(400))
+    some = [(1, passage), (2, f"a {passage}"), (4, f"{passage} b")]
+    want = brute_substrings(some, 50)
+    start = time.perf_counter()
+    got = substrings.substring_dedup(spark.createDataFrame([*some, *[some[1]] * 5000, *[some[2]] * 50], "doc_id long, text string").repartition(4), with_text=False)
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256): r["count"] for r in got.groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()}
+    assert got == {(i, *x): n for (i, x), n in zip(want.items(), (1, 5001, 51), strict=True)}
+    assert time.perf_counter() - start < 120
+
+
 def brute_levels(rows, window):
     """Documents and runs that are left after each level, from the definition: the smallest window within, then that one extended to the right or else to the left."""
     steps = substrings.lengths(window)
@@ -448,16 +462,99 @@ def test_media(docs, rows, empty):
     assert media.media_columns(docs).count() == len(rows) + 2 and media.media_columns(empty).collect() == []
 
 
-def test_many_false_signatures_take_linear_time():
+def png_chunk(name, data):
+    return len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+
+
+def riff_heads(n):
+    """Many heads that all reach one long list of empty chunks, without a format among them."""
+    long = lambda x: x.to_bytes(4, "little")
+    return b"".join(b"RIFF" + long((n - k) * 20 - 8 + 8 * n) + b"WAVEabcd" + long((n - k - 1) * 20) for k in range(n)) + b"abcd\0\0\0\0" * n
+
+
+PNG = b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", b"\0\0\0\1\0\0\0\1\x08\0\0\0\0")
+
+
+@pytest.mark.parametrize("name,make", [(m.decode("latin-1"), lambda n, m=m: m * n) for m in (b"%PDF-1 ", b"PK\x03\x04 ", b"\xff\xd8\xff\xda\x00\x02 ", b"GIF89aAAAAAAA!a\x01")] + [("png", lambda n: (PNG + (45 * n).to_bytes(4, "big") + b"IDAT") * n), ("riff", riff_heads)])
+def test_many_false_signatures_take_linear_time(name, make):
     import time
 
-    for magic in (b"%PDF-1 ", b"PK\x03\x04 ", b"\xff\xd8\xff\xda\x00\x02 "):
-        took = []
-        for n in (20_000, 80_000):
-            start = time.perf_counter()
-            assert media.sniff(magic * n) == (None, [], n)
-            took.append(time.perf_counter() - start)
-        assert took[1] < 10 * took[0], (magic, took)
+    took = []
+    for n in (10_000, 40_000):
+        data, start = make(n), time.perf_counter()
+        assert media.sniff(data) == (None, [], n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0], (name, took)
+
+
+def plain_length(data, at):
+    """The validators of RIFF, PNG and GIF without anything shared."""
+    n, here = len(data), at + 12
+    if data[at : at + 4] == b"RIFF":
+        end, names = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little"), {}
+        if data[at + 8 : at + 12] != b"WAVE" or end > n:
+            return 0
+        while here + 8 <= end:
+            size = int.from_bytes(data[here + 4 : here + 8], "little")
+            names.setdefault(data[here : here + 4], size)
+            if here + 8 + size > end:
+                return 0
+            here += 8 + size + size % 2
+        return end - at if names.get(b"fmt ", 0) >= 16 and b"data" in names else 0
+    if data[at : at + 4] == b"\x89PNG":
+        here = at + 8
+        while here + 12 <= n:
+            end, name = here + 12 + int.from_bytes(data[here : here + 4], "big"), data[here + 4 : here + 8]
+            if end > n or (here == at + 8) != (name == b"IHDR") or zlib.crc32(data[here + 4 : end - 4]).to_bytes(4, "big") != data[end - 4 : end]:
+                return 0
+            if name == b"IEND":
+                return end - at
+            here = end
+        return 0
+    table = lambda x: 3 << (x % 8 + 1) if x > 127 else 0
+    if at + 13 > n or data[at + 6 : at + 8] == b"\0\0":
+        return 0
+    here = at + 13 + table(data[at + 10])
+    while here < n:
+        if data[here] == 0x3B:
+            return here + 1 - at
+        if data[here] not in b"!," or data[here] == 0x2C and here + 10 > n:
+            return 0
+        here += 2 if data[here] == 0x21 else 11 + table(data[here + 9])
+        while here < n and data[here]:
+            here += 1 + data[here]
+        here += 1
+    return 0
+
+
+def test_shared_walks_against_plain_ones():
+    r = random.Random(1)
+    gif = b"GIF89a\x01\0\x01\0\x80\0\0" + b"\0\0\0\xff\xff\xff" + b",\0\0\0\0\x01\0\x01\0\0\x02\x02D\x01\0;"
+    wav = media.to_wav(b"abc")
+    parts = [PNG + png_chunk(b"IDAT", bytes(20_000)) + png_chunk(b"IEND", b""), gif, wav, media.to_wav(wav), media.to_wav(gif), b"GIF89a", b"!\x01", b"\0", b";", b"RIFF\x40\0\0\0WAVE", b"fmt \x10\0\0\0", b"fmt \x08\0\0\0", b"data\x04\0\0\0", b"0123456789abcdef", PNG, png_chunk(b"IDAT", b"zz"), png_chunk(b"IEND", b""), b"x", b"\x01\0", b"abcd\0\0\0\0", bytes(5)]
+    sound = 0
+    for _ in range(1500):
+        data = b"".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        held = media.Payload(data)
+        for magic, _, length in media.FORMATS[:4]:
+            for at in [m.start() for m in re.finditer(re.escape(magic), data)]:
+                got = length(held, at)
+                sound += got > 0
+                assert got == plain_length(data, at), (data, at)
+    assert sound > 1000
+
+
+def test_checksums_of_spans():
+    data = random.Random(2).randbytes(60_000)
+    held = media.Payload(data)
+    for start, end in ((0, 60_000), (1, 59_999), (4096, 4096 * 9), (5000, 5001), (17, 40_000), (9, 9)):
+        assert held.crc(start, end) == zlib.crc32(data[start:end])
+
+
+def test_declared_types_by_row(spark):
+    df = spark.createDataFrame([(1, "a", "audio/wav"), (2, "a", "image/png"), (3, "a", None), (4, None, "audio/wav")], "doc_id long, text string, mime string")
+    got = {r.doc_id: r.feature.split(";")[:2] for r in media.media_columns(df, F.col("mime")).collect()}
+    assert got == {i: ["type=audio/wav", f"corrected={x}"] for i, x in ((1, 0), (2, 1), (3, 1), (4, 0))}
 
 
 def test_carving():
