@@ -80,28 +80,37 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _open[-1].extend(x for x in mine if x in kept)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bounds of an Arrow batch in rows and in bytes; the byte bound holds for long texts and sets, so memory doesn't grow with either.
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def fewer_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on the session's queries send at most ``rows`` texts at a time to Python and back, so that few of them are in memory.
+def _bytes(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
 
-    A lazy result is computed with the setting of that later time, so whoever returns one can't put the old value back.
+
+def fewer_rows(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """From now on the session's queries send at most ``rows`` rows and about ``size`` bytes at a time to Python, so that few texts are in memory; a longer text comes by itself.
+
+    A lazy result is computed with the settings of that later time, so whoever returns one can't put the old ones back.
     """
     now = int(spark.conf.get(BATCH_ROWS))
     if now <= 0 or now > rows:
         spark.conf.set(BATCH_ROWS, rows)
+    now = _bytes(spark)
+    if now <= 0 or now > size:
+        spark.conf.set(BATCH_BYTES, size)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
     """``fewer_rows`` for the queries run within."""
-    before = spark.conf.get(BATCH_ROWS)
-    fewer_rows(spark, rows)
+    before = {k: spark.conf.get(k) for k in (BATCH_ROWS, BATCH_BYTES)}
+    fewer_rows(spark, rows, size)
     try:
         yield
     finally:
-        spark.conf.set(BATCH_ROWS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def partitions(spark: SparkSession) -> int:

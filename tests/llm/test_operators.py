@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -963,3 +964,11 @@ def test_stages_keep_batches_small(spark, docs):
         assert spark.conf.get(common.BATCH_ROWS) == "10"
     finally:
         spark.conf.set(common.BATCH_ROWS, before)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    long = spark.range(40).repartition(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("x"), F.lit(500_000)).alias("text"))
+    sizes = common.by_batch(long, lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]), "n long")
+    with common.small_batches(spark, size=2 << 20):
+        got = [r.n for r in sizes.collect()]
+    assert sum(got) == 40 and max(got) <= 5
