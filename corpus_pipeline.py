@@ -6,7 +6,7 @@ empty one.  Ties and repeated rows: the classifier and the secrets network judge
 doc_id, and of rows without any that have equal texts, near-duplicate removal keeps one, and of a group the smallest doc_id;
 rows of one doc_id get the same rate.  A corpus without labels keeps every document at rate 1.
 
-A stage leaves the session with at most 1000 rows to an Arrow batch, also where it is called without ``run``.
+A stage leaves the session with at most 1000 rows and 4 MB to an Arrow batch, also where it is called without ``run``.
 """
 
 from __future__ import annotations
