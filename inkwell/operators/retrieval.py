@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -91,29 +91,57 @@ def _nearest(queries: pa.Table, k: int):
     return run
 
 
-def top_encoded(df: DataFrame, text: str, query: str, k: int, encode: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> DataFrame:
-    """Adds ``retrieved``, the k sentences (score, pos, sentence) nearest to the query: by ``encode``, a factory of a function from texts to vectors, or, without one or where it fails, by shared words."""
+ENCODED, FALLBACK = "encoded", "fallback:lexical"
+
+
+def _vectors(model: Callable[[list[str]], np.ndarray], asked: list[str], at_once: int) -> dict[str, np.ndarray]:
+    """Unit vectors of distinct texts, ``at_once`` to a call; the texts of a call that fails are tried one by one, and those that fail alone have none."""
+    out = {}
+    calls = [asked[i : i + at_once] for i in range(0, len(asked), at_once)]
+    while calls:
+        some = calls.pop()
+        try:
+            v = np.asarray(model(some), dtype=float).reshape(len(some), -1)
+        except Exception:  # noqa: BLE001  whatever a model fails with, the rows' status says so
+            calls += [[t] for t in some] if len(some) > 1 else []
+            continue
+        out.update(zip(some, v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12), strict=True))
+    return out
+
+
+def top_encoded(df: DataFrame, text: str, query: str, k: int, encode: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, at_once: int = 256) -> DataFrame:
+    """Adds ``retrieved``, the k sentences (score, pos, sentence) nearest to the query, and ``retrieved_status``.
+
+    ``encode`` is a factory of a function from texts to vectors; it is made once for each task and called with up to
+    ``at_once`` of the distinct texts of an Arrow batch.  Similarities are rounded to nine digits, ties go by place.  Without an
+    encoder, or for rows with a text that it fails on, shared words decide, and the status is ``fallback:lexical``.
+    """
     lexical = top_sentences(df, text, query, k)
     if encode is None:
-        return lexical
+        return lexical.withColumn("retrieved_status", F.lit(FALLBACK))
     kind = pa.list_(pa.struct([("score", pa.int32()), ("pos", pa.int32()), ("sentence", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
-            out = []
-            for asked, fallback, sentences in zip(batch.column("_asked").to_pylist(), batch.column("retrieved").to_pylist(), batch.column("_sentences").to_pylist(), strict=True):
-                try:
-                    model = model or encode()
-                    v = np.asarray(model([asked or "", *sentences]), dtype=float)
-                    v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
-                    near = v[1:] @ v[0]
-                    out.append([{"score": round(1000 * float(near[i])), "pos": int(i), "sentence": sentences[i]} for i in np.argsort(-near, kind="stable")[:k]])
-                except Exception:  # noqa: BLE001  a model's failure means the fallback
-                    out.append(fallback)
-            columns = {n: batch.column(n) for n in names} | {"retrieved": pa.array(out, kind)}
+            rows = [(q or "", x or []) for q, x in zip(batch.column("_asked").to_pylist(), batch.column("_sentences").to_pylist(), strict=True)]
+            try:
+                model = model or encode()
+                known = _vectors(model, list(dict.fromkeys(t for q, x in rows for t in (q, *x))), at_once)
+            except Exception:  # noqa: BLE001  a model that can't be made
+                known = {}
+            out, status = [], []
+            for (asked, sentences), fallback in zip(rows, batch.column("retrieved"), strict=True):
+                whole = all(t in known for t in (asked, *sentences))
+                status.append(ENCODED if whole else FALLBACK)
+                if not whole:
+                    out.append(fallback.as_py())
+                    continue
+                near = np.round([known[x] @ known[asked] for x in sentences], 9)
+                out.append([{"score": round(1000 * float(near[i])), "pos": int(i), "sentence": sentences[i]} for i in np.argsort(-near, kind="stable")[:k]])
+            columns = {n: batch.column(n) for n in names} | {"retrieved": pa.array(out, kind), "retrieved_status": pa.array(status, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     names = df.columns
     held = lexical.withColumn("_asked", F.col(query)).withColumn("_sentences", T.source_sentences(F.col(text)))
-    return held.mapInArrow(run, StructType([*df.schema.fields, StructField("retrieved", lexical.schema["retrieved"].dataType)]))
+    return held.mapInArrow(run, StructType([*df.schema.fields, StructField("retrieved", lexical.schema["retrieved"].dataType), StructField("retrieved_status", StringType())]))

@@ -11,6 +11,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import features as X
 from ..functions import grounding as G
 from ..functions import lexicons as L
 from ..functions import parsing
@@ -414,9 +415,90 @@ def _letters():
     return lambda xs: np.array([[x.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for x in xs], dtype=float)
 
 
-@query("encoded_retrieval")
+_NEAR = "round(list_dot_product(a, b) / (greatest(sqrt(list_dot_product(a, a)), 1e-12::DOUBLE) * greatest(sqrt(list_dot_product(b, b)), 1e-12::DOUBLE)), 9)"
+
+
+def _counts(t: str) -> str:
+    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (len(lower({t})) - len(replace(lower({t}), c, '')))::DOUBLE)"
+
+
+@query(
+    "encoded_retrieval",
+    f"""WITH s AS (SELECT doc_id, {D.source_sentences('text')} AS s FROM {TEXTS_SQL}), e AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence, s[1] AS asked FROM s WHERE len(s) > 0),
+    v AS (SELECT doc_id, pos, {_counts('asked')} AS a, {_counts('sentence')} AS b FROM e),
+    r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY {_NEAR} DESC, pos) - 1 AS rank FROM v)
+    SELECT doc_id, rank::INT AS rank, pos::INT AS pos, 'encoded' AS status FROM r WHERE rank < 3""",
+)
 def encoded_retrieval(spark, sf_dir):
     """The three sentences nearest to the first one by an encoder of letters."""
     first = F.coalesce(F.try_element_at(T.source_sentences(F.col("text")), F.lit(1)), F.lit(""))
     top = retrieval.top_encoded(texts(spark, sf_dir).withColumn("q", first), "text", "q", 3, _letters)
-    return top.select("doc_id", F.posexplode("retrieved").alias("rank", "r")).select("doc_id", "rank", "r.pos")
+    return top.select("doc_id", F.col("retrieved_status").alias("status"), F.posexplode("retrieved").alias("rank", "r")).select("doc_id", "rank", "r.pos", "status")
+
+
+
+# ---- Profiles from labels: what the grid's reports say, over documents ----------------------------------------------
+
+_PROFILED = f"""(SELECT source, lang, profile, n_chars, round({D.REWARD}, 4) AS linguistic FROM (SELECT source, lang, n_chars, CASE WHEN quality = 0 THEN 'flattened' WHEN toxic = 1 THEN 'fabricated' ELSE 'good' END AS profile, {D.feature_columns('text')}
+    FROM documents JOIN labels USING (doc_id)))"""
+_CELLS = "(SELECT source, lang, " + ", ".join(f"max({c}) FILTER (profile = '{p}') AS {c[0]}_{p}" for c in ("linguistic", "n_chars") for p in L.PROFILES) + f" FROM {_PROFILED} GROUP BY ALL)"
+
+
+def profiled(spark, sf_dir) -> DataFrame:
+    """Labelled documents with a profile (clean, low, toxic), in cells of a source and a language."""
+    d = documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text").join(table(spark, sf_dir, "labels"), "doc_id")
+    profile = F.when(F.col("quality") == 0, "flattened").when(F.col("toxic") == 1, "fabricated").otherwise("good")
+    return X.with_features(d).select("source", "lang", "n_chars", profile.alias("profile"), X.linguistic_reward(digits=4).alias("linguistic"))
+
+
+@query("win_counts", f"SELECT count(*) AS cells, count(*) FILTER (l_good > l_fabricated) AS wins FROM {_CELLS}")
+def win_counts(spark, sf_dir):
+    return agreement.wins(profiled(spark, sf_dir), ["source", "lang"], "profile", "linguistic", "good", "fabricated")
+
+
+@query("arm_agreement", " UNION ALL ".join(f"SELECT '{p}' AS other, count(*) AS cells, count(*) FILTER ((l_good > l_{p}) = (n_good > n_{p})) AS agree FROM {_CELLS} WHERE source IS NOT NULL AND lang IS NOT NULL" for p in L.PROFILES[1:]))
+def arm_agreement(spark, sf_dir):
+    """Whether the surface reward and the length say the same."""
+    return flows.arm_agreement(profiled(spark, sf_dir), ["source", "lang"], "linguistic", "n_chars")
+
+
+@query(
+    "judge_counters",
+    f"""SELECT count(*) AS cells, count(*) FILTER (l_good > l_flattened AND l_good > l_fabricated) AS good_top, count(*) FILTER (l_good > l_fabricated) AS good_over_fabricated, count(*) FILTER (l_fabricated < l_flattened) AS fabricated_under_flattened,
+    count(*) FILTER (l_good IS NOT DISTINCT FROM l_flattened OR l_good IS NOT DISTINCT FROM l_fabricated OR l_flattened IS NOT DISTINCT FROM l_fabricated) AS ties FROM {_CELLS}""",
+)
+def judge_counters(spark, sf_dir):
+    """The surface reward as the judge."""
+    return flows.judge_counters(profiled(spark, sf_dir), ["source", "lang"], "linguistic")
+
+
+def _prompt_sql(unit: str, register: str, record: str) -> str:
+    return f"replace(replace(replace({D.q(L.INSTRUCTION)}, '{{unit}}', {unit}), '{{register}}', {register}), '{{record}}', {record})"
+
+
+_REGISTER = "replace(register, '_', '-')"
+
+
+@query("case_prompts", f"SELECT doc_id AS case_id, register, md5({_prompt_sql('source', _REGISTER, 'text')}) AS prompt FROM documents, (VALUES ('testimony'), ('finding_aid')) registers(register)")
+def case_prompts(spark, sf_dir):
+    """Each document as a case, once for each register."""
+    d = documents(spark, sf_dir, "doc_id", "source", "text").withColumnRenamed("doc_id", "case_id")
+    return flows.case_prompts(d, F.col("source"), F.col("text")).withColumn("prompt", F.md5("prompt"))
+
+
+@query(
+    "training_pairs",
+    f"""SELECT record_id, kind, md5({_prompt_sql("c.source", "c.lang", "record_id")}) AS prompt, md5(trim(c.text)) AS chosen, md5(trim(r.text)) AS rejected
+    FROM ({ORACLES['reward_pairs']}) JOIN documents c ON c.doc_id = chosen JOIN documents r ON r.doc_id = rejected WHERE record_id IS NOT NULL""",
+)
+def training_pairs(spark, sf_dir):
+    """Training data end to end: candidates scored, paired by reward, and given their record's prompt."""
+    record = F.concat("source", F.lit("/"), "lang")
+    prompts = table(spark, sf_dir, "documents").select("source", "lang").distinct().select(record.alias("id"), parsing.prompt(F.col("source"), F.col("lang"), record).alias("prompt"))
+    made = flows.training_rows(candidates(spark, sf_dir), prompts, "reward")[1]
+    return made.select("record_id", "kind", *(F.md5(c).alias(c) for c in ("prompt", "chosen", "rejected")))
+
+
+@query("unscoreable_rows", f"SELECT starts_with({_STATUS}, 'unscoreable:') AS unscoreable, count(*) AS rows FROM {_CAND} GROUP BY 1")
+def unscoreable_rows(spark, sf_dir):
+    return _scored(spark, sf_dir).groupBy(G.is_unscoreable(F.col("status")).alias("unscoreable")).agg(F.count("*").alias("rows"))

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import flows
-from inkwell.plans import catalogue
+from inkwell.operators import flows, retrieval
+from inkwell.plans import catalogue, library
 from inkwell.sources import synthetic
 
 
@@ -104,9 +104,6 @@ def _broken():
 
 
 def test_encoder_and_its_fallback(spark):
-    from inkwell.operators import retrieval
-    from inkwell.plans import library
-
     text = "The red house stood by the old mill. A miller lived there with two sons. The red house burned in that winter."
     df = spark.createDataFrame([(1, text, "red house winter")], "id long, text string, q string")
     lexical = retrieval.top_sentences(df, "text", "q", 2).head().retrieved
@@ -143,3 +140,30 @@ def test_annotators_in_blocks(spark):
     df = spark.createDataFrame(rows, "annotator string, item int, rating double")
     one, many = ({(r.a, r.b): (r.n, None if r.rho is None else round(r.rho, 9)) for r in agreement.annotator_pairs(df, ["item"], 3, block).collect()} for block in (100, 3))
     assert one == many and len(one) > 40 and all(a < b for a, b in one)
+
+
+def _picky():
+    """Letters, but no text with an x, and no more than four texts to a call."""
+    count = library._letters()
+
+    def model(xs):
+        if len(xs) > 4 or any("x" in t for t in xs):
+            raise ValueError("too much")
+        return count(xs)
+
+    return model
+
+
+def test_encoder_by_batch(spark):
+    """A text that the encoder fails on sends its own row to the fallback and no other."""
+    one = "The mill stood by the river for years. The river ran past the old mill. Nobody ever wrote about it again."
+    rows = [(1, one, "the river mill"), (2, one + " An exile came back here later.", "the river mill"), (3, None, "q"), (4, one, None), (5, one, "the river mill")]
+    df = spark.createDataFrame(rows, "id long, text string, q string").repartition(1)
+    lexical = {r.id: r.retrieved for r in retrieval.top_encoded(df, "text", "q", 2).collect()}
+    plain = {r.id: r.retrieved for r in retrieval.top_encoded(df, "text", "q", 2, library._letters).collect()}
+    for at_once in (4, 256):
+        got = {r.id: r for r in retrieval.top_encoded(df, "text", "q", 2, _picky, at_once).collect()}
+        assert {i: r.retrieved_status for i, r in got.items()} == {i: retrieval.FALLBACK if i == 2 else retrieval.ENCODED for i in range(1, 6)}
+        assert got[2].retrieved == lexical[2] and all(got[i].retrieved == plain[i] for i in (1, 3, 4, 5))
+    assert {r.retrieved_status for r in retrieval.top_encoded(df, "text", "q", 2, _broken).collect()} == {retrieval.FALLBACK}
+    assert retrieval.top_encoded(df.where("false"), "text", "q", 2, _picky).collect() == []
