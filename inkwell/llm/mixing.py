@@ -21,7 +21,8 @@ Tokens are runs of characters other than white space and ``.,;:!?``.
 
 Defined results: a null or empty text has no tokens, its rate follows from its posterior, and it adds nothing to any
 total; labels with a null are ignored, and of repeated ones the lowest quality and highest toxicity count; without labels
-every posterior is uniform; targets out of reach are met as nearly as nonnegative rates can; equal texts have equal
+every posterior is uniform; targets out of reach are met as nearly as nonnegative rates can, with a
+warning that names the residuals; equal texts have equal
 rates; repeated rows are repeated; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 import zlib
 
 import numpy as np
@@ -139,7 +141,7 @@ def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False,
 
     ``targets``: shares of all tokens, or, ``relative``, multiples of each domain's own expected tokens.  ``least`` is the
     bound that each rate is projected to, else zero; targets that it puts out of reach are met as nearly as it allows.  The fit ends
-    where each domain's residual is at most ``close`` of its own target.
+    where each domain's residual is at most ``close`` of its own target; where it ends otherwise, a warning names what is left.
     """
     p = [F.col(f"p_{name}") for name in DOMAINS]
     k = len(p)
@@ -172,6 +174,9 @@ def fitted(table: DataFrame, targets: dict[str, float], relative: bool = False,
             history.append(now - goal)
         else:
             size /= 2
+    unmet = {name: f"{r:+.2g} of {g:.2g}" for name, r, g in zip(DOMAINS, history[-1], goal, strict=True) if abs(r) > close * g}
+    if unmet:
+        warnings.warn(f"rates leave these shares of all tokens above or below their targets: {unmet}", stacklevel=2)
     return rate, history
 
 

@@ -696,6 +696,18 @@ def test_mixing_steps_against_numpy(spark):
     assert (r > 0).all()
 
 
+def test_unmet_targets_are_told(spark):
+    """Without any toxic text its share can't be met; a target within reach tells nothing."""
+    import warnings
+
+    table = spark.createDataFrame([(1, 10, 0.5, 0.0, 0.5), (2, 30, 0.1, 0.0, 0.9)], "doc_id long, tokens long, p_low double, p_toxic double, p_clean double")
+    with pytest.warns(UserWarning, match="toxic.*-0.3 of 0.3"):
+        mixing.fitted(table, {"low": 0.2, "toxic": 0.3, "clean": 0.5})
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        mixing.fitted(table, {"low": 0.2, "toxic": 0.0, "clean": 0.8})
+
+
 def test_posteriors_against_brute_force(spark):
     """Naive Bayes by hand over more telling words than the 64 of a domain there once were, and more hits than three."""
     r = random.Random(6)
