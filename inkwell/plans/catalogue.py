@@ -16,7 +16,7 @@ from ..functions import guards, parsing
 from ..functions import lexicons as L
 from ..functions import rewards as R
 from ..functions import text as T
-from ..operators import agreement, cache, datasets, flows, retrieval, scoring, selection, spans
+from ..operators import agreement, cache, datasets, flows, retrieval, scoring, selection, spans, vector_index
 from ..sources import files, readers, sinks, synthetic
 from . import fragments as D
 
@@ -347,6 +347,26 @@ def vector_topk(spark, sf_dir):
     return rounded(retrieval.top_vectors(vectors, asked, 5).withColumn("rank", F.col("rank").cast("long")), ["similarity"], 4)
 
 
+@query("vector_index_topk", ORACLES["vector_topk"])
+def vector_index_topk(spark, sf_dir):
+    """The same queries by the inverted file, which proves its results exact."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = vector_index.VectorIndex.build(vectors, most_k=5).search(asked, 5)
+    return rounded(found.withColumn("rank", F.col("rank").cast("long")), ["similarity"], 4)
+
+
+@query("vector_index_recall", "SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, 5 * count(*) FILTER (vec_id % 20 = 0) AS neighbours, true AS enough FROM embeddings")
+def vector_index_recall(spark, sf_dir):
+    """Recall at 5 where each query looks only into as many cells as held 99 % of the neighbours within the sample, against the exact search; 0.95 is enough (a few queries vary)."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = vector_index.VectorIndex.build(vectors, most_k=5)
+    exact = index.search(asked, 5)
+    r = vector_index.recall(index.search(asked, 5, index.probes_for(0.99)), exact)
+    return r.select("queries", (5 * F.col("queries")).alias("neighbours"), (F.col("recall") >= 0.95).alias("enough"))
+
+
 # ---- Candidates: documents, grouped by source; a number is an unsupported claim --------------------------------------
 
 _CAND = rf"""(SELECT record_id, i, text, unsup, 1::DOUBLE / (1 + unsup) AS F, round({D.REWARD}, 6) AS linguistic, round(lexical_density, 6) AS density, round(-greatest(0::DOUBLE, ({D.n_pieces('text')} - 90) / 90.0::DOUBLE), 6) AS length_guard
