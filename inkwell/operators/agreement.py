@@ -1,15 +1,19 @@
 """Correlation and agreement statistics, set precision and recall, separation of features.
 
-Ranks come from counts of equal values within ranges of a group's values, so no window sees a whole group.
+Ranks come from counts of equal values within ranges of a group's values, so no window sees a whole group; pairs of annotators
+meet as bitmaps of items first, then as bounded matrices.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 
 def pearson(x: str, y: str) -> Column:
     """Aggregate: the correlation, null under two rows or where either side is constant."""
@@ -44,24 +48,91 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str = "rho", le
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("_rho")).select(*by, "n", F.when(F.col("n") >= least, F.col("_rho")).alias(name))
 
 
-def annotator_pairs(ratings: DataFrame, item: list[str], least: int = 3, block: int = 128) -> DataFrame:
+#: Ratings in a block of annotators, as expected; an annotator with more than an eighth of it meets the others in joins.
+MOST_RATINGS = 4_000_000
+#: Items in a tile, as expected; places within it fit 16 bits.
+TILE = 24_000
+#: Entries of a matrix that ranks are taken in.
+AT_ONCE = 1 << 20
+
+
+def annotator_pairs(ratings: DataFrame, item: list[str], least: int = 3, block: int = 128, most: int = MOST_RATINGS, tile: int = TILE) -> DataFrame:
     """a, b, n, rho for each two annotators (annotator, item, rating) with ``least`` items in common, a < b.
 
-    There are as many pairs as annotators squared, so that is what it costs; but ratings don't meet item by item: the
-    annotators are dealt into blocks of about ``block``, and each two blocks meet in a task as a matrix of annotators and
-    items.  Of repeated ratings of an item by one annotator the mean counts.
+    There are as many pairs as annotators squared, so that is what it costs; but ratings don't meet item by item.  Items that
+    two annotators have rated get a tile and a place in it, annotators a block of about ``block`` annotators and ``most``
+    ratings.  First two blocks' places meet tile by tile, two bytes a rating, and are counted as bitmaps: only annotators with
+    enough in common with someone in a block send that block's task their ratings.  There each annotator is ranked against a
+    few others at a time, within AT_ONCE entries.  An annotator with more than ``most`` / 8 ratings is in no block: its pairs
+    are joined by item, and ranks come from ranges of values (``spearman``), so no task holds all its ratings either.
+
+    Of repeated ratings of an item by one annotator the mean counts; null and NaN ratings and null annotators don't.
     """
+    spark, where = ratings.sparkSession, files.folder(ratings.sparkSession, "annotators")
     clean = ratings.where(F.col("rating").isNotNull() & ~F.isnan(F.col("rating").cast("double")) & F.col("annotator").isNotNull())
-    once = clean.groupBy("annotator", F.xxhash64(*item).alias("item")).agg(F.avg(F.col("rating").cast("double")).alias("rating"))
-    each = once.groupBy("annotator").agg(F.collect_list("item").alias("items"), F.collect_list("rating").alias("ratings"))
-    blocks = max(1, -(-once.select("annotator").distinct().count() // block))
-    own = F.pmod(F.xxhash64("annotator"), F.lit(blocks)).cast("int")
-    dealt = each.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("annotator", "items", "ratings", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"))
+    clean.groupBy("annotator", F.xxhash64(*item).alias("item")).agg(F.avg(F.col("rating").cast("double")).alias("rating")).write.parquet(f"{where}/once")
+    once = spark.read.parquet(f"{where}/once")
+    shared = once.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
+    tiles = max(1, -(-shared.count() // tile))
+    place = F.row_number().over(Window.partitionBy("tile").orderBy("item")) - 1
+    places = shared.withColumn("tile", F.pmod("item", F.lit(tiles)).cast("int")).withColumn("at", place.cast("smallint"))
+    once.join(places, "item").select("annotator", "tile", "at", "rating").write.parquet(f"{where}/placed")
+    placed = spark.read.parquet(f"{where}/placed")
+    placed.groupBy("annotator").agg(F.count("*").alias("k")).withColumn("wide", F.col("k") > most // 8).write.parquet(f"{where}/sizes")
+    sizes = spark.read.parquet(f"{where}/sizes")
+    narrow, total, wide = sizes.agg(F.count_if(~F.col("wide")), F.sum(F.when(~F.col("wide"), F.col("k"))), F.count_if("wide")).head()
+    blocks = max(1, -(-narrow // block), -(-(total or 0) // most))
+    kept = placed.join(sizes.where("NOT wide").select("annotator"), "annotator", "left_semi") if wide else placed
     kind = dict(ratings.dtypes)["annotator"]
     # Small rows, much work: a partition for each two blocks, which adaptive execution would put together.
-    dealt = dealt.repartition(min(4096, blocks * (blocks + 1) // 2), "low", "high")
-    return dealt.groupBy("low", "high").applyInPandas(_matched(least), f"a {kind}, b {kind}, n long, rho double")
+    deal = min(4096, max(1, blocks * (blocks + 1) // 2))
+
+    tagged = kept.groupBy("annotator", "tile").agg(F.collect_list("at").alias("at")).withColumn("own", F.pmod(F.xxhash64("annotator"), F.lit(blocks)).cast("int"))
+    dealt = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("annotator", "tile", "at", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"))
+    met = dealt.repartition(min(4096, deal * tiles), "low", "high", "tile").groupBy("low", "high", "tile")
+    counted = met.applyInArrow(_shared, f"low int, high int, a {kind}, b {kind}, n long").groupBy("low", "high", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted.write.parquet(f"{where}/counted")
+    pairs = spark.read.parquet(f"{where}/counted")
+
+    sides = pairs.select("low", "high", F.col("a").alias("annotator"), F.col("b").alias("with")).unionByName(pairs.select("low", "high", F.col("b").alias("annotator"), F.lit(None).cast(kind).alias("with")))
+    sent = sides.groupBy("low", "high", "annotator").agg(F.collect_list("with").alias("with"))
+    held = kept.groupBy("annotator").agg(F.array_sort(F.collect_list(F.struct((F.col("tile").cast("long") * 32768 + F.col("at")).alias("item"), "rating"))).alias("r"))
+    rows = sent.join(held, "annotator").select("low", "high", "annotator", "with", F.col("r.item").alias("items"), F.col("r.rating").alias("ratings"))
+    out = rows.repartition(deal, "low", "high").groupBy("low", "high").applyInArrow(_matched, f"x {kind}, y {kind}, n long, rho double")
+    out = out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", "rho")
+    if not wide:
+        return out
+    one = placed.join(sizes.where("wide").select("annotator"), "annotator", "left_semi").select("tile", "at", F.col("annotator").alias("x"), F.col("rating").alias("p"))
+    two = placed.join(sizes.select("annotator", "wide"), "annotator").select("tile", "at", F.col("annotator").alias("y"), F.col("rating").alias("q"), "wide")
+    each = one.join(two, ["tile", "at"]).where((F.col("x") < F.col("y")) | (~F.col("wide") & (F.col("x") > F.col("y"))))
+    each = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "p", "q")
+    return out.unionByName(spearman(each, ["a", "b"], "p", "q", "rho", least).where(F.col("n") >= least).select("a", "b", "n", "rho"))
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """How many items of a tile each two annotators of two blocks (or of one) have in common, counted in bitmaps."""
+    names, second = rows.column("annotator"), rows.column("second").to_numpy()
+    lists = rows.column("at").combine_chunks()
+    sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    held = np.zeros((len(rows), int(flat.max(initial=0)) + 1), dtype=bool)
+    held[np.repeat(np.arange(len(rows)), sizes), flat] = True
+    bits = np.packbits(held, axis=1)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+    left, right = np.flatnonzero(~second), np.flatnonzero(second)
+    same = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+    at, other, n = [], [], []
+    for k, i in enumerate(left.tolist()):
+        others = left[k + 1 :] if same else right
+        common = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+        some = common > 0
+        at.append(np.full(some.sum(), i))
+        other.append(others[some])
+        n.append(common[some])
+    at, other, n = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (at, other, n))
+    a, b = names.take(pa.array(at)), names.take(pa.array(other))
+    swap = pc.greater(a, b)
+    return pa.table([rows.column("low").take(pa.array(at)), rows.column("high").take(pa.array(at)), pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(n)], ["low", "high", "a", "b", "n"])
 
 
 def _ranked(x: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -78,29 +149,33 @@ def _ranked(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.where(held, out, 0.0)
 
 
-def _matched(least: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, second = rows["annotator"].tolist(), rows["second"].to_numpy()
-        items, at = np.unique(np.concatenate([*rows["items"]]), return_inverse=True)
-        m = np.full((len(rows), len(items)), np.nan)
-        m[np.repeat(np.arange(len(rows)), [len(x) for x in rows["items"]]), at] = np.concatenate([*rows["ratings"]])
-        held, out = ~np.isnan(m), []
-        left, right = np.flatnonzero(~second), np.flatnonzero(second)
-        for k, i in enumerate(left.tolist()):
-            others = left[k + 1 :] if rows["low"].iloc[0] == rows["high"].iloc[0] else right
-            both = held[others] & held[i]
+def _matched(rows: pa.Table) -> pa.Table:
+    """n and rho of each annotator with those in ``with``, by average ranks within what the two have rated."""
+    names = rows.column("annotator").to_pylist()
+    place = {name: k for k, name in enumerate(names)}
+    items, values = ([x.values.to_numpy() for x in rows.column(c)] for c in ("items", "ratings"))
+    out = []
+    for i, partners in enumerate(rows.column("with").to_pylist()):
+        others, own = [place[b] for b in partners], items[i]
+        at_once = max(1, AT_ONCE // max(1, len(own)))
+        for top in range(0, len(others), at_once):
+            some = others[top : top + at_once]
+            y = np.full((len(some), len(own)), np.nan)
+            for line, j in enumerate(some):
+                at = np.searchsorted(own, items[j])
+                hit = at < len(own)
+                hit[hit] = own[at[hit]] == items[j][hit]
+                y[line, at[hit]] = values[j][hit]
+            both = ~np.isnan(y)
             n = both.sum(axis=1)
-            others, both, n = others[n >= least], both[n >= least], n[n >= least]
-            if not len(others):
-                continue
             mean = (n[:, None] + 1) / 2
-            x, y = (np.where(both, _ranked(z, both) - mean, 0.0) for z in (np.broadcast_to(m[i], both.shape), m[others]))
-            spread = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-            rho = np.divide((x * y).sum(axis=1), spread, out=np.full(len(n), np.nan), where=spread > 0)
-            out += [(*sorted((names[i], names[j])), int(c), None if np.isnan(r) else float(r)) for j, c, r in zip(others.tolist(), n.tolist(), rho.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "n", "rho"]).astype({"rho": "float64"})
-
-    return run
+            p, q = (np.where(both, _ranked(z, both) - mean, 0.0) for z in (np.broadcast_to(values[i], y.shape), y))
+            spread = np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
+            rho = np.divide((p * q).sum(axis=1), spread, out=np.full(len(n), np.nan), where=spread > 0)
+            out += [(names[i], names[j], c, None if np.isnan(r) else r) for j, c, r in zip(some, n.tolist(), rho.tolist(), strict=True)]
+    x, y, n, rho = zip(*out, strict=True) if out else ((), (), (), ())
+    kind = rows.column("annotator").type
+    return pa.table([pa.array(x, kind), pa.array(y, kind), pa.array(n, pa.int64()), pa.array(rho, pa.float64())], ["x", "y", "n", "rho"])
 
 
 def inter_annotator(ratings: DataFrame, item: list[str], least: int = 3) -> DataFrame:

@@ -133,13 +133,35 @@ def test_ranks_in_ranges(spark):
             assert all(got[g, x] == xs.index(x) + (xs.count(x) + 1) / 2 for x in set(xs))
 
 
+def _plain_rho(x, y):
+    rank = lambda v: [sum(w < u for w in v) + (sum(w == u for w in v) + 1) / 2 for u in v]
+    p, q = ([r - (len(x) + 1) / 2 for r in rank(v)] for v in (x, y))
+    spread = (sum(r * r for r in p) * sum(r * r for r in q)) ** 0.5
+    return round(sum(r * s for r, s in zip(p, q, strict=True)) / spread, 9) if spread else None
+
+
 def test_annotators_in_blocks(spark):
+    """Blocks, tiles and annotators too wide for a block give what plain loops give; repeats count by their mean, null and NaN not at all."""
     from inkwell.operators import agreement
 
-    rows = [(f"n{a}", i, float((a * 7 + i * i * (1 + a % 3)) % 5)) for a in range(12) for i in range(8) if (a + i) % 4]
-    df = spark.createDataFrame(rows, "annotator string, item int, rating double")
-    one, many = ({(r.a, r.b): (r.n, None if r.rho is None else round(r.rho, 9)) for r in agreement.annotator_pairs(df, ["item"], 3, block).collect()} for block in (100, 3))
-    assert one == many and len(one) > 40 and all(a < b for a, b in one)
+    rows = [(f"n{a}", i, float((a * 7 + i * i * (1 + a % 3)) % 5)) for a in range(12) for i in range(8 + 30 * (a in (3, 9))) if (a + i) % 4]
+    rows += [("n1", 2, 9.0), ("n1", 2, 0.0), ("n2", 3, float("nan")), (None, 1, 1.0), ("n4", 5, None), ("flat", 0, 1.0), ("flat", 1, 1.0), ("flat", 2, 1.0), ("flat", 3, 1.0), ("alone", 99, 1.0)]
+    df = spark.createDataFrame(rows, "annotator string, item int, rating double").withColumn("low", F.lit(1)).withColumn("tile", F.lit("x"))
+    seen = {}
+    for a, i, r in rows:
+        if a is not None and r is not None and r == r:
+            seen.setdefault(a, {}).setdefault(i, []).append(r)
+    mean = {a: {i: sum(r) / len(r) for i, r in x.items()} for a, x in seen.items()}
+    want = {}
+    for a in mean:
+        for b in mean:
+            common = sorted(mean[a].keys() & mean[b].keys())
+            if a < b and len(common) >= 3:
+                want[a, b] = len(common), _plain_rho([mean[a][i] for i in common], [mean[b][i] for i in common])
+    for block, most, tile in ((100, 10**6, 1000), (3, 10**6, 4), (5, 120, 3), (100, 60, 10)):
+        got = {(r.a, r.b): (r.n, None if r.rho is None else round(r.rho, 9) + 0.0) for r in agreement.annotator_pairs(df, ["item"], 3, block, most, tile).collect()}
+        assert got == want, (block, most, tile)
+    assert len(want) > 40 and agreement.annotator_pairs(df.where("false"), ["item"]).collect() == []
 
 
 def _picky():
