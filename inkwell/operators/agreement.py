@@ -151,31 +151,28 @@ def _ranked(x: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 def _matched(rows: pa.Table) -> pa.Table:
     """n and rho of each annotator with those in ``with``, by average ranks within what the two have rated."""
-    names = rows.column("annotator").to_pylist()
-    place = {name: k for k, name in enumerate(names)}
+    names = rows.column("annotator")
+    place = {name: k for k, name in enumerate(names.to_pylist())}
     items, values = ([x.values.to_numpy() for x in rows.column(c)] for c in ("items", "ratings"))
-    out = []
+    found = [(np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0),)]
     for i, partners in enumerate(rows.column("with").to_pylist()):
         others, own = [place[b] for b in partners], items[i]
         at_once = max(1, AT_ONCE // max(1, len(own)))
         for top in range(0, len(others), at_once):
             some = others[top : top + at_once]
+            flat, line = np.concatenate([items[j] for j in some]), np.repeat(np.arange(len(some)), [len(items[j]) for j in some])
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            hit = own[at] == flat
             y = np.full((len(some), len(own)), np.nan)
-            for line, j in enumerate(some):
-                at = np.searchsorted(own, items[j])
-                hit = at < len(own)
-                hit[hit] = own[at[hit]] == items[j][hit]
-                y[line, at[hit]] = values[j][hit]
+            y[line[hit], at[hit]] = np.concatenate([values[j] for j in some])[hit]
             both = ~np.isnan(y)
             n = both.sum(axis=1)
             mean = (n[:, None] + 1) / 2
             p, q = (np.where(both, _ranked(z, both) - mean, 0.0) for z in (np.broadcast_to(values[i], y.shape), y))
             spread = np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
-            rho = np.divide((p * q).sum(axis=1), spread, out=np.full(len(n), np.nan), where=spread > 0)
-            out += [(names[i], names[j], c, None if np.isnan(r) else r) for j, c, r in zip(some, n.tolist(), rho.tolist(), strict=True)]
-    x, y, n, rho = zip(*out, strict=True) if out else ((), (), (), ())
-    kind = rows.column("annotator").type
-    return pa.table([pa.array(x, kind), pa.array(y, kind), pa.array(n, pa.int64()), pa.array(rho, pa.float64())], ["x", "y", "n", "rho"])
+            found.append((np.full(len(n), i), np.array(some), n, np.divide((p * q).sum(axis=1), spread, out=np.full(len(n), np.nan), where=spread > 0)))
+    x, y, n, rho = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.table([names.take(pa.array(x)), names.take(pa.array(y)), pa.array(n), pa.array(rho, from_pandas=True)], ["x", "y", "n", "rho"])
 
 
 def inter_annotator(ratings: DataFrame, item: list[str], least: int = 3) -> DataFrame:
