@@ -24,8 +24,8 @@ def best(score: Column, fields: Column, where: Column | None = None, last: bool
     return F.max_by(fields, F.when(keep, key))
 
 
-def pick(candidates: DataFrame, rewards: list[str], gate_unsup: int = 1, eligible: Column | None = None) -> DataFrame:
-    """record_id, pick_<reward> for each, and pick_gated: the richest of those within the gate; null where there is none.
+def rules(candidates: DataFrame, rewards: list[str], gate_unsup: int = 1, eligible: Column | None = None) -> dict[str, tuple[Column, Column]]:
+    """Score and condition of each pick.
 
     A candidate's score is its reward plus its length penalty; filtered and unscoreable ones don't compete for the gate.
     """
@@ -33,8 +33,13 @@ def pick(candidates: DataFrame, rewards: list[str], gate_unsup: int = 1, eligibl
     gate = ok & (F.col("unsup") <= gate_unsup)
     if "status" in candidates.columns:
         gate = gate & ~F.coalesce(F.col("status").startswith("unscoreable:"), F.lit(False))
-    made = [best(number(F.col(r) + F.col("length_guard")), F.col("i"), ok).alias(f"pick_{r}") for r in rewards]
-    made.append(best(number(F.col("linguistic") + F.col("length_guard")), F.col("i"), gate).alias("pick_gated"))
+    score = lambda r: number(F.col(r) + F.col("length_guard"))
+    return {f"pick_{r}": (score(r), ok) for r in rewards} | {"pick_gated": (score("linguistic"), gate)}
+
+
+def pick(candidates: DataFrame, rewards: list[str], gate_unsup: int = 1, eligible: Column | None = None) -> DataFrame:
+    """record_id, pick_<reward> for each, and pick_gated: the richest of those within the gate; null where there is none."""
+    made = [best(score, F.col("i"), where).alias(name) for name, (score, where) in rules(candidates, rewards, gate_unsup, eligible).items()]
     return candidates.groupBy("record_id").agg(*made)
 
 

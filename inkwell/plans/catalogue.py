@@ -18,6 +18,7 @@ from ..functions import rewards as R
 from ..functions import text as T
 from ..operators import agreement, cache, datasets, flows, retrieval, scoring, selection, spans, vector_index
 from ..sources import files, readers, sinks, synthetic
+from ..streaming import best_of_n
 from . import fragments as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,6 +396,17 @@ def best_of_n_pick(spark, sf_dir):
     return selection.pick(candidates(spark, sf_dir), ["linguistic", "density"]).withColumn("diverges", selection.diverges(["pick_linguistic", "pick_density"]))
 
 
+@query("best_of_n_increments", ORACLES["best_of_n_pick"])
+def best_of_n_increments(spark, sf_dir):
+    """The same picks from three batches of candidates, one of them sent twice, folded in between."""
+    held = best_of_n.BestOfN(spark, files.folder(spark, "best-of-n"), ["linguistic", "density"])
+    for part in (0, 1, 1, 2):
+        held.add(candidates(spark, sf_dir).where(F.col("i") % 3 == part), f"part-{part}")
+        if part == 1:
+            held.compact()
+    return held.picks().withColumn("diverges", selection.diverges(["pick_linguistic", "pick_density"]))
+
+
 @query(
     "reward_pairs",
     f"""WITH c AS {_CAND}, a AS (SELECT record_id, {_first('linguistic DESC, i', 'unsup <= 1')} AS chosen FROM c GROUP BY 1 HAVING count(*) >= 2),

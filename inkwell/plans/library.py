@@ -206,6 +206,17 @@ def blind_sheet(spark, sf_dir):
     return s.groupBy(F.col("record_id").alias("conv_id")).agg(F.count("*").alias("n"), F.min("label").alias("first_label"), F.max("label").alias("last_label"), F.count_distinct("label").alias("labels"), html.alias("html"))
 
 
+@query(
+    "blind_sheet_labels",
+    f"""SELECT conv_id, turn, chr((64 + row_number() OVER (PARTITION BY conv_id ORDER BY sha256('7:' || conv_id || ':' || turn), turn, text))::INT) AS label, md5({_HTML.format('text')}) AS html
+    FROM (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM conversations)""",
+)
+def blind_sheet_labels(spark, sf_dir):
+    """The sheet row by row: the order itself is compared."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("record_id"), F.col("turn").alias("i"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    return sinks.rating_sheet(c).select(F.col("record_id").alias("conv_id"), F.col("i").alias("turn"), "label", F.md5("html").alias("html"))
+
+
 @query("authoring_sheet", f"SELECT doc_id AS id, source AS title, lang AS unit, md5(substr(text, 1, 1200)) AS excerpt, md5({_HTML.format('substr(text, 1, 1200)')}) AS html FROM documents")
 def authoring_sheet(spark, sf_dir):
     made = sinks.authoring_sheet(documents(spark, sf_dir, "doc_id", "source", "lang", "text").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("unit"), F.col("text").alias("source_text")))

@@ -26,6 +26,17 @@ def put(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
+def commit(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one small file so that it is there whole or not at all: under another name first, then renamed."""
+    folder, name = path.rsplit("/", 1)
+    draft = f"{folder}-drafts/{uuid.uuid4().hex}"
+    put(spark, draft, text)
+    (old, fs), (new, _) = _at(spark, draft), _at(spark, path)
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"can't commit {name} in {folder}")
+
+
 def _at(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

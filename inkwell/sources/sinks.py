@@ -71,8 +71,12 @@ def tei_texts(df: DataFrame, key: str) -> DataFrame:
 
 
 def rating_sheet(candidates: DataFrame, seed: int = 7) -> DataFrame:
-    """record_id, label, i, html: candidates in an order drawn from the seed, named A, B, C ..., without their scores."""
-    order = F.row_number().over(Window.partitionBy("record_id").orderBy(F.xxhash64(F.lit(seed), "record_id", "i"), "i"))
+    """record_id, label, i, html: candidates in an order drawn from the seed, named A, B, C ..., without their scores.
+
+    The order is that of the SHA-256 of ``seed:record_id:i``, so any engine can draw it again.
+    """
+    drawn = F.sha2(F.concat_ws(":", F.lit(seed), F.col("record_id").cast("string"), F.col("i").cast("string")), 256)
+    order = F.row_number().over(Window.partitionBy("record_id").orderBy(drawn, "i", "text"))
     return candidates.select("record_id", F.char(64 + order).alias("label"), "i", T.html_escape(F.col("text")).alias("html"))
 
 
