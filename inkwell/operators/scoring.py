@@ -6,11 +6,14 @@ that fails gives null and a status, never a made-up score.
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import grounding as G
@@ -90,32 +93,89 @@ def entailment_faithfulness(df: DataFrame, key: list[str], text: str, premises:
     return out.select(*key, "v.F", "v.unsupported", "v.status")
 
 
-def chat_column(df: DataFrame, prompt: str, out: str, call: Callable[[], Callable[[str], str]], tries: int = 3, wait: float = 2.0, pause: float = 0.0) -> DataFrame:
-    """Adds ``out`` and ``<out>_status``: the answer of a chat model to each distinct prompt, tried up to three times."""
+class Pace:
+    """At most ``rate`` starts a second among the threads of a task, evenly spaced; any number where the rate is None."""
+
+    def __init__(self, rate: float | None) -> None:
+        self.gap, self.next, self.lock = 1 / rate if rate else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            now = time.monotonic()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        time.sleep(at - now)
+
+
+def _within(deadline: float | None, ask: Callable[[str], str], prompt: str) -> str:
+    """The answer, or TimeoutError; a call past its deadline is left to end by itself, in a thread that holds nothing up."""
+    if deadline is None:
+        return ask(prompt)
+    got: queue.Queue = queue.Queue()
+
+    def run() -> None:
+        try:
+            got.put((ask(prompt), None))
+        except Exception as e:  # noqa: BLE001
+            got.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        answer, error = got.get(timeout=deadline)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {deadline} s") from None
+    if error:
+        raise error
+    return answer
+
+
+def chat_column(
+    df: DataFrame, prompt: str, out: str, call: Callable[[], Callable[[str], str]], tries: int = 3, wait: float = 2.0, pause: float = 0.0, at_once: int = 1, per_second: float | None = None, tasks: int = 8, deadline: float | None = None
+) -> DataFrame:
+    """Adds ``out`` and ``<out>_status``: the answer of a chat model to each distinct prompt, tried up to ``tries`` times.
+
+    A task has up to ``at_once`` calls open (more than one asks for a model that threads may share).  ``per_second`` bounds the calls
+    that all tasks start: the prompts are dealt out over ``tasks`` tasks, each of which paces its own share, so fewer running tasks
+    are slower and never faster (a task that Spark repeats after a loss repeats its calls).  A failed or empty answer is
+    tried again after ``wait``, twice ``wait`` and so on; a call without an answer within ``deadline`` seconds has failed.
+    """
+
+    def answered(ask: Callable[[str], str], pace: Pace, p: str) -> tuple[str | None, str]:
+        answer, state = None, "failed"
+        for k in range(tries):
+            pace.wait()
+            try:
+                answer, state = _within(deadline, ask, p), "ok"
+            except Exception as e:  # noqa: BLE001
+                answer, state = None, f"failed: {e!r}"[:200]
+            if answer:
+                break
+            time.sleep(wait * 2**k if k < tries - 1 else 0)
+        time.sleep(pause)
+        return answer, "empty" if state == "ok" and not answer else state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = call()
-        for b in batches:
-            answers, states = [], []
-            for p in b.column(0).to_pylist():
-                answer, state = None, "failed"
-                for k in range(tries):
-                    try:
-                        answer, state = ask(p), "ok"
-                    except Exception as e:  # noqa: BLE001
-                        state = f"failed: {e!r}"[:200]
-                    if answer:
-                        break
-                    time.sleep(wait if k < tries - 1 else 0)
-                time.sleep(pause)
-                answers.append(answer)
-                states.append(state if answer else state if state != "ok" else "empty")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(answers, pa.string()), pa.array(states, pa.string())], [prompt, out, f"{out}_status"])
-
-    once = df.select(prompt).distinct().mapInArrow(run, f"`{prompt}` string, `{out}` string, `{out}_status` string")
+        ask, pace = call(), Pace(per_second / tasks if per_second else None)
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                got = list(pool.map(lambda p: answered(ask, pace, p), b.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in got], pa.string()), pa.array([s for _, s in got], pa.string())], [prompt, out, f"{out}_status"])
+
+    once = df.select(prompt).distinct()
+    once = (once.repartition(tasks) if per_second else once).mapInArrow(run, f"`{prompt}` string, `{out}` string, `{out}_status` string")
     return df.join(once, prompt, "left")
 
 
+def observed(scored: DataFrame, status: str = "status", name: str = "scores") -> tuple[DataFrame, Observation]:
+    """The same rows, and counters that fill in the pass that computes them: rows, scored, vacuous, fallback and failed.
+
+    ``get`` of the second has them once an action over the first has ended; no further job runs.
+    """
+    seen, s = Observation(name), F.coalesce(F.col(status), F.lit(""))
+    kinds = {"scored": s == G.SCORED, "vacuous": s.startswith("unscoreable:"), "fallback": s.startswith("fallback"), "failed": s.startswith("failed")}
+    return scored.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(k) for k, c in kinds.items())), seen
+
+
 def deduplicated(df: DataFrame, key: list[str]) -> DataFrame:
     """One row for each content hash of the key columns, the one with the smallest values of all columns."""
     rest = [c for c in df.columns]

@@ -16,7 +16,7 @@ from ..functions import grounding as G
 from ..functions import lexicons as L
 from ..functions import parsing
 from ..functions import text as T
-from ..operators import agreement, datasets, flows, retrieval, selection
+from ..operators import agreement, datasets, flows, retrieval, scoring, selection
 from ..sources import files, readers, registry, sinks
 from . import fragments as D
 from .catalogue import _CAND, _PAIRS, ORACLES, TEXTS_SQL, candidates, documents, pairs, query, reward_pairs, rounded, table, texts
@@ -309,6 +309,14 @@ def status_diagnostics(spark, sf_dir):
     return flows.diagnostics(_scored(spark, sf_dir))
 
 
+@query("status_counters", f"SELECT count(*) AS rows, count(*) FILTER (s = '{G.SCORED}') AS scored, count(*) FILTER (s LIKE 'unscoreable:%') AS vacuous, 0::BIGINT AS fallback, 0::BIGINT AS failed FROM (SELECT {_STATUS} AS s FROM {_CAND})")
+def status_counters(spark, sf_dir):
+    """Counters that the pass that writes the scores fills on its way."""
+    rows, seen = scoring.observed(_scored(spark, sf_dir))
+    rows.select("record_id", "i", "status", "F").write.parquet(files.folder(spark, "scored"))
+    return spark.createDataFrame([tuple(seen.get[k] for k in ("rows", "scored", "vacuous", "fallback", "failed"))], "rows long, scored long, vacuous long, fallback long, failed long")
+
+
 @query("score_lines", f"SELECT i, printf('F=%s  unsup=%d  composite=%.3f  linguistic=%.3f', CASE WHEN status = '{G.SCORED}' THEN printf('%.2f', F) ELSE upper(status) END, unsup, density, linguistic) AS line FROM (SELECT *, {_STATUS} AS status FROM {_CAND})")
 def score_lines(spark, sf_dir):
     return flows.score_line(_scored(spark, sf_dir), ["i"])
