@@ -690,8 +690,8 @@ _SURFACES = "Apache License|MIT License|License|the and|the|and|2\\.0"
 _FIXED = [("the", "org"), ("the and", "place"), ("and", "person"), ("Apache License", "org"), ("License", "org"), ("2.0", "date"), ("MIT License", "org")]
 
 
-def marked(spark, sf_dir, surfaces):
-    return texts(spark, sf_dir).select("doc_id", "text", spans.mentions_of(F.col("text"), surfaces).alias("m"))
+def marked(spark, sf_dir, surfaces, *more):
+    return spans.with_mentions_of(texts(spark, sf_dir), "text", surfaces, "m", ("doc_id", *more))
 
 
 def mention_rows(df: DataFrame) -> DataFrame:
@@ -753,7 +753,7 @@ _SHORT_SQL = "CASE type " + " ".join(f"WHEN '{kind}' THEN '{short}'" for kind, s
 )
 def tagged_mentions(spark, sf_dir):
     """How many tokens of each document get each tag from its mentions."""
-    tags = sinks.tagged_tokens(marked(spark, sf_dir, _CLASHING), "doc_id", "text", "m")
+    tags = sinks.tagged_tokens(marked(spark, sf_dir, _CLASHING, "text"), "doc_id", "text", "m")
     return tags.groupBy("doc_id", "tag").agg(F.count("*").alias("tokens"))
 
 
