@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
+from .batches import parts
 
 
 def ranked_sentences(text: Column, query: Column) -> Column:
@@ -113,7 +114,7 @@ def top_encoded(df: DataFrame, text: str, query: str, k: int, encode: Callable[[
     """Adds ``retrieved``, the k sentences (score, pos, sentence) nearest to the query, and ``retrieved_status``.
 
     ``encode`` is a factory of a function from texts to vectors; it is made once for each task and called with up to
-    ``at_once`` of the distinct texts of an Arrow batch.  Similarities are rounded to nine digits, ties go by place.  Without an
+    ``at_once`` of the distinct texts of a part of an Arrow batch.  Similarities are rounded to nine digits, ties go by place.  Without an
     encoder, or for rows with a text that it fails on, shared words decide, and the status is ``fallback:lexical``.
     """
     lexical = top_sentences(df, text, query, k)
@@ -123,7 +124,7 @@ def top_encoded(df: DataFrame, text: str, query: str, k: int, encode: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole)):
             rows = [(q or "", x or []) for q, x in zip(batch.column("_asked").to_pylist(), batch.column("_sentences").to_pylist(), strict=True)]
             try:
                 model = model or encode()
