@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grounding as G
 from ..functions import text as T
+from .batches import ROWS, parts
 
 #: Name to a factory; a factory's product takes a list of (premise, claim) and returns a list of (entailment, contradiction).
 SCORERS: dict[str, Callable[[], Callable]] = {}
@@ -56,7 +57,7 @@ def fresh_scores(once: DataFrame, name: str, batch: int = 32, keep: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
-        for b in batches:
+        for b in (x for whole in batches for x in parts(whole, max(batch, ROWS))):
             xs, out = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), []
             for k in range(0, len(xs), batch):
                 try:
@@ -157,7 +158,7 @@ def chat_column(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask, pace = call(), Pace(per_second / tasks if per_second else None)
         with ThreadPoolExecutor(at_once) as pool:
-            for b in batches:
+            for b in (x for whole in batches for x in parts(whole)):
                 got = list(pool.map(lambda p: answered(ask, pace, p), b.column(0).to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in got], pa.string()), pa.array([s for _, s in got], pa.string())], [prompt, out, f"{out}_status"])
 
