@@ -39,50 +39,66 @@ from .common import scratch, written
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Entries that a task sums up before it hands them on; characters of a text that are split at a time.
+#: For each byte of UTF-8: A-Z lower-cased, what no term holds as a space; characters beyond ASCII have bytes from 128 on and stay.
+BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
+#: Entries that a task sums up before it hands them on; bytes of a text that are split at a time.
 MOST_HELD, STRETCH = 200_000, 1 << 20
 #: Terms of a block and groups of a tile, about: a cell has two tiles at most, so its matrix takes some 4 MB.
 BLOCK_TERMS, TILE_GROUPS = 1024, 256
 SCALE = 1_000_000_000
 
 
-def terms(text: str) -> Iterator[list[str]]:
-    """The terms of ``text``, a stretch of it at a time; stretches end where a term does."""
+def byte_terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, a stretch of it at a time; stretches end where a term does."""
     at, end = 0, len(text)
     while at < end:
         cut = min(at + STRETCH, end)
-        if cut < end and (run := TERM.match(text, cut)):
-            cut = run.end()
-        yield TERM.findall(text[at:cut].translate(LOWER))
+        some = text[at:cut].translate(BYTES)
+        while cut < end and some[-1] != 32:  # up to the end of the term that the stretch would cut
+            more = text[cut : cut + STRETCH].translate(BYTES)
+            stop = more.find(b" ")
+            some, cut = some + (more if stop < 0 else more[: stop + 1]), min(end, cut + (len(more) if stop < 0 else stop + 1))
+        yield some.split()
         at = cut
 
 
+def terms(text: str) -> Iterator[list[str]]:
+    """The same of a string: the matches of TERM, lower-cased by LOWER."""
+    for some in byte_terms(text.encode()):
+        yield [x.decode() for x in some]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, text) to sums (lang, source, term, n, docs); the term '' marks that a group occurs."""
-    held: dict[tuple[str, str], dict[str, list[int]]] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
     def flushed() -> pa.RecordBatch:
-        rows = [(g, s, t, n, d) for (g, s), of in held.items() for t, (n, d) in of.items()]
+        """Group after group; the counters of occurrences and of documents have the same terms, if not in one order."""
+        sizes = [len(n) + 1 for n, _ in held.values()]
+        group = pa.array(np.repeat(np.arange(len(held)), sizes))
+        lang, source = (pa.array(list(x), pa.string()).take(group) for x in zip(*held, strict=True))
+        term, n, docs = [], [], []  # terms are whole characters: bytes of one never hold a space
+        for of, of_docs in held.values():
+            term += [b"", *of]
+            n += [0, *of.values()]
+            docs += [0, *map(of_docs.__getitem__, of)]
         held.clear()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
+        return pa.RecordBatch.from_arrays([lang, source, pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-            own = held.setdefault((lang.as_py(), source.as_py()), {"": [0, 0]})
-            found: Counter = Counter()
-            for some in terms(text.as_py()):
-                found.update(some)
-            before = len(own)
-            for term, n in found.items():
-                if term in own:
-                    sums = own[term]
-                    sums[0] += n
-                    sums[1] += 1
-                else:
-                    own[term] = [n, 1]
-            size += len(own) - before
+        for lang, source, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
+            group = (lang.as_py(), source.as_py())
+            if group not in held:
+                held[group] = Counter(), Counter()
+                size += 1
+            n, docs = held[group]
+            before, seen = len(n), set()
+            for some in byte_terms(text.as_py()):
+                n.update(some)  # counts within C, as the next one does
+                seen.update(some)
+            docs.update(seen)
+            size += len(n) - before
             if size > MOST_HELD:
                 yield flushed()
                 size = 0

@@ -263,3 +263,13 @@ def test_counts_are_handed_on_when_many_are_held(sources, monkeypatch):
         for lang, _, term, n, _ in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
             sums[lang, term] += n
     assert sums["en", "the"] == 2 * sum((t or "").split().count("the") for t, lang, _ in rows if lang == "en")
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 50, 1 << 20])
+def test_byte_terms_are_the_matches(monkeypatch, stretch):
+    """UTF-8 cut at ASCII bytes gives the terms that the pattern finds, whole characters at any stretch."""
+    r = random.Random(stretch)
+    monkeypatch.setattr(divergence, "STRETCH", stretch)
+    for _ in range(500):
+        text = "".join(r.choice("aZé🙂 [`{\x7f\x00@Bİß9_\n  ") for _ in range(r.randint(0, 30)))
+        assert [x.decode() for some in divergence.byte_terms(text.encode()) for x in some] == [x.translate(divergence.LOWER) for x in divergence.TERM.findall(text)]
