@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 
 def number(c: str | Column) -> Column:
     """NaN as null, as it would otherwise be the greatest."""
@@ -54,9 +55,12 @@ FIELDS = ("i", "text", "F", "unsup", "linguistic")
 def reward_pairs(candidates: DataFrame, gate_unsup: int = 1, fab_unsup: int = 2, fab_f: float = 0.6) -> DataFrame:
     """record_id, chosen, rejected, kind: the richest candidate within the gate against the richest that isn't faithful.
 
-    The rejected one must not be the chosen; so the best two unfaithful ones are kept, and the second is taken where
-    the first was chosen.
+    The rejected one must not be the chosen, so candidates are read twice; they are written once before, as they may be costly to
+    compute.
     """
+    spark, kept = candidates.sparkSession, files.folder(candidates.sparkSession, "reward-pairs")
+    candidates.select("record_id", *FIELDS).write.parquet(kept)
+    candidates = spark.read.schema(candidates.select("record_id", *FIELDS).schema).parquet(kept)
     row = F.struct(*FIELDS)
     bad = (F.col("unsup") >= fab_unsup) | (F.col("F") <= fab_f)
     score = number("linguistic")

@@ -29,6 +29,19 @@ def test_reward_pairs(cand):
     assert [(r.record_id, r.chosen.i, r.rejected.i, r.kind) for r in got] == [("a", 0, 1, "fabrication")]
 
 
+def test_reward_pairs_compute_candidates_once(spark, cand):
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = selection.reward_pairs(cand.mapInArrow(once, cand.schema)).collect()
+    assert [(r.record_id, r.chosen.i, r.rejected.i, r.kind) for r in got] == [("a", 0, 1, "fabrication")]
+    assert seen.value == cand.count()
+
+
 def test_human_pairs_ties(spark, cand):
     ratings = spark.createDataFrame([("a", 0, "x", 2), ("a", 1, "x", 2), ("a", 2, "x", 4), ("b", 0, "x", 3), ("b", 1, "x", 3), ("c", 0, "x", 5)], "record_id string, candidate_i int, annotator string, overall int")
     got = selection.human_pairs(cand, ratings).collect()
