@@ -52,6 +52,8 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str = "rho", le
 MOST_RATINGS = 4_000_000
 #: Items in a tile, as expected; places within it fit 16 bits.
 TILE = 24_000
+#: Ratings of an annotator up to which it is held against the others as a list, to find those with the same ratings.
+WIDEST = 50_000
 #: Entries of a matrix that ranks are taken in.
 AT_ONCE = 1 << 20
 
@@ -176,8 +178,33 @@ def _matched(rows: pa.Table) -> pa.Table:
 
 
 def inter_annotator(ratings: DataFrame, item: list[str], least: int = 3) -> DataFrame:
-    """pairs, mean_rho, min_rho, max_rho; pairs without a correlation don't count in the mean."""
-    return annotator_pairs(ratings, item, least).agg(F.count("*").alias("pairs"), F.avg("rho").alias("mean_rho"), F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho"))
+    """pairs, mean_rho, min_rho, max_rho; pairs without a correlation don't count in the mean.
+
+    Annotators with the same ratings are one class: only classes meet, and a pair of classes counts as often as annotators of the
+    two do, so a rater who stands in the table many times doesn't add pairs to be written.  Ratings are compared whole,
+    not by digests.
+    """
+    at = files.folder(ratings.sparkSession, "classes")
+    clean = ratings.where(F.col("rating").isNotNull() & ~F.isnan(F.col("rating").cast("double")) & F.col("annotator").isNotNull())
+    once = clean.groupBy("annotator", F.xxhash64(*item).alias("item")).agg(F.avg(F.col("rating").cast("double")).alias("rating"))
+    once.write.parquet(f"{at}/once")
+    once = ratings.sparkSession.read.parquet(f"{at}/once")
+    # Wide annotators would be long lists: each stays a class of its own.
+    mine = once.groupBy("annotator").agg(F.count("*").alias("k"))
+    narrow = once.join(mine.where(F.col("k") <= WIDEST), "annotator").groupBy("annotator").agg(F.array_sort(F.collect_list(F.struct("item", "rating"))).alias("r"))
+    classes = narrow.groupBy("r").agg(F.min("annotator").alias("annotator"), F.count("*").alias("w"), F.size("r").alias("k")).drop("r")
+    classes.unionByName(mine.where(F.col("k") > WIDEST).withColumn("w", F.lit(1).cast("long"))).write.parquet(f"{at}/classes")
+    classes = ratings.sparkSession.read.parquet(f"{at}/classes")
+
+    pairs = annotator_pairs(once.join(classes.select("annotator"), "annotator"), ["item"], least).select("a", "b", "rho")
+    weight = classes.select("annotator", F.col("w").cast("double").alias("w"))
+    pairs = pairs.join(weight.select(F.col("annotator").alias("a"), F.col("w").alias("v")), "a").join(weight.select(F.col("annotator").alias("b"), "w"), "b")
+    between = pairs.select("rho", (F.col("v") * F.col("w")).alias("n"))
+    # Two annotators of one class agree wholly, unless all their ratings are equal.
+    spread = once.join(classes.where("w > 1").select("annotator"), "annotator").groupBy("annotator").agg(F.when(F.min("rating") < F.max("rating"), 1.0).alias("rho"))
+    within = classes.where((F.col("w") > 1) & (F.col("k") >= least)).join(spread, "annotator").select("rho", (F.col("w") * (F.col("w") - 1) / 2).alias("n"))
+    every, some = between.unionByName(within), F.when(F.col("rho").isNotNull(), F.col("n"))
+    return every.agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("long").alias("pairs"), F.try_divide(F.sum(F.col("rho") * F.col("n")), F.sum(some)).alias("mean_rho"), F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho"))
 
 
 def reward_agreement(scores: DataFrame, ratings: DataFrame, rewards: list[str], key: list[str]) -> DataFrame:

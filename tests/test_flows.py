@@ -176,6 +176,25 @@ def _picky():
     return model
 
 
+def test_copies_of_annotators_count_without_pairs(spark, monkeypatch):
+    """Copies of raters give what all pairs give, though only one rater of each class is ranked."""
+    import random
+
+    from inkwell.operators import agreement
+
+    r = random.Random(5)
+    base = {f"{k}": [(f"i{i}", 3 if k == 0 else r.randint(1, 5)) for i in range(12) if k == 0 or r.random() < 0.8] for k in range(4)} | {"few": [("i0", 1), ("i1", 2)]}
+    rows = [(f"{name}-{c}", i, v) for name, held in base.items() for c in range(4) for i, v in held]
+    df = spark.createDataFrame(rows, "annotator string, item string, rating int")
+    want = agreement.annotator_pairs(df, ["item"]).agg(F.count("*"), F.avg("rho"), F.min("rho"), F.max("rho")).head()
+    met, real = [], agreement.annotator_pairs
+    monkeypatch.setattr(agreement, "annotator_pairs", lambda ratings, *a: met.append(ratings.select("annotator").distinct().count()) or real(ratings, *a))
+    got = agreement.inter_annotator(df, ["item"]).head()
+    assert met == [5] and got[0] == want[0] and all(abs(x - y) < 1e-12 for x, y in zip(got[1:], want[1:], strict=True))
+    none = agreement.inter_annotator(df.where("false"), ["item"]).head()
+    assert tuple(none) == (0, None, None, None)
+
+
 def test_encoder_by_batch(spark):
     """A text that the encoder fails on sends its own row to the fallback and no other."""
     one = "The mill stood by the river for years. The river ran past the old mill. Nobody ever wrote about it again."
