@@ -5,8 +5,8 @@ Below the root, ``scorer=<name>/version=<version>`` holds ``batches/batch=<batch
 loses the batch it was in and nothing else; the next one scores what is still missing.  A changed model version is another
 folder, so it starts empty.  Failed calls are stored with their error and tried again by the next run.
 
-What is known is found by a bitmap over hashes first: what it rules out is new for sure and isn't shuffled; the rest meets the
-known hashes in an anti-join.  The new pairs are written once, then scored prefix by prefix, a committed batch at a time.
+What is known is found by a bitmap over hashes first: what it rules out is new for sure; of the rest the hashes alone meet the
+known ones in an anti-join.  So the texts of known pairs aren't shuffled.  The new pairs are written once, then scored prefix by prefix, a committed batch at a time.
 
 Two runs at the same time may score a pair twice; the smallest row of a hash counts.  ``compact`` folds committed batches into
 one: its marker names what it replaces, so a reader sees either the old batches or the new one.
@@ -82,34 +82,46 @@ class ScoreCache:
         made.select("hash", "entail", "contradict", "error", F.substring("hash", 1, DIGITS).alias("prefix")).write.partitionBy("prefix").parquet(f"{self.where}/batches/batch={name}")
         files.put(self.spark, f"{self.where}/commits/{name}", " ".join(replaces))
 
-    def missing(self, asked: DataFrame, work: str) -> DataFrame:
-        """Rows of ``asked`` (hash, ..) whose hash isn't known; ``work``: a folder of this run."""
-        known = self.known().select("hash")
+    def missing(self, pairs: DataFrame, work: str) -> DataFrame:
+        """One row for each hash of ``pairs`` (premise, claim, hash as 32 bytes) that isn't known, and ``asked``; ``work``: a folder of this run.
+
+        Texts are shuffled for those rows alone: hashes are made distinct and held against the known ones by themselves, and of the pairs
+        that the bitmap can't rule out a second one over the missing hashes lets through what is needed.
+        """
+        known = self.known().select(F.unhex("hash").alias("hash"))
         n = known.count()
-        if not n:
-            return asked
+        held = pairs.withColumn("maybe", F.lit(False)) if not n else self._marked(pairs, known, n, f"{work}/bitmap")
+        held.groupBy("hash").agg(F.max("maybe").alias("maybe")).write.parquet(f"{work}/asked")
+        asked = self.spark.read.schema("hash binary, maybe boolean").parquet(f"{work}/asked")
+        self.asked = asked.count()
+        new = held.where("NOT maybe").drop("maybe")
+        if n:
+            asked.where("maybe").select("hash").join(known, "hash", "left_anti").write.parquet(f"{work}/unclear")
+            unclear = self.spark.read.schema("hash binary").parquet(f"{work}/unclear")
+            if k := unclear.count():
+                again = self._marked(held.where("maybe").drop("maybe"), unclear, k, f"{work}/again").where("maybe").drop("maybe")
+                new = new.unionByName(again.join(unclear, "hash", "left_semi").select(*new.columns))
+        return new.dropDuplicates(["hash"])
+
+    def _marked(self, pairs: DataFrame, hashes: DataFrame, n: int, at: str) -> DataFrame:
+        """``maybe`` by a bitmap of the ``n`` hashes, written to ``at``."""
         size = min(MOST_BITS, max(FEWEST_BITS, (16 * n - 1).bit_length()))
-        _bitmap(known, size).write.parquet(f"{work}/bitmap")
-        held = _maybe(asked, self.spark.read.parquet(f"{work}/bitmap"), size)
-        again = held.where("maybe").join(known, "hash", "left_anti")
-        return held.where("NOT maybe").unionByName(again).drop("maybe")
+        _bitmap(hashes, size).write.parquet(at)
+        return _maybe(pairs, self.spark.read.parquet(at), size)
 
     def fill(self, pairs: DataFrame, batch: int = 32, commit_pairs: int = COMMIT_PAIRS) -> None:
         """Scores what isn't known of rows (premise, claim, ..): hash prefix after hash prefix, committed once ``commit_pairs`` are there."""
-        once = pairs.select("premise", "claim", content_hash(F.col("premise"), F.col("claim")).alias("hash")).dropDuplicates(["hash"])
         work = f"{self.where}/work/{uuid.uuid4().hex}"
-        once.write.parquet(f"{work}/asked")
-        asked = self.spark.read.parquet(f"{work}/asked")
-        self.asked = asked.count()
-        new = self.missing(asked, work).withColumn("prefix", F.substring("hash", 1, DIGITS))
+        hashed = pairs.select("premise", "claim", F.unhex(content_hash(F.col("premise"), F.col("claim"))).alias("hash"))
+        new = self.missing(hashed, work).withColumn("prefix", F.substring(F.lower(F.hex("hash")), 1, DIGITS))
         new.write.partitionBy("prefix").parquet(f"{work}/new")
-        sizes = self.spark.read.schema("premise string, claim string, hash string, prefix string").parquet(f"{work}/new").groupBy("prefix").count().collect()  # 16 rows at most
+        sizes = self.spark.read.schema("premise string, claim string, hash binary, prefix string").parquet(f"{work}/new").groupBy("prefix").count().collect()  # 16 rows at most
         self.scored = sum(r["count"] for r in sizes)
         run, size = [], 0
         for prefix, n in sorted((r["prefix"], r["count"]) for r in sizes):
             run, size = [*run, prefix], size + n
             if size >= commit_pairs or prefix == max(r["prefix"] for r in sizes):
-                part = self.spark.read.parquet(*(f"{work}/new/prefix={x}" for x in run)).select("premise", "claim", "hash")
+                part = self.spark.read.parquet(*(f"{work}/new/prefix={x}" for x in run)).select("premise", "claim", F.lower(F.hex("hash")).alias("hash"))
                 self._commit(scoring.fresh_scores(part, self.scorer, batch, keep="hash"))
                 run, size = [], 0
         files.remove(self.spark, work)

@@ -309,7 +309,9 @@ def score_cache_runs(spark, sf_dir):
     """How many distinct pairs of a premise and a claim each of four runs asks for, and how many of them it has to score."""
     held = claim_rows(spark, sf_dir)
     each = held.select("conv_id", "premises", F.explode(T.split_claims(F.col("text"))).alias("claim"))
-    pairs = each.select("conv_id", T.strip_hedges(F.col("claim")).alias("claim"), F.explode("premises").alias("premise"))
+    at = files.folder(spark, "claims")
+    each.select("conv_id", "premises", T.strip_hedges(F.col("claim")).alias("claim")).write.parquet(at)  # read by every run
+    pairs = spark.read.parquet(at).select("conv_id", "claim", F.explode("premises").alias("premise"))
     root, out = files.folder(spark, "scores"), []
     for run, version, rows in (("even conversations", "1", pairs.where("conv_id % 2 = 0")), ("all", "1", pairs), ("all again", "1", pairs), ("next version", "2", pairs)):
         scores = cache.ScoreCache(spark, root, version=version)
