@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grounding as G
 from ..functions import text as T
+from ..sources import files
 from .batches import ROWS, parts
 
 #: Name to a factory; a factory's product takes a list of (premise, claim) and returns a list of (entailment, contradiction).
@@ -80,10 +81,15 @@ def scored_pairs(pairs: DataFrame, name: str = "overlap", batch: int = 32) -> Da
 def entailment_faithfulness(df: DataFrame, key: list[str], text: str, premises: str, subject: str | None, words: str, years: str, name: str = "overlap", veto: bool = False, cache=None) -> DataFrame:
     """key, F, unsupported, status: each claim against each premise of its own row; claims without their hedges are scored.
 
-    With a ``cache.ScoreCache`` only pairs that it doesn't know are scored, when this is called, and kept for later runs.
+    With a ``cache.ScoreCache`` only pairs that it doesn't know are scored, when this is called, and kept for later runs; the rows' claims are
+    split once and written.
     Claims and premises are exploded within a row only, and reduced to a claim's maximum before anything else.
     """
     held = df.select(*key, T.split_claims(F.col(text), F.col(subject) if subject else None).alias("claims"), F.col(premises).alias("premises"), F.col(words).alias("words"), F.col(years).alias("years"))
+    if cache:  # read by several jobs
+        at = files.folder(df.sparkSession, "claims")
+        held.write.parquet(at)
+        held = df.sparkSession.read.schema(held.schema).parquet(at)
     each = held.select(*key, "words", "years", "premises", F.posexplode("claims").alias("c", "claim"))
     pairs = each.select(*key, "c", T.strip_hedges(F.col("claim")).alias("claim"), F.explode("premises").alias("premise"))
     scored = cache.scores(pairs) if cache else scored_pairs(pairs, name)
