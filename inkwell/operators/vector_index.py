@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from ..sources import files
 from . import retrieval
+from .batches import parts as in_parts
 
 SAMPLE, MOST_CELLS, CHUNK, ROUNDS = 16_384, 1024, 4096, 8
 #: Queries that meet a chunk at once, and more than single precision can lose in a product of unit vectors.
 BLOCK, MARGIN = 256, 1e-5
+#: Numbers in a matrix of products; it has fewer rows where there are more cells, or more vectors in the sample or in a chunk.
+PRODUCTS = 1 << 18
 MEETS = "cell int, chunk int, kind int, id long, own long, code binary, step double, err double"
 
 
@@ -60,8 +63,16 @@ def dense(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)[:, :width]
 
 
+def lines(width: int) -> int:
+    """So many rows of ``width`` products are worked on at once."""
+    return min(BLOCK, max(1, PRODUCTS // max(1, width)))
+
+
 def nearest_cells(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return ((centroids * centroids).sum(axis=1) - 2 * (x @ centroids.T)).argmin(axis=1)
+    square, out, step = (centroids * centroids).sum(axis=1), np.zeros(len(x), dtype=np.int64), lines(len(centroids))
+    for top in range(0, len(x), step):
+        out[top : top + step] = (square - 2 * (x[top : top + step] @ centroids.T)).argmin(axis=1)
+    return out
 
 
 def centroids_of(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -129,7 +140,7 @@ class VectorIndex:
         centers = centroids_of(units, int(min(most_cells, max(1, n**0.5))))
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (x for whole in batches for x in in_parts(whole, 4 * BLOCK)):
                 x = dense(batch.column(2), width)
                 own = nearest_cells(x, centers) if len(x) else np.zeros(0, dtype=int)
                 codes, step, err, far = coded(x, own, centers)
@@ -197,9 +208,10 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.cumsum(chunks) - chunks
+            step = lines(max(len(ids), len(centers), int(chunks.sum())))
             for batch in batches:
-                for top in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(top, BLOCK)
+                for top in range(0, batch.num_rows, step):
+                    part = batch.slice(top, step)
                     own, q = part.column(0).to_numpy(), dense(part.column(1), width)
                     near = np.where(ids[None, :] == own[:, None], -np.inf, q @ units.T)
                     least = np.partition(near, -k, axis=1)[:, -k] - MARGIN if near.shape[1] >= k else np.full(len(q), -np.inf)
@@ -240,8 +252,9 @@ class VectorIndex:
                     if chunk is None and parts:
                         rows, ids, codes, step, err = (np.concatenate(x) for x in zip(*parts, strict=True))
                         chunk, parts = (rows, ids, codes.astype(np.float32).T.copy(), step.astype(np.float32), err + MARGIN), []
-                    for top in range(0, part.num_rows if chunk else 0, BLOCK):
-                        yield _held_against(part.slice(top, BLOCK), chunk, centers[cell].astype(np.float32), width, k)
+                    step = lines(len(chunk[0])) if chunk else 1
+                    for top in range(0, part.num_rows if chunk else 0, step):
+                        yield _held_against(part.slice(top, step), chunk, centers[cell].astype(np.float32), width, k)
 
         return run
 

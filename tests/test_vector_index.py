@@ -1,9 +1,13 @@
 """The inverted file of vectors against brute force in plain numpy."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell.operators import vector_index
 from inkwell.operators.vector_index import VectorIndex, recall
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -86,3 +90,35 @@ def test_recall_and_pruning(spark):
     assert r.queries == 150 and r.recall >= 0.95
     sent = index.candidates(asked.select("query_id", F.col("query").cast("array<double>").alias("v")), 5).count()
     assert sent < 150 * 60
+
+
+def peak(work):
+    """MB that numpy and Python hold at most beyond what was there before; Arrow's own buffers aren't counted."""
+    tracemalloc.start()
+    out = work()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most, out
+
+
+def test_products_are_bounded():
+    """However many cells, sampled vectors or vectors of a chunk a batch meets, its matrices have at most PRODUCTS numbers."""
+    rng = np.random.default_rng(1)
+    x, centers = rng.normal(size=(10_000, 8)), rng.normal(size=(1024, 8))
+    most, own = peak(lambda: vector_index.nearest_cells(x, centers))
+    assert most < 20 and (own == ((centers * centers).sum(axis=1) - 2 * (x @ centers.T)).argmin(axis=1)).all()
+
+    index = VectorIndex.__new__(VectorIndex)
+    index.width, index.centroids, index.chunks, index.radius = 8, centers, np.full(1024, 40), np.full(1024, -2.0)
+    index.sample_ids, index.sample = np.arange(16_384), vector_index.dense(pa.array(rng.normal(size=(16_384, 8)).tolist()), 8)
+    asked = pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(rng.normal(size=(256, 8)).tolist())], ["query_id", "v"])
+    most, sent = peak(lambda: sum(x.num_rows for x in index._scatter(5, 40)([asked])))
+    assert most < 20 and sent == 256 * 40 * 40
+
+    codes = rng.integers(-127, 128, (4096, 8), dtype=np.int8)
+    columns = [np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32), np.arange(4096), np.arange(4096)]
+    held = pa.RecordBatch.from_arrays([*map(pa.array, columns), vector_index._bytes(codes), pa.array(np.full(4096, 1e-3)), pa.array(np.full(4096, 9.0))], [f"c{i}" for i in range(8)])
+    columns = [np.zeros(256, dtype=np.int32), np.zeros(256, dtype=np.int32), np.ones(256, dtype=np.int32), np.arange(256) + 5000, np.arange(256) + 5000]
+    sent = pa.RecordBatch.from_arrays([*map(pa.array, columns), vector_index._bytes(rng.normal(size=(256, 8)).astype(np.float32)), pa.array(np.zeros(256)), pa.array(np.full(256, -2.0))], [f"c{i}" for i in range(8)])
+    most, found = peak(lambda: sum(x.num_rows for x in index._meet(5)([held, sent])))
+    assert most < 40 and found == 256 * 4096
