@@ -11,9 +11,10 @@
 * ``cells`` and ``sample``: centroids, radii and chunks, and the sample; both have fixed bounds, go to every task, and are
   all that the driver reads.
 
-A search reads the codes once.  Each query starts with its k-th best in the sample; it goes to the chunks of the cells that can
+A search reads the codes once for about every DEAL queries.  Each query starts with its k-th best in the sample; it goes to the chunks of the cells that can
 hold better ones (the product with the centroid plus the radius says so), or to the best ``probes`` cells.  A task holds one chunk
 and streams the queries past it; only what can still be among a query's k best is looked up and ranked by exact cosine.
+The numbers of tasks follow those of queries, chunks and candidates, so what a task sorts doesn't grow.
 Without ``probes`` the result is that of brute force.  ``probes_for`` picks the number of cells by the recall within the sample.
 
 Defined results: a null or zero vector is at cosine 0 from everything; a vector with a null or non-finite component, and a row
@@ -39,7 +40,9 @@ SAMPLE, MOST_CELLS, CHUNK, ROUNDS = 16_384, 1024, 4096, 8
 BLOCK, MARGIN = 256, 1e-5
 #: Numbers in a matrix of products; it has fewer rows where there are more cells, or more vectors in the sample or in a chunk.
 PRODUCTS = 1 << 18
-MEETS = "cell int, chunk int, kind int, id long, own long, code binary, step double, err double"
+#: Queries that meet a copy of a chunk, bytes of a task's rows, and candidates of a task; more of any make more tasks and no larger ones.
+DEAL, TASK_BYTES, TASK_ROWS = 8192, 64 << 20, 1 << 19
+MEETS = "cell int, chunk int, deal int, kind int, id long, own long, code binary, step double, err double"
 
 
 def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -180,30 +183,42 @@ class VectorIndex:
         """(query_id, row, low, high): bounds of the cosine of every vector that may be among a query's k nearest, of (query_id, v)."""
         if k > self.most_k:
             raise ValueError(f"the index keeps copies for {self.most_k} neighbours at most")
-        sent = queries.select("query_id", "v").mapInArrow(self._scatter(k, probes), MEETS)
+        asked, chunks = queries.count(), max(1, int(self.chunks.sum()))
+        deals = max(1, -(-asked // DEAL))
+        sent = queries.select("query_id", "v").mapInArrow(self._scatter(k, probes, deals), MEETS)
         codes = self.spark.read.schema("cell int, chunk int, row long, vec_id long, code binary, step double, err double").parquet(f"{self.where}/codes")
-        held = codes.select("cell", "chunk", F.lit(0).alias("kind"), F.col("row").alias("id"), F.col("vec_id").alias("own"), "code", "step", "err")
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
-        met = held.unionByName(sent).repartition(min(max(1, int(self.chunks.sum())), 4 * parts), "cell", "chunk").sortWithinPartitions("cell", "chunk", "kind", "id")
+        deal = F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal")
+        held = codes.select("cell", "chunk", deal, F.lit(0).alias("kind"), F.col("row").alias("id"), F.col("vec_id").alias("own"), "code", "step", "err")
+        # Rows that meet, with some 100 bytes beside their vectors, if each query goes to every chunk, or to the most that ``probes`` cells have.
+        most = chunks if probes is None else int(np.sort(self.chunks)[::-1][:probes].sum())
+        size = deals * self.rows * (self.width + 100) + asked * most * (4 * self.width + 100)
+        tasks = min(chunks * deals, max(4 * self._parts(), -(-size // TASK_BYTES)))
+        met = held.unionByName(sent).repartition(tasks, "cell", "chunk", "deal").sortWithinPartitions("cell", "chunk", "deal", "kind", "id")
         return met.mapInArrow(self._meet(k), "query_id long, row long, low double, high double")
 
+    def _parts(self) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+
     def search(self, queries: DataFrame, k: int, probes: int | None = None, query_id: str = "query_id", query: str = "query") -> DataFrame:
         """(query_id, vec_id, rank, similarity) for queries (query_id, query): exact, or within the best ``probes`` cells."""
         asked = clean(queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("v")), "query_id", "v").groupBy("query_id").agg(F.min("v").alias("v"))
         if not self.rows:
             return self.spark.createDataFrame([], "query_id long, vec_id long, rank int, similarity double")
         at = files.folder(self.spark, "vector-search")
-        self.candidates(asked, k, probes).write.parquet(at)
-        found = self.spark.read.parquet(at)
-        by_low = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
-        kth = found.withColumn("n", by_low).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("low")).otherwise(F.lit(-2.0)).alias("least"))
-        near = found.join(kth, "query_id").where(F.col("high") >= F.col("least")).select("query_id", "row")
+        asked.write.parquet(f"{at}/asked")
+        asked = self.spark.read.schema(asked.schema).parquet(f"{at}/asked")
+        self.candidates(asked, k, probes).write.parquet(f"{at}/found")
+        found = self.spark.read.parquet(f"{at}/found")
+        found = found.repartition(max(self._parts(), -(-found.count() // TASK_ROWS)), "query_id")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
+        kth = F.max(F.when(F.col("n") == k, F.col("low"))).over(Window.partitionBy("query_id"))
+        near = found.withColumn("n", place).withColumn("least", kth).where(F.col("high") >= F.coalesce("least", F.lit(-2.0))).select("query_id", "row")
         held = self.read("vectors").select("row", "vec_id", F.col("v").alias("x"))
         ranked = near.join(held, "row").join(asked, "query_id").select("query_id", "vec_id", padded_cosine(F.col("v"), F.col("x")).alias("similarity"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
         return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "similarity")
 
-    def _scatter(self, k: int, probes: int | None):
+    def _scatter(self, k: int, probes: int | None, deals: int = 1):
         width, centers, chunks, radius, ids, units = self.width, self.centroids, self.chunks, self.radius, self.sample_ids, self.sample
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +241,12 @@ class VectorIndex:
                     n = chunks[cell]
                     chunk = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     at, cell, payload = np.repeat(at, n), np.repeat(cell, n), _bytes(q.astype(np.float32))
+                    deal = ((own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(deals)).astype(np.int32)  # ids may share a factor
                     for k0 in range(0, len(at), 8192):
                         some = slice(k0, k0 + 8192)
                         i = at[some]
-                        columns = [pa.array(cell[some].astype(np.int32)), pa.array(chunk[some].astype(np.int32)), pa.array(np.ones(len(i), dtype=np.int32)), pa.array(own[i]), pa.array(own[i]), payload.take(pa.array(i)), pa.array(np.zeros(len(i))), pa.array(least[i])]
-                        yield pa.RecordBatch.from_arrays(columns, ["cell", "chunk", "kind", "id", "own", "code", "step", "err"])
+                        columns = [pa.array(cell[some].astype(np.int32)), pa.array(chunk[some].astype(np.int32)), pa.array(deal[i]), pa.array(np.ones(len(i), dtype=np.int32)), pa.array(own[i]), pa.array(own[i]), payload.take(pa.array(i)), pa.array(np.zeros(len(i))), pa.array(least[i])]
+                        yield pa.RecordBatch.from_arrays(columns, ["cell", "chunk", "deal", "kind", "id", "own", "code", "step", "err"])
 
         return run
 
@@ -240,14 +256,14 @@ class VectorIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             current, parts, chunk = None, [], None
             for batch in batches:
-                key = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+                key = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
                 starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else np.zeros(0, dtype=int)
                 for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                    part, (cell, number, kind) = batch.slice(a, b - a), key[a].tolist()
-                    if (cell, number) != current:
-                        current, parts, chunk = (cell, number), [], None
+                    part, (cell, number, deal, kind) = batch.slice(a, b - a), key[a].tolist()
+                    if (cell, number, deal) != current:
+                        current, parts, chunk = (cell, number, deal), [], None
                     if kind == 0:
-                        parts.append((part.column(3).to_numpy(), part.column(4).to_numpy(), _from_bytes(part.column(5), np.int8, width), part.column(6).to_numpy(), part.column(7).to_numpy()))
+                        parts.append((part.column(4).to_numpy(), part.column(5).to_numpy(), _from_bytes(part.column(6), np.int8, width), part.column(7).to_numpy(), part.column(8).to_numpy()))
                         continue
                     if chunk is None and parts:
                         rows, ids, codes, step, err = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -262,7 +278,7 @@ class VectorIndex:
 def _held_against(part: pa.RecordBatch, chunk: tuple, center: np.ndarray, width: int, k: int) -> pa.RecordBatch:
     """What of a chunk may be among the k nearest of each of the queries."""
     rows, ids, codes, step, err = chunk
-    q, own, least = _from_bytes(part.column(5), np.float32, width), part.column(4).to_numpy(), part.column(7).to_numpy()
+    q, own, least = _from_bytes(part.column(6), np.float32, width), part.column(5).to_numpy(), part.column(8).to_numpy()
     near = np.where(ids[None, :] == own[:, None], -np.inf, (q @ center)[:, None] + (q @ codes) * step)
     low = near - err
     if near.shape[1] >= k:

@@ -116,9 +116,23 @@ def test_products_are_bounded():
     assert most < 20 and sent == 256 * 40 * 40
 
     codes = rng.integers(-127, 128, (4096, 8), dtype=np.int8)
-    columns = [np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32), np.arange(4096), np.arange(4096)]
-    held = pa.RecordBatch.from_arrays([*map(pa.array, columns), vector_index._bytes(codes), pa.array(np.full(4096, 1e-3)), pa.array(np.full(4096, 9.0))], [f"c{i}" for i in range(8)])
-    columns = [np.zeros(256, dtype=np.int32), np.zeros(256, dtype=np.int32), np.ones(256, dtype=np.int32), np.arange(256) + 5000, np.arange(256) + 5000]
-    sent = pa.RecordBatch.from_arrays([*map(pa.array, columns), vector_index._bytes(rng.normal(size=(256, 8)).astype(np.float32)), pa.array(np.zeros(256)), pa.array(np.full(256, -2.0))], [f"c{i}" for i in range(8)])
+    columns = [*np.zeros((4, 4096), dtype=np.int32), np.arange(4096), np.arange(4096)]
+    held = pa.RecordBatch.from_arrays([*map(pa.array, columns), vector_index._bytes(codes), pa.array(np.full(4096, 1e-3)), pa.array(np.full(4096, 9.0))], [f"c{i}" for i in range(9)])
+    columns = [*np.zeros((3, 256), dtype=np.int32), np.ones(256, dtype=np.int32), np.arange(256) + 5000, np.arange(256) + 5000]
+    sent = pa.RecordBatch.from_arrays([*map(pa.array, columns), vector_index._bytes(rng.normal(size=(256, 8)).astype(np.float32)), pa.array(np.zeros(256)), pa.array(np.full(256, -2.0))], [f"c{i}" for i in range(9)])
     most, found = peak(lambda: sum(x.num_rows for x in index._meet(5)([held, sent])))
     assert most < 40 and found == 256 * 4096
+
+
+def test_more_queries_make_more_tasks(spark, monkeypatch):
+    """What a task sorts doesn't grow with queries, vectors or candidates, and dealt queries have the same neighbours."""
+    for name, n in (("DEAL", 40), ("TASK_BYTES", 50_000), ("TASK_ROWS", 200)):
+        monkeypatch.setattr(vector_index, name, n, raising=False)
+    rows = clustered(1200)
+    asked = [r for r in rows if r[0] % 4 == 0]
+    v, q = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(asked, "query_id long, query array<float>")
+    index = VectorIndex.build(v, most_k=4, sample=200, most_cells=9, chunk=50)
+    found = index.candidates(q.select("query_id", F.col("query").cast("array<double>").alias("v")), 4)
+    sizes = found.select(F.spark_partition_id().alias("task")).groupBy("task").count()
+    assert found.rdd.getNumPartitions() > 16 and sizes.agg(F.max("count")).head()[0] < found.count() / 8
+    assert got(index, q, 4) == brute(rows, asked, 4)
