@@ -7,7 +7,8 @@ regex run or merge list is larger than a piece.  A pattern that is passed in mus
 Map-only: no shuffle, and memory is bounded by one Arrow batch and one text.
 
 Defined results: a null or empty text has no ids (n_tokens 0, hashes of the empty string); a special token's name in a
-text is ordinary text; repeated rows give repeated results; a null doc_id is kept; other columns are ignored.
+text is ordinary text; repeated rows give repeated results; a null doc_id is kept; other columns are ignored; runs of white
+space may have any length (the library by itself fails at a million).
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ from .common import id_text, per_document
 PIECE = 1 << 16
 #: No match of a pattern of this family, where white space comes first in a match or alone, holds an ASCII letter followed by a space or line feed.
 SAFE = re.compile(r"(?<=[A-Za-z])(?=[ \n])")
+#: Longer runs of white space are matched apart: the library's engine keeps a step for each character to go back by, and fails at a million.
+LONG_RUN = 1 << 16
+SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Takes a whole text as one match.
+WHOLE = r"(?s:.+)"
 
 
 def default_ranks() -> tuple[str, str]:
@@ -56,10 +62,32 @@ def pieces(text: str, size: int = PIECE):
     yield text[at:] if at else text
 
 
-def encode(text: str, rank_file: str, pattern: str, size: int = PIECE) -> np.ndarray:
+def matches_apart(piece: str, pattern: str, longest: int = LONG_RUN):
+    """(part, pattern to encode it with): the matches within runs of more than ``longest`` white spaces, each whole, and what is between them.
+
+    The last match of a run may take what follows; it stays with the rest.
+    """
+    at = 0
+    if len(piece) > longest:
+        for run in SPACES.finditer(piece):
+            if run.end() - run.start() > longest:
+                import regex
+
+                if at < run.start():
+                    yield piece[at : run.start()], pattern
+                at = run.start()
+                for match in regex.finditer(pattern, piece[at : run.end() + 1]):
+                    if run.start() + match.end() > run.end():
+                        break
+                    yield match[0], WHOLE
+                    at = run.start() + match.end()
+    if not at or at < len(piece):
+        yield piece[at:], pattern
+
+
+def encode(text: str, rank_file: str, pattern: str, size: int = PIECE, longest: int = LONG_RUN) -> np.ndarray:
     """Ids as unsigned 32-bit integers."""
-    enc = encoding(rank_file, pattern)
-    parts = [np.asarray(enc.encode_ordinary(x), dtype="<u4") for x in pieces(text, size)]
+    parts = [np.asarray(encoding(rank_file, p).encode_ordinary(y), dtype="<u4") for x in pieces(text, size) for y, p in matches_apart(x, pattern, longest)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

@@ -78,6 +78,19 @@ def test_bpe_pieces(rows):
     assert bpe.decode(bpe.encode("é", *args)[:1], *args) in ("é".encode()[:1], "é".encode())
 
 
+def test_bpe_of_long_white_space(spark):
+    import corpus_pipeline
+
+    # The library itself fails at a million.
+    odd = ["x" + " " * 1_000_000 + "y", "\n" * 1_000_000, " \t" * 500_000 + "!"]
+    for row in corpus_pipeline.encoding_stage(spark, spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), "").collect():
+        assert row.decoded_sha256 == hashlib.sha256(odd[row.doc_id].encode()).hexdigest() and row.n_tokens * 4 == len(row.ids)
+    args = bpe.default_ranks()
+    for text in ("a \n\t b", "  ", "\n\n\nx  ", "\xa0\u3000\x1c  's  1 \x85!", " " * 9 + "é" + "\n" * 7):
+        for longest in (0, 1, 2, 5):
+            assert bpe.encode(text, *args, longest=longest).tolist() == bpe.encoding(*args).encode_ordinary(text)
+
+
 # ---- 2 ---------------------------------------------------------------------------------------------------------------
 
 
