@@ -9,9 +9,10 @@ product of each group's A and B tokens).
 A text is read as a space and the text.  It is cut at places where neither tokenizer can have a token that spans them: before
 a space that follows a Latin letter, a digit or an ASCII sign.  A's pre-splitting pattern has white space only at the start
 of a match or alone, and no piece of B has its space mark after another character (checked when the model is read).  So both
-tokenizers end a token there, groups never reach across, and a text is aligned piece by piece.  Pieces repeat, so a
-worker keeps the outcome of up to MOST_KEPT of them (of at most KEPT_CHARS characters) and aligns the new ones of some
-texts all at once, as one stretch of bytes.
+tokenizers end a token there, groups never reach across, and a text is aligned piece by piece.  For the same reason pieces that
+end in such a character can be encoded as one text; that they spell it and that tokens end where they do is checked each time.
+Pieces repeat, so a worker keeps the outcome of about MOST_KEPT of them (of at most KEPT_CHARS characters), the most used
+half of them when there are more, and aligns the new ones of some texts all at once, as one stretch of bytes.
 
 The counts: each text's distinct linked id pairs with their numbers are written once.  Grouped sums with map-side
 combination give each pair's count.  At most HOT pairs can hold 1 / HOT of all links each; those go to every task, all
@@ -25,11 +26,13 @@ one long run of Chinese, is one piece however long.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import itertools
+import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +43,17 @@ from .common import id_text, scratch, texts, written
 
 #: Pieces whose outcome a worker keeps, the characters of the longest of those, and new ones aligned at a time; characters of the texts cut at a time.
 MOST_KEPT, KEPT_CHARS, NEW, AT_ONCE = 300_000, 64, 5000, 1 << 20
+#: Pieces that B encodes as one text.
+TOGETHER = 50
+#: What B writes for a space.  Its tokens stand for spaces, so none spells a text's own.
+MARK = "▁"
 #: A pair with at least one in HOT of all links goes to every task: there are at most HOT such pairs.
 HOT = 1 << 16
 LINKS = ("ends", "overlaps", "groups")
 #: Spaces and what follows them, up to the next space that follows a character of this class.
 PIECE = re.compile("[ ]+[^ ]*(?:(?<![!-~À-ɏ])[ ]+[^ ]*)*")
+#: That class: a piece that ends in one of these can have any other behind it.
+CLOSING = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
 
 
 def byte_of() -> dict[str, int]:
@@ -54,10 +63,34 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class Flat:
+    """Byte strings as one array."""
+
+    def __init__(self, each: list[bytes]) -> None:
+        self.size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        self.first, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(each), dtype=np.uint8)
+
+    def spell(self, raw: np.ndarray, ids: np.ndarray) -> bool:
+        """Whether the strings ``ids``, which have as many bytes, spell ``raw``; some are compared at a time."""
+        at = 0
+        for k in range(0, len(ids), 1 << 16):
+            own = self.bytes[spread(self.first[ids[k : k + (1 << 16)]], self.size[ids[k : k + (1 << 16)]])]
+            if not np.array_equal(own, raw[at : at + len(own)]):
+                return False
+            at += len(own)
+        return True
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of consecutive runs, given where each begins and its length."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Tokenizers:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, json_file: str, model_file: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         import tokenizers
 
@@ -69,23 +102,29 @@ class Tokenizers:
         named = {i: t for t, i in self.a.get_vocab().items()}
         self.bytes_a = [named[i].encode() if i in special else bytes(byte[c] for c in named[i]) if i in named else b"" for i in range(size)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
+        if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece has its space mark after another character: texts can't be cut before spaces")
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = self.b.piece_to_id("▁")
-        self.size_a, self.size_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (self.bytes_a, self.bytes_b))
-        # Decimal ids with what follows them within a group, and at the end of the group's A or B part.
-        self.text_a, self.text_b = (np.array([f"{i}{mark}" for mark in marks for i in range(n)], dtype=object) for marks, n in ((",|", size), (",;", len(pieces))))
-
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of pieces that each begin with a space.  B adds one itself, but for an empty rest."""
-        a = [x.ids for x in self.a.encode_batch(pieces, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return a, [ids if len(p) > 1 else [self.space] for ids, p in zip(b, pieces, strict=True)]
-
-    def spells(self, piece: str, a: Iterable[int], b: Iterable[int]) -> bool:
-        raw = piece.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.space = self.b.piece_to_id(MARK)
+        self.held_a, self.held_b = Flat(self.bytes_a), Flat(self.bytes_b)
+        self.size_a, self.size_b = self.held_a.size, self.held_b.size
+        # Bits of a B id, and of a pair of ids.
+        self.bits_b = max(1, (len(pieces) - 1).bit_length())
+        self.bits = self.bits_b + max(1, (size - 1).bit_length())
+        # Decimal ids with what follows them within a group, and at the end of the group's A or B part: A's, then B's.
+        shown = [f"{i}{mark}" for marks, n in ((",|", size), (",;", len(pieces))) for mark in marks for i in range(n)]
+        self.shown, self.shown_size = np.array(shown, dtype=object), np.fromiter(map(len, shown), dtype=np.int64, count=len(shown))
+
+    def encode(self, pieces: list[str], together: int = 1) -> tuple[list[int], list[int]]:
+        """Ids of pieces that each begin with a space, one after another.  B adds one itself, but for an empty rest.
+
+        With ``together`` as many pieces are one text for B, and all for A: each but the last has to end in a character of CLOSING.
+        """
+        joined = pieces if together == 1 else ["".join(pieces[at : at + together]) for at in range(0, len(pieces), together)]
+        a = self.a.encode_batch_fast(joined if together == 1 else ["".join(pieces)], add_special_tokens=False)
+        b = self.b.encode([p[1:] for p in joined], num_threads=1)
+        ids_b = itertools.chain.from_iterable(ids if len(p) > 1 else [self.space] for ids, p in zip(b, joined, strict=True))
+        return list(itertools.chain.from_iterable(x.ids for x in a)), list(ids_b)
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,7 +142,8 @@ class Intervals:
     """The elementary intervals of two partitions of the same bytes, given by their ends."""
 
     def __init__(self, ends_a: np.ndarray, ends_b: np.ndarray) -> None:
-        self.ends = np.union1d(ends_a, ends_b)
+        both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        self.ends = both[np.append(both[1:] != both[:-1], True)] if len(both) else both
         self.a, self.b = np.searchsorted(ends_a, self.ends), np.searchsorted(ends_b, self.ends)
         self.closes = (ends_a[self.a] == self.ends) & (ends_b[self.b] == self.ends) if len(self.ends) else np.zeros(0, dtype=bool)
         self.closed = self.ends[self.closes]
@@ -122,56 +162,104 @@ class Intervals:
         return first_a[group] + k // n_b[group], first_b[group] + k % n_b[group]
 
 
+def with_room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, or a longer copy, so that its last axis has at least ``n`` places."""
+    if x.shape[-1] >= n:
+        return x
+    out = np.zeros((*x.shape[:-1], max(n, 2 * x.shape[-1])), dtype=x.dtype)
+    out[..., : x.shape[-1]] = x
+    return out
+
+
 class Table:
-    """What has been found for pieces, by row: numbers of tokens and groups, the groups as text, and the keys of the linked id pairs."""
+    """What has been found for pieces, by row: numbers of tokens and groups, the groups as text, and the linked id pairs."""
 
     def __init__(self) -> None:
-        self.row: dict[str, int] = {}
+        self.row: dict[str, int] = {}  # in the order of the rows
         self.shown: list[str] = []
         self.sizes = np.zeros((4, 0), dtype=np.int64)  # A tokens, B tokens, groups, links; -1 where the tokens don't spell the piece
-        self.first = np.zeros(1, dtype=np.int64)  # where each row's keys begin
-        self.keys = np.zeros(0, dtype=np.int64)
+        self.first = np.zeros(1, dtype=np.int64)  # where each row's pairs begin
+        self.pairs = np.zeros(0, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int64)
 
-    def add(self, pieces: list[str], sizes: np.ndarray, shown: list[str], keys: np.ndarray) -> None:
-        self.row.update(zip(pieces, range(len(self.shown), len(self.shown) + len(pieces)), strict=True))
+    def add(self, pieces: list[str], sizes: np.ndarray, shown: list[str], pairs: np.ndarray) -> None:
+        old, new = len(self.shown), len(self.shown) + len(pieces)
+        self.row.update(zip(pieces, range(old, new), strict=True))
         self.shown += shown
-        self.sizes, self.keys = np.concatenate([self.sizes, sizes], axis=1), np.concatenate([self.keys, keys])
-        self.first = np.concatenate([[0], np.cumsum(np.maximum(self.sizes[3], 0))])
-
-    def without(self, long: int) -> None:
-        """Forgets pieces of more than ``long`` characters, whose rows stay until the table is emptied."""
-        for p in [p for p in self.row if len(p) > long]:
-            del self.row[p]
+        self.sizes, self.used, self.first = with_room(self.sizes, new), with_room(self.used, new), with_room(self.first, new + 1)
+        self.sizes[:, old:new], self.used[old:new] = sizes, 0
+        self.first[old + 1 : new + 1] = self.first[old] + np.cumsum(np.maximum(sizes[3], 0))
+        self.pairs = with_room(self.pairs, self.first[new])
+        self.pairs[self.first[old] : self.first[new]] = pairs
+
+    def without(self, n: int) -> None:
+        """Forgets the last ``n`` rows."""
+        for _ in range(n):
+            self.row.popitem()
+            self.shown.pop()
+
+    def most_used(self, n: int) -> Table:
+        """The ``n`` most used rows, in a table of their own; earlier uses count by half from now on."""
+        rows = np.sort(np.argsort(-self.used[: len(self.shown)], kind="stable")[:n])
+        out, pieces, sizes = Table(), list(self.row), self.sizes[:, rows]
+        pairs = self.pairs[spread(self.first[rows], np.maximum(sizes[3], 0))]
+        out.add([pieces[k] for k in rows.tolist()], sizes, [self.shown[k] for k in rows.tolist()], pairs)
+        out.used[: len(rows)] = self.used[rows] // 2
+        return out
+
+
+def passing(piece: str) -> int:
+    """0 for a piece to be kept; 1 for a long one, 2 or 3 where only the text's end closes it.  Pieces are aligned in this order."""
+    return (len(piece) > KEPT_CHARS) + 2 * (piece[-1] not in CLOSING)
+
+
+def spelled(t: Tokenizers, pieces: list[str], a: list[int], b: list[int]) -> tuple[np.ndarray, ...] | None:
+    """Of A and of B the ids, their ends in bytes and how many end up to each piece's end; None if they don't spell the pieces or cross such an end."""
+    raw, out = np.frombuffer("".join(pieces).encode(), dtype=np.uint8), []
+    stops = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in pieces), dtype=np.int64, count=len(pieces)))
+    for ids, held in ((a, t.held_a), (b, t.held_b)):
+        ids = np.array(ids, dtype=np.int64)
+        ends = np.cumsum(held.size[ids])
+        if not len(ends) or ends[-1] != len(raw) or not held.spell(raw, ids):
+            return None
+        at = np.searchsorted(ends, stops)
+        if not np.array_equal(ends[at], stops):
+            return None
+        out += [ids, ends, at + 1]
+    return tuple(out)
 
 
 def align(t: Tokenizers, pieces: list[str], links: str) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Sizes, groups as text and keys of the pieces, aligned all at once as one stretch of bytes."""
-    a, b = t.encode(pieces)
-    sizes, shown = np.full((4, len(pieces)), -1, dtype=np.int64), [""] * len(pieces)
-    good = range(len(pieces))
-    if not t.spells("".join(pieces), itertools.chain.from_iterable(a), itertools.chain.from_iterable(b)):
-        good = [k for k, p in enumerate(pieces) if t.spells(p, a[k], b[k])]
-        a, b = [a[k] for k in good], [b[k] for k in good]
-    if not len(good):
-        return sizes, shown, np.zeros(0, dtype=np.int64)
-    n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b))
-    ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(x), dtype=np.int64, count=int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
-    cut = Intervals(np.cumsum(t.size_a[ids_a]), np.cumsum(t.size_b[ids_b]))
+    """Sizes, groups as text and linked pairs of the pieces, aligned all at once as one stretch of bytes; those that end in CLOSING come first."""
+    sizes, shown, none = np.full((4, len(pieces)), -1, dtype=np.int64), [""] * len(pieces), np.zeros(0, dtype=np.int64)
+    good = [k for k, p in enumerate(pieces) if MARK not in p]
+    some = [pieces[k] for k in good]
+    if not some:
+        return sizes, shown, none
+    closed = next((k for k, p in enumerate(some) if p[-1] not in CLOSING), len(some))
+    each = [t.encode(part, together) for part, together in ((some[:closed], TOGETHER), (some[closed:], 1)) if part]
+    found = spelled(t, some, *(list(itertools.chain.from_iterable(x)) for x in zip(*each, strict=True)))
+    if found is None and len(some) == 1:
+        return sizes, shown, none
+    if found is None:  # each half by itself, down to the piece that isn't spelled
+        sizes, shown, pairs = zip(*(align(t, part, links) for part in (pieces[: len(pieces) // 2], pieces[len(pieces) // 2 :])), strict=True)
+        return np.concatenate(sizes, axis=1), shown[0] + shown[1], np.concatenate(pairs)
+    ids_a, ends_a, stop_a, ids_b, ends_b, stop_b = found
+    cut = Intervals(ends_a, ends_b)
     # Tokens in the order of the groups, A's first: with the mark of a list, or of the end of a group's part.
     last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (cut.group_a, cut.group_b))
-    written_out = np.concatenate([t.text_a[ids_a + last_a * len(t.bytes_a)], t.text_b[ids_b + last_b * len(t.bytes_b)]])
-    written_out = written_out[np.argsort(np.concatenate([2 * cut.group_a, 2 * cut.group_b + 1]), kind="stable")].tolist()
-    x, y = cut.links(links)
-    stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
-    sizes[:, good] = n_a, n_b, np.diff(cut.group_a[stop_a - 1], prepend=-1), np.diff(np.searchsorted(x, stop_a), prepend=0)
-    stops = (stop_a + stop_b).tolist()
+    marked = np.concatenate([ids_a + last_a * len(t.bytes_a), ids_b + last_b * len(t.bytes_b) + 2 * len(t.bytes_a)])
+    marked = marked[np.argsort(np.concatenate([2 * cut.group_a, 2 * cut.group_b + 1]), kind="stable")]
+    whole, stops = "".join(t.shown[marked].tolist()), np.cumsum(t.shown_size[marked])[stop_a + stop_b - 1].tolist()
     for k, low, high in zip(good, [0, *stops], stops, strict=False):
-        shown[k] = "".join(written_out[low:high])
-    return sizes, shown, ids_a[x] << 32 | ids_b[y]
+        shown[k] = whole[low:high]
+    x, y = cut.links(links)
+    sizes[:, good] = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0), np.diff(cut.group_a[stop_a - 1], prepend=-1), np.diff(np.searchsorted(x, stop_a), prepend=0)
+    return sizes, shown, ids_a[x] << t.bits_b | ids_b[y]
 
 
 class Aligner:
-    """Aligns texts; keeps what was found for short pieces and empties the table when it is full."""
+    """Aligns texts; keeps what was found for short pieces, and of a full table the most used half."""
 
     def __init__(self, t: Tokenizers, links: str) -> None:
         if links not in LINKS:
@@ -179,28 +267,43 @@ class Aligner:
         self.t, self.links = t, links
         self.kept = Table()
 
-    def __call__(self, some: list[str]) -> Iterator[tuple]:
-        """(n_a, n_b, n_groups, n_links, groups as text, keys of the distinct pairs, their numbers) of each text."""
+    def __call__(self, some: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups and n_links of each text, its groups as text, where its distinct pairs end, the pairs' keys, their numbers."""
         cut = [PIECE.findall(" " + x) if x else [] for x in some]
         if len(self.kept.shown) > MOST_KEPT:
-            self.kept = Table()
-        table = self.kept
-        new = list(set(itertools.chain.from_iterable(cut)).difference(table.row))
-        if new:
-            parts = [align(self.t, new[at : at + NEW], self.links) for at in range(0, len(new), NEW)]
-            table.add(new, np.concatenate([x[0] for x in parts], axis=1), list(itertools.chain.from_iterable(x[1] for x in parts)), np.concatenate([x[2] for x in parts]))
-        for pieces in cut:
-            rows = np.fromiter(map(table.row.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-            sizes = table.sizes[:, rows]
-            if not len(rows) or sizes.min() < 0:
-                yield 0, 0, 0, 0, "", rows[:0], rows[:0]
-                continue
-            links, first = sizes[3], table.first[rows]
-            each = np.repeat(first - np.cumsum(links) + links, links) + np.arange(links.sum())
-            keys, numbers = np.unique(table.keys[each], return_counts=True)
-            yield *sizes.sum(axis=1).tolist(), "".join(map(table.shown.__getitem__, rows.tolist()))[:-1], keys, numbers
-        if any(len(p) > KEPT_CHARS for p in new):
-            table.without(KEPT_CHARS)
+            self.kept = self.kept.most_used(MOST_KEPT // 2)
+        table, pieces = self.kept, list(itertools.chain.from_iterable(cut))
+        rows = np.fromiter(map(table.row.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
+        missing = np.flatnonzero(rows < 0)
+        asked = [pieces[k] for k in missing.tolist()]
+        new = sorted(dict.fromkeys(asked), key=passing)
+        for at in range(0, len(new), NEW):
+            part = new[at : at + NEW]
+            table.add(part, *align(self.t, part, self.links))
+        rows[missing] = np.fromiter(map(table.row.__getitem__, asked), dtype=np.int64, count=len(asked))
+        table.used[: len(table.shown)] += np.bincount(rows, minlength=len(table.shown))
+        out = self.texts(rows, np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)))
+        table.without(len(new) - bisect.bisect_left(new, 1, key=passing))
+        return out
+
+    def texts(self, rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The result for texts of ``count`` pieces each, given the rows of all pieces."""
+        table, text = self.kept, np.repeat(np.arange(len(count)), count)
+        bad = np.zeros(len(count), dtype=bool)
+        bad[text[table.sizes[0, rows] < 0]] = True
+        if bad.any():
+            rows, text, count = rows[~bad[text]], text[~bad[text]], np.where(bad, 0, count)
+        stop, sizes = np.cumsum(count), table.sizes[:, rows]
+        sums = np.concatenate([np.zeros((4, 1), dtype=np.int64), np.cumsum(sizes, axis=1)], axis=1)
+        listed, stops = rows.tolist(), stop.tolist()
+        shown = ["".join(map(table.shown.__getitem__, listed[low:high]))[:-1] for low, high in zip([0, *stops], stops, strict=False)]
+        # Each text's pairs in order, equal ones side by side.
+        pairs = np.sort(np.repeat(text, sizes[3]) << self.t.bits | table.pairs[spread(table.first[rows], sizes[3])])
+        begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else pairs
+        times, pairs = np.diff(np.append(begin, len(pairs))), pairs[begin]
+        ends = np.searchsorted(pairs >> self.t.bits, np.arange(len(count)), side="right")
+        a, b = (pairs & (1 << self.t.bits) - 1) >> self.t.bits_b, pairs & (1 << self.t.bits_b) - 1
+        return sums[:, stop] - sums[:, stop - count], shown, ends, a << 32 | b, times
 
 
 def _stretches(column: pa.Array) -> Iterator[list[str]]:
@@ -216,17 +319,25 @@ def _stretches(column: pa.Array) -> Iterator[list[str]]:
         yield some
 
 
+@functools.lru_cache(maxsize=1)
+def aligner_of(json_file: str, model_file: str, links: str) -> Aligner:
+    """A worker's own, with what was found in its earlier tasks."""
+    return Aligner(tokenizers_of(json_file, model_file), links)
+
+
 def _rows(files: tuple[str, str], links: str, digest: bool):
-    kinds = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "keys", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = Aligner(tokenizers_of(*files), links)
+        work = aligner_of(*files, links)
         for batch in batches:
             at = 0
             for some in _stretches(batch.column(1)):
-                made = [(*x[:4], hashlib.sha256(x[4].encode()).hexdigest() if digest and x[0] else x[4], *x[5:]) for x in work(some)]
-                columns = [pa.array(x, kind) for x, (_, kind) in zip(zip(*made, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *columns], ["doc_id", *(n for n, _ in kinds)])
+                sizes, groups, ends, keys, times = work(some)
+                if digest:
+                    groups = [hashlib.sha256(x.encode()).hexdigest() if x else x for x in groups]
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(x)) for x in (keys, times)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *map(pa.array, sizes), pa.array(groups, pa.string()), *lists], names)
                 at += len(some)
 
     return run

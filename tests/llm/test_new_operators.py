@@ -180,6 +180,55 @@ def test_alignment_itself(spark):
         alignment.Aligner(t, "nearly")
 
 
+def result(work, rows):
+    sizes, groups, ends, keys, times = work(rows)
+    sums = [times[low:high].sum() for low, high in zip([0, *ends], ends, strict=False)]
+    assert sums == sizes[3].tolist() and len(keys) == len(times) == (ends[-1] if len(ends) else 0)
+    return [(*x, hashlib.sha256(g.encode()).hexdigest() if g else "") for *x, g in zip(*sizes.tolist(), groups, strict=True)]
+
+
+@pytest.mark.parametrize("links", alignment.LINKS)
+def test_alignment_with_a_full_table(monkeypatch, links):
+    """Forgetting, long pieces and those encoded together change nothing."""
+    for name, value in {"MOST_KEPT": 30, "KEPT_CHARS": 6, "NEW": 7, "TOGETHER": 3}.items():
+        monkeypatch.setattr(alignment, name, value)
+    work, r = alignment.Aligner(alignment.tokenizers_of(*alignment.default_files()), links), random.Random(4)
+    words = [w for x in ALIGN if x for w in x.split(" ")] + ["the", "of", "Ende.\nUnd", "naïve,", "été", "▁", "a▁b", "  ", "\n"]
+    rows = [x or "" for x in ALIGN] + [" ".join(r.choices(words, k=r.randint(1, 12))) for _ in range(300)]
+    want = [(*x[:4], x[6]) for x in brute_alignment(rows, links)]
+    assert result(work, ["", ""]) == [(0, 0, 0, 0, "")] * 2
+    for _ in range(3):
+        some = r.sample(range(len(rows)), 40)
+        assert result(work, [rows[k] for k in some]) == [want[k] for k in some]
+    assert result(work, rows) == want
+
+
+def test_alignment_keeps_the_most_used(monkeypatch):
+    """A full table forgets rare pieces only, and long ones leave nothing behind."""
+    monkeypatch.setattr(alignment, "MOST_KEPT", 40)
+    work, seen, plain = alignment.Aligner(alignment.tokenizers_of(*alignment.default_files()), "ends"), Counter(), alignment.align
+    monkeypatch.setattr(alignment, "align", lambda t, pieces, links: seen.update(pieces) or plain(t, pieces, links))
+    for k in range(50):
+        list(work([f"the of and the of and rare{k} seldom{k}x " + "漢字" * 500]))
+    assert [seen[x] for x in (" the", " of", " and")] == [1, 1, 1] and seen[" rare0"] == 1
+    assert len(work.kept.shown) == len(work.kept.row) <= 45 and max(map(len, work.kept.row)) < 20
+
+
+def test_alignment_encodes_together(monkeypatch):
+    """Pieces that may stand together are one text for A, and few for B, with the ids of each by itself; one that isn't spelled leaves the others so."""
+    t, calls = alignment.tokenizers_of(*alignment.default_files()), []
+    pieces = [f" {w}{k}{end}" for k in range(100) for w, end in (("über", "ß"), ("the", ","), (" two", ""), ("Ende.\nUnd", "é"))]
+    plain = t.encode
+    single = [plain([p]) for p in pieces]
+    assert plain(pieces, 50) == plain(pieces) == tuple([i for x in single for i in x[k]] for k in (0, 1))
+    monkeypatch.setattr(t, "encode", lambda pieces, together=1: calls.append(together) or plain(pieces, together))
+    sizes, shown, pairs = alignment.align(t, [*pieces, " a▁b"], "ends")
+    assert calls == [alignment.TOGETHER] and sizes[:, -1].tolist() == [-1] * 4 and sizes[:2, :-1].tolist() == [[len(x[k]) for x in single] for k in (0, 1)]
+    monkeypatch.setattr(alignment, "MARK", "\0")
+    again = alignment.align(t, [*pieces, " a▁b"], "ends")
+    assert again[0].tolist() == sizes.tolist() and again[1] == shown and again[2].tolist() == pairs.tolist() and len(calls) < 25
+
+
 def test_intervals():
     cut = alignment.Intervals(np.array([2, 5, 9]), np.array([3, 5, 6, 9]))
     assert cut.ends.tolist() == [2, 3, 5, 6, 9] and cut.closed.tolist() == [5, 9]
