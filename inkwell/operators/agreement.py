@@ -1,14 +1,15 @@
 """Correlation and agreement statistics, set precision and recall, separation of features.
 
 Ranks come from counts of equal values within ranges of a group's values, so no window sees a whole group; pairs of annotators
-meet as bitmaps of items first, then as bounded matrices.
+meet block by block, in bounded matrices.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,91 +51,172 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str = "rho", le
 
 #: Ratings in a block of annotators, as expected; an annotator with more than an eighth of it meets the others in joins.
 MOST_RATINGS = 4_000_000
+#: Annotators in a block, as expected, where there are few; blocks that are enough to keep a cluster busy, where ratings allow.
+BLOCK, BLOCKS = 128, 12
 #: Items in a tile, as expected; places within it fit 16 bits.
 TILE = 24_000
 #: Ratings of an annotator up to which it is held against the others as a list, to find those with the same ratings.
 WIDEST = 50_000
 #: Entries of a matrix that ranks are taken in.
 AT_ONCE = 1 << 20
+#: Items of two blocks up to which ranks are sums of signs, and annotators of either block that are taken at once.
+FEW_ITEMS, LINES, COLUMNS = 512, 128, 128
 
 
-def annotator_pairs(ratings: DataFrame, item: list[str], least: int = 3, block: int = 128, most: int = MOST_RATINGS, tile: int = TILE) -> DataFrame:
+def annotator_pairs(ratings: DataFrame, item: list[str], least: int = 3, block: int = BLOCK, most: int = MOST_RATINGS, tile: int = TILE, weight: str | None = None) -> DataFrame:
     """a, b, n, rho for each two annotators (annotator, item, rating) with ``least`` items in common, a < b.
 
     There are as many pairs as annotators squared, so that is what it costs; but ratings don't meet item by item.  Items that
-    two annotators have rated get a tile and a place in it, annotators a block of about ``block`` annotators and ``most``
-    ratings.  First two blocks' places meet tile by tile, two bytes a rating, and are counted as bitmaps: only annotators with
-    enough in common with someone in a block send that block's task their ratings.  There each annotator is ranked against a
-    few others at a time, within AT_ONCE entries.  An annotator with more than ``most`` / 8 ratings is in no block: its pairs
+    two annotators have rated get a number, ratings their rank within the annotator, annotators a block: about ``block`` of them
+    to each, but no more than BLOCKS blocks, unless these have more than ``most`` ratings.  Each two blocks meet in one task, so a
+    rating is sent once for each block.  An annotator with more than ``most`` / 8 ratings is in no block: its pairs
     are joined by item, and ranks come from ranges of values (``spearman``), so no task holds all its ratings either.
 
+    With ``weight``, a column with a number for each annotator, no pair leaves its task: the result is ``sums`` of the pairs, each
+    counted as often as the product of its two weights, a row for each two blocks.
+
     Of repeated ratings of an item by one annotator the mean counts; null and NaN ratings and null annotators don't.
     """
     spark, where = ratings.sparkSession, files.folder(ratings.sparkSession, "annotators")
     clean = ratings.where(F.col("rating").isNotNull() & ~F.isnan(F.col("rating").cast("double")) & F.col("annotator").isNotNull())
-    clean.groupBy("annotator", F.xxhash64(*item).alias("item")).agg(F.avg(F.col("rating").cast("double")).alias("rating")).write.parquet(f"{where}/once")
+    weighed = F.max(weight).cast("double") if weight else F.lit(1.0)
+    clean.groupBy("annotator", F.xxhash64(*item).alias("item")).agg(F.avg(F.col("rating").cast("double")).alias("rating"), weighed.alias("w")).write.parquet(f"{where}/once")
     once = spark.read.parquet(f"{where}/once")
     shared = once.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
     tiles = max(1, -(-shared.count() // tile))
     place = F.row_number().over(Window.partitionBy("tile").orderBy("item")) - 1
     places = shared.withColumn("tile", F.pmod("item", F.lit(tiles)).cast("int")).withColumn("at", place.cast("smallint"))
-    once.join(places, "item").select("annotator", "tile", "at", "rating").write.parquet(f"{where}/placed")
+    once.join(places, "item").select("annotator", "w", "tile", "at", "rating").write.parquet(f"{where}/placed")
     placed = spark.read.parquet(f"{where}/placed")
-    placed.groupBy("annotator").agg(F.count("*").alias("k")).withColumn("wide", F.col("k") > most // 8).write.parquet(f"{where}/sizes")
+    placed.groupBy("annotator").agg(F.count("*").alias("k"), F.max("w").alias("w")).withColumn("wide", F.col("k") > most // 8).write.parquet(f"{where}/sizes")
+    files.remove(spark, f"{where}/once")
     sizes = spark.read.parquet(f"{where}/sizes")
-    narrow, total, wide = sizes.agg(F.count_if(~F.col("wide")), F.sum(F.when(~F.col("wide"), F.col("k"))), F.count_if("wide")).head()
-    blocks = max(1, -(-narrow // block), -(-(total or 0) // most))
+    narrow, total, longest, wide = sizes.agg(F.count_if(~F.col("wide")), F.sum(F.when(~F.col("wide"), F.col("k"))), F.max(F.when(~F.col("wide"), F.col("k"))), F.count_if("wide")).head()
+    blocks = max(1, min(-(-narrow // block), BLOCKS), -(-(total or 0) // most))
     kept = placed.join(sizes.where("NOT wide").select("annotator"), "annotator", "left_semi") if wide else placed
     kind = dict(ratings.dtypes)["annotator"]
-    # Small rows, much work: a partition for each two blocks, which adaptive execution would put together.
-    deal = min(4096, max(1, blocks * (blocks + 1) // 2))
-
-    tagged = kept.groupBy("annotator", "tile").agg(F.collect_list("at").alias("at")).withColumn("own", F.pmod(F.xxhash64("annotator"), F.lit(blocks)).cast("int"))
-    dealt = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("annotator", "tile", "at", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"))
-    met = dealt.repartition(min(4096, deal * tiles), "low", "high", "tile").groupBy("low", "high", "tile")
-    counted = met.applyInArrow(_shared, f"low int, high int, a {kind}, b {kind}, n long").groupBy("low", "high", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    counted.write.parquet(f"{where}/counted")
-    pairs = spark.read.parquet(f"{where}/counted")
-
-    sides = pairs.select("low", "high", F.col("a").alias("annotator"), F.col("b").alias("with")).unionByName(pairs.select("low", "high", F.col("b").alias("annotator"), F.lit(None).cast(kind).alias("with")))
-    sent = sides.groupBy("low", "high", "annotator").agg(F.collect_list("with").alias("with"))
-    held = kept.groupBy("annotator").agg(F.array_sort(F.collect_list(F.struct((F.col("tile").cast("long") * 32768 + F.col("at")).alias("item"), "rating"))).alias("r"))
-    rows = sent.join(held, "annotator").select("low", "high", "annotator", "with", F.col("r.item").alias("items"), F.col("r.rating").alias("ratings"))
-    out = rows.repartition(deal, "low", "high").groupBy("low", "high").applyInArrow(_matched, f"x {kind}, y {kind}, n long, rho double")
-    out = out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", "rho")
-    if not wide:
-        return out
+
+    # Ranks depend on the order of an annotator's ratings alone.  Both numbers are as short as they can be, as they are sent often.
+    number = F.col("at") if tiles == 1 else (F.col("tile").cast("long") * 32768 + F.col("at")).cast("int" if tiles < 65536 else "long")
+    order = F.rank().over(Window.partitionBy("annotator").orderBy(F.col("rating") + 0.0)).cast("smallint" if (longest or 0) < 32768 else "int")
+    numbered = kept.select("annotator", "w", number.alias("item"), order.alias("rank"))
+    held = numbered.groupBy("annotator").agg(F.max("w").alias("w"), F.collect_list(F.struct("item", "rank")).alias("r")).select("annotator", "w", F.col("r.item").alias("items"), F.col("r.rank").alias("ranks"))
+    dealt = held.withColumn("own", F.pmod(F.xxhash64("annotator"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("annotator", "w", "items", "ranks", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"))
+    # Small rows, much work: more partitions than pairs of blocks, so that few get two, which adaptive execution would put together.
+    met = dealt.repartition(min(4096, 2 * blocks * (blocks + 1)), "low", "high").groupBy("low", "high")
     one = placed.join(sizes.where("wide").select("annotator"), "annotator", "left_semi").select("tile", "at", F.col("annotator").alias("x"), F.col("rating").alias("p"))
     two = placed.join(sizes.select("annotator", "wide"), "annotator").select("tile", "at", F.col("annotator").alias("y"), F.col("rating").alias("q"), "wide")
     each = one.join(two, ["tile", "at"]).where((F.col("x") < F.col("y")) | (~F.col("wide") & (F.col("x") > F.col("y"))))
     each = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "p", "q")
-    return out.unionByName(spearman(each, ["a", "b"], "p", "q", "rho", least).where(F.col("n") >= least).select("a", "b", "n", "rho"))
-
-
-def _shared(rows: pa.Table) -> pa.Table:
-    """How many items of a tile each two annotators of two blocks (or of one) have in common, counted in bitmaps."""
-    names, second = rows.column("annotator"), rows.column("second").to_numpy()
-    lists = rows.column("at").combine_chunks()
-    sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
-    held = np.zeros((len(rows), int(flat.max(initial=0)) + 1), dtype=bool)
-    held[np.repeat(np.arange(len(rows)), sizes), flat] = True
-    bits = np.packbits(held, axis=1)
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
-    left, right = np.flatnonzero(~second), np.flatnonzero(second)
+    joined = spearman(each, ["a", "b"], "p", "q", "rho", least).where(F.col("n") >= least).select("a", "b", "n", "rho")
+    if weight:
+        out = met.applyInArrow(lambda rows: _summed(rows, least), "n double, total double, some double, low double, high double")
+        weights = sizes.select(F.col("annotator").alias("a"), F.col("w").alias("v")), sizes.select(F.col("annotator").alias("b"), "w")
+        return out.unionByName(sums(joined.join(weights[0], "a").join(weights[1], "b").select("rho", (F.col("v") * F.col("w")).alias("n")))) if wide else out
+    out = met.applyInArrow(lambda rows: _listed(rows, least), f"x {kind}, y {kind}, n long, rho double")
+    out = out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", "rho")
+    return out.unionByName(joined) if wide else out
+
+
+def sums(pairs: DataFrame) -> DataFrame:
+    """n, total, some, low, high of rows (rho, n), each of which stands for n pairs: pairs, the sum of their rhos, pairs with one, its range; null in an empty table."""
+    rho, n = F.col("rho"), F.col("n")
+    return pairs.agg(F.sum(n).alias("n"), F.sum(rho * n).alias("total"), F.sum(F.when(rho.isNotNull(), n)).alias("some"), F.min(rho).alias("low"), F.max(rho).alias("high"))
+
+
+def _meetings(rows: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i of one block, rows j of the other (or the same), their matrix of common items, zero where i and j don't meet, and of rhos, NaN where there is none."""
+    second = rows.column("second").to_numpy()
     same = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
-    at, other, n = [], [], []
-    for k, i in enumerate(left.tolist()):
-        others = left[k + 1 :] if same else right
-        common = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
-        some = common > 0
-        at.append(np.full(some.sum(), i))
-        other.append(others[some])
-        n.append(common[some])
-    at, other, n = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (at, other, n))
-    a, b = names.take(pa.array(at)), names.take(pa.array(other))
-    swap = pc.greater(a, b)
-    return pa.table([rows.column("low").take(pa.array(at)), rows.column("high").take(pa.array(at)), pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(n)], ["low", "high", "a", "b", "n"])
+    lists, ranks = rows.column("items").combine_chunks(), rows.column("ranks").combine_chunks().flatten().to_numpy()
+    line, items = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    codes = np.unique(items) if same else np.intersect1d(items[~second[line]], items[second[line]])
+    if not len(codes):
+        return
+    at = np.minimum(np.searchsorted(codes, items), len(codes) - 1)
+    hit = codes[at] == items
+    line, at, ranks = line[hit], at[hit], ranks[hit].astype(np.int32)
+    starts = np.searchsorted(line, np.arange(len(rows) + 1))
+    enough = np.diff(starts) >= max(1, least)
+    left, right = np.flatnonzero(enough & ~second), np.flatnonzero(enough & (second | same))
+    yield from (_by_signs if len(codes) <= FEW_ITEMS else _by_sorting)(line, at, ranks, starts, len(codes), left, right, same, least)
+
+
+def _by_signs(line, at, ranks, starts, width, left, right, same, least):
+    """Twice an item's rank less the mean rank is the number of common items rated lower, less those rated higher: a product of signs and a mask.
+
+    All of these are whole numbers, and their sums of products too, which single precision holds exactly for up to 256 items.
+    """
+    kind = np.float32 if width <= 256 else np.float64
+
+    def mask(some: np.ndarray) -> np.ndarray:
+        out = np.zeros((width, len(some)), dtype=kind)
+        for k, i in enumerate(some):
+            out[at[starts[i] : starts[i + 1]], k] = 1
+        return out
+
+    def signs(i: int) -> tuple[np.ndarray, np.ndarray]:
+        r = ranks[starts[i] : starts[i + 1]].astype(kind)
+        return at[starts[i] : starts[i + 1]], np.sign(r[:, None] - r[None, :])
+
+    for top in range(0, len(left), LINES):
+        i = left[top : top + LINES]
+        mine, theirs = mask(i), [signs(x) for x in i]
+        p = np.zeros((COLUMNS, width, len(i)), dtype=kind)
+        for first in range(top // COLUMNS * COLUMNS if same else 0, len(right), COLUMNS):
+            j = right[first : first + COLUMNS]
+            others = mask(j)
+            n = (mine.T @ others).astype(np.int64)
+            pp, qq, pq = (np.empty((len(i), len(j))) for _ in range(3))
+            for k, (own, sign) in enumerate(theirs):
+                both = others[own]
+                x = (sign @ both) * both
+                pp[k] = np.einsum("ab,ab->b", x, x)
+                p[: len(j), own, k] = x.T
+            for k, y in enumerate(j):
+                own, sign = signs(y)
+                both = mine[own]
+                y = (sign @ both) * both  # zero where the other has no such item, whatever is left in p
+                qq[:, k] = np.einsum("ab,ab->b", y, y)
+                pq[:, k] = np.einsum("ab,ab->b", y, p[k, own])
+            if same:
+                n[i[:, None] >= j[None, :]] = 0
+            spread = np.sqrt(pp * qq)
+            yield i, j, n, np.divide(pq, spread, out=np.full(n.shape, np.nan), where=spread > 0)
+
+
+def _by_sorting(line, at, ranks, starts, width, left, right, same, least):
+    """Those with enough in common with an annotator are found by item and ranked against it, within AT_ONCE entries."""
+    wanted = np.zeros(len(starts) - 1, dtype=bool)
+    wanted[right] = True
+    there = np.flatnonzero(wanted[line])
+    there = there[np.argsort(at[there], kind="stable")]
+    edges = np.searchsorted(at[there], np.arange(width + 1))
+    for i in left:
+        own, mine = at[starts[i] : starts[i + 1]], ranks[starts[i] : starts[i + 1]]
+        lengths = edges[own + 1] - edges[own]
+        found = there[np.repeat(edges[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        place, other = np.repeat(np.arange(len(own)), lengths), line[found]
+        if same:
+            later = other > i
+            found, place, other = found[later], place[later], other[later]
+        js, inverse, counts = np.unique(other, return_inverse=True, return_counts=True)
+        at_once = max(1, AT_ONCE // len(own))
+        some = np.flatnonzero(counts >= max(1, least))
+        by = np.argsort(inverse, kind="stable")
+        ends = np.cumsum(counts)
+        for top in range(0, len(some), at_once):
+            part = some[top : top + at_once]
+            taken = by[np.repeat(ends[part] - np.cumsum(counts[part]), counts[part]) + np.arange(counts[part].sum())]
+            y = np.full((len(part), len(own)), np.nan)
+            y[np.repeat(np.arange(len(part)), counts[part]), place[taken]] = ranks[found[taken]]
+            both = ~np.isnan(y)
+            mean = (counts[part][:, None] + 1) / 2
+            p, q = (np.where(both, _ranked(z, both) - mean, 0.0) for z in (np.broadcast_to(mine, y.shape), y))
+            spread = np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
+            rho = np.divide((p * q).sum(axis=1), spread, out=np.full(len(part), np.nan), where=spread > 0)
+            yield np.array([i]), js[part], counts[part][None, :], rho[None, :]
 
 
 def _ranked(x: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -151,38 +233,38 @@ def _ranked(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.where(held, out, 0.0)
 
 
-def _matched(rows: pa.Table) -> pa.Table:
-    """n and rho of each annotator with those in ``with``, by average ranks within what the two have rated."""
-    names = rows.column("annotator")
-    place = {name: k for k, name in enumerate(names.to_pylist())}
-    items, values = ([x.values.to_numpy() for x in rows.column(c)] for c in ("items", "ratings"))
+def _listed(rows: pa.Table, least: int) -> pa.Table:
+    """x, y, n, rho of each two annotators with enough in common."""
     found = [(np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0),)]
-    for i, partners in enumerate(rows.column("with").to_pylist()):
-        others, own = [place[b] for b in partners], items[i]
-        at_once = max(1, AT_ONCE // max(1, len(own)))
-        for top in range(0, len(others), at_once):
-            some = others[top : top + at_once]
-            flat, line = np.concatenate([items[j] for j in some]), np.repeat(np.arange(len(some)), [len(items[j]) for j in some])
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            hit = own[at] == flat
-            y = np.full((len(some), len(own)), np.nan)
-            y[line[hit], at[hit]] = np.concatenate([values[j] for j in some])[hit]
-            both = ~np.isnan(y)
-            n = both.sum(axis=1)
-            mean = (n[:, None] + 1) / 2
-            p, q = (np.where(both, _ranked(z, both) - mean, 0.0) for z in (np.broadcast_to(values[i], y.shape), y))
-            spread = np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
-            found.append((np.full(len(n), i), np.array(some), n, np.divide((p * q).sum(axis=1), spread, out=np.full(len(n), np.nan), where=spread > 0)))
+    for i, j, n, rho in _meetings(rows, least):
+        a, b = np.nonzero(n >= max(1, least))
+        found.append((i[a], j[b], n[a, b], rho[a, b]))
     x, y, n, rho = (np.concatenate(c) for c in zip(*found, strict=True))
+    names = rows.column("annotator")
     return pa.table([names.take(pa.array(x)), names.take(pa.array(y)), pa.array(n), pa.array(rho, from_pandas=True)], ["x", "y", "n", "rho"])
 
 
+def _summed(rows: pa.Table, least: int) -> pa.Table:
+    """One row of ``sums`` over the pairs."""
+    w = rows.column("w").to_numpy()
+    pairs = total = some = 0.0
+    low, high = np.inf, -np.inf
+    for i, j, n, rho in _meetings(rows, least):
+        times = np.where(n >= max(1, least), w[i][:, None] * w[j][None, :], 0.0)
+        pairs += times.sum()
+        has = (times > 0) & ~np.isnan(rho)
+        rhos, times = rho[has], times[has]
+        total, some = total + rhos @ times, some + times.sum()
+        low, high = min(low, rhos.min(initial=np.inf)), max(high, rhos.max(initial=-np.inf))
+    return pa.table({"n": [float(pairs)], "total": [float(total)], "some": [float(some)], "low": pa.array([float(low) if some else None], pa.float64()), "high": pa.array([float(high) if some else None], pa.float64())})
+
+
 def inter_annotator(ratings: DataFrame, item: list[str], least: int = 3) -> DataFrame:
     """pairs, mean_rho, min_rho, max_rho; pairs without a correlation don't count in the mean.
 
     Annotators with the same ratings are one class: only classes meet, and a pair of classes counts as often as annotators of the
-    two do, so a rater who stands in the table many times doesn't add pairs to be written.  Ratings are compared whole,
-    not by digests.
+    two do.  What is sent or written grows with the ratings, not with the pairs: each task sums up its own.  Ratings are compared
+    whole, not by digests.
     """
     at = files.folder(ratings.sparkSession, "classes")
     clean = ratings.where(F.col("rating").isNotNull() & ~F.isnan(F.col("rating").cast("double")) & F.col("annotator").isNotNull())
@@ -196,15 +278,13 @@ def inter_annotator(ratings: DataFrame, item: list[str], least: int = 3) -> Data
     classes.unionByName(mine.where(F.col("k") > WIDEST).withColumn("w", F.lit(1).cast("long"))).write.parquet(f"{at}/classes")
     classes = ratings.sparkSession.read.parquet(f"{at}/classes")
 
-    pairs = annotator_pairs(once.join(classes.select("annotator"), "annotator"), ["item"], least).select("a", "b", "rho")
-    weight = classes.select("annotator", F.col("w").cast("double").alias("w"))
-    pairs = pairs.join(weight.select(F.col("annotator").alias("a"), F.col("w").alias("v")), "a").join(weight.select(F.col("annotator").alias("b"), "w"), "b")
-    between = pairs.select("rho", (F.col("v") * F.col("w")).alias("n"))
+    each = classes.select("annotator", F.col("w").cast("double").alias("w"))
+    between = annotator_pairs(once.join(each, "annotator"), ["item"], least, BLOCK, MOST_RATINGS, TILE, "w")
     # Two annotators of one class agree wholly, unless all their ratings are equal.
     spread = once.join(classes.where("w > 1").select("annotator"), "annotator").groupBy("annotator").agg(F.when(F.min("rating") < F.max("rating"), 1.0).alias("rho"))
     within = classes.where((F.col("w") > 1) & (F.col("k") >= least)).join(spread, "annotator").select("rho", (F.col("w") * (F.col("w") - 1) / 2).alias("n"))
-    every, some = between.unionByName(within), F.when(F.col("rho").isNotNull(), F.col("n"))
-    return every.agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("long").alias("pairs"), F.try_divide(F.sum(F.col("rho") * F.col("n")), F.sum(some)).alias("mean_rho"), F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho"))
+    every = between.unionByName(sums(within))
+    return every.agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("long").alias("pairs"), F.try_divide(F.sum("total"), F.sum("some")).alias("mean_rho"), F.min("low").alias("min_rho"), F.max("high").alias("max_rho"))
 
 
 def reward_agreement(scores: DataFrame, ratings: DataFrame, rewards: list[str], key: list[str]) -> DataFrame:

@@ -195,6 +195,58 @@ def test_copies_of_annotators_count_without_pairs(spark, monkeypatch):
     assert tuple(none) == (0, None, None, None)
 
 
+def test_pairs_of_annotators_stay_in_their_tasks(spark, tmp_path, monkeypatch):
+    """Annotators that all differ: nothing written or shuffled grows with their pairs, wide ones excepted, and the sums are those of the pairs."""
+    import random
+    import uuid
+    from pathlib import Path
+
+    from inkwell.operators import agreement
+
+    r = random.Random(7)
+    rows = [(f"n{a}", i, float(r.randint(1, 9 if a else 1))) for a in range(120) for i in r.sample(range(16), 12)]
+    df = spark.createDataFrame(rows, "annotator string, item int, rating double")
+    want = agreement.annotator_pairs(df, ["item"]).agg(F.count("*"), F.avg("rho"), F.min("rho"), F.max("rho")).head()
+    monkeypatch.setattr(agreement.files, "folder", lambda spark, name: f"file://{tmp_path}/{name}-{uuid.uuid4().hex}")
+    got = agreement.inter_annotator(df, ["item"]).head()
+    written = [spark.read.parquet(f"file://{x}").count() for top in Path(tmp_path).iterdir() for x in top.iterdir()]
+    assert got[0] == want[0] == 120 * 119 // 2 and all(abs(x - y) < 1e-12 for x, y in zip(got[1:], want[1:], strict=True))
+    assert written and max(written) <= len(rows)
+    ones = df.withColumn("w", F.lit(2))
+    for most in (10**6, 80):  # 80: all are wide
+        at = agreement.annotator_pairs(ones, ["item"], 3, 100, most, 10, "w").agg(F.sum("n"), F.sum("total"), F.sum("some"), F.min("low"), F.max("high")).head()
+        assert at[0] == 4 * want[0] and at[2] == 4 * 119 * 118 // 2 and all(abs(x - y) < 1e-12 for x, y in zip((at[1] / at[2], at[3], at[4]), want[1:], strict=True))
+
+
+def test_ranks_by_signs_and_by_sorting(monkeypatch):
+    """Both ways to rank give what plain loops give, within a block and between two, over more annotators than are taken at once."""
+    import random
+
+    import pyarrow as pa
+
+    from inkwell.operators import agreement
+
+    r = random.Random(3)
+    held = [dict.fromkeys(sorted(r.sample(range(30), r.randint(0, 14)))) for _ in range(40)]
+    held = [{i: r.randint(1, 4 if k % 5 else 1) for i in x} for k, x in enumerate(held)]
+    monkeypatch.setattr(agreement, "LINES", 7)
+    monkeypatch.setattr(agreement, "COLUMNS", 5)
+    monkeypatch.setattr(agreement, "AT_ONCE", 50)
+    for low, high in ((0, 0), (0, 1)):
+        second = [low != high and k % 3 == 0 for k in range(40)]
+        rows = pa.table({"annotator": list(range(40)), "w": [1.0] * 40, "items": pa.array([list(x) for x in held], pa.list_(pa.int16())), "ranks": pa.array([list(x.values()) for x in held], pa.list_(pa.int16())), "low": [low] * 40, "high": [high] * 40, "second": second})
+        want = {}
+        for a in range(40):
+            for b in range(a + 1, 40):
+                common = sorted(held[a].keys() & held[b].keys())
+                if len(common) >= 3 and (low == high or second[a] != second[b]):
+                    want[a, b] = len(common), _plain_rho([held[a][i] for i in common], [held[b][i] for i in common])
+        for few in (512, 0):
+            monkeypatch.setattr(agreement, "FEW_ITEMS", few)
+            got = {(min(x["x"], x["y"]), max(x["x"], x["y"])): (x["n"], None if x["rho"] is None else round(x["rho"], 9) + 0.0) for x in agreement._listed(rows, 3).to_pylist()}
+            assert got == want, (low, high, few)
+
+
 def test_encoder_by_batch(spark):
     """A text that the encoder fails on sends its own row to the fallback and no other."""
     one = "The mill stood by the river for years. The river ran past the old mill. Nobody ever wrote about it again."
