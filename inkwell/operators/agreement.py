@@ -80,7 +80,9 @@ def annotator_pairs(ratings: DataFrame, item: list[str], least: int = 3, block:
     spark, where = ratings.sparkSession, files.folder(ratings.sparkSession, "annotators")
     clean = ratings.where(F.col("rating").isNotNull() & ~F.isnan(F.col("rating").cast("double")) & F.col("annotator").isNotNull())
     weighed = F.max(weight).cast("double") if weight else F.lit(1.0)
-    clean.groupBy("annotator", F.xxhash64(*item).alias("item")).agg(F.avg(F.col("rating").cast("double")).alias("rating"), weighed.alias("w")).write.parquet(f"{where}/once")
+    # Grouped by the items themselves, ratings that were dealt out by them or by annotator stay where they are.
+    once = clean.groupBy("annotator", *item).agg(F.avg(F.col("rating").cast("double")).alias("_mean"), weighed.alias("_w"))
+    once.select("annotator", F.xxhash64(*item).alias("item"), F.col("_mean").alias("rating"), F.col("_w").alias("w")).write.parquet(f"{where}/once")
     once = spark.read.parquet(f"{where}/once")
     shared = once.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
     tiles = max(1, -(-shared.count() // tile))
@@ -268,8 +270,8 @@ def inter_annotator(ratings: DataFrame, item: list[str], least: int = 3) -> Data
     """
     at = files.folder(ratings.sparkSession, "classes")
     clean = ratings.where(F.col("rating").isNotNull() & ~F.isnan(F.col("rating").cast("double")) & F.col("annotator").isNotNull())
-    once = clean.groupBy("annotator", F.xxhash64(*item).alias("item")).agg(F.avg(F.col("rating").cast("double")).alias("rating"))
-    once.write.parquet(f"{at}/once")
+    once = clean.groupBy("annotator", *item).agg(F.avg(F.col("rating").cast("double")).alias("_mean"))
+    once.select("annotator", F.xxhash64(*item).alias("item"), F.col("_mean").alias("rating")).write.parquet(f"{at}/once")
     once = ratings.sparkSession.read.parquet(f"{at}/once")
     # Wide annotators would be long lists: each stays a class of its own.
     mine = once.groupBy("annotator").agg(F.count("*").alias("k"))
